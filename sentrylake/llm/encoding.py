@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import json
 import os
+import struct
+import unicodedata
+from itertools import chain
 
 import numpy as np
 
 #: Words that a worker remembers before it starts again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
 #: Longer words are encoded each time and not remembered.
 CACHE_WORD_BYTES = 64
 
+_SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~|"
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -48,6 +53,21 @@ def splits_at_white_space(spec: dict) -> bool:
     return own and lower and plain and added and first.get("behavior") == "Removed" and bool(first.get("invert"))
 
 
+def byte_names() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones of Latin-1 as they are, the others from U+0100 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_NAMES = byte_names()
+
+
+def plain_letters(word: str) -> bool:
+    """Letters only, which neither the normal form nor lower-casing changes."""
+    return word.isalpha() and (word.isascii() and word.islower() or word.lower() == word and unicodedata.is_normalized("NFC", word))
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,6 +78,38 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
 
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of lower-case letters in normal form, one match of the file's split each: the model alone is asked."""
+        pack, tokenize = struct.pack, self.tokenizer.model.tokenize
+        out = []
+        for w in words:
+            ids = tokenize(w.decode("latin-1").translate(_BYTE_NAMES))
+            out.append(pack(f"<{len(ids)}I", *[t.id for t in ids]))
+        return out
+
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of white-space-separated words. A word of letters and then ASCII signs is two matches of the file's split."""
+        cut, odd, want = {}, [], set()
+        for w in words:
+            base = w.rstrip(_SIGNS)
+            if base and plain_letters(base.decode()):
+                tail = w[len(base) :]
+                cut[w] = (base, tail)
+                if base not in self.cache:
+                    want.add(base)
+            else:
+                odd.append(w)
+        tails = {t for _, t in cut.values() if t and t not in self.cache}
+        out = dict(zip(odd, self._ids([w.decode() for w in odd])))
+        out.update(zip(tails, self._ids([t.decode() for t in tails])))
+        if want:
+            want = list(want)
+            out.update(zip(want, self._letters(want)))
+        get = lambda w: out[w] if w in out else self.cache[w]
+        for w, (base, tail) in cut.items():
+            out[w] = get(base) + get(tail) if tail else get(base)
+        return out
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in out]
@@ -69,20 +121,21 @@ class Encoder:
         cache = self.cache
         # A-Z are lower-cased beforehand, as the file does; not where that could make the name of a special token
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = set().union(*split).difference(cache) if split else set()
-        extra = {}
-        if new:
-            if len(cache) + len(new) > CACHE_WORDS:
+        flat = list(chain.from_iterable(split))
+        found = list(map(cache.get, flat))
+        if None in found:
+            lost = [i for i, x in enumerate(found) if x is None]
+            ids = self._words(list({flat[i] for i in lost}))
+            for i in lost:
+                found[i] = ids[flat[i]]
+            if len(cache) + len(ids) > CACHE_WORDS:
                 cache.clear()
-                new = set().union(*split)
-            words = list(new)
-            ids = self._ids([w.decode() for w in words])
-            for w, x in zip(words, ids):
-                (cache if len(w) <= CACHE_WORD_BYTES else extra)[w] = x
-        if extra:
-            return [b"".join([cache.get(w) or extra.get(w, b"") for w in ws]) for ws in split]
-        get = cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            cache.update((w, x) for w, x in ids.items() if len(w) <= CACHE_WORD_BYTES)
+        out, at = [], 0
+        for words in split:
+            out.append(b"".join(found[at : at + len(words)]))
+            at += len(words)
+        return out
 
 
 def text_slices(batch_texts, max_bytes: int = 4 << 20):

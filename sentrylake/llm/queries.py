@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, token_store
+from . import byte_bpe, exact_dedup, packing, token_store
 from .common import new_path, read, ship
 
 
+def op2_best_fit_packing(spark, sf_dir):
+    ship(spark)
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op6_token_store(spark, sf_dir):
     ship(spark)
     folder = new_path(spark, "token-store")
@@ -15,12 +20,19 @@ def op6_token_store(spark, sf_dir):
     return token_store.read_digests(spark, folder)
 
 
+def op8_byte_bpe(spark, sf_dir):
+    ship(spark)
+    import public_tokenizers
+
+    return byte_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_exact_dedup(spark, sf_dir):
     ship(spark)
     return exact_dedup.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_store, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op6_token_store, op8_byte_bpe, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """

@@ -33,26 +33,23 @@ _GEAR = np.random.default_rng(20240611).integers(0, 2**63, 65536, dtype=np.uint6
 DIGEST_BYTES = 16
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Positions after which the rolling hash of the last WINDOW ids asks for a cut."""
     g = _GEAR[ids & 0xFFFF] ^ (ids >> 16).astype(np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        h[k:] += g[: n - k] << np.uint64(3 * k)
-    marks = np.flatnonzero((h >> np.uint64(40)) % np.uint64(AVERAGE) == 0) + 1
+    h = g.copy()
+    for k in range(1, min(WINDOW, len(ids))):
+        h[k:] += g[:-k] << np.uint64(3 * k)
+    return np.flatnonzero((h >> np.uint64(48)) & np.uint64(AVERAGE - 1) == 0) + 1
+
+
+def cut_points(n: int, at_marks: list[int]) -> list[int]:
+    """Ends of the chunks of a document of n ids."""
     ends, at = [], 0
-    for m in [*marks.tolist(), n]:
+    for m in [*at_marks, n]:
         while m - at > MOST:
             at += MOST
             ends.append(at)
-        if m == n:
-            if n > at:
-                ends.append(n)
-            break
-        if m - at >= LEAST:
+        if m - at >= LEAST or m == n and m > at:
             ends.append(m)
             at = m
     return ends
@@ -80,16 +77,22 @@ def _chunks(path: str, end_id: int, wide: bool):
     schema = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
 
     def run(batches):
-        enc, seen = encoder(path), set()
+        enc, seen, end = encoder(path), set(), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             docs = batch.column(0).to_pylist()
             for at, texts in text_slices(batch.column(1)):
                 rows = []
-                for i, raw in enumerate(enc.encode(texts)):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
-                    body, recipe, b = ids.astype(dtype), [], 0
-                    for e in cut_points(ids):
-                        part = body[b:e].tobytes()
+                raws = [raw + end for raw in enc.encode(texts)]
+                every = np.frombuffer(b"".join(raws), "<u4")
+                body, size = every.astype(dtype).tobytes(), np.dtype(dtype).itemsize
+                # a window that reaches into the document before ends under LEAST ids, where nothing is cut
+                cuts, lasts = marks(every), np.cumsum([len(raw) // 4 for raw in raws])
+                bounds = np.searchsorted(cuts, np.append(0, lasts), side="right").tolist()
+                for i, last in enumerate(lasts.tolist()):
+                    n = len(raws[i]) // 4
+                    recipe, b, base = [], 0, last - n
+                    for e in cut_points(n, (cuts[bounds[i] : bounds[i + 1]] - base).tolist()):
+                        part = body[(base + b) * size : (base + e) * size]
                         key = digest(part)
                         recipe.append(key + (e - b).to_bytes(4, "little"))
                         if key not in seen:
@@ -99,7 +102,7 @@ def _chunks(path: str, end_id: int, wide: bool):
                             rows.append((0, key, None, e - b, part))
                         b = e
                     recipe = b"".join(recipe)
-                    rows.append((1, hashlib.blake2b(repr(docs[at + i]).encode(), digest_size=8).digest(), docs[at + i], len(ids), recipe))
+                    rows.append((1, hashlib.blake2b(repr(docs[at + i]).encode(), digest_size=8).digest(), docs[at + i], n, recipe))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return run
