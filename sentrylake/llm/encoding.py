@@ -7,16 +7,18 @@ texts are encoded. Both ways give the library's ids.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
 import unicodedata
-from itertools import chain
 
 import numpy as np
 
+from .words import words
+
 #: Words that a worker remembers before it starts again.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_500_000
 #: Longer words are encoded each time and not remembered.
 CACHE_WORD_BYTES = 64
 
@@ -76,7 +78,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.by_word = splits_at_white_space(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.cache: dict[int, bytes] = {}
 
     def _letters(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of lower-case letters in normal form, one match of the file's split each: the model alone is asked."""
@@ -87,27 +89,25 @@ class Encoder:
             out.append(pack(f"<{len(ids)}I", *[t.id for t in ids]))
         return out
 
-    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _words(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Ids of white-space-separated words. A word of letters and then ASCII signs is two matches of the file's split."""
         cut, odd, want = {}, [], set()
-        for w in words:
+        for w in new:
             base = w.rstrip(_SIGNS)
             if base and plain_letters(base.decode()):
                 tail = w[len(base) :]
                 cut[w] = (base, tail)
-                if base not in self.cache:
-                    want.add(base)
+                want.add(base)
             else:
                 odd.append(w)
-        tails = {t for _, t in cut.values() if t and t not in self.cache}
+        tails = {t for _, t in cut.values() if t}
         out = dict(zip(odd, self._ids([w.decode() for w in odd])))
         out.update(zip(tails, self._ids([t.decode() for t in tails])))
         if want:
             want = list(want)
             out.update(zip(want, self._letters(want)))
-        get = lambda w: out[w] if w in out else self.cache[w]
         for w, (base, tail) in cut.items():
-            out[w] = get(base) + get(tail) if tail else get(base)
+            out[w] = out[base] + out[tail] if tail else out[base]
         return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -118,24 +118,42 @@ class Encoder:
         """Ids of each UTF-8 text, as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return self._ids([t.decode() for t in texts])
-        cache = self.cache
-        # A-Z are lower-cased beforehand, as the file does; not where that could make the name of a special token
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        flat = list(chain.from_iterable(split))
-        found = list(map(cache.get, flat))
-        if None in found:
-            lost = [i for i, x in enumerate(found) if x is None]
-            ids = self._words(list({flat[i] for i in lost}))
-            for i in lost:
-                found[i] = ids[flat[i]]
-            if len(cache) + len(ids) > CACHE_WORDS:
-                cache.clear()
-            cache.update((w, x) for w, x in ids.items() if len(w) <= CACHE_WORD_BYTES)
-        out, at = [], 0
-        for words in split:
-            out.append(b"".join(found[at : at + len(words)]))
-            at += len(words)
-        return out
+        gc.disable()  # nothing here makes cycles, and each pass over so many objects costs more than the work
+        try:
+            plain = [t for t in texts if b"<|" not in t]
+            done = iter(self._encode_plain(plain))
+            # A-Z are lower-cased for the rest, as the file does; not where that could make the name of a special token
+            return [next(done) if b"<|" not in t else self._ids([t.decode()])[0] for t in texts]
+        finally:
+            gc.enable()
+
+    def _encode_plain(self, texts: list[bytes]) -> list[bytes]:
+        w = words(texts)
+        if not len(w.hash):
+            return [b""] * len(texts)
+        # words are known by their hashes; a worker knows at most CACHE_WORDS of them, so that two share one is out of question
+        known, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        found = list(map(self.cache.get, known.tolist()))
+        lost = [i for i, x in enumerate(found) if x is None]
+        if lost:
+            raw = w.raw.tobytes().lower()
+            new = [raw[a:b] for a, b in zip(w.start[at[lost]].tolist(), w.end[at[lost]].tolist())]
+            ids = self._words(new)
+            if len(self.cache) + len(lost) > CACHE_WORDS:
+                self.cache.clear()
+            for i, x in zip(lost, new):
+                found[i] = ids[x]
+                if len(x) <= CACHE_WORD_BYTES:
+                    self.cache[int(known[i])] = found[i]
+        table = np.frombuffer(b"".join(found), "<u4")
+        size = np.array(list(map(len, found)), np.int64) // 4
+        first = np.cumsum(size) - size
+        per = size[back]
+        total = np.zeros(len(per) + 1, np.int64)
+        np.cumsum(per, out=total[1:])
+        ids = table[np.arange(total[-1]) + np.repeat(first[back] - total[:-1], per)].tobytes()
+        bounds = (total[w.bound] * 4).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def text_slices(batch_texts, max_bytes: int = 4 << 20):
