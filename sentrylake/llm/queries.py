@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, packing, token_store
+from . import ann, byte_bpe, exact_dedup, ngram_join, packing, token_store
 from .common import new_path, read, ship
 
 
@@ -13,6 +13,12 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op3_block_nearest(spark, sf_dir):
+    ship(spark)
+    v = read(spark, sf_dir, "embeddings")
+    return ann.search(v, v.filter("vec_id % 20 = 0"), 20)
+
+
 def op6_token_store(spark, sf_dir):
     ship(spark)
     folder = new_path(spark, "token-store")
@@ -20,6 +26,11 @@ def op6_token_store(spark, sf_dir):
     return token_store.read_digests(spark, folder)
 
 
+def op7_ngram_jaccard(spark, sf_dir):
+    ship(spark)
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark, sf_dir):
     ship(spark)
     import public_tokenizers
@@ -32,7 +43,7 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op6_token_store, op8_byte_bpe, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_block_nearest, op6_token_store, op7_ngram_jaccard, op8_byte_bpe, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """

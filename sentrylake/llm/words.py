@@ -99,8 +99,8 @@ def shingles(w: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     where = np.flatnonzero(at)
     out[where] = run[where + src]
     for i in np.flatnonzero((count > 0) & (count < n)):
-        v = np.uint64(count[i])
-        for k, x in enumerate(h[w.bound[i] : w.bound[i + 1]]):
-            v = mix(np.array([v * _MULTIPLIERS[k] + x], np.uint64))[0]
-        out[bound[i]] = v
+        v = np.array([count[i]], np.uint64)
+        for k in range(count[i]):
+            v = mix(v * _MULTIPLIERS[k] + h[w.bound[i] + k])
+        out[bound[i]] = v[0]
     return out, bound
