@@ -8,7 +8,7 @@ is; any counters give the same links.
 
 Within a tile, classes are compared in two passes:
 
-* stars: every class with the first and the last class (by a mixed id) of its tile;
+* stars: every class with the first class (by a mixed id) of its tile;
 * tiles that still hold more than one component are cut into blocks by size; blocks whose sizes are within the ratio
   meet, and only pairs of different components are looked at. The bit count of two bitmaps bounds the overlap from
   above, so most pairs fall there.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, partitions
 from .components import components
 from .encoding import text_slices
 from .words import mix, shingles, words
@@ -40,8 +40,6 @@ N, PERCENT = 5, 80
 #: Counters of the table of shingle counts: a fixed size, whatever the corpus.
 BUCKETS = 1 << 20
 _CHUNKS = 64
-#: Words of a bitmap signature of 64 bits each.
-BITMAP_WORDS = 16
 #: Classes of a tile that are compared in one block.
 BLOCK = 1024
 
@@ -61,51 +59,55 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else 0
 
 
-def describe(docs: DataFrame, n: int = N) -> DataFrame:
-    """Per row: doc_id, size of its set, the set's id."""
-    out = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("id", pa.int64())])
+def describe(docs: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
+    """(per row: doc_id, size of its set, the set's id; the counters of all rows' shingles), in one pass.
 
-    def run(batches):
-        for b in batches:
-            for at, texts in text_slices(b.column(1)):
-                sets = _sets(texts, n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], schema=out)
-
-    return _texts(docs).mapInArrow(run, "doc_id long, size long, id long")
-
-
-def shingle_counts(docs: DataFrame, n: int = N) -> np.ndarray:
-    """Number of documents' shingles in each of BUCKETS counters, summed over all documents; bounded by BUCKETS."""
+    The counters are a table of BUCKETS numbers, whatever the corpus; each task adds up its own, and partial tables are
+    summed in two levels, so that no task gets many of them at once."""
     width = BUCKETS // _CHUNKS
-    out = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
+    out = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("id", pa.int64()), ("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         total = np.zeros(BUCKETS, np.uint32)
         for b in batches:
-            for _, texts in text_slices(b.column(1)):
-                h = np.concatenate(_sets(texts, n) or [np.zeros(0, np.uint64)])
+            for at, texts in text_slices(b.column(1)):
+                sets = _sets(texts, n)
+                h = np.concatenate(sets)
                 total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-        rows = [(i, total[i * width : (i + 1) * width].tobytes()) for i in range(_CHUNKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out.types)], schema=out)
+                none = pa.nulls(len(sets), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), none, none, pa.nulls(len(sets), pa.binary())], schema=out)
+        if total.any():
+            part = int(total.sum()) % 16
+            long = pa.nulls(_CHUNKS, pa.int64())
+            yield pa.RecordBatch.from_arrays([long, long, long, pa.array(range(_CHUNKS), pa.int32()), pa.array([part] * _CHUNKS, pa.int32()), pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(_CHUNKS)], pa.binary())], schema=out)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in pdf["counts"])
         return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
-    rows = _texts(docs).mapInArrow(run, "chunk int, counts binary")
-    # two levels, so that no task gets more than a few of the partial tables at once
-    rows = rows.withColumn("part", F.pmod(F.monotonically_increasing_id() / (1 << 33), F.lit(16)).cast("int"))
-    rows = rows.groupBy("chunk", "part").applyInPandas(add, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
-    got = {r["chunk"]: np.frombuffer(r["counts"], np.uint32) for r in rows.collect()}
-    return np.concatenate([got.get(i, np.zeros(width, np.uint32)) for i in range(_CHUNKS)])
+    rows = materialize(_texts(docs).mapInArrow(run, "doc_id long, size long, id long, chunk int, part int, counts binary"), "shingle-sets")
+    tables = rows.filter("chunk is not null").select("chunk", "part", "counts")
+    tables = tables.groupBy("chunk", "part").applyInPandas(add, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
+    got = {r["chunk"]: np.frombuffer(r["counts"], np.uint32) for r in tables.collect()}
+    return rows.filter("chunk is null").select("doc_id", "size", "id"), np.concatenate([got.get(i, np.zeros(width, np.uint32)) for i in range(_CHUNKS)])
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP_WORDS * 64, bool)
-    bits[(mix(s ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.int64) % (BITMAP_WORDS * 64)] = True
+    """A signature of at least two bits for each shingle, in a power of two of 64-bit words."""
+    width = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    bits = np.zeros(width, bool)
+    bits[(mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) brought to fewer words: the halves are laid over each other."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
 def first_shingles(s: np.ndarray, weight: np.ndarray, percent: int) -> np.ndarray:
     """The shingles one of which a set shares with every set of percent % similarity: the first ones, rare ones first."""
     n = len(s)
@@ -141,29 +143,28 @@ def _entries(docs: DataFrame, weight: np.ndarray, n: int, percent: int) -> DataF
     return _texts(docs).mapInArrow(run, "shingle long, id long, size int")
 
 
-def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """Per wanted set (id, first_doc): id, its sorted hashes and its bitmap, as bytes."""
-    out = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("hashes", pa.binary()), ("bits", pa.binary())])
-    wanted = materialize(wanted, "wanted-sets")
+def _of_sets(docs: DataFrame, wanted: DataFrame, n: int, what: str) -> DataFrame:
+    """Per wanted set (id, first_doc): id and its bitmap (what: bits) or the text (what: text)."""
+    out = pa.schema([("id", pa.int64()), (what, pa.binary())])
+    wanted = materialize(wanted.select("id", "first_doc"), "wanted-sets")
     ids = sized(wanted.select(F.col("first_doc").alias("doc_id")).distinct())
 
     def run(batches):
         for b in batches:
-            for at, texts in text_slices(b.column(1)):
+            for _, texts in text_slices(b.column(1)):
                 sets = _sets(texts, n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array(texts if what == "text" else [bitmap(s) for s in sets], pa.binary())], schema=out)
 
-    picked = _texts(docs).join(ids, "doc_id", "left_semi")
-    rows = picked.mapInArrow(run, "doc_id long, id long, hashes binary, bits binary")
+    picked = _texts(docs).join(ids, "doc_id", "left_semi").select("doc_id", "text")
+    rows = picked.mapInArrow(run, f"id long, {what} binary")
     # a doc_id may repeat: one row for a set
-    twice = not picked.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    if twice:
+    if not picked.groupBy("doc_id").count().filter("count > 1").isEmpty():
         rows = rows.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    return rows.select("id", "hashes", "bits")
+    return materialize(rows, f"set-{what}")
 
 
-def similar(a: bytes, b: bytes, percent: int) -> bool:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted arrays share enough: 100 * intersection >= percent * union."""
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
     both = np.concatenate([x, y])
@@ -172,34 +173,72 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * same >= percent * (len(x) + len(y) - same)
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    x = arrays.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    y = arrays.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bit counts let pass."""
+    x = bits.select(F.col("id").alias("a"), F.col("size").alias("sx"), F.col("bits").alias("bx"))
+    y = bits.select(F.col("id").alias("b"), F.col("size").alias("sy"), F.col("bits").alias("by"))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for t in batches:
-            ok = [similar(p, q, percent) for p, q in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
+            ok = []
+            for sx, bx, sy, by in zip(*(t.column(i).to_pylist() for i in range(2, 6))):
+                x, y = np.frombuffer(bx, np.uint64)[None, :], np.frombuffer(by, np.uint64)[None, :]
+                ok.append(bool(_may_reach(np.array([sx]), x, np.array([sy]), y, percent)[0, 0]))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], schema=out).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    near = pairs.join(x, "a").join(y, "b").filter(F.least("sx", "sy") * 100 >= F.greatest("sx", "sy") * percent)
+    return near.select("a", "b", "sx", "bx", "sy", "by").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, from the texts."""
+    pairs = materialize(pairs, "candidate-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = _of_sets(docs, rep.join(ids, "id"), n, "text")
+    x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for t in batches:
+            for at, left in text_slices(t.column(2)):
+                part = t.slice(at, len(left))
+                right = part.column(3).to_pylist()
+                # a pivot's text stands in many rows
+                distinct = list(dict.fromkeys(left + right))
+                sets = dict(zip(distinct, _sets(distinct, n)))
+                ok = [similar(sets[p], sets[q], percent) for p, q in zip(left, right)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=out).filter(pa.array(ok, pa.bool_()))
+
+    found = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    discard(texts)
+    return found
 
 
 def _may_reach(sx, bx, sy, by, percent: int) -> np.ndarray:
     """Matrix: whether the sizes and the bit counts of two bitmaps leave room for the similarity.
 
     Shared shingles set shared bits; a bit set in one bitmap only stands for at least one shingle of that set only."""
-    ones_x, ones_y = np.bitwise_count(bx).sum(axis=1), np.bitwise_count(by).sum(axis=1)
+    words = min(bx.shape[1], by.shape[1])
+    bx, by = fold(bx, words), fold(by, words)
+    ones_x, ones_y = np.bitwise_count(bx).sum(axis=1, dtype=np.int64), np.bitwise_count(by).sum(axis=1, dtype=np.int64)
     both = np.zeros((len(sx), len(sy)), np.int64)
-    for k in range(bx.shape[1]):
+    for k in range(words):
         both += np.bitwise_count(bx[:, k, None] & by[None, :, k])
     most = np.minimum(sx[:, None] - (ones_x[:, None] - both), sy[None, :] - (ones_y[None, :] - both))
     return 100 * most >= percent * (sx[:, None] + sy[None, :] - most)
 
 
+def _stacked(bits) -> np.ndarray:
+    """Bitmaps of several widths as rows of the least width."""
+    rows = [np.frombuffer(b, np.uint64)[None, :] for b in bits]
+    words = min(r.shape[1] for r in rows)
+    return np.concatenate([fold(r, words) for r in rows])
+
+
 def _members(t: pd.DataFrame):
-    return t["id"].to_numpy(np.int64), t["size"].to_numpy(np.int64), t["component"].to_numpy(np.int64), np.frombuffer(b"".join(t["bits"]), np.uint64).reshape(len(t), -1)
+    return t["id"].to_numpy(np.int64), t["size"].to_numpy(np.int64), t["component"].to_numpy(np.int64), _stacked(t["bits"])
 
 
 def _passing(x, y, same: bool, percent: int) -> pd.DataFrame:
@@ -250,31 +289,30 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(per row: doc_id, size, id of its set; per set: id, component_id), the latter for sets that a link names only."""
-    info = materialize(describe(docs, n), "shingle-sets")
-    rep = info.filter("size > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first_doc"))
-    weight = shingle_counts(docs, n)
+    info, weight = describe(docs, n)
+    rep = materialize(info.filter("size > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.first("size").alias("size")), "sets")
     # shingles are ordered by the logarithm of their count, then by hash
     weight = np.log2(np.maximum(weight, 1) / max(1.0, float(np.median(weight)))).clip(0).astype(np.uint8)
-    entries = _entries(docs, weight, n, percent)
+    # dealt by shingle once, for the counts and for the join with them
+    entries = _entries(docs, weight, n, percent).repartition(partitions(docs.sparkSession), "shingle")
     mixed = F.xxhash64("id")
     spans = entries.groupBy("shingle").agg(F.min_by("id", mixed).alias("low"), F.max_by("id", mixed).alias("high"))
     # copies of a set name the same tile once for each task that saw one; a tile of one set needs no look
     tiles = materialize(entries.join(spans.filter("low <> high"), "shingle").distinct(), "tiles")
-    stars = tiles.select(F.explode(F.array("low", "high")).alias("p"), "id").filter("p <> id")
+    bits = _of_sets(docs, rep.join(tiles.select("id").distinct(), "id"), n, "bits").join(rep.select("id", "size"), "id")
+    stars = tiles.select(F.col("low").alias("p"), "id").filter("p <> id")
     stars = materialize(stars.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct(), "stars")
-    arrays = materialize(_arrays(docs, tiles.select("id").distinct().join(rep, "id"), n), "hash-arrays")
-    links = materialize(_verified(stars, arrays, percent), "star-links")
+    links = _verified(_bounded(stars, bits, percent), docs, rep, n, percent)
     found = materialize(components(links), "star-components")
     # tiles that are not all in one component; of two sets, the star has compared both
     open_ = tiles.select("shingle", "id", "size").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = open_.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1 and n > 2").select("shingle", "n")
     open_ = materialize(open_.join(mixed, "shingle"), "open-tiles")
     if not open_.isEmpty():
-        pairs = _block_pairs(open_.join(arrays.select("id", "bits"), "id"), percent)
-        pairs = materialize(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "tile-pairs")
-        links = materialize(links.unionByName(_verified(pairs, arrays, percent)), "links")
-        found = materialize(components(links), "components")
-    discard(arrays)
+        pairs = _block_pairs(open_.join(bits.select("id", "bits"), "id"), percent)
+        pairs = pairs.distinct().join(stars, ["a", "b"], "left_anti")
+        more = _verified(pairs, docs, rep, n, percent)
+        found = materialize(components(links.unionByName(more)), "components")
     named = rep.join(found.withColumnRenamed("node", "id"), "id")
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     return info, named.join(least, "component").select("id", "first_doc", "component_id")
