@@ -2,9 +2,10 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles. Documents of equal sets form one class. Classes
 with a similarity of at least PERCENT % must share one of their first shingles in any fixed order (a set of n shingles
-has n - ceil(PERCENT * n / 100) + 1 of these), so those first shingles name the tiles. The order puts rare shingles
-first: their counts over all documents are summed in a table of BUCKETS counters. It only decides how much work there
-is; any counters give the same links.
+has n - ceil(PERCENT * n / 100) + 1 of these), so those first shingles name the tiles. The order is by the
+counter that a shingle falls in (a table of BUCKETS counters that add up the shingles of all documents, up to 65,535),
+then by hash: what several documents share comes late. It only decides how much work there is; any counters give the
+same links.
 
 Within a tile, classes are compared in two passes:
 
@@ -38,7 +39,8 @@ from .words import mix, shingles, words
 
 N, PERCENT = 5, 80
 #: Counters of the table of shingle counts: a fixed size, whatever the corpus.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 22
+_SHIFT = np.uint64(42)
 _CHUNKS = 64
 #: Classes of a tile that are compared in one block.
 BLOCK = 1024
@@ -73,23 +75,23 @@ def describe(docs: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
             for at, texts in text_slices(b.column(1)):
                 sets = _sets(texts, n)
                 h = np.concatenate(sets)
-                total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+                total += np.bincount((h >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
                 none = pa.nulls(len(sets), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), none, none, pa.nulls(len(sets), pa.binary())], schema=out)
         if total.any():
             part = int(total.sum()) % 16
             long = pa.nulls(_CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([long, long, long, pa.array(range(_CHUNKS), pa.int32()), pa.array([part] * _CHUNKS, pa.int32()), pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(_CHUNKS)], pa.binary())], schema=out)
+            yield pa.RecordBatch.from_arrays([long, long, long, pa.array(range(_CHUNKS), pa.int32()), pa.array([part] * _CHUNKS, pa.int32()), pa.array([np.minimum(total[i * width : (i + 1) * width], 65535).astype(np.uint16).tobytes() for i in range(_CHUNKS)], pa.binary())], schema=out)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in pdf["counts"])
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+        total = sum(np.frombuffer(x, np.uint16).astype(np.uint64) for x in pdf["counts"])
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "counts": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
 
     rows = materialize(_texts(docs).mapInArrow(run, "doc_id long, size long, id long, chunk int, part int, counts binary"), "shingle-sets")
     tables = rows.filter("chunk is not null").select("chunk", "part", "counts")
     tables = tables.groupBy("chunk", "part").applyInPandas(add, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
-    got = {r["chunk"]: np.frombuffer(r["counts"], np.uint32) for r in tables.collect()}
-    return rows.filter("chunk is null").select("doc_id", "size", "id"), np.concatenate([got.get(i, np.zeros(width, np.uint32)) for i in range(_CHUNKS)])
+    got = {r["chunk"]: np.frombuffer(r["counts"], np.uint16) for r in tables.collect()}
+    return rows.filter("chunk is null").select("doc_id", "size", "id"), np.concatenate([got.get(i, np.zeros(width, np.uint16)) for i in range(_CHUNKS)])
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -112,7 +114,7 @@ def first_shingles(s: np.ndarray, weight: np.ndarray, percent: int) -> np.ndarra
     """The shingles one of which a set shares with every set of percent % similarity: the first ones, rare ones first."""
     n = len(s)
     m = n - -(-percent * n // 100) + 1
-    key = weight[(s >> np.uint64(44)).astype(np.int64)]
+    key = weight[(s >> _SHIFT).astype(np.int64)]
     return s[np.lexsort((s, key))[:m]]
 
 
@@ -291,8 +293,6 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame
     """(per row: doc_id, size, id of its set; per set: id, component_id), the latter for sets that a link names only."""
     info, weight = describe(docs, n)
     rep = materialize(info.filter("size > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.first("size").alias("size")), "sets")
-    # shingles are ordered by the logarithm of their count, then by hash
-    weight = np.log2(np.maximum(weight, 1) / max(1.0, float(np.median(weight)))).clip(0).astype(np.uint8)
     # dealt by shingle once, for the counts and for the join with them
     entries = _entries(docs, weight, n, percent).repartition(partitions(docs.sparkSession), "shingle")
     mixed = F.xxhash64("id")

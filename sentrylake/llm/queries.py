@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, exact_dedup, ngram_join, packing, token_store
+from . import ann, byte_bpe, exact_dedup, ngram_join, packing, suffix_dedup, token_store
 from .common import new_path, read, ship
 
 
@@ -43,7 +43,12 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_block_nearest, op6_token_store, op7_ngram_jaccard, op8_byte_bpe, op9_exact_dedup)}
+def op10_suffix_array_dedup(spark, sf_dir):
+    ship(spark)
+    return suffix_dedup.report(read(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_block_nearest, op6_token_store, op7_ngram_jaccard, op8_byte_bpe, op9_exact_dedup, op10_suffix_array_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
