@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, exact_dedup, ngram_join, packing, suffix_dedup, token_store
+from . import ann, byte_bpe, exact_dedup, licenses, ngram_join, packing, passages, suffix_dedup, token_store, toxicity
 from .common import new_path, read, ship
 
 
+def op1_substring_dedup(spark, sf_dir):
+    ship(spark)
+    return passages.repeats(read(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     ship(spark)
     return packing.pack(read(spark, sf_dir, "documents"))
@@ -19,6 +24,19 @@ def op3_block_nearest(spark, sf_dir):
     return ann.search(v, v.filter("vec_id % 20 = 0"), 20)
 
 
+def op4_license_scan(spark, sf_dir):
+    ship(spark)
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark, sf_dir):
+    ship(spark)
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return toxicity.tag(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 def op6_token_store(spark, sf_dir):
     ship(spark)
     folder = new_path(spark, "token-store")
@@ -48,7 +66,7 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.report(read(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_block_nearest, op6_token_store, op7_ngram_jaccard, op8_byte_bpe, op9_exact_dedup, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_block_nearest, op4_license_scan, op5_toxicity, op6_token_store, op7_ngram_jaccard, op8_byte_bpe, op9_exact_dedup, op10_suffix_array_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """

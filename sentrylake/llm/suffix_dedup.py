@@ -191,16 +191,19 @@ def repeated_offsets(shared: np.ndarray, left: list[bytes], length: int, key: in
     n, width = len(left), length - key + 1
     have = np.array([len(x) for x in left])
     mat = np.frombuffer(b"".join(x[::-1].ljust(width - 1, b"\0") for x in left), np.uint8).reshape(n, width - 1)
-    h = np.zeros((n, width), np.uint64)
-    np.cumsum(_VALUE[mat] * powers(width - 1)[None, :], axis=1, out=h[:, 1:])
-    h = h.T
+    power, now = powers(width), np.zeros(n, np.uint64)
     out = np.zeros((width, n), bool)
     step = max(1, 4_000_000 // n)
     for o in range(0, width, step):
         offsets = np.arange(o, min(width, o + step))
         # of each offset, the number of the run of suffixes that share length - offset bytes
         block = np.cumsum(shared[None, :] < (length - offsets)[:, None], axis=1).astype(np.uint64)
-        tag = mix(mix(h[offsets] + np.uint64(1)) + block)
+        h = np.zeros((len(offsets), n), np.uint64)
+        for j, q in enumerate(offsets.tolist()):
+            h[j] = now
+            if q < width - 1:
+                now = now + _VALUE[mat[:, q]] * power[q]
+        tag = mix(mix(h + np.uint64(1)) + block)
         order = np.argsort(tag, axis=1)
         s = np.take_along_axis(tag, order, axis=1)
         same = s[:, 1:] == s[:, :-1]
@@ -322,8 +325,17 @@ def merge_runs(rows: list[dict], length: int, key: int):
         col, first, end = spans_of(marks, at, np.array([h[0] for h in held]), length)
         return [(held[c][1][0], a, b) for c, a, b in zip(col.tolist(), first.tolist(), end.tolist())]
 
-    out = []
+    out, alike = [], {}
     for n, suffix, payload in LoserTree([_decode(r) for r in rows]):
+        # equal bytes on both sides: all windows repeat, and one of them stands for the others in its group
+        tid, at, left = payload
+        if n < len(suffix) or held and len(suffix) != held[-1][0]:
+            alike = {}
+        if len(suffix) == length and len(left) == length - key and left in alike:
+            out += [(*alike[left], 0), (tid, at, 0)] if alike[left] else [(tid, at, 0)]
+            alike[left] = None
+            continue
+        alike[left] = (tid, at)
         if n < key:
             if len(held) == 1:
                 shared, held = [], []
@@ -337,7 +349,7 @@ def merge_runs(rows: list[dict], length: int, key: int):
         held.append((len(suffix), payload))
     if len(held) > 1:
         out += flush()
-    return out
+    return [x if x[2] else (x[0], x[1] - (length - key), x[1] + length) for x in out]
 
 
 def united(spans) -> list[list[int]]:

@@ -46,14 +46,15 @@ class Words(NamedTuple):
     bound: np.ndarray  # of each text, its first word; one more for the end
 
 
-def words(texts: list[bytes]) -> Words:
+def words(texts: list[bytes], breaks: np.ndarray = SPACE) -> Words:
+    """breaks: which bytes part words."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
     first = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=first[1:])
     if not len(raw):
         none = np.zeros(0, np.int64)
         return Words(raw, first, none, none, np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64))
-    solid = ~SPACE[raw]
+    solid = ~breaks[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[first] = True
     begins = solid.copy()
@@ -67,7 +68,7 @@ def words(texts: list[bytes]) -> Words:
     step = np.diff(np.append(start, len(raw)))
     at = np.arange(start[0], len(raw)) - np.repeat(start, step)
     longest = int(size.max())
-    value = _BYTE[raw[start[0] :]] * powers(longest)[np.minimum(at, longest - 1)]
+    value = np.where(solid, _BYTE[raw], np.uint64(0))[start[0] :] * powers(longest)[np.minimum(at, longest - 1)]
     h = mix(np.add.reduceat(value, start - start[0]) + size.astype(np.uint64))
     return Words(raw, first, start, end, h, np.searchsorted(start, first))
 
