@@ -296,9 +296,9 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame
     # dealt by shingle once, for the counts and for the join with them
     entries = _entries(docs, weight, n, percent).repartition(partitions(docs.sparkSession), "shingle")
     mixed = F.xxhash64("id")
-    spans = entries.groupBy("shingle").agg(F.min_by("id", mixed).alias("low"), F.max_by("id", mixed).alias("high"))
+    spans = entries.groupBy("shingle").agg(F.min_by(F.struct("id", "size"), mixed).alias("low"), F.max_by("id", mixed).alias("high"))
     # copies of a set name the same tile once for each task that saw one; a tile of one set needs no look
-    tiles = materialize(entries.join(spans.filter("low <> high"), "shingle").distinct(), "tiles")
+    tiles = materialize(entries.join(spans.filter("low.id <> high").select("shingle", F.col("low.id").alias("low"), F.col("low.size").alias("low_size")), "shingle").distinct(), "tiles")
     bits = _of_sets(docs, rep.join(tiles.select("id").distinct(), "id"), n, "bits").join(rep.select("id", "size"), "id")
     stars = tiles.select(F.col("low").alias("p"), "id").filter("p <> id")
     stars = materialize(stars.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct(), "stars")
