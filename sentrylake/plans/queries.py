@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import decisions
 from ..operators.features import FEATURES, SCORED, score
 from ..sources.events import event_ctes
+from ..streaming import streams
+from . import extended
 
 _DIALECT = {
     "spark": {"@words(": "regexp_extract_all(lower(", "@w)": "), '[\\\\p{L}\\\\p{N}_]+', 0)", "@size(": "size(", "@sentences(": "filter(transform(split(", "@s)": ", '[.!?]+'), x -> trim(x)), x -> x <> '')",
-              "@distinct(": "array_distinct(", "@tokens(": "size(split(trim(", "@t)": "), '[ \\n\\r\\t]+'))", "@any_value": "any_value", "@string": "string"},
+              "@distinct(": "array_distinct(", "@tokens(": "size(split(trim(", "@t)": "), '[ \\n\\r\\t]+'))", "@any_value": "any_value", "@string": "string", "@explode(": "explode("},
     "duckdb": {"@words(": "regexp_extract_all(lower(", "@w)": "), '[\\p{L}\\p{N}_]+')", "@size(": "len(", "@sentences(": "list_filter(list_transform(regexp_split_to_array(", "@s)": ", '[.!?]+'), lambda x: trim(x)), lambda x: x <> '')",
-               "@distinct(": "list_distinct(", "@tokens(": "len(regexp_split_to_array(trim(", "@t)": "), '[ \\n\\r\\t]+'))", "@any_value": "any_value", "@string": "varchar"},
+               "@distinct(": "list_distinct(", "@tokens(": "len(regexp_split_to_array(trim(", "@t)": "), '[ \\n\\r\\t]+'))", "@any_value": "any_value", "@string": "varchar", "@explode(": "unnest("},
 }
 TABLES = ("documents", "labels")
 
@@ -42,9 +44,9 @@ def _hits(words, text="lower(content)") -> str:
 
 
 MAILS = """
-n_docs as (select count(*) as n from documents),
+sent as (select event_id, step, actor_id, dst, attachment_kb, src_rank, k, event_id % (select count(*) from documents) as doc_key from security_events where event_type = 'email_send'),
 mails as (select e.event_id, e.step, e.actor_id, e.dst, e.attachment_kb, e.src_rank, concat(case e.k % 8 {cases} end, d.text) as content
-    from security_events e cross join n_docs join documents d on d.doc_id = e.event_id % n_docs.n where e.event_type = 'email_send'),
+    from sent e join documents d on d.doc_id = e.doc_key),
 style as (select *, @size(@words(content@w)) as n_words, @size(@distinct(@words(content@w))) as n_distinct, @size(@sentences(content@s)) as n_sentences, @tokens(content@t) as n_tokens from mails)""".format(
     cases=" ".join(f"when {i} then '{s}'" for i, s in enumerate(SUBJECTS)))
 
@@ -152,11 +154,15 @@ QUERIES = {
         where s.phase = 'test' and s.gate and case when g.policy = 1 then (s.score_base + s.off) * s.mult else s.score_base end >= g.threshold group by g.config, g.threshold""",
 }
 
+QUERIES |= extended.QUERIES
+_phishing, _violations = f"least(1e0, {_hits(PHISHING['ce'])} / 5e0)", _hits(VIOLATIONS)
+QUERIES["forensics_cache_mean"] = QUERIES["forensics_cache_mean"].format(phishing=_phishing, violations=_violations)
+
 
 def text(name: str, dialect: str, sf_dir: str = "") -> str:
     """The whole SQL of a query, with no more table expressions than it needs."""
     body, parts = QUERIES[name], [event_ctes(dialect, sf_dir)]
-    if any(x in body for x in ("snap", "flags", "scored")):
+    if any(x in body for x in ("snap", "anchors", "flags", "scored")):
         parts.append(FEATURES)
     if "scored" in body:
         parts.append(SCORED)
@@ -192,8 +198,9 @@ def _tier(tier: str):
 
 def queries():
     found = {name: _query(name) for name in QUERIES}
-    return found | {"early_alerts": _tier("early"), "confirmed_alerts": _tier("confirmed")}
+    return found | {"early_alerts": _tier("early"), "confirmed_alerts": _tier("confirmed"), "stream_step_counts": streams.stream_step_counts, "stream_actor_totals": streams.stream_actor_totals}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text(name, "duckdb") for name in QUERIES}
+    found = {name: text(name, "duckdb") for name in QUERIES}
+    return found | {"stream_step_counts": streams.STREAM_STEP_COUNTS_SQL, "stream_actor_totals": streams.STREAM_ACTOR_TOTALS_SQL}
