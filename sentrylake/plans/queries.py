@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import decisions
+from ..operators import decisions, goals
 from ..operators.features import FEATURES, SCORED, score
 from ..sources.events import event_ctes
 from ..streaming import streams
@@ -155,13 +155,14 @@ QUERIES = {
 }
 
 QUERIES |= extended.QUERIES
+_CODES = QUERIES["encode_action"].replace("step,", "step, ord,", 1).replace("from security_events", "from ordered")
 _phishing, _violations = f"least(1e0, {_hits(PHISHING['ce'])} / 5e0)", _hits(VIOLATIONS)
 QUERIES["forensics_cache_mean"] = QUERIES["forensics_cache_mean"].format(phishing=_phishing, violations=_violations)
 
 
 def text(name: str, dialect: str, sf_dir: str = "") -> str:
     """The whole SQL of a query, with no more table expressions than it needs."""
-    body, parts = QUERIES[name], [event_ctes(dialect, sf_dir)]
+    body, parts = _CODES if name == "_codes" else QUERIES[name], [event_ctes(dialect, sf_dir)]
     if any(x in body for x in ("snap", "anchors", "flags", "scored")):
         parts.append(FEATURES)
     if "scored" in body:
@@ -192,13 +193,18 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text("scored_anchors", "spark", sf_dir))
 
 
+def _goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Goals and plans inferred after each event, from the encoded actions in ingest order."""
+    return goals.infer(spark.sql(text("_codes", "spark", sf_dir)))
+
+
 def _tier(tier: str):
     return lambda spark, sf_dir: decisions.alerts(_scored(spark, sf_dir)).filter(f"tier = '{tier}'")
 
 
 def queries():
     found = {name: _query(name) for name in QUERIES}
-    return found | {"early_alerts": _tier("early"), "confirmed_alerts": _tier("confirmed"), "stream_step_counts": streams.stream_step_counts, "stream_actor_totals": streams.stream_actor_totals}
+    return found | {"early_alerts": _tier("early"), "confirmed_alerts": _tier("confirmed"), "threat_assessment": _goals, "stream_step_counts": streams.stream_step_counts, "stream_actor_totals": streams.stream_actor_totals}
 
 
 def oracle_sql() -> dict[str, str]:
