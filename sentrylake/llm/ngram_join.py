@@ -7,12 +7,13 @@ counter that a shingle falls in (a table of BUCKETS counters that add up the shi
 then by hash: what several documents share comes late. It only decides how much work there is; any counters give the
 same links.
 
-Within a tile, classes are compared in two passes:
+Within a tile, classes are compared in passes:
 
 * stars: every class with the first class (by a mixed id) of its tile;
 * tiles that still hold more than one component are cut into blocks by size; blocks whose sizes are within the ratio
   meet, and only pairs of different components are looked at. The bit count of two bitmaps bounds the overlap from
-  above, so most pairs fall there.
+  above, so most pairs fall there. The first two of these passes take a spanning forest of the pairs left (those of the
+  largest bounds, then any), no more than a block has classes; the last one takes every pair left.
 
 Both bounds are exact filters; the pairs left are decided by intersecting the sorted hash arrays. Links between classes
 that one component already joins are not sought. Nothing is capped or sampled.
@@ -95,8 +96,8 @@ def describe(docs: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A signature of at least two bits for each shingle, in a power of two of 64-bit words."""
-    width = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    """A signature of at least four bits for each shingle, in a power of two of 64-bit words."""
+    width = max(64, 1 << (4 * len(s) - 1).bit_length()) if len(s) else 64
     bits = np.zeros(width, bool)
     bits[(mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -186,7 +187,7 @@ def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
             ok = []
             for sx, bx, sy, by in zip(*(t.column(i).to_pylist() for i in range(2, 6))):
                 x, y = np.frombuffer(bx, np.uint64)[None, :], np.frombuffer(by, np.uint64)[None, :]
-                ok.append(bool(_may_reach(np.array([sx]), x, np.array([sy]), y, percent)[0, 0]))
+                ok.append(bool(_reach(np.array([sx]), x, np.array([sy]), y)[0, 0] * 100 >= percent))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], schema=out).filter(pa.array(ok, pa.bool_()))
 
     near = pairs.join(x, "a").join(y, "b").filter(F.least("sx", "sy") * 100 >= F.greatest("sx", "sy") * percent)
@@ -195,7 +196,6 @@ def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, from the texts."""
-    pairs = materialize(pairs, "candidate-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = _of_sets(docs, rep.join(ids, "id"), n, "text")
     x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
@@ -218,8 +218,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, n: int, percent
     return found
 
 
-def _may_reach(sx, bx, sy, by, percent: int) -> np.ndarray:
-    """Matrix: whether the sizes and the bit counts of two bitmaps leave room for the similarity.
+def _reach(sx, bx, sy, by) -> np.ndarray:
+    """Matrix: the largest similarity that the sizes and the bit counts of two bitmaps leave room for.
 
     Shared shingles set shared bits; a bit set in one bitmap only stands for at least one shingle of that set only."""
     words = min(bx.shape[1], by.shape[1])
@@ -229,7 +229,8 @@ def _may_reach(sx, bx, sy, by, percent: int) -> np.ndarray:
     for k in range(words):
         both += np.bitwise_count(bx[:, k, None] & by[None, :, k])
     most = np.minimum(sx[:, None] - (ones_x[:, None] - both), sy[None, :] - (ones_y[None, :] - both))
-    return 100 * most >= percent * (sx[:, None] + sy[None, :] - most)
+    # rounded up a little: a pair on the very bound stays
+    return most / (sx[:, None] + sy[None, :] - most) + 1e-9
 
 
 def _stacked(bits) -> np.ndarray:
@@ -243,18 +244,50 @@ def _members(t: pd.DataFrame):
     return t["id"].to_numpy(np.int64), t["size"].to_numpy(np.int64), t["component"].to_numpy(np.int64), _stacked(t["bits"])
 
 
-def _passing(x, y, same: bool, percent: int) -> pd.DataFrame:
-    """Pairs of different components that sizes and bit counts let pass."""
+def spanning(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places of the edges (a, b) of a spanning forest, earlier places of order first."""
+    at = order
+    nodes, ends = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+    ends = ends.reshape(2, -1)
+    label, taken = np.arange(len(nodes)), []
+    while True:
+        x, y = label[ends[0]], label[ends[1]]
+        live = x != y
+        at, ends, x, y = at[live], ends[:, live], x[live], y[live]
+        if not len(at):
+            return np.concatenate(taken) if taken else at
+        # the first edge of every tree; places are a strict order, so these edges close no ring
+        best = np.unique(np.unique(np.stack([x, y], 1).ravel(), return_index=True)[1] // 2)
+        taken.append(at[best])
+        low, high = np.minimum(x[best], y[best]), np.maximum(x[best], y[best])
+        merged = np.arange(len(nodes))
+        while (merged[low] != merged[high]).any():
+            least = np.minimum(merged[low], merged[high])
+            np.minimum.at(merged, low, least)
+            np.minimum.at(merged, high, least)
+        label = merged[label]
+
+
+def _passing(x, y, same: bool, percent: int, forest: str) -> pd.DataFrame:
+    """Pairs of different components that sizes and bit counts let pass: all of them, or a spanning forest."""
     (ix, sx, cx, bx), (iy, sy, cy, by) = x, y
-    ok = _may_reach(sx, bx, sy, by, percent) & (cx[:, None] != cy[None, :])
+    reach = _reach(sx, bx, sy, by)
+    ok = (100 * reach >= percent) & (cx[:, None] != cy[None, :])
     if same:
         ok &= ix[:, None] < iy[None, :]
     r, c = np.nonzero(ok)
+    if forest and len(r):
+        mixed = mix((ix[r] ^ iy[c]).view(np.uint64))
+        order = np.lexsort((mixed, -reach[r, c])) if forest == "best" else np.argsort(mixed)
+        keep = spanning(cx[r], cy[c], order)
+        r, c = r[keep], c[keep]
     return pd.DataFrame({"a": np.minimum(ix[r], iy[c]), "b": np.maximum(ix[r], iy[c])})
 
 
-def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Of tiles' members (shingle, n, id, size, component, bits): the pairs that pass, block by block."""
+def _block_pairs(members: DataFrame, percent: int, forest: str = "") -> DataFrame:
+    """Of tiles' members (shingle, n, id, size, component, bits): the pairs that pass, block by block.
+
+    forest: "best" or "any" for a spanning forest of each block's components, "" for every pair."""
     # a tile of one block is one row of a bounded list
     small = members.filter(F.col("n") <= BLOCK).groupBy("shingle").agg(F.collect_list(F.struct("id", "size", "component", "bits")).alias("rows"))
 
@@ -263,7 +296,7 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
             found = []
             for rows in pdf["rows"]:
                 t = _members(pd.DataFrame([r.asDict() if hasattr(r, "asDict") else r for r in rows]))
-                found.append(_passing(t, t, True, percent))
+                found.append(_passing(t, t, True, percent, forest))
             yield pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     out = small.select("rows").mapInPandas(each, "a long, b long")
@@ -283,7 +316,7 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["band"].iloc[0] == pdf["band2"].iloc[0] and pdf["block"].iloc[0] == pdf["block2"].iloc[0]
         x = _members(pdf[pdf["side"] == 0])
-        return _passing(x, x if same else _members(pdf[pdf["side"] == 1]), bool(same), percent)
+        return _passing(x, x if same else _members(pdf[pdf["side"] == 1]), bool(same), percent, forest)
 
     far = left.select(cols).unionByName(right.select(cols)).groupBy("shingle", "band", "block", "band2", "block2").applyInPandas(run, "a long, b long")
     return out.unionByName(far)
@@ -302,17 +335,23 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame
     bits = _of_sets(docs, rep.join(tiles.select("id").distinct(), "id"), n, "bits").join(rep.select("id", "size"), "id")
     stars = tiles.select(F.col("low").alias("p"), "id").filter("p <> id")
     stars = materialize(stars.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct(), "stars")
-    links = _verified(_bounded(stars, bits, percent), docs, rep, n, percent)
-    found = materialize(components(links), "star-components")
-    # tiles that are not all in one component; of two sets, the star has compared both
-    open_ = tiles.select("shingle", "id", "size").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = open_.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1 and n > 2").select("shingle", "n")
-    open_ = materialize(open_.join(mixed, "shingle"), "open-tiles")
-    if not open_.isEmpty():
-        pairs = _block_pairs(open_.join(bits.select("id", "bits"), "id"), percent)
-        pairs = pairs.distinct().join(stars, ["a", "b"], "left_anti")
-        more = _verified(pairs, docs, rep, n, percent)
-        found = materialize(components(links.unionByName(more)), "components")
+    links = _verified(materialize(_bounded(stars, bits, percent), "candidate-pairs"), docs, rep, n, percent)
+    found, tested = materialize(components(links), "star-components"), stars
+    for forest in ("best", "any", ""):
+        # tiles that are not all in one component; of two sets, the star has compared both
+        open_ = tiles.select("shingle", "id", "size").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        apart = open_.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1 and n > 2").select("shingle", "n")
+        open_ = materialize(open_.join(apart, "shingle"), "open-tiles")
+        if open_.isEmpty():
+            break
+        pairs = _block_pairs(open_.join(bits.select("id", "bits"), "id"), percent, forest)
+        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "candidate-pairs")
+        discard(open_)
+        if pairs.isEmpty():
+            continue
+        tested = tested.unionByName(pairs)
+        links = links.unionByName(_verified(pairs, docs, rep, n, percent))
+        found = materialize(components(links), "components")
     named = rep.join(found.withColumnRenamed("node", "id"), "id")
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     return info, named.join(least, "component").select("id", "first_doc", "component_id")
