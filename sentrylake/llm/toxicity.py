@@ -205,44 +205,61 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
         return NO_MODEL
     order = F.xxhash64("doc_id", "text")
     part = [rows.filter(c).orderBy(order).limit(sample_docs).select("text", "toxic") for c in ("toxic <> 0", "toxic = 0")]
-    sample = part[0].union(part[1]).toPandas()
-    return train([t.encode() for t in sample["text"]], (sample["toxic"] != 0).to_numpy(), marked["key"].to_numpy(np.int64), np.unique(marked["head"].to_numpy(np.int64)), (n_toxic, n_clean))
+    keys = marked["key"].to_numpy(np.int64)
+    return train(_hits(part[0].union(part[1]), keys).toPandas(), keys, np.unique(marked["head"].to_numpy(np.int64)), (n_toxic, n_clean))
 
 
-def train(texts: list[bytes], toxic: np.ndarray, keys: np.ndarray, heads: np.ndarray, total: tuple[int, int], width: int = 128, rounds: int = 60) -> Model:
-    """Fit the field to the sample: tokens in chains of at most width, the features in keys."""
-    w, all_keys = features(texts)
-    at, ok = _member(keys, all_keys)
-    doc = np.repeat(np.arange(len(texts)), np.diff(w.bound))
-    truth = (ok.any(axis=1) & toxic[doc]).astype(np.int64)
+def _hits(sample: DataFrame, keys: np.ndarray) -> DataFrame:
+    """Per row of the sample (text, toxic): toxic, its number of tokens, and the places and numbers of the features in keys."""
+    out = pa.schema([("toxic", pa.int32()), ("n_tokens", pa.int64()), ("places", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))])
+
+    def run(batches):
+        for b in batches:
+            for at, texts in text_slices(b.column(0)):
+                w, all_keys = features(texts)
+                index, ok = _member(keys, all_keys)
+                tok, col = np.nonzero(ok)
+                ends = pa.array(np.searchsorted(tok, w.bound), pa.int32())
+                place = tok - w.bound[np.searchsorted(w.bound, tok, "right") - 1]
+                lists = (pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (place, index[tok, col]))
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(at, len(texts)), pa.array(np.diff(w.bound), pa.int64()), *lists], schema=out)
+
+    return sample.mapInArrow(run, "toxic int, n_tokens long, places array<int>, features array<int>")
+
+
+def train(sample: pd.DataFrame, keys: np.ndarray, heads: np.ndarray, total: tuple[int, int], width: int = 128, rounds: int = 60) -> Model:
+    """Fit the field to the sample (see _hits): tokens in chains of at most width, the features in keys."""
+    toxic, count = (sample["toxic"] != 0).to_numpy(), sample["n_tokens"].to_numpy(np.int64)
+    chains = -(-count // width)
+    first = np.cumsum(chains) - chains
+    n = int(chains.sum())
+    size = np.full(n, width)
+    some = count > 0
+    size[(first + chains - 1)[some]] = (count - (chains - 1) * width)[some]
+    doc = np.repeat(np.arange(len(sample)), [len(x) for x in sample["places"]])
+    join = lambda lists: np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in lists)])
+    place, f = join(sample["places"]), join(sample["features"])
+    chain = first[doc] + place // width
+    active = np.zeros(n, bool)
+    active[chain] = True
     # chains without a marked feature all look alike: one of each length stands for all of them
-    place = np.arange(len(doc)) - w.bound[:-1][doc]
-    chain = np.cumsum(place % width == 0) - 1
-    n = int(chain[-1]) + 1 if len(chain) else 0
-    size = np.bincount(chain, minlength=n)
-    active = np.bincount(chain, weights=ok.any(axis=1), minlength=n) > 0
     kept = np.flatnonzero(active)
     plain = np.bincount(size[~active], minlength=width + 1)
     lengths = np.flatnonzero(plain)
-    rows = {int(c): i for i, c in enumerate(kept)}
     m = len(kept) + len(lengths)
     mult = np.concatenate([np.ones(len(kept)), plain[lengths]]).astype(float)
     length = np.concatenate([size[kept], lengths])
-    tok = np.flatnonzero(active[chain])
-    row = np.array([rows[int(c)] for c in chain[tok]], np.int64)
-    col = place[tok] % width
+    row, col = np.searchsorted(kept, chain), place % width
     y = np.zeros((m, width), np.int64)
-    y[row, col] = truth[tok]
+    y[row, col] = toxic[doc]
     mask = np.arange(width)[None, :] < length[:, None]
-    f_tok, f_col = np.nonzero(ok[tok])
-    f = at[tok][f_tok, f_col]
     weights, bias, change = np.zeros(len(keys)), -4.0, np.zeros((2, 2))
     state = np.concatenate([weights, [bias], change.ravel()])
     mom, var = np.zeros_like(state), np.zeros_like(state)
     for t in range(1, rounds + 1):
         weights, bias, change = state[: len(keys)], state[len(keys)], state[len(keys) + 1 :].reshape(2, 2)
         s = np.full((m, width), bias)
-        np.add.at(s, (row[f_tok], col[f_tok]), weights[f])
+        np.add.at(s, (row, col), weights[f])
         emit = np.stack([np.ones_like(s), np.exp(np.clip(s, -50, 50))], axis=2)
         tr = np.exp(change)
         a = np.zeros((m, width, 2))
@@ -271,14 +288,20 @@ def train(texts: list[bytes], toxic: np.ndarray, keys: np.ndarray, heads: np.nda
             nb /= nb.sum(axis=1, keepdims=True)
             b = np.where(on[:, None], nb, b)
         diff = (y - p) * mask * mult[:, None]
-        grad_w = np.bincount(f, weights=diff[row[f_tok], col[f_tok]], minlength=len(keys)) - 0.1 * weights
+        grad_w = np.bincount(f, weights=diff[row, col], minlength=len(keys)) - 0.1 * weights
         grad = np.concatenate([grad_w, [diff.sum() - 0.01 * bias], (grad_c - 0.1 * change).ravel()])
         mom, var = 0.9 * mom + 0.1 * grad, 0.99 * var + 0.01 * grad**2
         state = state + 0.3 * (mom / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.99**t)) + 1e-8)
     model = Model(keys, state[: len(keys)].copy(), heads, float(state[len(keys)]), state[len(keys) + 1 :].reshape(2, 2).copy(), np.zeros(3))
     # the score, with each label weighted to its share of all labelled documents
-    e = evidence(texts, model)
-    x = np.stack([np.ones(len(e)), [v[0] for v in e], np.log1p([v[1] for v in e])], axis=1)
+    top, expected = np.zeros(len(sample)), np.zeros(len(sample))
+    bounds = np.searchsorted(doc, np.arange(len(sample) + 1))
+    for i in np.flatnonzero(np.diff(bounds)).tolist():
+        own, at = np.unique(place[bounds[i] : bounds[i + 1]], return_inverse=True)
+        value = np.bincount(at, weights=model.weights[f[bounds[i] : bounds[i + 1]]]) + model.bias
+        p = marginals(value, (np.diff(np.concatenate([[-1], own, [count[i]]])) - 1).tolist(), model)
+        top[i], expected[i] = p.max(), p.sum()
+    x = np.stack([np.ones(len(sample)), top, np.log1p(expected)], axis=1)
     z = toxic.astype(float)
     weight = np.where(toxic, total[0] / max(1, toxic.sum()), total[1] / max(1, (~toxic).sum()))
     weight = weight / weight.sum() * len(z)
