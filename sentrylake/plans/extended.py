@@ -58,4 +58,26 @@ QUERIES = {
     "forensics_cache_mean": """select event_id, actor_id, step, avg(phishing) over p as phishing_mean, cast(sum(violations) over p as bigint) as violations, least(1e0, sum(violations) over p / 3e0) as violation_risk from (
         select event_id, actor_id, step, {phishing} as phishing, {violations} as violations from mails) x
         window p as (partition by actor_id order by step, event_id rows between 9 preceding and current row)""",
+    # samples are the steps with events of an actor; sums stand still where the window holds a partner cycle
+    "clean_sample_filter": """select actor_id, step, cycles = 0 and not (large_exports > 3 and outside_mails > 5) as clean from (
+        select actor_id, step, cycles, cast(sum(case when cycles = 0 then large else 0 end) over p as bigint) as large_exports, cast(sum(case when cycles = 0 then outside else 0 end) over p as bigint) as outside_mails from (
+            select a.actor_id, a.step, a.cycles, a.outside, sum(case when b.event_type = 'data_export' and b.bytes > 100000 then 1 else 0 end) as large
+            from snap a join ordered b on a.actor_id = b.actor_id and b.ord between a.ord - 47 and a.ord group by a.actor_id, a.step, a.cycles, a.outside) x
+        window p as (partition by actor_id order by step rows between unbounded preceding and current row)) y""",
+    # runs are made from the actors' numbers
+    "sweep_summary": """select config, threshold, avg(cast(alerts as double)) as alerts_mean, avg(cast(fp as double)) as fp_mean, avg(cast(alerts - fp as double) / alerts) as precision_mean, count(*) as runs from (
+        select g.config, g.threshold, s.actor_id % 5 as run, count(*) as alerts, sum(case when s.label <> 'malicious' then 1 else 0 end) as fp from scored s
+        cross join (select c.config, t.threshold from (select 'policy' as config union all select 'rules_only' as config) c
+            cross join (select 3 as threshold union all select 4 as threshold union all select 5 as threshold union all select 6 as threshold union all select 7 as threshold) t) g
+        where s.phase = 'test' and s.gate and case when g.config = 'policy' then (s.score_base + s.off) * s.mult else s.score_base end >= g.threshold group by g.config, g.threshold, s.actor_id % 5) x group by config, threshold""",
 }
+
+_CTES, _PERPLEXITY = QUERIES["running_perplexity"].rsplit("\n        select t.event_id", 1)
+#: Word statistics of mails in the second variant; {consistency} is the text of that query.
+FUSED = (
+    _CTES + ", ppl as (select t.event_id" + _PERPLEXITY + "), bursts as (" + QUERIES["burstiness"] + "), habits as ({deviation})" + """,
+    ai as (select m.event_id, m.actor_id, m.step, m.attachment_kb, m.content, coalesce(h.deviation, 0e0) as deviation, case when length(m.content) < 20 then 0e0 else
+        case when coalesce(p.perplexity, 50e0) < 30 then 0.3e0 else 0e0 end + case when coalesce(b.burstiness, 0.5e0) < 0.3e0 then 0.3e0 else 0e0 end + case when coalesce(h.deviation, 0e0) > 0.5e0 then 0.2e0 else 0e0 end end as ai_probability
+        from mails m left join ppl p on m.event_id = p.event_id left join bursts b on m.event_id = b.event_id left join habits h on m.event_id = h.event_id)
+    """
+)

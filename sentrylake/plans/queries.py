@@ -6,6 +6,7 @@ A query is written once; ``@``-marked words stand for functions that the two dia
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import decisions, goals
 from ..operators.features import FEATURES, SCORED, score
@@ -30,6 +31,7 @@ SENSITIVE = {
     "ce": ("confidential", "secret", "private", "ssn", "social security", "credit card", "password", "patient", "medical", "financial", "proprietary", "trade secret", "classified"),
     "eg": ("confidential", "secret", "private", "patient", "medical", "financial"),
 }
+URGENT = {"ce": ("urgent", "immediately", "asap", "now", "quickly", "hurry"), "eg": ("urgent", "immediately", "asap", "now")}
 VIOLATIONS = ("do not share", "internal only", "not for distribution", "delete after reading")
 
 SUBJECTS = (
@@ -122,6 +124,7 @@ QUERIES = {
     # text
     "tokenize_words_sentences": "select event_id, n_words, n_distinct, n_sentences from style",
     "phishing_keywords": f"select event_id, least(1e0, {_hits(PHISHING['ce'])} / 5e0) as ce, least(1e0, {_hits(PHISHING['eg'])} / 4e0) as eg, least(1e0, {_hits(PHISHING['ce'])} / 3e0) as trained from mails",
+    "urgency_level": f"select event_id, least(1e0, {_hits(URGENT['ce'])} / 3e0) as ce, least(1e0, {_hits(URGENT['eg'])} / 2e0) as eg from mails",
     "sensitive_content": f"select event_id, {_hits(SENSITIVE['ce'])} as n_ce, {_hits(SENSITIVE['ce'])} > 0 as ce, {_hits(SENSITIVE['eg'])} > 0 as eg from mails",
     "policy_violation_phrases": f"select event_id, {_hits(VIOLATIONS)} as n_violations from mails",
     "spam_exclamations": "select event_id, length(content) - length(replace(content, '!', '')) as exclamations from mails",
@@ -158,6 +161,12 @@ QUERIES |= extended.QUERIES
 _CODES = QUERIES["encode_action"].replace("step,", "step, ord,", 1).replace("from security_events", "from ordered")
 _phishing, _violations = f"least(1e0, {_hits(PHISHING['ce'])} / 5e0)", _hits(VIOLATIONS)
 QUERIES["forensics_cache_mean"] = QUERIES["forensics_cache_mean"].format(phishing=_phishing, violations=_violations)
+_habits = QUERIES["authorship_consistency"].replace("then 1e0 else 1 - least(1e0, (", "then 0e0 else ((", 1).replace("as consistency", "as deviation", 1)
+_fused = extended.FUSED.replace("{deviation}", _habits)
+QUERIES["ai_text_probability"] = _fused + "select event_id, ai_probability, deviation from ai"
+QUERIES["fused_text_risk"] = _fused + f"""select event_id, content_risk, authorship_risk, attachment_risk, (content_risk + authorship_risk + attachment_risk) / 3 as combined_risk from (
+    select event_id, {_phishing} * 0.4e0 + least(1e0, {_hits(URGENT['ce'])} / 3e0) * 0.2e0 + case when {_hits(SENSITIVE['ce'])} > 0 then 0.2e0 else 0e0 end + 0.2e0 * {_violations} as content_risk,
+        ai_probability * 0.5e0 + deviation * 0.3e0 as authorship_risk, case when attachment_kb > 500 then least(1e0, attachment_kb / 5000e0) else 0e0 end as attachment_risk from ai) x"""
 
 
 def text(name: str, dialect: str, sf_dir: str = "") -> str:
@@ -202,9 +211,32 @@ def _tier(tier: str):
     return lambda spark, sf_dir: decisions.alerts(_scored(spark, sf_dir)).filter(f"tier = '{tier}'")
 
 
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analyst's verdict on each confirmed alert."""
+    return _tier("confirmed")(spark, sf_dir).select("event_id", "actor_id", "step", "verdict")
+
+
+def _payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed alerts with the features and the policy that made their score."""
+    anchors = _scored(spark, sf_dir).select("event_id", "score_base", "mult", F.col("off").alias("offset"), F.struct(*decisions.BASELINE_KEYS).alias("features"))
+    return _tier("confirmed")(spark, sf_dir).join(anchors, "event_id")
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intent and plan completion that the second variant takes for features: those over its thresholds, else 0."""
+    over = lambda name, least: F.when(F.col(name) > least, F.col(name)).otherwise(0.0).alias(name)
+    return _goals(spark, sf_dir).select("event_id", "actor_id", "step", over("intent", 0.4), over("completion", 0.5))
+
+
+def _assisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many confirmed alerts stand at events whose actor has an inferred intent."""
+    found = _tier("confirmed")(spark, sf_dir).select("event_id").join(_gated(spark, sf_dir), "event_id", "left")
+    return found.agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("intent") > 0).alias("assisted"))
+
+
 def queries():
     found = {name: _query(name) for name in QUERIES}
-    return found | {"early_alerts": _tier("early"), "confirmed_alerts": _tier("confirmed"), "threat_assessment": _goals, "stream_step_counts": streams.stream_step_counts, "stream_actor_totals": streams.stream_actor_totals}
+    return found | {"early_alerts": _tier("early"), "confirmed_alerts": _tier("confirmed"), "threat_assessment": _goals, "analyst_verdict": _verdicts, "alert_payload": _payload, "tom_feature_gate": _gated, "intent_assisted_count": _assisted, "stream_step_counts": streams.stream_step_counts, "stream_actor_totals": streams.stream_actor_totals}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ from sentrylake.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
 NAMES = ("feature_vector", "peer_deviation", "vocabulary", "burstiness", "running_perplexity", "extract_address", "stratified_split", "detected_actor_set",
-         "mixed_precision_eval", "reason_codes", "forensics_cache_mean", "stream_step_counts", "stream_actor_totals")
+         "mixed_precision_eval", "reason_codes", "forensics_cache_mean", "clean_sample_filter", "sweep_summary", "urgency_level", "ai_text_probability", "fused_text_risk", "stream_step_counts", "stream_actor_totals")
 
 
 def _rows(rows, columns):
@@ -54,3 +54,17 @@ def test_infer_restarts_for_each_actor(spark):
     got = {r["event_id"]: r for r in infer(spark.createDataFrame(rows, "event_id long, actor_id long, step long, ord long, code string")).collect()}
     assert got[2]["p_exfiltration"] == 0.5 and got[3]["p_exfiltration"] == 0.0 and len(got) == 4
     assert infer(spark.createDataFrame([], "event_id long, actor_id long, step long, ord long, code string")).count() == 0
+
+
+def test_alerts_with_verdict_and_payload(spark):
+    found = plans.queries()
+    alerts = found["confirmed_alerts"](spark, SF).collect()
+    verdicts = found["analyst_verdict"](spark, SF).collect()
+    assert sorted((r["event_id"], r["verdict"]) for r in verdicts) == sorted((r["event_id"], "malicious" if r["label"] == "malicious" else "benign") for r in alerts)
+    payload = {r["event_id"]: r for r in found["alert_payload"](spark, SF).collect()}
+    assert sorted(payload) == sorted(r["event_id"] for r in alerts)
+    assert all(r["score"] >= (r["score_base"] + r["offset"]) * r["mult"] - 1e-9 for r in payload.values())
+    gated = {r["event_id"]: r for r in found["tom_feature_gate"](spark, SF).collect()}
+    assert all(r["intent"] == 0 or r["intent"] > 0.4 for r in gated.values()) and all(r["completion"] == 0 or r["completion"] > 0.5 for r in gated.values())
+    row = found["intent_assisted_count"](spark, SF).first()
+    assert row["alerts"] == len(alerts) and row["assisted"] == sum(gated[r["event_id"]]["intent"] > 0 for r in alerts)
