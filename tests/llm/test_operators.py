@@ -164,3 +164,14 @@ def test_licenses(spark):
     rows = [(1, prose(30) + "\nReleased under the MIT License.\n" + prose(9)), (2, "Licensed under CC BY-NC 4.0."), (3, prose(40)), (4, None), (5, "the public gave him a copy of it")]
     got = {r.doc_id: r.family for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == "MIT" and got[2] == "CC-BY-NC" and got[3] == got[4] == got[5] == "none"
+
+
+def test_passages_of_later_holders(spark):
+    """Earlier texts hold its phrases one by one, none of them the passage that two later texts share."""
+    rng = np.random.default_rng(17)
+    words = lambda n: ["".join(rng.choice(list("klmnopqrst"), 6)) for _ in range(n)]
+    w = words(60)
+    rows = [(100 * k + i, " ".join(words(60) + w[i : i + 5] + words(60))) for i in range(56) for k in range(8)]
+    rows += [(1000, " ".join(words(80) + w + words(80))), (1001, " ".join(words(70) + w + words(90)))]
+    got = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id, r.n_words) for r in got} == {(1001, 1000, 60)}
