@@ -175,3 +175,17 @@ def test_passages_of_later_holders(spark):
     rows += [(1000, " ".join(words(80) + w + words(80))), (1001, " ".join(words(70) + w + words(90)))]
     got = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.other_id, r.n_words) for r in got} == {(1001, 1000, 60)}
+
+
+def test_a_phrase_of_the_passage_elsewhere():
+    """A verbatim passage is found whole though one of its phrases also stands earlier in the earlier text."""
+    rng = np.random.default_rng(23)
+    words = lambda n: ["".join(rng.choice(list("klmnopqrst"), 6)) for _ in range(n)]
+    w = words(60)
+    for j in (0, 10, 25, 40, 50):
+        for ahead in (5, 20, 30, 35, 70):
+            gap = words(ahead)
+            a = " ".join(words(30) + w[j : j + 5] + gap + w + words(30))
+            b = " ".join(words(20) + w + words(20))
+            n = len(a.split()) - 5
+            assert [(m[0], m[1]) for m in passages.matches(a.encode(), b.encode(), [(0, n, 0, 95)], False)] == [(20, 60)], (j, ahead)
