@@ -1,6 +1,7 @@
 """License scans (operator 4): a trained paragraph classifier with a calibrated unknown class, confirmed by templates.
 
-A paragraph is a line. Its features are its words and word pairs (lower-cased, letters and digits). A multinomial
+A paragraph is a line, or adjacent non-blank lines over which a notice may be wrapped: all that have no more words between
+the first and the last of them than the longest template. Its features are its words and word pairs (lower-cased, letters and digits). A multinomial
 logistic regression over the families below and a class for other text is fitted to paragraphs made from the templates
 (whole, and with words dropped or put beside others) and to a bounded sample of the corpus's paragraphs (SAMPLE of them)
 that agree with no template. Only features of the templates carry weights, so a paragraph without any is other text by
@@ -57,6 +58,10 @@ def _pairs(paragraph: bytes) -> frozenset:
 _TEMPLATE_PAIRS = [(name, _pairs(t.encode())) for name, ts in TEMPLATES.items() for t in ts]
 
 
+_ALL_PAIRS = frozenset().union(*(p for _, p in _TEMPLATE_PAIRS))
+LONGEST = max(len(_word.findall(t.lower().encode())) for ts in TEMPLATES.values() for t in ts)
+
+
 def confirmed(paragraph: bytes, family: str) -> bool:
     own = _pairs(paragraph)
     return any(name == family and len(own & p) >= SHARE * len(p) for name, p in _TEMPLATE_PAIRS if p)
@@ -131,38 +136,68 @@ def fit(docs: DataFrame, rounds: int = 300) -> Model:
     return model
 
 
+def agreeing(low: bytes) -> list[tuple[int, int, bytes]]:
+    """(first line, last line, joined bytes) of adjacent lines that hold SHARE of a template's word pairs, none of them alone; the shortest joins."""
+    lines = low.split(b"\n")
+    found, taken = [], -1
+    w = [_word.findall(x) for x in lines]
+    for i in range(len(lines) - 1):
+        if i < taken or not w[i]:
+            continue
+        own = set(zip(w[i], w[i][1:]))
+        last, inner = w[i][-1], 0
+        split = [p for _, p in _TEMPLATE_PAIRS if p and len(own & p) < SHARE * len(p)]
+        for j in range(i + 1, len(lines)):
+            if not lines[j].strip() or inner > LONGEST:
+                break
+            if not w[j]:
+                continue
+            here = set(zip(w[j], w[j][1:]))
+            own.add((last, w[j][0]))
+            own |= here
+            last = w[j][-1]
+            inner += len(w[j])
+            if not own.isdisjoint(_ALL_PAIRS) and any(len(own & p) >= SHARE * len(p) for p in split):
+                if any(len(own & p) >= SHARE * len(p) > len(here & p) for p in split):
+                    found.append((i, j, b" ".join(lines[i : j + 1])))
+                    taken = j
+                break
+    return found
+
+
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Per row of docs: doc_id, family of its surest confirmed notice (else "unknown" where one looks like a licence, else "none"), probability, n_notices, first_line."""
+    """Per row of docs: doc_id, family of its surest confirmed notice (else "unknown" where one looks like a licence, else "none"), probability, n_notices, first_line, and notices: every confirmed one's family and lines."""
     model = model or fit(docs)
-    out = pa.schema([("doc_id", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("n_notices", pa.int32()), ("first_line", pa.int32())])
+    out = pa.schema([("doc_id", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("n_notices", pa.int32()), ("first_line", pa.int32()), ("notices", pa.list_(pa.struct([("family", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32())])))])
     sent = docs.sparkSession.sparkContext.broadcast((model.index, model.weights, model.floor))
 
     def run(batches):
         m = Model(*sent.value)
         # a single word of a template is other text by training: only lines with a pair of words of some template are looked at
         pairs = sorted({tuple(g.split()) for g in m.index if b" " in g})
-        quick = re.compile(rb"(?<![a-z0-9])(?:" + b"|".join(re.escape(a) + rb"[^a-z0-9\n]+" + re.escape(b) for a, b in pairs) + rb")(?![a-z0-9])")
+        quick = re.compile(rb"(?<![a-z0-9])(?:" + b"|".join(re.escape(a) + rb"[^a-z0-9]+" + re.escape(b) for a, b in pairs) + rb")(?![a-z0-9])")
         for b in batches:
             for at, texts in text_slices(b.column(1)):
                 rows = []
                 for t in texts:
-                    best, n, first, looks = ("none", 0.0), 0, -1, 0.0
+                    best, notices, looks = ("none", 0.0), [], 0.0
                     low = t.lower()
                     if quick.search(low):
-                        for i, p in enumerate(low.split(b"\n")):
+                        lines = [(i, i, p) for i, p in enumerate(low.split(b"\n"))]
+                        for i, j, p in lines + agreeing(low):
                             q = m.probabilities(p) if quick.search(p) else None
                             if q is None or q[:-1].sum() < m.floor:
                                 continue
                             name = FAMILIES[int(np.argmax(q[:-1]))]
                             if confirmed(p, name):
-                                n += 1
-                                first = i if first < 0 else first
+                                notices.append((name, i, j))
                                 best = max(best, (name, float(q.max())), key=lambda v: v[1])
                             elif NOTICE.intersection(x.decode() for x in _word.findall(p)):
                                 looks = max(looks, float(q[:-1].sum()))
-                    if not n and looks:
+                    if not notices and looks:
                         best = ("unknown", looks)
-                    rows.append((*best, n, first))
+                    notices.sort(key=lambda v: v[1:])
+                    rows.append((*best, len(notices), notices[0][1] if notices else -1, [dict(zip(("family", "first_line", "last_line"), v)) for v in notices]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(rows)), *(pa.array(c, k) for c, k in zip(zip(*rows), out.types[1:]))], schema=out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, family string, probability double, n_notices int, first_line int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, family string, probability double, n_notices int, first_line int, notices array<struct<family:string,first_line:int,last_line:int>>")

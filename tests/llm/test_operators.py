@@ -189,3 +189,12 @@ def test_a_phrase_of_the_passage_elsewhere():
             b = " ".join(words(20) + w + words(20))
             n = len(a.split()) - 5
             assert [(m[0], m[1]) for m in passages.matches(a.encode(), b.encode(), [(0, n, 0, 95)], False)] == [(20, 60)], (j, ahead)
+
+
+def test_wrapped_and_several_licenses(spark):
+    head = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation"
+    rows = [(1, head), (2, "Released under the MIT License.\n\n" + prose(9) + "\n\n" + head), (3, head.replace("# it", "\n# it"))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].family == "GPL" and [tuple(n) for n in got[1].notices] == [("GPL", 0, 1)]
+    assert [tuple(n) for n in got[2].notices] == [("MIT", 0, 0), ("GPL", 4, 5)]
+    assert got[3].notices == []
