@@ -5,7 +5,7 @@ the first and the last of them than the longest template. Its features are its w
 logistic regression over the families below and a class for other text is fitted to paragraphs made from the templates
 (whole, and with words dropped or put beside others) and to a bounded sample of the corpus's paragraphs (SAMPLE of them)
 that agree with no template. Only features of the templates carry weights, so a paragraph without any is other text by
-definition of the model. CALIBRATION of the sample sets the probability under which a family is called "unknown".
+definition of the model. CALIBRATION of all documents' lines that are no notice sets the least probability of a notice.
 A family is confirmed where the paragraph holds SHARE of the word pairs of one of its templates; a paragraph that no
 template confirms is "unknown" if it holds one of the words of NOTICE at least, else other text.
 
@@ -42,6 +42,7 @@ FAMILIES = [*TEMPLATES, "other"]
 # Words without which a few words of a template are ordinary text.
 NOTICE = {"license", "licensed", "licenses", "copyright", "spdx", "permission", "redistribution", "gnu", "apache", "mozilla", "creative", "bsd", "cc", "cc0", "unencumbered", "waived", "rights", "reserved"}
 SAMPLE, CALIBRATION, SHARE = 2000, 0.999, 0.6
+BINS = 1000
 _word = re.compile(rb"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -131,11 +132,49 @@ def fit(docs: DataFrame, rounds: int = 300) -> Model:
         w += 4.0 * (x.T @ ((onehot - p) * share[:, None]) / len(y) - 1e-4 * w)
     w[np.abs(w) < 1e-3] = 0
     model = Model(index, w, 0.5)
-    other = [1 - q[-1] for p in sample if (q := model.probabilities(p)) is not None]
-    model.floor = max(0.5, float(np.quantile(other, CALIBRATION))) if other else 0.5
+    model.floor = max(0.5, threshold(docs, model))
     return model
 
 
+def _quick(index):
+    # a single word of a template is other text by training: only lines with a pair of words of some template are looked at
+    pairs = sorted({tuple(g.split()) for g in index if b" " in g})
+    return re.compile(rb"(?<![a-z0-9])(?:" + b"|".join(re.escape(a) + rb"[^a-z0-9]+" + re.escape(b) for a, b in pairs) + rb")(?![a-z0-9])")
+
+
+def threshold(docs: DataFrame, model: Model) -> float:
+    """The CALIBRATION quantile of the scores of all documents' lines that are looked at and no notice: they agree with no
+    template, alone or joined, and hold no word of NOTICE. To a bin of 1 / BINS, upwards; 0 without such lines."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.index, model.weights))
+
+    def run(batches):
+        m = Model(*sent.value, 0.0)
+        quick, notice = _quick(m.index), {x.encode() for x in NOTICE}
+        count = np.zeros(BINS, np.int64)
+        for b in batches:
+            for _, texts in text_slices(b.column(0)):
+                for t in texts:
+                    low = t.lower()
+                    if not quick.search(low):
+                        continue
+                    within = {k for i, j, _ in agreeing(low) for k in range(i, j + 1)}
+                    for i, p in enumerate(low.split(b"\n")):
+                        if i in within or not quick.search(p) or notice.intersection(_word.findall(p)):
+                            continue
+                        own = _pairs(p)
+                        if any(len(own & x) >= SHARE * len(x) for _, x in _TEMPLATE_PAIRS if x):
+                            continue
+                        q = m.probabilities(p)
+                        if q is not None:
+                            count[min(BINS - 1, int((1 - q[-1]) * BINS))] += 1
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at])], names=["bin", "n"])
+
+    bins = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
+    n = np.cumsum([r["n"] for r in bins])
+    return (bins[int(np.searchsorted(n, CALIBRATION * n[-1]))]["bin"] + 1) / BINS if len(bins) else 0.0
+
+
 def agreeing(low: bytes) -> list[tuple[int, int, bytes]]:
     """(first line, last line, joined bytes) of adjacent lines that hold SHARE of a template's word pairs, none of them alone; the shortest joins."""
     lines = low.split(b"\n")
@@ -173,9 +212,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches):
         m = Model(*sent.value)
-        # a single word of a template is other text by training: only lines with a pair of words of some template are looked at
-        pairs = sorted({tuple(g.split()) for g in m.index if b" " in g})
-        quick = re.compile(rb"(?<![a-z0-9])(?:" + b"|".join(re.escape(a) + rb"[^a-z0-9]+" + re.escape(b) for a, b in pairs) + rb")(?![a-z0-9])")
+        quick = _quick(m.index)
         for b in batches:
             for at, texts in text_slices(b.column(1)):
                 rows = []

@@ -198,3 +198,15 @@ def test_wrapped_and_several_licenses(spark):
     assert got[1].family == "GPL" and [tuple(n) for n in got[1].notices] == [("GPL", 0, 1)]
     assert [tuple(n) for n in got[2].notices] == [("MIT", 0, 0), ("GPL", 4, 5)]
     assert got[3].notices == []
+
+
+def test_license_threshold_is_over_all_lines(spark):
+    """One line in a hundred scores high, far beyond any sample of lines by hash: repeated lines count as often as they stand."""
+    model = licenses.fit(spark.createDataFrame([(1, "plain text")], "doc_id long, text string"))
+    score = lambda p: 1 - model.probabilities(p)[-1]
+    high, low = sorted((b"to any person obtaining a copy", b"under the old bridge"), key=score, reverse=True)
+    docs = spark.createDataFrame([(i, (high if i % 100 == 0 else low).decode()) for i in range(6000)], "doc_id long, text string")
+    assert 0 <= licenses.threshold(docs, model) - score(high) <= 1 / licenses.BINS
+    rare = docs.withColumn("text", F.when(F.col("doc_id") == 0, high.decode()).otherwise(low.decode()))
+    assert 0 <= licenses.threshold(rare, model) - score(low) <= 1 / licenses.BINS
+    assert licenses.threshold(docs.filter("1 = 0"), model) == 0
