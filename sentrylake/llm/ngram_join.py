@@ -1,22 +1,24 @@
 """N-gram Jaccard join (operator 7): size-banded tiles with hashed bitmap signatures.
 
-A document's set holds the 64-bit hashes of its distinct word shingles. Documents of equal sets form one class. Classes
-with a similarity of at least PERCENT % must share one of their first shingles in any fixed order (a set of n shingles
-has n - ceil(PERCENT * n / 100) + 1 of these), so those first shingles name the tiles. The order is by the
-counter that a shingle falls in (a table of BUCKETS counters that add up the shingles of all documents, up to 65,535),
-then by hash: what several documents share comes late. It only decides how much work there is; any counters give the
-same links.
-
-Within a tile, classes are compared in passes:
-
-* stars: every class with the first class (by a mixed id) of its tile;
-* tiles that still hold more than one component are cut into blocks by size; blocks whose sizes are within the ratio
-  meet, and only pairs of different components are looked at. The bit count of two bitmaps bounds the overlap from
-  above, so most pairs fall there. The first two of these passes take a spanning forest of the pairs left (those of the
-  largest bounds, then any), no more than a block has classes; the last one takes every pair left.
-
-Both bounds are exact filters; the pairs left are decided by intersecting the sorted hash arrays. Links between classes
-that one component already joins are not sought. Nothing is capped or sampled.
+A document's set holds the 64-bit hashes of its distinct word shingles. Documents of equal sets form one class.
+
+1. What two sets of a similarity of PERCENT % have in common is PERCENT % of either, so a class stays only if so many of its
+   shingles stand in another class too. Shingles are counted in buckets of bounded size: slices of texts send a bucket the
+   leading bits of their distinct shingles, packed, each once, and get back how many of each class are shared. Bits that
+   agree by chance, and copies that two slices see, can only keep a class that could go.
+2. The sets of the classes that stay are written as sorted arrays and their shingles counted in the same way.
+3. Similar classes share one of their first shingles in any fixed order (a set of n shingles has
+   n - ceil(PERCENT * n / 100) + 1 of these). The order is by count, rare ones first. Those that more than one class has
+   name the tiles.
+4. Within a tile, every class is compared with the first one (by a mixed id). Tiles that still hold more than one component
+   are cut into blocks by size; blocks whose sizes are within the ratio meet, and only pairs of different components are
+   looked at. The first two of these passes take a spanning forest of the pairs left (those of the largest bounds, then
+   any), no more than a block has classes, and name the tiles in which pairs are left; the last one takes every pair of those.
+5. The bit count of two bitmaps bounds the overlap from above, so most pairs fall there; the pairs left are decided by
+   intersecting the sorted arrays.
+
+All bounds are exact filters. Links between classes that one component already joins are not sought. Nothing is capped or
+sampled.
 
 A text without words, or null, has an empty set and is linked with nothing. Rows that repeat a doc_id are linked as rows
 but share that id. A null doc_id takes no part in links and is returned with itself (null). Only doc_id and text are
@@ -30,19 +32,19 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions
+from .common import discard, materialize, unused
 from .components import components
 from .encoding import text_slices
 from .words import mix, shingles, words
 
 N, PERCENT = 5, 80
-#: Counters of the table of shingle counts: a fixed size, whatever the corpus.
-BUCKETS = 1 << 22
-_SHIFT = np.uint64(42)
-_CHUNKS = 64
+#: Shingles that a counting task holds at a time, about, and those of a slice that is counted by itself before.
+BUCKET, SLICE, SETS_SLICE = 1 << 20, 1 << 20, 1 << 17
+_MANY = 65535
 #: Classes of a tile that are compared in one block.
 BLOCK = 1024
 
@@ -62,37 +64,206 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else 0
 
 
-def describe(docs: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
-    """(per row: doc_id, size of its set, the set's id; the counters of all rows' shingles), in one pass.
+def describe(docs: DataFrame, n: int = N) -> DataFrame:
+    """Per row: doc_id, size of its set, the set's id."""
+    out = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("id", pa.int64())])
 
-    The counters are a table of BUCKETS numbers, whatever the corpus; each task adds up its own, and partial tables are
-    summed in two levels, so that no task gets many of them at once."""
-    width = BUCKETS // _CHUNKS
-    out = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("id", pa.int64()), ("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+    def run(batches):
+        for b in batches:
+            for at, texts in text_slices(b.column(1)):
+                sets = _sets(texts, n)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], schema=out)
+
+    return materialize(_texts(docs).mapInArrow(run, "doc_id long, size long, id long"), "shingle-sets")
+
+
+def _bits(total: int) -> int:
+    """Leading bits that choose a bucket."""
+    return max(1, (total // BUCKET).bit_length())
+
+
+def _bucket_rows(sets: list[np.ndarray], number: int, bits: int, width: int):
+    """A slice's distinct shingles by bucket: (bucket, codes of width bytes, the class of each or _MANY), and how many of each class stand in two."""
+    who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    h = np.concatenate(sets)
+    order = np.argsort(h, kind="stable")
+    h, who = h[order], who[order]
+    new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    count = np.diff(np.append(new, len(h)))
+    local = np.bincount(who[np.repeat(count > 1, count)], minlength=len(sets))
+    h, who = h[new], np.where(count > 1, _MANY, who[new])
+    bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+    if width < 4:
+        # classes in turn, so that their numbers pack well; else the shingles stay in order
+        order = np.argsort(bucket * (_MANY + 1) + who, kind="stable")
+        h, who, bucket = h[order], who[order], bucket[order]
+    code = (h >> np.uint64(64 - bits - 8 * width)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
+    ends = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+    rows = []
+    for k in range(1 << bits):
+        a, b = int(ends[k]), int(ends[k + 1])
+        if b > a or k == number % (1 << bits):
+            own = who[a:b].astype(np.uint16) if width < 4 else np.minimum(count[a:b], _MANY).astype(np.uint16)
+            rows.append((k, code[a:b].tobytes(), (np.diff(own, prepend=np.uint16(0)) if width < 4 else own).tobytes()))
+    return rows, local
+
+
+def _codes(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u4")[:, 0]
+
+
+def _totals(codes: list[np.ndarray], times: np.ndarray) -> np.ndarray:
+    """Of each code, the sum of times over all places where it stands."""
+    every = np.concatenate(codes)
+    order = np.argsort(every, kind="stable")
+    s = every[order]
+    new = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    total = np.add.reduceat(times[order], new)
+    out = np.empty(len(s), np.int64)
+    out[order] = np.repeat(total, np.diff(np.append(new, len(s))))
+    return out
+
+
+def _sharing(docs: DataFrame, total: int, n: int, percent: int) -> DataFrame:
+    """Ids of the classes of which percent % of the shingles, or more, stand in another class too (or seem to)."""
+    bits, width = _bits(total), 3
+    out = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("codes", pa.binary()), ("who", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("local", pa.binary())])
 
     def run(batches):
-        total = np.zeros(BUCKETS, np.uint32)
+        seen, held, size, number = set(), [], 0, TaskContext.get().partitionId() << 32
+
+        def send():
+            rows, local = _bucket_rows([s for _, s in held], number, bits, width)
+            own = number % (1 << bits)
+            extra = (np.array([k for k, _ in held], np.int64).tobytes(), np.array([len(s) for _, s in held], np.int32).tobytes(), local.astype(np.int32).tobytes())
+            cols = list(zip(*[(k, number, c, w, *(extra if k == own else (None, None, None))) for k, c, w in rows]))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, out.types)], schema=out)
+
         for b in batches:
+            known = b.column(0).is_valid().to_pylist()
             for at, texts in text_slices(b.column(1)):
+                for s, valid in zip(_sets(texts, n), known[at:]):
+                    key = set_id(s)
+                    if not valid or not len(s) or key in seen:
+                        continue
+                    seen.add(key)
+                    held.append((key, s))
+                    size += len(s)
+                    if size >= SLICE or len(held) == _MANY - 1:
+                        yield send()
+                        held, size, number = [], 0, number + 1
+                if len(seen) > 1_000_000:
+                    seen.clear()
+        if held:
+            yield send()
+
+    def count(t: pa.Table) -> pa.Table:
+        codes = [_codes(x, width) for x in t["codes"].to_pylist()]
+        who = [np.cumsum(np.frombuffer(x, np.uint16), dtype=np.uint16) for x in t["who"].to_pylist()]
+        shared = _totals(codes, 1 + (np.concatenate(who) == _MANY)) > 1 if sum(map(len, codes)) else np.zeros(0, bool)
+        rows, at = [], 0
+        for w in who:
+            at, own = at + len(w), w[shared[at : at + len(w)]]
+            k, m = np.unique(own[own < _MANY], return_counts=True)
+            rows.append((k.tobytes(), np.minimum(m, _MANY).astype(np.uint16).tobytes()))
+        return pa.table({"slice": t["slice"], "who": pa.array([r[0] for r in rows], pa.binary()), "n": pa.array([r[1] for r in rows], pa.binary()), "ids": t["ids"], "sizes": t["sizes"], "local": t["local"]})
+
+    def add(t: pa.Table) -> pa.Table:
+        ids, sizes, total = (np.frombuffer(next(x for x in t[c].to_pylist() if x is not None), k) for c, k in (("ids", np.int64), ("sizes", np.int32), ("local", np.int32)))
+        total = total.astype(np.int64)
+        for who, m in zip(t["who"].to_pylist(), t["n"].to_pylist()):
+            total[np.frombuffer(who, np.uint16)] += np.frombuffer(m, np.uint16)
+        return pa.table({"id": pa.array(ids[100 * total >= percent * sizes.astype(np.int64)])})
+
+    sent = _texts(docs).mapInArrow(run, "bucket int, slice long, codes binary, who binary, ids binary, sizes binary, local binary")
+    counted = sent.groupBy("bucket").applyInArrow(count, "slice long, who binary, n binary, ids binary, sizes binary, local binary")
+    return counted.groupBy("slice").applyInArrow(add, "id long")
+
+
+def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The wanted sets (id, first_doc) in slices: slice, ids, sizes, shingles (the sorted hashes one set after the other)."""
+    ids = sized(wanted.select(F.col("first_doc").alias("doc_id")).distinct())
+    picked = _texts(docs).join(ids, "doc_id", "left_semi").select("doc_id", "text")
+    out = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            for _, texts in text_slices(b.column(1)):
                 sets = _sets(texts, n)
-                h = np.concatenate(sets)
-                total += np.bincount((h >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-                none = pa.nulls(len(sets), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), none, none, pa.nulls(len(sets), pa.binary())], schema=out)
-        if total.any():
-            part = int(total.sum()) % 16
-            long = pa.nulls(_CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([long, long, long, pa.array(range(_CHUNKS), pa.int32()), pa.array([part] * _CHUNKS, pa.int32()), pa.array([np.minimum(total[i * width : (i + 1) * width], 65535).astype(np.uint16).tobytes() for i in range(_CHUNKS)], pa.binary())], schema=out)
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.uint16).astype(np.uint64) for x in pdf["counts"])
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "counts": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
-
-    rows = materialize(_texts(docs).mapInArrow(run, "doc_id long, size long, id long, chunk int, part int, counts binary"), "shingle-sets")
-    tables = rows.filter("chunk is not null").select("chunk", "part", "counts")
-    tables = tables.groupBy("chunk", "part").applyInPandas(add, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
-    got = {r["chunk"]: np.frombuffer(r["counts"], np.uint16) for r in tables.collect()}
-    return rows.filter("chunk is null").select("doc_id", "size", "id"), np.concatenate([got.get(i, np.zeros(width, np.uint16)) for i in range(_CHUNKS)])
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=out)
+
+    rows = picked.mapInArrow(run, "id long, shingles binary")
+    # a doc_id may repeat: one row for a set
+    if not picked.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        rows = rows.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    packed = pa.schema([("slice", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("shingles", pa.binary())])
+
+    def pack(batches):
+        held, size, number = [], 0, TaskContext.get().partitionId() << 32
+
+        def send():
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.array([k for k, _ in held], np.int64).tobytes()]), pa.array([np.array([len(s) // 8 for _, s in held], np.int32).tobytes()]), pa.array([b"".join(s for _, s in held)])], schema=packed)
+
+        for b in batches:
+            for key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.append((key, s))
+                size += len(s) // 8
+                if size >= SETS_SLICE:
+                    yield send()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield send()
+
+    return materialize(rows.mapInArrow(pack, "slice long, ids binary, sizes binary, shingles binary"), "similar-sets")
+
+
+def _unpacked(ids: bytes, sizes: bytes, shingles: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    return np.frombuffer(ids, np.int64), np.split(np.frombuffer(shingles, np.uint64), np.cumsum(np.frombuffer(sizes, np.int32))[:-1])
+
+
+def _first_entries(arrays: DataFrame, total: int, percent: int) -> DataFrame:
+    """Per set and first shingle that more than one set has: shingle, id, size."""
+    bits, width = _bits(total), 4
+    out = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("codes", pa.binary()), ("times", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            for number, *rest in zip(*(b.column(i).to_pylist() for i in range(4))):
+                rows, _ = _bucket_rows(_unpacked(*rest)[1], number, bits, width)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(k, number, c, w) for k, c, w in rows]), out.types)], schema=out)
+
+    def count(t: pa.Table) -> pa.Table:
+        codes = [_codes(x, width) for x in t["codes"].to_pylist()]
+        times = np.concatenate([np.frombuffer(x, np.uint16) for x in t["times"].to_pylist()]).astype(np.int64)
+        total = np.minimum(_totals(codes, times), _MANY).astype(np.uint16) if len(times) else times.astype(np.uint16)
+        parts = np.split(total, np.cumsum([len(c) for c in codes])[:-1])
+        return pa.table({"slice": t["slice"], "bucket": t["bucket"], "times": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    counted = arrays.mapInArrow(run, "bucket int, slice long, codes binary, times binary").groupBy("bucket").applyInArrow(count, "slice long, bucket int, times binary")
+    counted = counted.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("bucket", "times"))).alias("parts")).select("slice", F.col("parts.times").alias("times"))
+    firsts = pa.schema([("shingle", pa.int64()), ("id", pa.int64()), ("size", pa.int32())])
+
+    def choose(batches):
+        for b in batches:
+            for ids, sizes, shingles, times in zip(*(b.column(i).to_pylist() for i in range(4))):
+                names, sets = _unpacked(ids, sizes, shingles)
+                every, count = np.unique(np.frombuffer(shingles, np.uint64)), np.frombuffer(b"".join(times), np.uint16)
+                found = []
+                for key, s in zip(names.tolist(), sets):
+                    c = count[np.searchsorted(every, s)]
+                    # too few are shared: no other set can be similar
+                    if 100 * int((c > 1).sum()) < percent * len(s):
+                        continue
+                    first = np.lexsort((s, c))[: len(s) - -(-percent * len(s) // 100) + 1]
+                    first = s[first[c[first] > 1]]
+                    found.append((first, key, len(s)))
+                if found:
+                    k = [len(f[0]) for f in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found]).view(np.int64)), pa.array(np.repeat(np.array([f[1] for f in found], np.int64), k)), pa.array(np.repeat(np.array([f[2] for f in found], np.int32), k))], schema=firsts)
+
+    return arrays.join(counted, "slice").select("ids", "sizes", "shingles", "times").mapInArrow(choose, "shingle long, id long, size int")
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -111,59 +282,18 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def first_shingles(s: np.ndarray, weight: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles one of which a set shares with every set of percent % similarity: the first ones, rare ones first."""
-    n = len(s)
-    m = n - -(-percent * n // 100) + 1
-    key = weight[(s >> _SHIFT).astype(np.int64)]
-    return s[np.lexsort((s, key))[:m]]
-
-
-def _entries(docs: DataFrame, weight: np.ndarray, n: int, percent: int) -> DataFrame:
-    """Per set and first shingle: shingle, id, size; once for each task at least, not for each copy."""
-    out = pa.schema([("shingle", pa.int64()), ("id", pa.int64()), ("size", pa.int32())])
-    sent = docs.sparkSession.sparkContext.broadcast(weight)
-
-    def run(batches):
-        weight, seen = sent.value, set()
-        for b in batches:
-            known = b.column(0).is_valid().to_pylist()
-            for at, texts in text_slices(b.column(1)):
-                first, ids, size = [], [], []
-                for s, valid in zip(_sets(texts, n), known[at:]):
-                    key = set_id(s)
-                    if valid and len(s) and key not in seen:
-                        seen.add(key)
-                        first.append(first_shingles(s, weight, percent))
-                        ids.append(key)
-                        size.append(len(s))
-                if ids:
-                    count = [len(x) for x in first]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), count)), pa.array(np.repeat(np.array(size, np.int32), count))], schema=out)
-                if len(seen) > 2_000_000:
-                    seen.clear()
-
-    return _texts(docs).mapInArrow(run, "shingle long, id long, size int")
-
-
-def _of_sets(docs: DataFrame, wanted: DataFrame, n: int, what: str) -> DataFrame:
-    """Per wanted set (id, first_doc): id and its bitmap (what: bits) or the text (what: text)."""
-    out = pa.schema([("id", pa.int64()), (what, pa.binary())])
-    wanted = materialize(wanted.select("id", "first_doc"), "wanted-sets")
-    ids = sized(wanted.select(F.col("first_doc").alias("doc_id")).distinct())
+def _of_sets(arrays: DataFrame, ids: DataFrame, what: str) -> DataFrame:
+    """Per id: size and its bitmap (what: bits) or the sorted hashes (what: shingles)."""
+    out = pa.schema([("id", pa.int64()), ("size", pa.int32()), (what, pa.binary())])
 
     def run(batches):
         for b in batches:
-            for _, texts in text_slices(b.column(1)):
-                sets = _sets(texts, n)
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array(texts if what == "text" else [bitmap(s) for s in sets], pa.binary())], schema=out)
+            for rest in zip(*(b.column(i).to_pylist() for i in range(3))):
+                names, sets = _unpacked(*rest)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.array([len(s) for s in sets], np.int32)), pa.array([bitmap(s) if what == "bits" else s.tobytes() for s in sets], pa.binary())], schema=out)
 
-    picked = _texts(docs).join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    rows = picked.mapInArrow(run, f"id long, {what} binary")
-    # a doc_id may repeat: one row for a set
-    if not picked.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        rows = rows.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    return materialize(rows, f"set-{what}")
+    rows = arrays.select("ids", "sizes", "shingles").mapInArrow(run, f"id long, size int, {what} binary")
+    return materialize(rows.join(sized(materialize(ids.distinct(), "ids")), "id", "left_semi"), f"set-{what}")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -194,27 +324,20 @@ def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "sx", "bx", "sy", "by").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, from the texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = _of_sets(docs, rep.join(ids, "id"), n, "text")
-    x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, from the sorted arrays."""
+    sets = _of_sets(arrays, pairs.select(F.explode(F.array("a", "b")).alias("id")), "shingles")
+    x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for t in batches:
-            for at, left in text_slices(t.column(2)):
-                part = t.slice(at, len(left))
-                right = part.column(3).to_pylist()
-                # a pivot's text stands in many rows
-                distinct = list(dict.fromkeys(left + right))
-                sets = dict(zip(distinct, _sets(distinct, n)))
-                ok = [similar(sets[p], sets[q], percent) for p, q in zip(left, right)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=out).filter(pa.array(ok, pa.bool_()))
+            ok = [similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(t.column(2), t.column(3))]
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], schema=out).filter(pa.array(ok, pa.bool_()))
 
     found = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
-    discard(texts)
+    discard(sets)
     return found
 
 
@@ -268,8 +391,9 @@ def spanning(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
         label = merged[label]
 
 
-def _passing(x, y, same: bool, percent: int, forest: str) -> pd.DataFrame:
-    """Pairs of different components that sizes and bit counts let pass: all of them, or a spanning forest."""
+def _passing(tile: int, x, y, same: bool, percent: int, forest: str) -> pd.DataFrame:
+    """Pairs (a, b) of different components that sizes and bit counts let pass: all of them, or a spanning forest; then the
+    tile is named too if pairs are left."""
     (ix, sx, cx, bx), (iy, sy, cy, by) = x, y
     reach = _reach(sx, bx, sy, by)
     ok = (100 * reach >= percent) & (cx[:, None] != cy[None, :])
@@ -280,26 +404,31 @@ def _passing(x, y, same: bool, percent: int, forest: str) -> pd.DataFrame:
         mixed = mix((ix[r] ^ iy[c]).view(np.uint64))
         order = np.lexsort((mixed, -reach[r, c])) if forest == "best" else np.argsort(mixed)
         keep = spanning(cx[r], cy[c], order)
+        left = len(keep) < len(r)
         r, c = r[keep], c[keep]
-    return pd.DataFrame({"a": np.minimum(ix[r], iy[c]), "b": np.maximum(ix[r], iy[c])})
+    else:
+        left = False
+    found = pd.DataFrame({"a": np.minimum(ix[r], iy[c]), "b": np.maximum(ix[r], iy[c])}).astype("Int64").assign(tile=pd.array([pd.NA] * len(r), "Int64"))
+    return pd.concat([found, pd.DataFrame({"a": [pd.NA], "b": [pd.NA], "tile": [tile]}, dtype="Int64")]) if left else found
 
 
 def _block_pairs(members: DataFrame, percent: int, forest: str = "") -> DataFrame:
-    """Of tiles' members (shingle, n, id, size, component, bits): the pairs that pass, block by block.
+    """Of tiles' members (shingle, n, id, size, component, bits), block by block: the pairs (a, b) that pass and the tiles in which pairs are left.
 
     forest: "best" or "any" for a spanning forest of each block's components, "" for every pair."""
+    none = pd.DataFrame({"a": [], "b": [], "tile": []}, dtype="Int64")
     # a tile of one block is one row of a bounded list
     small = members.filter(F.col("n") <= BLOCK).groupBy("shingle").agg(F.collect_list(F.struct("id", "size", "component", "bits")).alias("rows"))
 
     def each(frames):
         for pdf in frames:
             found = []
-            for rows in pdf["rows"]:
+            for tile, rows in zip(pdf["shingle"], pdf["rows"]):
                 t = _members(pd.DataFrame([r.asDict() if hasattr(r, "asDict") else r for r in rows]))
-                found.append(_passing(t, t, True, percent, forest))
-            yield pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+                found.append(_passing(tile, t, t, True, percent, forest))
+            yield pd.concat(found) if found else none
 
-    out = small.select("rows").mapInPandas(each, "a long, b long")
+    out = small.select("shingle", "rows").mapInPandas(each, "a long, b long, tile long")
     # larger ones: bands of sizes (only the same and the next can be within the ratio), cut into blocks of bounded size
     large = members.filter(F.col("n") > BLOCK).withColumn("band", F.floor(F.log("size") / F.lit(float(np.log(100 / percent)))).cast("int"))
     counts = large.groupBy("shingle", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
@@ -316,43 +445,51 @@ def _block_pairs(members: DataFrame, percent: int, forest: str = "") -> DataFram
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["band"].iloc[0] == pdf["band2"].iloc[0] and pdf["block"].iloc[0] == pdf["block2"].iloc[0]
         x = _members(pdf[pdf["side"] == 0])
-        return _passing(x, x if same else _members(pdf[pdf["side"] == 1]), bool(same), percent, forest)
+        return _passing(pdf["shingle"].iloc[0], x, x if same else _members(pdf[pdf["side"] == 1]), bool(same), percent, forest)
 
-    far = left.select(cols).unionByName(right.select(cols)).groupBy("shingle", "band", "block", "band2", "block2").applyInPandas(run, "a long, b long")
+    far = left.select(cols).unionByName(right.select(cols)).groupBy("shingle", "band", "block", "band2", "block2").applyInPandas(run, "a long, b long, tile long")
     return out.unionByName(far)
 
 
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(per row: doc_id, size, id of its set; per set: id, component_id), the latter for sets that a link names only."""
-    info, weight = describe(docs, n)
-    rep = materialize(info.filter("size > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.first("size").alias("size")), "sets")
-    # dealt by shingle once, for the counts and for the join with them
-    entries = _entries(docs, weight, n, percent).repartition(partitions(docs.sparkSession), "shingle")
+    """(per row: doc_id, size, id of its set; per set: id, first_doc, component_id), the latter for sets that a link names only."""
+    info = describe(docs, n)
+    rep = info.filter("size > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.first("size").alias("size"))
+    total = info.agg(F.sum("size")).first()[0] or 0
+    near = materialize(_sharing(docs, total, n, percent).distinct(), "sharing-sets")
+    wanted = materialize(rep.join(near, "id"), "wanted-sets")
+    discard(near)
+    arrays = _arrays(docs, wanted, n)
+    entries = materialize(_first_entries(arrays, wanted.agg(F.sum("size")).first()[0] or 0, percent), "first-shingles")
     mixed = F.xxhash64("id")
     spans = entries.groupBy("shingle").agg(F.min_by(F.struct("id", "size"), mixed).alias("low"), F.max_by("id", mixed).alias("high"))
-    # copies of a set name the same tile once for each task that saw one; a tile of one set needs no look
-    tiles = materialize(entries.join(spans.filter("low.id <> high").select("shingle", F.col("low.id").alias("low"), F.col("low.size").alias("low_size")), "shingle").distinct(), "tiles")
-    bits = _of_sets(docs, rep.join(tiles.select("id").distinct(), "id"), n, "bits").join(rep.select("id", "size"), "id")
+    # a tile of one set needs no look
+    tiles = materialize(entries.join(spans.filter("low.id <> high").select("shingle", F.col("low.id").alias("low"), F.col("low.size").alias("low_size")), "shingle"), "tiles")
+    discard(entries)
+    bits = _of_sets(arrays, tiles.select("id"), "bits")
     stars = tiles.select(F.col("low").alias("p"), "id").filter("p <> id")
     stars = materialize(stars.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct(), "stars")
-    links = _verified(materialize(_bounded(stars, bits, percent), "candidate-pairs"), docs, rep, n, percent)
-    found, tested = materialize(components(links), "star-components"), stars
+    links = _verified(materialize(_bounded(stars, bits, percent), "candidate-pairs"), arrays, percent)
+    found, tested, left = materialize(components(links), "star-components"), stars, None
     for forest in ("best", "any", ""):
         # tiles that are not all in one component; of two sets, the star has compared both
-        open_ = tiles.select("shingle", "id", "size").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        members = tiles if left is None else tiles.join(left, "shingle", "left_semi")
+        open_ = members.select("shingle", "id", "size").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         apart = open_.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1 and n > 2").select("shingle", "n")
         open_ = materialize(open_.join(apart, "shingle"), "open-tiles")
         if open_.isEmpty():
             break
-        pairs = _block_pairs(open_.join(bits.select("id", "bits"), "id"), percent, forest)
-        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "candidate-pairs")
+        passed = materialize(_block_pairs(open_.join(bits.select("id", "bits"), "id"), percent, forest), "block-passes")
         discard(open_)
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(_verified(pairs, docs, rep, n, percent))
-        found = materialize(components(links), "components")
-    named = rep.join(found.withColumnRenamed("node", "id"), "id")
+        left = passed.filter("tile is not null").select(F.col("tile").alias("shingle")).distinct()
+        pairs = materialize(passed.filter("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "candidate-pairs")
+        if not pairs.isEmpty():
+            tested = tested.unionByName(pairs)
+            links = links.unionByName(_verified(pairs, arrays, percent))
+            found = materialize(components(links), "components")
+    for done in (tiles, bits, stars, arrays):
+        discard(done)
+    named = wanted.join(found.withColumnRenamed("node", "id"), "id")
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     return info, named.join(least, "component").select("id", "first_doc", "component_id")
 
@@ -380,5 +517,6 @@ def dedup(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """The rows of docs without those that a document of a smaller doc_id stands for, all their columns.
 
     Of rows that repeat a doc_id in one component all or none stay."""
-    gone = materialize(join(docs, n, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(sized(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = materialize(join(docs, n, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    return docs.join(sized(gone), docs["doc_id"] == gone[name], "left_anti")
