@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .encoding import text_slices
+from .encoding import forget, text_slices
 from .words import mix, words
 
 #: Documents of each label in the sample that the field and the score are fitted on.
 SAMPLE_DOCS = 1000
 #: Share of the toxic documents that a marked feature stands in at least, and how many times as often as in the others.
-MIN_SHARE, LIFT = 0.02, 30.0
+MIN_SHARE, LIFT = 0.002, 15.0
 #: Labels that are broadcast at most; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 PREFIXES = (4, 5, 6)
@@ -203,8 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     marked = both[lift >= LIFT].sort_values("key", ignore_index=True)
     if marked.empty:
         return NO_MODEL
+    # by the least hashes: about twice as many rows pass the first filter as stay, however many there are
     order = F.xxhash64("doc_id", "text")
-    part = [rows.filter(c).orderBy(order).limit(sample_docs).select("text", "toxic") for c in ("toxic <> 0", "toxic = 0")]
+    bound = lambda n: int(-(2**63) + 2**64 * min(1.0, (2 * sample_docs + 100) / max(1, n))) - 1
+    part = [rows.filter(c).filter(order <= F.lit(bound(n))).orderBy(order).limit(sample_docs).select("text", "toxic") for c, n in (("toxic <> 0", n_toxic), ("toxic = 0", n_clean))]
     keys = marked["key"].to_numpy(np.int64)
     return train(_hits(part[0].union(part[1]), keys).toPandas(), keys, np.unique(marked["head"].to_numpy(np.int64)), (n_toxic, n_clean))
 
@@ -319,6 +321,7 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def run(batches):
+        forget()
         m = Model(*sent.value)
         for b in batches:
             for at, texts in text_slices(b.column(1)):
@@ -331,15 +334,16 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose score is under one half, all their columns."""
+    at_text = docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
-    @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
+    def run(batches):
+        forget()
         m = Model(*sent.value)
-        done = [np.zeros(0)]
-        for _, texts in text_slices(pa.array(text, pa.string(), from_pandas=True)):
-            e = evidence(texts, m)
-            done.append(to_score(np.array([v[0] for v in e]), np.array([v[1] for v in e]), m))
-        return pd.Series(np.concatenate(done) < 0.5)
+        for b in batches:
+            for at, texts in text_slices(b.column(at_text).cast(pa.string())):
+                e = evidence(texts, m)
+                clean = to_score(np.array([v[0] for v in e]), np.array([v[1] for v in e]), m) < 0.5
+                yield b.slice(at, len(e)).filter(pa.array(clean))
 
-    return docs.filter(clean(F.col("text").cast("string")))
+    return docs.mapInArrow(run, docs.schema)
