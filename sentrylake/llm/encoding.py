@@ -17,8 +17,8 @@ import numpy as np
 
 from .words import words
 
-#: Words that a worker remembers before it starts again.
-CACHE_WORDS = 1_500_000
+#: Words that a worker remembers before it sets them aside; those that come again are taken over, the others go the next time.
+CACHE_WORDS = 200_000
 #: Longer words are encoded each time and not remembered.
 CACHE_WORD_BYTES = 64
 
@@ -40,6 +40,11 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+def forget() -> None:
+    """Frees the encoders of a worker that goes on with another operator."""
+    _encoders.clear()
+
+
 def splits_at_white_space(spec: dict) -> bool:
     """Whether the file drops white space between words: a normalizer that acts on characters only, then a split whose matches hold none."""
     norm = spec.get("normalizer") or {}
@@ -79,6 +84,7 @@ class Encoder:
             self.by_word = splits_at_white_space(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[int, bytes] = {}
+        self.aside: dict[int, bytes] = {}
 
     def _letters(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of lower-case letters in normal form, one match of the file's split each: the model alone is asked."""
@@ -131,16 +137,22 @@ class Encoder:
         w = words(texts)
         if not len(w.hash):
             return [b""] * len(texts)
-        # words are known by their hashes; a worker knows at most CACHE_WORDS of them, so that two share one is out of question
+        # words are known by their hashes; a worker knows few of them, so that two share one is out of question
         known, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
         found = list(map(self.cache.get, known.tolist()))
         lost = [i for i, x in enumerate(found) if x is None]
+        if lost:
+            if len(self.cache) + len(lost) > CACHE_WORDS:
+                self.cache, self.aside = {}, self.cache
+            again = list(map(self.aside.get, known[lost].tolist()))
+            for i, x in zip(lost, again):
+                if x is not None:
+                    found[i] = self.cache[int(known[i])] = x
+            lost = [i for i, x in zip(lost, again) if x is None]
         if lost:
             raw = w.raw.tobytes().lower()
             new = [raw[a:b] for a, b in zip(w.start[at[lost]].tolist(), w.end[at[lost]].tolist())]
             ids = self._words(new)
-            if len(self.cache) + len(lost) > CACHE_WORDS:
-                self.cache.clear()
             for i, x in zip(lost, new):
                 found[i] = ids[x]
                 if len(x) <= CACHE_WORD_BYTES:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, unused
 from .components import components
-from .encoding import text_slices
+from .encoding import forget, text_slices
 from .words import mix, shingles, words
 
 N, PERCENT = 5, 80
@@ -69,6 +69,7 @@ def describe(docs: DataFrame, n: int = N) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("id", pa.int64())])
 
     def run(batches):
+        forget()
         for b in batches:
             for at, texts in text_slices(b.column(1)):
                 sets = _sets(texts, n)

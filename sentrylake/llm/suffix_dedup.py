@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
-from .encoding import text_slices
+from .encoding import forget, text_slices
 from .words import mix, powers
 
 LENGTH, KEY = 400, 48
@@ -254,6 +254,7 @@ def _describe(docs: DataFrame, length: int, key: int) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("long", pa.bool_()), ("keys", pa.list_(pa.int64())), ("leading", pa.list_(pa.int64()))])
 
     def run(batches):
+        forget()
         for b in batches:
             for at, texts in text_slices(b.column(1)):
                 rows = []
