@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     keys = toxic["key"].to_numpy(np.int64)
     clean = materialize(_document_counts(rows.filter("toxic = 0"), keys), "clean-features").select("key", F.col("n").alias("m")).toPandas()
     both = toxic.merge(clean, on="key", how="left").fillna({"m": 0})
-    lift = both["n"] / n_toxic / ((both["m"] + 0.5) / max(1, n_clean))
+    lift = both["n"] / n_toxic / ((both["m"] + 1) / max(1, n_clean))
     marked = both[lift >= LIFT].sort_values("key", ignore_index=True)
     if marked.empty:
         return NO_MODEL
