@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = getattr(sc, "_sentrylake_dir", None)
         if base is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file:///tmp/checkpoints/" + uuid.uuid4().hex
             sc._sentrylake_dir = base
             sc.setCheckpointDir(base)
@@ -43,6 +46,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Rows that Python gets at once in what runs meanwhile: for rows of several texts or arrays each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -36,14 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, unused
+from .common import discard, materialize, small_batches, unused
 from .components import components
 from .encoding import forget, text_slices
 from .words import mix, shingles, words
 
 N, PERCENT = 5, 80
 #: Shingles that a counting task holds at a time, about, and those of a slice that is counted by itself before.
-BUCKET, SLICE, SETS_SLICE = 1 << 20, 1 << 20, 1 << 17
+BUCKET, SLICE, SETS_SLICE = 1 << 20, 1 << 19, 1 << 17
 _MANY = 65535
 #: Classes of a tile that are compared in one block.
 BLOCK = 1024
@@ -155,7 +155,7 @@ def _sharing(docs: DataFrame, total: int, n: int, percent: int) -> DataFrame:
                     if size >= SLICE or len(held) == _MANY - 1:
                         yield send()
                         held, size, number = [], 0, number + 1
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
         if held:
             yield send()
@@ -337,7 +337,8 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
             ok = [similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(t.column(2), t.column(3))]
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], schema=out).filter(pa.array(ok, pa.bool_()))
 
-    found = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    with small_batches(pairs.sparkSession):
+        found = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
     discard(sets)
     return found
 
