@@ -63,7 +63,7 @@ def op9_exact_dedup(spark, sf_dir):
 
 def op10_suffix_array_dedup(spark, sf_dir):
     ship(spark)
-    return suffix_dedup.report(read(spark, sf_dir, "documents")).drop("spans")
+    return suffix_dedup.report(read(spark, sf_dir, "documents")).withColumn("repeats", F.col("n_removed") > 0)
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_block_nearest, op4_license_scan, op5_toxicity, op6_token_store, op7_ngram_jaccard, op8_byte_bpe, op9_exact_dedup, op10_suffix_array_dedup)}

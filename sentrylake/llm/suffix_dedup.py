@@ -7,7 +7,9 @@ anchors with equal KEY bytes, a common part to the left and a common prefix to t
 
 1. Equal texts are one (their copies repeat in full); anchors whose KEY bytes occur once in the corpus drop out.
 2. Each task sorts its suffixes (right contexts of LENGTH bytes) and writes a run for each range of leading bytes: the
-   length of the prefix shared with the suffix before, then only the bytes after it (front coding).
+   length of the prefix shared with the suffix before, then only the bytes after it (front coding). Of suffixes of a slice
+   with equal bytes on both sides, as a passage of many texts or a periodic text has them, one is written; that all their
+   windows repeat is known already. Leading bytes that fill several ranges are parted by the hash of the KEY bytes.
 3. A task for each range merges the runs with a loser tree. Players carry the length of the prefix they share with the
    last winner: the longer one wins without a look at its bytes, and equal ones compare from there on. What comes out is
    the sorted suffixes with the prefix length of each to the one before, never compared twice.
@@ -17,7 +19,8 @@ anchors with equal KEY bytes, a common part to the left and a common prefix to t
 5. A document's repeated windows are united to spans and cut out.
 
 Offsets count UTF-8 bytes. A null text counts as empty. Repeated rows are copies of each other. Texts under LENGTH bytes
-stay whole. An empty table gives no rows. Only doc_id and text are read; rows are told apart by a number of their own.
+stay whole. An empty table gives no rows. Only doc_id and text are read; a null doc_id is an id like any other. Texts are
+known by 64-bit digests, so that different texts may share a doc_id.
 """
 
 from __future__ import annotations
@@ -193,7 +196,7 @@ def repeated_offsets(shared: np.ndarray, left: list[bytes], length: int, key: in
     mat = np.frombuffer(b"".join(x[::-1].ljust(width - 1, b"\0") for x in left), np.uint8).reshape(n, width - 1)
     power, now = powers(width), np.zeros(n, np.uint64)
     out = np.zeros((width, n), bool)
-    step = max(1, 4_000_000 // n)
+    step = max(1, 1_000_000 // n)
     for o in range(0, width, step):
         offsets = np.arange(o, min(width, o + step))
         # of each offset, the number of the run of suffixes that share length - offset bytes
@@ -250,8 +253,8 @@ def _leading(raw: bytes) -> int:
 
 
 def _describe(docs: DataFrame, length: int, key: int) -> DataFrame:
-    """Per row: doc_id, tid, keys (hashes of its anchors), and the leading bytes of one anchor in 64 for choosing ranges."""
-    out = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("long", pa.bool_()), ("keys", pa.list_(pa.int64())), ("leading", pa.list_(pa.int64()))])
+    """Per row: doc_id, tid, keys (hashes of its anchors, each once), twice (those that stand there more than once), and the leading bytes of one anchor in 64 for choosing ranges."""
+    out = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("long", pa.bool_()), ("keys", pa.list_(pa.int64())), ("twice", pa.list_(pa.int64())), ("leading", pa.list_(pa.int64()))])
 
     def run(batches):
         forget()
@@ -260,49 +263,104 @@ def _describe(docs: DataFrame, length: int, key: int) -> DataFrame:
                 rows = []
                 for t in texts:
                     pos, h = anchors(np.frombuffer(t, np.uint8), length, key)
-                    lead = [_leading(t[p : p + 8]) for p in pos[h % np.uint64(64) == 0].tolist()]
-                    rows.append((text_id(t), len(t) >= length, h.view(np.int64), lead))
+                    own, first, times = np.unique(h.view(np.int64), return_index=True, return_counts=True)
+                    lead = [_leading(t[p : p + 8]) for p in pos[first[own % 64 == 0]].tolist()]
+                    rows.append((text_id(t), len(t) >= length, own, own[times > 1], lead))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *(pa.array(c, t) for c, t in zip(cols, out.types[1:]))], schema=out)
 
-    return docs.mapInArrow(run, "doc_id long, tid long, long boolean, keys array<long>, leading array<long>")
+    return docs.mapInArrow(run, "doc_id long, tid long, long boolean, keys array<long>, twice array<long>, leading array<long>")
 
 
 #: Suffixes in a range, about: what one merging task holds.
 RANGE = 20_000
-#: Rows of a table that is broadcast at most; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def _runs(docs: DataFrame, wanted: DataFrame, cuts: np.ndarray, length: int, key: int) -> DataFrame:
-    """For each slice of texts and each range: the slice's suffixes in that range, sorted and front-coded (a run)."""
-    out = pa.schema([("range", pa.int32()), ("shared", pa.binary()), ("rest_size", pa.binary()), ("rest", pa.binary()), ("tid", pa.binary()), ("at", pa.binary()), ("left_size", pa.binary()), ("left", pa.binary())])
+#: Bytes of a table that is broadcast at most, by its numbers of rows and list entries; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def _small(df: DataFrame, entries) -> bool:
+    """Whether rows of some 64 bytes and entries of some 32 bytes each are few enough to be broadcast."""
+    r = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(entries).alias("entries")).first()
+    return r["rows"] * 64 + (r["entries"] or 0) * 32 <= BROADCAST_BYTES
+
+
+def _alike(texts: list[bytes], places: list[np.ndarray], length: int, key: int) -> tuple[list[np.ndarray], list[tuple[int, int, int]]]:
+    """(places without those whose bytes on both sides are the same as an earlier one's; spans (text, first, end) of all windows of such places)."""
+    before = length - key
+    text, at, digest = [], [], []
+    for i, (t, p) in enumerate(zip(texts, places)):
+        p = p[(p >= before) & (p + length <= len(t))]
+        if len(p):
+            s, _ = prefix_sums(np.frombuffer(t, np.uint8))
+            digest.append(mix((s[p + length] - s[p - before]) * inverse_powers(int(p[-1]) - before + 1)[p - before]))
+            text.append(np.full(len(p), i))
+            at.append(p)
+    if not at:
+        return places, []
+    text, at, digest = np.concatenate(text), np.concatenate(at), np.concatenate(digest)
+    _, first, of, times = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
+    many = times[of] > 1
+    gone = np.ones(len(at), bool)
+    gone[first] = False
+    out, spans = list(places), []
+    for i in np.unique(text[many]).tolist():
+        own = text == i
+        spans += [(i, a, e) for a, e in united((p - before, p + length) for p in at[own & many].tolist())]
+        out[i] = np.setdiff1d(places[i], at[own & gone], assume_unique=True)
+    return out, spans
+
+
+def _runs(docs: DataFrame, wanted: DataFrame, cuts: list[int], length: int, key: int) -> DataFrame:
+    """For each slice of texts and each range: the slice's suffixes in that range, sorted and front-coded (a run); and, with a null range, spans that are known to repeat."""
+    out = pa.schema([("range", pa.int32()), ("shared", pa.binary()), ("rest_size", pa.binary()), ("rest", pa.binary()), ("tid", pa.binary()), ("at", pa.binary()), ("left_size", pa.binary()), ("left", pa.binary()), ("end", pa.binary())])
     numbers = lambda x, kind: np.array(x, kind).tobytes()
+    # equal cuts: their leading bytes fill as many ranges
+    edges, fills = np.unique(np.array(cuts, np.int64), return_counts=True)
+    start = np.append(0, np.cumsum(fills))
 
     def run(batches):
         for b in batches:
-            tids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
+            tids, keys = b.column(0).to_pylist(), b.column(1)
             for first, texts in text_slices(b.column(2), 8 << 20):
+                places, hashes = [], []
+                for i, t in enumerate(texts):
+                    at, h = anchors(np.frombuffer(t, np.uint8), length, key) if text_id(t) == tids[first + i] else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                    keep = np.isin(h.view(np.int64), keys[first + i].values.to_numpy())
+                    places.append(at[keep])
+                    hashes.append(h[keep])
+                every = list(places)
+                places, spans = _alike(texts, places, length, key)
+                if spans:
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), *(pa.array([None], pa.binary()) for _ in range(3)), pa.array([numbers([tids[first + i] for i, _, _ in spans], np.int64)]), pa.array([numbers([a for _, a, _ in spans], np.int64)]), *(pa.array([None], pa.binary()) for _ in range(2)), pa.array([numbers([e for _, _, e in spans], np.int64)])], schema=out)
                 got = []
                 for i, t in enumerate(texts):
-                    if text_id(t) != tids[first + i]:
-                        continue
-                    at, h = anchors(np.frombuffer(t, np.uint8), length, key)
-                    for p in at[np.isin(h.view(np.int64), np.array(keys[first + i], np.int64))].tolist():
-                        got.append((t[p : p + length], tids[first + i], p, t[max(0, p - (length - key)) : p]))
+                    own = hashes[i][np.searchsorted(every[i], places[i])].tolist()
+                    got += [(t[p : p + length], tids[first + i], p, t[max(0, p - (length - key)) : p], x) for p, x in zip(places[i].tolist(), own)]
                 got.sort()
-                where = np.searchsorted(cuts, np.array([_leading(g[0]) for g in got], np.int64), side="right")
+                lead = np.array([_leading(g[0]) for g in got], np.int64)
+                at = np.searchsorted(edges, lead, side="right")
+                where = start[at]
+                hot = np.flatnonzero((at > 0) & (edges[np.maximum(at - 1, 0)] == lead)) if len(edges) else []
+                for i in hot:
+                    where[i] = start[at[i] - 1] + 1 + got[i][4] % int(fills[at[i] - 1])
                 rows = []
                 for r in np.unique(where).tolist():
                     part = [got[i] for i in np.flatnonzero(where == r)]
                     shared, rest = front_code([g[0] for g in part])
-                    rows.append((r, shared.tobytes(), numbers([len(x) for x in rest], np.int32), b"".join(rest), numbers([g[1] for g in part], np.int64), numbers([g[2] for g in part], np.int64), numbers([len(g[3]) for g in part], np.int32), b"".join(g[3] for g in part)))
+                    rows.append((r, shared.tobytes(), numbers([len(x) for x in rest], np.int32), b"".join(rest), numbers([g[1] for g in part], np.int64), numbers([g[2] for g in part], np.int64), numbers([len(g[3]) for g in part], np.int32), b"".join(g[3] for g in part), None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out.types)], schema=out)
 
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("tid", "keys", "text")
-    return rows.mapInArrow(run, "range int, shared binary, rest_size binary, rest binary, tid binary, at binary, left_size binary, left binary")
+    # first only the rows that are wanted at all, by ids that are broadcast if they are few; then their lists
+    ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
+    if _small(ids, F.lit(0)):
+        ids = F.broadcast(ids)
+    docs = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted_id"]), "left_semi")
+    lists = wanted.select(F.col("doc_id").alias("wanted_id"), "tid", "keys")
+    if _small(wanted, F.size("keys")):
+        lists = F.broadcast(lists)
+    rows = docs.join(lists, docs["doc_id"].eqNullSafe(lists["wanted_id"])).select("tid", "keys", "text")
+    return rows.mapInArrow(run, "range int, shared binary, rest_size binary, rest binary, tid binary, at binary, left_size binary, left binary, end binary")
 
 
 def _decode(row: dict):
@@ -371,39 +429,47 @@ def removals(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> tuple[Dat
     info = materialize(_describe(docs, length, key), "anchors")
     per = materialize(info.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id")).alias("rep"), F.first("long").alias("long")), "texts")
     reps = per.filter("long").select("tid", F.col("rep.doc_id").alias("doc_id"))
-    one = info.filter("long").join(reps, (info["tid"] == reps["tid"]) & info["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi")
-    at = one.select("tid", "doc_id", F.explode("keys").alias("key"))
-    often = at.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    # rows repeated with the same doc_id and text are one here
+    one = info.filter("long").join(reps, (info["tid"] == reps["tid"]) & info["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi").dropDuplicates(["tid"])
+    at = one.select("tid", "doc_id", "twice", F.explode("keys").alias("key")).select("tid", "doc_id", "key", F.array_contains("twice", F.col("key")).alias("again"))
+    often = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("key")
     wanted = materialize(at.join(often, "key").groupBy("tid", "doc_id").agg(F.collect_set("key").alias("keys")), "repeated-anchors")
     n = wanted.agg(F.sum(F.size("keys"))).first()[0] or 0
     ranges = max(1, n // RANGE)
     quantiles = [i / ranges for i in range(1, ranges)]
     # as many numbers as ranges
     cuts = info.select(F.explode("leading").alias("x")).agg(F.percentile_approx("x", F.array(*map(F.lit, quantiles)), 100_000)).first()[0] if quantiles else []
-    runs = _runs(docs, wanted.select("doc_id", "tid", "keys"), np.unique(np.array(cuts or [], np.int64)), length, key)
+    runs = materialize(_runs(docs, wanted.select("doc_id", "tid", "keys"), list(cuts or []), length, key), "suffix-runs")
     schema = pa.schema([("tid", pa.int64()), ("first", pa.int64()), ("end", pa.int64())])
 
     def merge(t: pa.Table) -> pa.Table:
         rows = merge_runs(t.to_pylist(), length, key)
         return pa.table([pa.array(c, x) for c, x in zip(zip(*rows) if rows else [[], [], []], schema.types)], schema=schema)
 
-    spans = materialize(runs.groupBy("range").applyInArrow(merge, "tid long, first long, end long"), "repeated-spans")
+    def known(batches):
+        for b in batches:
+            for tid, first, end in zip(*(b.column(i).to_pylist() for i in range(3))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (tid, first, end)], schema=schema)
+
+    merged = runs.filter("range is not null").groupBy("range").applyInArrow(merge, "tid long, first long, end long")
+    spans = materialize(merged.unionByName(runs.filter("range is null").select("tid", "at", "end").mapInArrow(known, "tid long, first long, end long")), "repeated-spans")
     lists = spans.groupBy("tid").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     whole = per.filter("copies > 1 and long").select("tid", F.lit(True).alias("whole"))
     cut = lists.join(whole, "tid", "full").select("tid", F.coalesce("whole", F.lit(False)).alias("whole"), F.when(F.col("whole"), F.array().cast("array<struct<first:long,end:long>>")).otherwise(F.col("spans")).alias("spans"))
     ids = info.filter("long").select("doc_id", "tid").distinct()
     cut = ids.join(cut, "tid").groupBy("doc_id").agg(F.collect_list(F.struct("tid", "whole", "spans")).alias("cuts"))
     cut = materialize(cut, "cuts")
-    discard(info)
+    for done in (info, per, wanted, runs, spans):
+        discard(done)
     return docs, cut
 
 
 def report(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the spans (byte offsets) themselves."""
     docs, cuts = removals(docs, length, key)
-    cuts = cuts.withColumnRenamed("doc_id", "__id")
-    small = cuts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(cuts) if small else cuts, docs["doc_id"].eqNullSafe(cuts["__id"]), "left").select("doc_id", "text", "cuts")
+    small = _small(cuts, F.expr("aggregate(cuts, 0, (n, c) -> n + 1 + size(c.spans))"))
+    cuts = cuts.withColumnRenamed("doc_id", "cut_id")
+    rows = docs.join(F.broadcast(cuts) if small else cuts, docs["doc_id"].eqNullSafe(cuts["cut_id"]), "left").select("doc_id", "text", "cuts")
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches):
