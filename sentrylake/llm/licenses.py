@@ -3,9 +3,10 @@
 A paragraph is a line, or adjacent non-blank lines over which a notice may be wrapped: all that have no more words between
 the first and the last of them than the longest template. Its features are its words and word pairs (lower-cased, letters and digits). A multinomial
 logistic regression over the families below and a class for other text is fitted to paragraphs made from the templates
-(whole, and with words dropped or put beside others) and to a bounded sample of the corpus's paragraphs (SAMPLE of them)
-that agree with no template. Only features of the templates carry weights, so a paragraph without any is other text by
-definition of the model. CALIBRATION of all documents' lines that are no notice sets the least probability of a notice.
+(whole, and with words dropped or put beside others) and to the corpus's lines that agree with no template. Only features of
+the templates carry weights, so a line is known by the set of those that it holds, and one without any is other text by
+definition of the model: one pass over all documents counts the lines of each set, and the SAMPLE most frequent sets are
+fitted to. CALIBRATION of all documents' lines that are no notice sets the least probability of a notice.
 A family is confirmed where the paragraph holds SHARE of the word pairs of one of its templates; a paragraph that no
 template confirms is "unknown" if it holds one of the words of NOTICE at least, else other text.
 
@@ -15,20 +16,22 @@ Null and empty texts have no paragraphs and no licence. Rows are scanned one by
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize
 from .encoding import text_slices
 
 # Usual one-line notices of licence families.
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"),
-    "MIT": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"),
-    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"),
-    "GPL": ("This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", "SPDX-License-Identifier: Apache-2.0"),
+    "MIT": ("Released under the MIT License", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"),
+    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "SPDX-License-Identifier: BSD-3-Clause"),
+    "GPL": ("This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "You should have received a copy of the GNU General Public License along with this program", "SPDX-License-Identifier: GPL-3.0-or-later"),
     "LGPL": ("Licensed under the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-3.0-only"),
     "AGPL": ("Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License", "SPDX-License-Identifier: MPL-2.0"),
@@ -68,109 +71,152 @@ def confirmed(paragraph: bytes, family: str) -> bool:
     return any(name == family and len(own & p) >= SHARE * len(p) for name, p in _TEMPLATE_PAIRS if p)
 
 
+#: Number of each feature of the templates.
+INDEX = {g: i for i, g in enumerate(sorted({g for ts in TEMPLATES.values() for t in ts for g in grams(t.encode())}))}
+
+
 class Model:
-    def __init__(self, index: dict[bytes, int], weights: np.ndarray, floor: float):
-        self.index, self.weights, self.floor = index, weights, floor
+    def __init__(self, weights: np.ndarray, floor: float):
+        self.weights, self.floor = weights, floor
 
-    def probabilities(self, paragraph: bytes) -> np.ndarray | None:
-        """None: no feature of any template."""
-        at = [i for g in grams(paragraph) if (i := self.index.get(g)) is not None]
-        if not at:
-            return None
-        z = self.weights[at].sum(axis=0) / np.sqrt(len(at)) + self.weights[-1]
+    def of(self, features: list[int]) -> np.ndarray:
+        z = self.weights[features].sum(axis=0) / np.sqrt(len(features)) + self.weights[-1]
         z = np.exp(z - z.max())
         return z / z.sum()
 
+    def probabilities(self, paragraph: bytes) -> np.ndarray | None:
+        """None: no feature of any template."""
+        at = [i for g in grams(paragraph) if (i := INDEX.get(g)) is not None]
+        return self.of(at) if at else None
 
-def fit(docs: DataFrame, rounds: int = 300) -> Model:
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("p")).filter("length(trim(p)) > 0")
-    # a bounded sample by hash, whatever the order of the rows
-    sample = [r["p"].encode() for r in lines.dropDuplicates().orderBy(F.xxhash64("p"), "p").limit(SAMPLE).collect()] if SAMPLE else []
-    sample = [p for p in sample if not any(len(_pairs(p) & t) >= SHARE * len(t) for _, t in _TEMPLATE_PAIRS if t)]
-    rng = np.random.default_rng(4)
+
+def lines(docs: DataFrame) -> DataFrame:
+    """Of all documents' lines that hold a word pair of a template and agree with none, alone or joined: features (of the templates, in order), notice (a word of NOTICE is there), n lines."""
+    out = pa.schema([("features", pa.list_(pa.int32())), ("notice", pa.bool_()), ("n", pa.int64())])
+
+    def run(batches):
+        quick, notice, count = _quick(), {x.encode() for x in NOTICE}, Counter()
+
+        def send():
+            rows = list(count.items())
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], out.types[0]), pa.array([k[1] for k, _ in rows]), pa.array([n for _, n in rows])], schema=out)
+
+        for b in batches:
+            for _, texts in text_slices(b.column(0)):
+                for t in texts:
+                    low = t.lower()
+                    if not quick.search(low):
+                        continue
+                    within = {k for i, j, _ in agreeing(low) for k in range(i, j + 1)}
+                    for i, p in enumerate(low.split(b"\n")):
+                        if i in within or not quick.search(p):
+                            continue
+                        own = _pairs(p)
+                        if any(len(own & x) >= SHARE * len(x) for _, x in _TEMPLATE_PAIRS if x):
+                            continue
+                        count[tuple(sorted(i for g in grams(p) if (i := INDEX.get(g)) is not None)), bool(notice.intersection(_word.findall(p)))] += 1
+                if len(count) > 50_000:
+                    yield send()
+                    count.clear()
+        if count:
+            yield send()
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "features array<int>, notice boolean, n long")
+    return rows.groupBy("features", "notice").agg(F.sum("n").alias("n"))
+
+
+def examples(seed: int, others: list[list[int]], copies: int = 12) -> tuple[list[list[int]], list[int]]:
+    """Features and classes of paragraphs made from the templates: whole, with words dropped, and with features of other lines beside them."""
+    rng = np.random.default_rng(seed)
     rows, labels = [], []
     for name, ts in TEMPLATES.items():
         for t in ts:
-            for k in range(12):
+            for k in range(copies):
                 w = t.encode().split()
-                if k:
+                if k or seed != 4:
                     w = [x for x in w if rng.random() > 0.1] or w
-                if k % 3 == 2 and sample:
-                    w = w + sample[rng.integers(len(sample))].split()[:8]
-                rows.append(b" ".join(w))
+                at = [i for g in grams(b" ".join(w)) if (i := INDEX.get(g)) is not None]
+                if k % 3 == 2 and others:
+                    at = at + others[rng.integers(len(others))][:8]
+                rows.append(at)
                 labels.append(FAMILIES.index(name))
-    index = {g: i for i, g in enumerate(sorted({g for ts in TEMPLATES.values() for t in ts for g in grams(t.encode())}))}
-    # single words of the templates alone tell nothing: other text has them too
+    return rows, labels
+
+
+def fit(docs: DataFrame, rounds: int = 300) -> Model:
+    counted = materialize(lines(docs), "license-lines")
+    # the most frequent sets of features, a bounded number; ties by the features themselves
+    found = [(list(r["features"]), r["n"]) for r in counted.groupBy("features").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "features").limit(SAMPLE).collect()]
+    rows, labels = examples(4, [f for f, _ in found])
+    weight = [1.0] * len(rows)
+    # single words of the templates alone, and short parts without a word of notice, tell nothing: other text has them too
     for ts in TEMPLATES.values():
         for t in ts:
-            for w in set(_word.findall(t.lower().encode())):
-                rows.append(w)
-                labels.append(len(FAMILIES) - 1)
             w = _word.findall(t.lower().encode())
-            for part in (w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)):
-                if not NOTICE.intersection(x.decode() for x in part):
-                    rows.append(b" ".join(part))
+            for part in (w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)):
+                if len(part) == 1 or not NOTICE.intersection(x.decode() for x in part):
+                    rows.append([INDEX[g] for g in grams(b" ".join(part)) if g in INDEX])
                     labels.append(len(FAMILIES) - 1)
-    rows += sample
-    labels += [len(FAMILIES) - 1] * len(sample)
-    x = np.zeros((len(rows), len(index) + 1))
-    x[:, -1] = 1
-    for i, r in enumerate(rows):
-        at = [index[g] for g in grams(r) if g in index]
-        if at:
-            np.add.at(x[i], at, 1 / np.sqrt(len(at)))
-    keep = x[:, :-1].any(axis=1) | (np.arange(len(rows)) % 20 == 0)
-    x, y = x[keep], np.array(labels)[keep]
-    w = np.zeros((x.shape[1], len(FAMILIES)))
+                    weight.append(1.0)
+    rows += [f for f, _ in found]
+    labels += [len(FAMILIES) - 1] * len(found)
+    weight += [1.0 + float(np.log(n)) for _, n in found]
+    rows += [[]]
+    labels += [len(FAMILIES) - 1]
+    weight += [1.0]
+    # sparse rows: places, columns and values; the last column is the constant
+    size = np.array([len(r) for r in rows])
+    at = np.repeat(np.arange(len(rows)), size)
+    col = np.concatenate([np.asarray(r, np.int64) for r in rows])
+    value = 1 / np.sqrt(np.maximum(size, 1))[at]
+    y, share = np.array(labels), np.array(weight)
+    w = np.zeros((len(INDEX) + 1, len(FAMILIES)))
     onehot = np.eye(len(FAMILIES))[y]
-    share = 1 / np.maximum(1, onehot.sum(axis=0))[y]
+    share = share / np.maximum(1, (onehot * share[:, None]).sum(axis=0))[y]
     share *= len(y) / share.sum()
+    order = np.argsort(col, kind="stable")
+    cols, starts = np.unique(col[order], return_index=True)
+    row_starts = np.append(0, np.cumsum(size))[:-1]
+    some = size > 0
     for _ in range(rounds):
-        z = x @ w
+        z = np.zeros((len(y), len(FAMILIES)))
+        z[some] = np.add.reduceat(w[col] * value[:, None], row_starts[some], axis=0)
+        z += w[-1]
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        p = z / z.sum(axis=1, keepdims=True)
-        w += 4.0 * (x.T @ ((onehot - p) * share[:, None]) / len(y) - 1e-4 * w)
+        diff = (onehot - z / z.sum(axis=1, keepdims=True)) * share[:, None]
+        step = np.zeros_like(w)
+        step[cols] = np.add.reduceat((diff[at] * value[:, None])[order], starts, axis=0)
+        step[-1] = diff.sum(axis=0)
+        w += 4.0 * (step / len(y) - 1e-4 * w)
     w[np.abs(w) < 1e-3] = 0
-    model = Model(index, w, 0.5)
-    model.floor = max(0.5, threshold(docs, model))
+    model = Model(w, 0.5)
+    model.floor = max(0.5, _quantile(counted, model))
+    discard(counted)
     return model
 
 
-def _quick(index):
+def _quick():
     # a single word of a template is other text by training: only lines with a pair of words of some template are looked at
-    pairs = sorted({tuple(g.split()) for g in index if b" " in g})
+    pairs = sorted({tuple(g.split()) for g in INDEX if b" " in g})
     return re.compile(rb"(?<![a-z0-9])(?:" + b"|".join(re.escape(a) + rb"[^a-z0-9]+" + re.escape(b) for a, b in pairs) + rb")(?![a-z0-9])")
 
 
 def threshold(docs: DataFrame, model: Model) -> float:
     """The CALIBRATION quantile of the scores of all documents' lines that are looked at and no notice: they agree with no
     template, alone or joined, and hold no word of NOTICE. To a bin of 1 / BINS, upwards; 0 without such lines."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.index, model.weights))
+    return _quantile(lines(docs), model)
+
+
+def _quantile(counted: DataFrame, model: Model) -> float:
+    sent = counted.sparkSession.sparkContext.broadcast(model.weights)
 
     def run(batches):
-        m = Model(*sent.value, 0.0)
-        quick, notice = _quick(m.index), {x.encode() for x in NOTICE}
-        count = np.zeros(BINS, np.int64)
+        m = Model(sent.value, 0.0)
         for b in batches:
-            for _, texts in text_slices(b.column(0)):
-                for t in texts:
-                    low = t.lower()
-                    if not quick.search(low):
-                        continue
-                    within = {k for i, j, _ in agreeing(low) for k in range(i, j + 1)}
-                    for i, p in enumerate(low.split(b"\n")):
-                        if i in within or not quick.search(p) or notice.intersection(_word.findall(p)):
-                            continue
-                        own = _pairs(p)
-                        if any(len(own & x) >= SHARE * len(x) for _, x in _TEMPLATE_PAIRS if x):
-                            continue
-                        q = m.probabilities(p)
-                        if q is not None:
-                            count[min(BINS - 1, int((1 - q[-1]) * BINS))] += 1
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at])], names=["bin", "n"])
+            score = [min(BINS - 1, int((1 - m.of(f)[-1]) * BINS)) for f in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(score, pa.int32()), b.column(1)], names=["bin", "n"])
 
-    bins = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
+    bins = counted.filter("not notice and size(features) > 0").select("features", "n").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
     n = np.cumsum([r["n"] for r in bins])
     return (bins[int(np.searchsorted(n, CALIBRATION * n[-1]))]["bin"] + 1) / BINS if len(bins) else 0.0
 
@@ -208,11 +254,11 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Per row of docs: doc_id, family of its surest confirmed notice (else "unknown" where one looks like a licence, else "none"), probability, n_notices, first_line, and notices: every confirmed one's family and lines."""
     model = model or fit(docs)
     out = pa.schema([("doc_id", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("n_notices", pa.int32()), ("first_line", pa.int32()), ("notices", pa.list_(pa.struct([("family", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32())])))])
-    sent = docs.sparkSession.sparkContext.broadcast((model.index, model.weights, model.floor))
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.floor))
 
     def run(batches):
         m = Model(*sent.value)
-        quick = _quick(m.index)
+        quick = _quick()
         for b in batches:
             for at, texts in text_slices(b.column(1)):
                 rows = []
