@@ -31,6 +31,8 @@ LEAST, AVERAGE, MOST = 64, 512, 4096
 WINDOW = 16
 _GEAR = np.random.default_rng(20240611).integers(0, 2**63, 65536, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 DIGEST_BYTES = 16
+#: Documents of a shard, about, at most.
+SHARD_DOCS = 200_000
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
@@ -129,7 +131,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_chunks(path, end_id, wide), kind)
     rows.repartition(partitions(spark), "key").mapInArrow(_first_of_each, kind).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/data")
     recipes = spark.read.schema(kind).parquet(f"{folder}/data").filter("kind = 1").select("doc_id", F.col("n").alias("n_tokens"), F.col("body").alias("recipe"))
-    recipes = recipes.repartitionByRange(partitions(spark), "doc_id", "recipe").sortWithinPartitions("doc_id", "recipe")
+    shards = max(partitions(spark), recipes.count() // SHARD_DOCS)
+    recipes = recipes.repartitionByRange(shards, "doc_id", "recipe").sortWithinPartitions("doc_id", "recipe")
     recipes = recipes.withColumn("shard", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     recipes.write.option("compression", "zstd").parquet(f"{folder}/recipes")
     delete(spark, f"{folder}/data/kind=1")
@@ -143,7 +146,7 @@ def _recipes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shard_roots(spark: SparkSession, folder: str) -> DataFrame:
-    """Per shard: counts and the Merkle root over its recipes in order. A shard holds a bounded share of the documents."""
+    """Per shard: counts and the Merkle root over its recipes in order. A shard holds some SHARD_DOCS documents at most."""
 
     def root(t: pa.Table) -> pa.Table:
         t = t.sort_by("row")
@@ -153,11 +156,16 @@ def shard_roots(spark: SparkSession, folder: str) -> DataFrame:
     return _recipes(spark, folder).groupBy("shard").applyInArrow(root, "shard int, n_docs long, n_tokens long, root binary")
 
 
+def roots_hold(spark: SparkSession, folder: str) -> bool:
+    """Whether every shard's root and counts are those of the manifest."""
+    m = spark.read.parquet(f"{folder}/manifest").select("shard", F.struct("n_docs", "n_tokens", "root").alias("was"))
+    now = shard_roots(spark, folder).select("shard", F.struct("n_docs", "n_tokens", "root").alias("now"))
+    return m.join(now, "shard", "full").filter("not (was <=> now)").isEmpty()
+
+
 def verify(spark: SparkSession, folder: str) -> bool:
     """Whether every shard's root and counts are those of the manifest and every stored chunk has its digest."""
-    m = spark.read.parquet(f"{folder}/manifest").select("shard", "n_docs", "n_tokens", "root")
-    now = shard_roots(spark, folder)
-    return m.exceptAll(now).isEmpty() and now.exceptAll(m).isEmpty() and read_chunks(spark, folder).filter("not ok").isEmpty()
+    return roots_hold(spark, folder) and read_chunks(spark, folder).filter("not ok").isEmpty()
 
 
 def _stored(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,7 +204,9 @@ def join_crc(parts) -> int:
 
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32. Fails on a chunk whose bytes don't have its digest."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32. Fails on recipes that don't have their shard's Merkle root, and on a chunk whose bytes don't have its digest."""
+    if not roots_hold(spark, folder):
+        raise ValueError(f"{folder}: recipes do not match the manifest")
     @F.pandas_udf("long")
     def combined(parts: pd.Series) -> pd.Series:
         return pd.Series([join_crc((p["crc"], 4 * p["size"]) for p in x) for x in parts], dtype="int64")
