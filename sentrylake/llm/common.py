@@ -79,6 +79,12 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def make(spark: SparkSession, path: str) -> None:
+    """A folder, if it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors once for each application."""
     sc = spark.sparkContext
