@@ -48,6 +48,10 @@ def test_index_goes_on(spark, docs):
     assert index.append(docs.filter("doc_id >= 5")).filter("kept").count() == 7
     later = {r.doc_id: (r.kept, r.keep_id) for r in index.append(docs.filter("doc_id < 5")).collect()}
     assert later[4] == (False, 5) and later[2] == (True, 2) and later[1] == (False, 2)
+    # a named batch may be repeated: the same rows stay
+    own = exact_dedup.DigestIndex(spark, new_path(spark, "index"), 4)
+    once = own.append(docs, "first").filter("kept").count()
+    assert once == 9 and own.append(docs, "first").filter("kept").count() == once and own.append(docs, "second").filter("kept").count() == 0
 
 
 def test_ngram_join(docs):
@@ -106,6 +110,13 @@ def test_token_store(spark, docs):
         assert ids[i] == want.tolist()
         start += len(want)
     assert token_store.verify(spark, folder)
+    recipes = spark.read.parquet(f"{folder}/recipes")
+    other = new_path(spark, "store")
+    recipes.withColumn("n_tokens", F.col("n_tokens") + F.when(F.col("doc_id") == 3, 1).otherwise(0)).write.parquet(f"{other}/recipes")
+    for part in ("data/kind=0", "manifest"):
+        spark.read.parquet(f"{folder}/{part}").write.parquet(f"{other}/{part}")
+    with pytest.raises(ValueError):
+        token_store.read_digests(spark, other)
 
 
 def test_packing(docs):
@@ -210,3 +221,11 @@ def test_license_threshold_is_over_all_lines(spark):
     rare = docs.withColumn("text", F.when(F.col("doc_id") == 0, high.decode()).otherwise(low.decode()))
     assert 0 <= licenses.threshold(rare, model) - score(low) <= 1 / licenses.BINS
     assert licenses.threshold(docs.filter("1 = 0"), model) == 0
+
+
+def test_license_families_of_made_paragraphs(spark):
+    """Paragraphs made from the templates with other words dropped than in training."""
+    model = licenses.fit(spark.createDataFrame([(1, "plain text")], "doc_id long, text string"))
+    rows, labels = licenses.examples(77, [], 20)
+    right = [int(np.argmax(model.of(r)[:-1])) == y and model.of(r)[-1] < 0.5 for r, y in zip(rows, labels) if r]
+    assert np.mean(right) >= 0.95
