@@ -14,6 +14,8 @@ import struct
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .words import words
 
@@ -168,18 +170,15 @@ class Encoder:
         return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
-def text_slices(batch_texts, max_bytes: int = 4 << 20):
+def text_slices(batch_texts, max_bytes: int = 1 << 20):
     """Cut an Arrow string array into runs of rows of at most max_bytes of text (one row at least); nulls become empty.
 
-    Yields (first row, list of UTF-8 bytes)."""
-    import pyarrow as pa
-
-    arr = batch_texts.cast(pa.large_binary()).fill_null(b"")
-    sizes = np.diff(np.frombuffer(arr.buffers()[1], dtype=np.int64)[arr.offset : arr.offset + len(arr) + 1]) if len(arr) else np.zeros(0, np.int64)
+    Yields (first row, list of UTF-8 bytes). Work on words takes some 50 bytes of memory for each of text."""
+    sizes = pc.fill_null(pc.binary_length(batch_texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.cumsum(sizes)
     at = 0
-    while at < len(arr):
+    while at < len(sizes):
         base = total[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(total, base + max_bytes, side="right")))
-        yield at, arr.slice(at, end - at).to_pylist()
+        yield at, batch_texts.slice(at, end - at).cast(pa.large_binary()).fill_null(b"").to_pylist()
         at = end

@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
         enc = encoder(path)
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            for at, texts in text_slices(batch.column(1)):
+            for at, texts in text_slices(batch.column(1), 2 << 20):
                 rows = []
                 for i, ids in enumerate(enc.encode(texts)):
                     ids += end

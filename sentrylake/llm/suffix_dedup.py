@@ -321,7 +321,7 @@ def _runs(docs: DataFrame, wanted: DataFrame, cuts: list[int], length: int, key:
     def run(batches):
         for b in batches:
             tids, keys = b.column(0).to_pylist(), b.column(1)
-            for first, texts in text_slices(b.column(2), 8 << 20):
+            for first, texts in text_slices(b.column(2), 4 << 20):
                 places, hashes = [], []
                 for i, t in enumerate(texts):
                     at, h = anchors(np.frombuffer(t, np.uint8), length, key) if text_id(t) == tids[first + i] else (np.zeros(0, np.int64), np.zeros(0, np.uint64))

@@ -82,7 +82,7 @@ def _chunks(path: str, end_id: int, wide: bool):
         enc, seen, end = encoder(path), set(), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            for at, texts in text_slices(batch.column(1)):
+            for at, texts in text_slices(batch.column(1), 2 << 20):
                 rows = []
                 raws = [raw + end for raw in enc.encode(texts)]
                 every = np.frombuffer(b"".join(raws), "<u4")
