@@ -1,21 +1,23 @@
 """Alert decisions: one ordered pass over each actor's anchors.
 
-EWMA baselines, trust and cooldown depend on earlier decisions of the same actor, so they are folded in Python over the
-actor's anchors in ingest order; anchors are few beside events, and actors are dealt over tasks by key.
+EWMA baselines, trust and cooldown depend on earlier decisions of the same actor, so anchors are dealt by actor, sorted, and
+read in order with a small state; a task streams over its rows, and no actor's anchors are gathered.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Features that the baseline of the first variant follows.
 BASELINE_KEYS = ("login_burst", "sens_burst", "email_burst", "after_hours", "export_large", "export_small", "staging_export")
 
 
-@dataclass
+# Parameters of the variants.
+@dataclass(frozen=True)
 class Config:
     early: float = 3.0
     confirmed: float = 4.0
@@ -32,6 +34,18 @@ class Config:
     trust_slope: float = 1.2
     trust_tp: float = -0.15
     trust_fp: float = 0.04
+    ml_weight: float = 2.0
+    ml_margin: float = 3.0
+    role_adjustment: tuple = ()
+    keys: tuple = BASELINE_KEYS
+
+
+_SIX = ("login_burst", "sens_burst", "after_hours", "export_large", "export_small", "staging_export")
+CONFIGS = {
+    "lsc": Config(),
+    "ce": Config(early=2.5, confirmed=3.5, keys=_SIX),
+    "eg": Config(early=2.0, trust_tp=-0.18, trust_fp=0.05, role_adjustment=(("analyst", 0.8), ("admin", 1.2)), keys=_SIX),
+}
 
 
 class ActorState:
@@ -49,8 +63,8 @@ class ActorState:
             self.mean[k], self.var[k] = m, (1 - c.alpha_var) * v + c.alpha_var * (x - m) ** 2
         return c.z_weight * total
 
-    def threshold(self) -> float:
-        return self.c.confirmed + (self.c.trust_slope * (self.trust - 0.5) if self.c.use_trust else 0.0)
+    def threshold(self, role: str | None = None) -> float:
+        return self.c.confirmed + dict(self.c.role_adjustment).get(role, 0.0) + (self.c.trust_slope * (self.trust - 0.5) if self.c.use_trust else 0.0)
 
     def fires(self, tier: str, step: int) -> bool:
         if tier in self.last and step - self.last[tier] < self.c.cooldown:
@@ -64,28 +78,64 @@ class ActorState:
             self.trust = min(max(t, self.c.trust_min), self.c.trust_max)
 
 
-SCHEMA = "event_id long, actor_id long, step long, tier string, label string, phase string, score double, threshold double, trust double, verdict string"
-
-
-def decide(pdf: pd.DataFrame, c: Config) -> pd.DataFrame:
-    """Alerts of one actor."""
-    state, rows = ActorState(c), []
-    for r in pdf.sort_values("ord").to_dict("records"):
-        value = (r["score_base"] + r["off"]) * r["mult"]
-        if c.use_baseline:
-            value += state.baseline({k: r[k] for k in BASELINE_KEYS})
-        base = [int(r["event_id"]), int(r["actor_id"]), int(r["step"])]
-        if value >= c.early and state.fires("early", r["step"]):
-            rows.append((*base, "early", r["label"], r["phase"], value, c.early, state.trust, None))
-        threshold = state.threshold()
-        if value >= threshold and r["gate"] and state.fires("confirmed", r["step"]):
-            malicious = r["label"] == "malicious"
-            rows.append((*base, "confirmed", r["label"], r["phase"], value, threshold, state.trust, "malicious" if malicious else "benign"))
-            state.verdict(malicious)
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+SCHEMA = "event_id long, actor_id long, step long, label string, phase string, base double, value double, threshold double, trust double, early boolean, confirmed boolean, early_score double, confirmed_score double"
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def judge(state: ActorState, r: dict) -> tuple:
+    """What one anchor comes to, and what it leaves in its actor's state."""
+    c = state.c
+    base = (r["score_base"] + r["off"]) * r["mult"]
+    if c.use_baseline:
+        base += state.baseline({k: r[k] for k in c.keys})
+    value = base + r["boost"]
+    threshold, trust = state.threshold(r["role"]), state.trust
+    # what the anomaly model adds moves borderline scores only
+    nudged = lambda least: value + (c.ml_weight * r["ml"] if value >= least - c.ml_margin else 0.0)
+    early_score, confirmed_score = nudged(c.early), nudged(threshold)
+    early = bool(early_score >= c.early and state.fires("early", r["step"]))
+    confirmed = bool(confirmed_score >= threshold and r["gate"] and state.fires("confirmed", r["step"]))
+    if confirmed:
+        state.verdict(r["label"] == "malicious")
+    return r["event_id"], r["actor_id"], r["step"], r["label"], r["phase"], base, value, threshold, trust, early, confirmed, early_score, confirmed_score
+
+
+def decide(scored: DataFrame, config: Config | None = None, by: tuple = ()) -> DataFrame:
+    """A row for each scored anchor (ord, role, label, phase, score_base, off, mult, boost, ml, gate and the baseline's features): scores, threshold, and what fires.
+
+    by: further columns that part the state, as the runs of a sweep do; they stay in the result."""
+    c = config or Config()
+    for name in ("boost", "ml"):
+        scored = scored if name in scored.columns else scored.withColumn(name, F.lit(0.0))
+    kinds = dict(scored.dtypes)
+    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), SCHEMA])
+
+    def follow(frames):
+        last, state = None, None
+        for pdf in frames:
+            rows = []
+            for r in pdf.to_dict("records"):
+                key = (*(r[b] for b in by), r["actor_id"])
+                if key != last:
+                    # the columns of a sweep may carry thresholds and switches of their own
+                    own = {k: r[k] for k in ("confirmed", "early", "use_baseline", "use_trust") if k in r}
+                    last, state = key, ActorState(replace(c, **own))
+                rows.append((*(r[b] for b in by), *judge(state, r)))
+            yield pd.DataFrame(rows, columns=[*by, *_NAMES])
+
+    keys = [*by, "actor_id"]
+    return scored.repartition(*keys).sortWithinPartitions(*keys, "ord").mapInPandas(follow, schema)
+
+
+def fired(decided: DataFrame, config: Config | None = None) -> DataFrame:
+    """The early and the confirmed alerts of decided anchors, one row each."""
+    c = config or Config()
+    shared = [x for x in decided.columns if x not in (*_NAMES[5:],)]
+    early = decided.filter("early").select(*shared, F.lit("early").alias("tier"), F.col("early_score").alias("score"), F.lit(c.early).alias("threshold"), "trust", F.lit(None).cast("string").alias("verdict"))
+    verdict = F.when(F.col("label") == "malicious", "malicious").otherwise("benign")
+    return early.unionByName(decided.filter("confirmed").select(*shared, F.lit("confirmed").alias("tier"), F.col("confirmed_score").alias("score"), "threshold", "trust", verdict.alias("verdict")))
 
 
 def alerts(scored: DataFrame, config: Config | None = None) -> DataFrame:
-    """Early and confirmed alerts of scored anchors (columns of the table expression ``scored``)."""
-    values = asdict(config or Config())
-    return scored.groupBy("actor_id").applyInPandas(lambda pdf: decide(pdf, Config(**values)), SCHEMA)
+    """Early and confirmed alerts of scored anchors."""
+    return fired(decide(scored, config), config)

@@ -3,29 +3,37 @@
 A text that starts with a comma adds table expressions to the common ones.
 """
 
-_DISTINCT = """select a.actor_id, a.step, count(distinct b.resource) as resources, count(distinct b.dst) as dsts,
-    cast(sum(case when b.event_type = 'login' then case when b.ord > a.ord - a.n + floor(a.n / 2) then 1 else -1 end else 0 end) as bigint) as logins_moved,
-    cast(sum(case when b.event_type = 'db_query' and b.resource = 'patients_table' then case when b.ord > a.ord - a.n + floor(a.n / 2) then 1 else -1 end else 0 end) as bigint) as sensitive_moved
-    from snap a join ordered b on a.actor_id = b.actor_id and b.ord between a.ord - 47 and a.ord group by a.actor_id, a.step"""
+#: The last 48 events of each actor at the end of each step, as lists.
+LISTS = """, lists as (select * from (select actor_id, step, last_of_step, count(*) over w48 as n, @list(resource) over w48 as resources, @list(dst) over w48 as dsts,
+        @list(case when event_type = 'login' then 1 else 0 end) over w48 as logins, @list(case when event_type = 'db_query' and resource = 'patients_table' then 1 else 0 end) over w48 as reads
+        from lagged window w48 as (partition by actor_id order by step, src_rank, event_id rows between 47 preceding and current row)) x where last_of_step)
+    """
+_HALF = "cast(floor(n / 2) as int)"
+_moved = lambda x: f"cast(coalesce(@head({x}, 1, cast(n as int)@h), 0) - 2 * coalesce(@head({x}, 1, {_HALF}@h), 0) as double) / greatest(1, {_HALF})"
+#: Logins and reads of the later half of the window less those of the earlier.
+VELOCITY = f"{_moved('logins')} as login_velocity, {_moved('reads')} as sensitive_velocity"
+
+# what an actor's window adds to the sums of its role, so that running sums hold every peer's latest window
+PEERS = """moved as (select profile_role, step, cast(sum(exports - before) as bigint) as d1, cast(sum(exports * exports - before * before) as bigint) as d2 from (
+            select profile_role, step, exports, coalesce(lag(exports) over (partition by actor_id order by step), 0) as before from snap) x group by profile_role, step),
+        sums as (select profile_role, step, cast(sum(d1) over (partition by profile_role order by step) as bigint) as s1, cast(sum(d2) over (partition by profile_role order by step) as bigint) as s2 from moved),
+        peers as (select role, count(*) - 1 as m from profile group by role),
+        spread as (select a.event_id, a.actor_id, a.step, a.exports, p.m, cast(s.s1 - a.exports as double) / greatest(1, p.m) as mean,
+            sqrt(cast(p.m * (s.s2 - a.exports * a.exports) - (s.s1 - a.exports) * (s.s1 - a.exports) as double)) / greatest(1, p.m) as sd
+            from anchors a join sums s on a.profile_role = s.profile_role and a.step = s.step join peers p on a.profile_role = p.role)"""
+DEVIATION = "select event_id, actor_id, step, case when m >= 3 then greatest(0e0, (exports - mean) / (sd + 0.1e0) - 2) else 0e0 end as deviation from spread"
 
 QUERIES = {
-    "feature_vector": f"""select s.actor_id, s.step, s.logins, s.queries, s.sensitive, s.exports, s.outside, s.after_hours_n,
+    "feature_vector": LISTS + f"""select s.actor_id, s.step, s.logins, s.queries, s.sensitive, s.exports, s.outside, s.after_hours_n,
         cast(s.sensitive as double) / greatest(1, s.queries) as sensitive_share, cast(s.exports as double) / greatest(1, s.queries) as export_share,
         cast(s.outside as double) / greatest(1, s.emails) as outside_share, cast(s.after_hours_n as double) / greatest(1, s.n) as after_hours_share,
         s.bytes_moved / 10000e0 as bytes_total, s.bytes_most / 10000e0 as bytes_max, cast(s.bytes_moved as double) / greatest(1, s.queries + s.exports) / 1000e0 as bytes_mean, s.moves_over_100k,
         s.mails_over_500, s.outside_unapproved, case when s.sequences > 0 then 1 else 0 end as sequence, cast(s.n as double) / greatest(1, s.span) as density,
-        s.exports_without_ticket, s.device_changes, d.resources, d.dsts,
-        cast(d.logins_moved as double) / greatest(1, floor(s.n / 2)) as login_velocity, cast(d.sensitive_moved as double) / greatest(1, floor(s.n / 2)) as sensitive_velocity
-        from snap s join ({_DISTINCT}) d on s.actor_id = d.actor_id and s.step = d.step""",
-    # what an actor's window adds to the sums of its role, so that running sums hold every peer's latest window
-    "peer_deviation": """, moved as (select role, step, cast(sum(exports - before) as bigint) as d1, cast(sum(exports * exports - before * before) as bigint) as d2 from (
-            select role, step, exports, coalesce(lag(exports) over (partition by actor_id order by step), 0) as before from snap) x group by role, step),
-        sums as (select role, step, cast(sum(d1) over (partition by role order by step) as bigint) as s1, cast(sum(d2) over (partition by role order by step) as bigint) as s2 from moved),
-        peers as (select role, count(*) - 1 as m from profile group by role),
-        spread as (select a.event_id, a.actor_id, a.step, a.exports, p.m, cast(s.s1 - a.exports as double) / greatest(1, p.m) as mean,
-            sqrt(cast(p.m * (s.s2 - a.exports * a.exports) - (s.s1 - a.exports) * (s.s1 - a.exports) as double)) / greatest(1, p.m) as sd
-            from anchors a join sums s on a.role = s.role and a.step = s.step join peers p on a.role = p.role)
-        select event_id, actor_id, step, case when m >= 3 then greatest(0e0, (exports - mean) / (sd + 0.1e0) - 2) else 0e0 end as deviation from spread""",
+        s.exports_without_ticket, s.device_changes, d.resources, d.dsts, d.login_velocity, d.sensitive_velocity
+        from snap s join (select actor_id, step, @size(@distinct(resources)) as resources, @size(@distinct(dsts)) as dsts, {VELOCITY} from lists) d on s.actor_id = d.actor_id and s.step = d.step""",
+    "peer_deviation": ", " + PEERS + " " + DEVIATION,
+    # rules whose actions stand in order among the last 20 codes, as regular expressions over the joined codes
+    "abductive_rule_hits": "select event_id, actor_id, step, {hits} from (select *, concat(';', {joined}, ';') as codes from coded) x",
     "vocabulary": "select distinct w as word from (select @explode(@words(content@w)) as w from style where n_words >= 30) x",
     "burstiness": """select event_id, case when n < 2 then 0.5e0 else least(1e0, sqrt(cast(n * q - s * s as double)) / n / greatest(1e0, cast(s as double) / n) / 1.5e0) end as burstiness from (
         select event_id, cast(count(*) as bigint) as n, cast(sum(len) as bigint) as s, cast(sum(len * len) as bigint) as q from (
@@ -43,33 +51,22 @@ QUERIES = {
     "extract_address": """select event_id, case when header like '%<%>%' then lower(trim(substring(header, instr(header, '<') + 1, instr(header, '>') - instr(header, '<') - 1)))
         when header like '%@%' then lower(trim(header)) else '' end as address from (
         select event_id, case when event_id % 3 = 0 then concat('Desk <', dst, '>') when event_id % 3 = 1 then concat(' ', upper(dst)) else 'undisclosed' end as header from security_events where event_type = 'email_send') x""",
-    "stratified_split": """select doc_id, toxic, row_number() over (partition by toxic order by doc_id % 97, doc_id) <= floor(0.15e0 * count(*) over (partition by toxic)) as test from (select doc_id, max(toxic) as toxic from labels l group by doc_id) x""",
-    "run_average": """select config, avg(cast(alerts as double)) as alerts_mean, avg(cast(tp as double) / alerts) as precision_mean, count(*) as runs from (
-        select case when s.gate then 'gated' else 'open' end as config, s.step % 5 as run, count(*) as alerts, sum(case when s.label = 'malicious' then 1 else 0 end) as tp from scored s where s.phase = 'test' group by case when s.gate then 'gated' else 'open' end, s.step % 5) x group by config""",
-    "detected_actor_set": """select distinct actor_id from scored where gate and (score_base + off) * mult >= 4 and phase = 'test'
-        and actor_id in (select actor_id from security_events where label = 'malicious')""",
-    "mixed_precision_eval": """select detected, false_alerts, cast(detected as double) / greatest(1, detected + false_alerts) as mixed_precision from (
-        select count(distinct case when label = 'malicious' then actor_id end) as detected, count(case when label <> 'malicious' then 1 end) as false_alerts from scored
-        where gate and (score_base + off) * mult >= 4 and phase = 'test') x""",
+    # ranks within 97 bands of a label, after the counts of the bands before: no label lies in one task
+    "stratified_split": """, rows_ as (select doc_id, max(toxic) as toxic, doc_id % 97 as band from labels l group by doc_id),
+        bands as (select toxic, band, n, sum(n) over (partition by toxic order by band) - n as earlier, sum(n) over (partition by toxic) as total from (select toxic, band, count(*) as n from rows_ group by toxic, band) x)
+        select r.doc_id, r.toxic, b.earlier + row_number() over (partition by r.toxic, r.band order by r.doc_id) <= floor(0.15e0 * b.total) as test from rows_ r join bands b on r.toxic = b.toxic and r.band = b.band""",
     "reason_codes": """select event_id, concat(case when anchor_email = 1 then 'anchor_email;' else '' end, case when anchor_login = 1 then 'anchor_login;' else '' end,
         case when login_burst = 1 then 'login_burst;' else '' end, case when sens_burst = 1 then 'sens_burst;' else '' end, case when email_burst = 1 then 'email_burst;' else '' end,
         case when after_hours = 1 then 'after_hours;' else '' end, case when export_large = 1 then 'export_large;' else '' end, case when export_small = 1 then 'export_small;' else '' end,
-        case when staging_export = 1 then 'staging_export;' else '' end, case when cycles > 0 then 'partner_cycle;' else '' end) as reasons from flags""",
+        case when staging_export = 1 then 'staging_export;' else '' end, case when cycles > 0 then case when tickets > 0 then 'policy:partner_reporting_ticket;' else 'policy:partner_reporting_no_ticket;' end else '' end,
+        case when unapproved = 1 then 'policy:unapproved_partner;' when outside > 0 then 'policy:approved_partner_email_not_anchor;' else '' end, case when after_hours = 1 and not allowed_after_hours then 'policy:after_hours_not_allowed;' else '' end) as reasons from flags""",
     "forensics_cache_mean": """select event_id, actor_id, step, avg(phishing) over p as phishing_mean, cast(sum(violations) over p as bigint) as violations, least(1e0, sum(violations) over p / 3e0) as violation_risk from (
         select event_id, actor_id, step, {phishing} as phishing, {violations} as violations from mails) x
         window p as (partition by actor_id order by step, event_id rows between 9 preceding and current row)""",
     # samples are the steps with events of an actor; sums stand still where the window holds a partner cycle
-    "clean_sample_filter": """select actor_id, step, cycles = 0 and not (large_exports > 3 and outside_mails > 5) as clean from (
-        select actor_id, step, cycles, cast(sum(case when cycles = 0 then large else 0 end) over p as bigint) as large_exports, cast(sum(case when cycles = 0 then outside else 0 end) over p as bigint) as outside_mails from (
-            select a.actor_id, a.step, a.cycles, a.outside, sum(case when b.event_type = 'data_export' and b.bytes > 100000 then 1 else 0 end) as large
-            from snap a join ordered b on a.actor_id = b.actor_id and b.ord between a.ord - 47 and a.ord group by a.actor_id, a.step, a.cycles, a.outside) x
+    "clean_sample_filter": """select actor_id, step, cycles = 0 and not (large_so_far > 3 and outside_so_far > 5) as clean from (
+        select actor_id, step, cycles, cast(sum(case when cycles = 0 then large_exports else 0 end) over p as bigint) as large_so_far, cast(sum(case when cycles = 0 then outside else 0 end) over p as bigint) as outside_so_far from snap
         window p as (partition by actor_id order by step rows between unbounded preceding and current row)) y""",
-    # runs are made from the actors' numbers
-    "sweep_summary": """select config, threshold, avg(cast(alerts as double)) as alerts_mean, avg(cast(fp as double)) as fp_mean, avg(cast(alerts - fp as double) / alerts) as precision_mean, count(*) as runs from (
-        select g.config, g.threshold, s.actor_id % 5 as run, count(*) as alerts, sum(case when s.label <> 'malicious' then 1 else 0 end) as fp from scored s
-        cross join (select c.config, t.threshold from (select 'policy' as config union all select 'rules_only' as config) c
-            cross join (select 3 as threshold union all select 4 as threshold union all select 5 as threshold union all select 6 as threshold union all select 7 as threshold) t) g
-        where s.phase = 'test' and s.gate and case when g.config = 'policy' then (s.score_base + s.off) * s.mult else s.score_base end >= g.threshold group by g.config, g.threshold, s.actor_id % 5) x group by config, threshold""",
 }
 
 _CTES, _PERPLEXITY = QUERIES["running_perplexity"].rsplit("\n        select t.event_id", 1)

@@ -5,33 +5,40 @@ A query is written once; ``@``-marked words stand for functions that the two dia
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decisions, goals
-from ..operators.features import FEATURES, SCORED, score
+from ..operators.features import CONTEXT, FEATURES, POLICY, SCORED, SUPPRESSED, score, scored_with_context
 from ..sources.events import event_ctes
 from ..streaming import streams
-from . import extended
+from . import extended, folds, oracles, training
 
 _DIALECT = {
     "spark": {"@words(": "regexp_extract_all(lower(", "@w)": "), '[\\\\p{L}\\\\p{N}_]+', 0)", "@size(": "size(", "@sentences(": "filter(transform(split(", "@s)": ", '[.!?]+'), x -> trim(x)), x -> x <> '')",
-              "@distinct(": "array_distinct(", "@tokens(": "size(split(trim(", "@t)": "), '[ \\n\\r\\t]+'))", "@any_value": "any_value", "@string": "string", "@explode(": "explode("},
+              "@distinct(": "array_distinct(", "@tokens(": "size(split(trim(", "@t)": "), '[ \\n\\r\\t]+'))", "@any_value": "any_value", "@string": "string", "@explode(": "explode(", "@joined(": "concat_ws(';', collect_list(", "@j)": ")", "@end": ")", "@range": "sequence(0, 7)", "@split(": "split(", "@p)": ")", "@list(": "collect_list(", "@known(": "last_value(", "@k)": ") ignore nulls",
+              "@head(": "aggregate(slice(", "@h)": "), 0L, (a, x) -> a + x)", "@matches(": "regexp_like(", "@count(": "regexp_count(", "@c)": ")", "@upper_words(": "size(filter(split(trim(", "@u)": "), '[ \\n\\r\\t]+'), x -> length(x) > 2 and upper(x) = x and lower(x) <> x))"},
     "duckdb": {"@words(": "regexp_extract_all(lower(", "@w)": "), '[\\p{L}\\p{N}_]+')", "@size(": "len(", "@sentences(": "list_filter(list_transform(regexp_split_to_array(", "@s)": ", '[.!?]+'), lambda x: trim(x)), lambda x: x <> '')",
-               "@distinct(": "list_distinct(", "@tokens(": "len(regexp_split_to_array(trim(", "@t)": "), '[ \\n\\r\\t]+'))", "@any_value": "any_value", "@string": "varchar", "@explode(": "unnest("},
+               "@distinct(": "list_distinct(", "@tokens(": "len(regexp_split_to_array(trim(", "@t)": "), '[ \\n\\r\\t]+'))", "@any_value": "any_value", "@string": "varchar", "@explode(": "unnest(", "@joined(": "string_agg(", "@j)": ", ';')", "@end": "", "@range": "range(8)", "@split(": "string_split(", "@p)": ")", "@list(": "list(", "@known(": "last_value(", "@k)": " ignore nulls)",
+               "@head(": "list_sum(list_slice(", "@h)": "))", "@matches(": "regexp_matches(", "@count(": "len(regexp_extract_all(", "@c)": "))", "@upper_words(": "len(list_filter(regexp_split_to_array(trim(", "@u)": "), '[ \\n\\r\\t]+'), lambda x: length(x) > 2 and upper(x) = x and lower(x) <> x))"},
 }
-TABLES = ("documents", "labels")
+TABLES = ("events", "documents", "labels")
 
 # Word lists of the text variants.
 PHISHING = {
     "ce": ("urgent", "immediately", "verify", "suspend", "account", "password", "click here", "confirm", "expire", "limited time", "act now", "winner", "congratulations", "free", "prize"),
     "eg": ("urgent", "immediately", "verify", "suspend", "password", "click here", "confirm", "expire", "act now"),
+    "trained": ("urgent", "verify", "password", "click here", "confirm", "expire", "act now", "immediately", "confidential", "suspended", "unauthorized", "security alert", "account", "bank", "credit card"),
 }
 SENSITIVE = {
     "ce": ("confidential", "secret", "private", "ssn", "social security", "credit card", "password", "patient", "medical", "financial", "proprietary", "trade secret", "classified"),
     "eg": ("confidential", "secret", "private", "patient", "medical", "financial"),
+    "trained": ("confidential", "secret", "private", "patient", "ssn", "password", "credential", "classified"),
 }
-URGENT = {"ce": ("urgent", "immediately", "asap", "now", "quickly", "hurry"), "eg": ("urgent", "immediately", "asap", "now")}
+URGENT = {"ce": ("urgent", "immediately", "asap", "now", "quickly", "hurry"), "eg": ("urgent", "immediately", "asap", "now"), "trained": ("urgent", "immediately", "asap", "now", "deadline", "critical"), "egx": ("urgent", "immediately", "asap", "now", "deadline")}
+ATTACHMENT = ("attached", "attachment", "enclosed", "see attached", ".xls", ".doc", ".pdf")
 VIOLATIONS = ("do not share", "internal only", "not for distribution", "delete after reading")
 
 SUBJECTS = (
@@ -46,10 +53,12 @@ def _hits(words, text="lower(content)") -> str:
 
 
 MAILS = """
-sent as (select event_id, step, actor_id, dst, attachment_kb, src_rank, k, event_id % (select count(*) from documents) as doc_key from security_events where event_type = 'email_send'),
+sent as (select event_id, step, actor_id, dst, attachment_kb, src_rank, k, event_id % (select max(doc_id) + 1 from documents) as doc_key from security_events where event_type = 'email_send'),
 mails as (select e.event_id, e.step, e.actor_id, e.dst, e.attachment_kb, e.src_rank, concat(case e.k % 8 {cases} end, d.text) as content
     from sent e join documents d on d.doc_id = e.doc_key),
-style as (select *, @size(@words(content@w)) as n_words, @size(@distinct(@words(content@w))) as n_distinct, @size(@sentences(content@s)) as n_sentences, @tokens(content@t) as n_tokens from mails)""".format(
+texts as (select d.doc_id, v.variant, concat(case v.variant {cases} end, d.text) as content from documents d cross join (select @explode(@range) as variant) v where d.text is not null),
+measured as (select doc_id, variant, content, @size(@words(content@w)) as n_words, @size(@distinct(@words(content@w))) as n_distinct, @size(@sentences(content@s)) as n_sentences, @tokens(content@t) as n_tokens from texts),
+style as (select e.event_id, e.step, e.actor_id, e.dst, e.attachment_kb, e.src_rank, t.content, t.n_words, t.n_distinct, t.n_sentences, t.n_tokens from sent e join measured t on t.doc_id = e.doc_key and t.variant = e.k % 8)""".format(
     cases=" ".join(f"when {i} then '{s}'" for i, s in enumerate(SUBJECTS)))
 
 _IDS = "event_id, actor_id, step"
@@ -59,7 +68,7 @@ _ratio = lambda a, b: f"cast({a} as double) / greatest(1, {b})"
 QUERIES = {
     # scans, dimensions, order
     "scan_event_log": "select event_id, step, actor_id, event_type, resource, action, dst, bytes, attachment_kb, label, phase from security_events",
-    "upsert_user_profile": "select actor_id, role, allowed_after_hours, partner_approved from profile",
+    "upsert_user_profile": "select actor_id, role, allowed_after_hours, approved_dst from profile",
     "monitor_route": "select event_id, actor_id, step, case when event_type in ('db_query', 'data_export') then 'db' when event_type = 'email_send' then 'email' else 'auth' end as source, label from security_events",
     "ingest_order": "select event_id, actor_id, step, src_rank, ord from ordered",
     # projections and predicates
@@ -68,12 +77,12 @@ QUERIES = {
     "work_hours": "select event_id, step % 24 as hour, not (step % 24 between 8 and 17) as after_hours, (step % 24 < 7 or step % 24 > 19) as odd_hours from security_events",
     "is_external": "select event_id, dst, coalesce(lower(dst) like '%outside', false) as ends_outside, coalesce(lower(dst) like '%outside%', false) as holds_outside from security_events",
     "email_anchor": f"select {_IDS}, dst, attachment_kb from security_events where event_type = 'email_send' and dst like '%outside' and attachment_kb > 200",
-    "login_anchor": f"select {_IDS}, role, takeover, device_change from security_events where event_type = 'login' and ((after_hours and role = 'admin') or takeover or device_change)",
+    "login_anchor": f"select {_IDS}, role, takeover, device_change, (after_hours and role = 'admin') or takeover as anchor from security_events where event_type = 'login' and ((after_hours and role = 'admin') or takeover or device_change)",
     "encode_action": f"""select {_IDS}, concat(event_type, case when resource is not null then concat(':', resource) else '' end,
         case when event_type = 'email_send' then case when dst like '%outside' then ':external' else ':internal' end else '' end,
         case when event_type = 'login' and after_hours then ':after_hours' else '' end, case when event_type = 'login' and device_change then ':new_device' else '' end,
         case when event_type = 'data_export' and (destination = 'internal_staging' or action like '%INTERNAL%') then ':internal' else '' end) as code from security_events""",
-    "contradiction_flags": "select event_id, ticket_id is not null as has_ticket, approved_partner, coalesce(cycle = 'partner_reporting', false) as scheduled_cycle, not after_hours as work_hours from security_events",
+    "contradiction_flags": "select event_id, ticket_id is not null as has_ticket, approved_partner, coalesce(cycle = 'partner_reporting', false) as scheduled_cycle, not after_hours as work_hours, event_type = 'data_export' and ticket_id is not null as approved_export from security_events",
     # rolling windows
     "rolling_history": _snap("n, ord"),
     "login_burst": _snap("logins, case when logins >= 3 then 1 else 0 end as login_burst, case when logins >= 4 then 1 else 0 end as login_burst_egx"),
@@ -81,7 +90,7 @@ QUERIES = {
     "email_burst": _snap("outside_large as ext_email_count, case when outside_large >= 3 then 1 else 0 end as email_burst"),
     "after_hours_any": _snap("case when after_hours_n > 0 then 1 else 0 end as after_hours"),
     "export_size_flags": _snap("case when largest_export >= 120000 then 1 else 0 end as export_large, case when largest_export < 120000 then 1 else 0 end as export_small"),
-    "staging_export": _snap("case when staged > 0 then 1 else 0 end as staging_export"),
+    "staging_export": _snap("case when staged > 0 then 1 else 0 end as staging_export, case when staged_patients > 0 then 1 else 0 end as staging_export_lsc"),
     "exfil_chain_tight": _snap("case when chains > 0 then 1 else 0 end as exfil_chain"),
     "stealth_pattern": _snap("case when sensitive >= 1 and outside_large >= 1 and exports = 0 then 1 else 0 end as stealth_pattern"),
     "rich_counts": _snap("logins, queries, sensitive, exports, outside, after_hours_n"),
@@ -91,43 +100,40 @@ QUERIES = {
     "read_export_email_seq": _snap("case when sequences > 0 then 1 else 0 end as sequence"),
     "event_density": _snap("cast(n as double) / greatest(1, span) as density"),
     "ticket_device_context": _snap("exports_without_ticket, device_changes"),
-    "distinct_in_window": """select a.actor_id, a.step, count(distinct b.resource) as resources, count(distinct b.dst) as dsts
-        from snap a join ordered b on a.actor_id = b.actor_id and b.ord between a.ord - 47 and a.ord group by a.actor_id, a.step""",
-    "rich_velocity": """select a.actor_id, a.step, cast(sum(case when b.event_type = 'login' then case when b.ord > a.ord - a.n + floor(a.n / 2) then 1 else -1 end else 0 end) as double) / greatest(1, floor(a.n / 2)) as login_velocity,
-        cast(sum(case when b.event_type = 'db_query' and b.resource = 'patients_table' then case when b.ord > a.ord - a.n + floor(a.n / 2) then 1 else -1 end else 0 end) as double) / greatest(1, floor(a.n / 2)) as sensitive_velocity
-        from snap a join ordered b on a.actor_id = b.actor_id and b.ord between a.ord - 47 and a.ord group by a.actor_id, a.step, a.n""",
+    "distinct_in_window": extended.LISTS + "select actor_id, step, @size(@distinct(resources)) as resources, @size(@distinct(dsts)) as dsts from lists",
+    "rich_velocity": extended.LISTS + f"select actor_id, step, {extended.VELOCITY} from lists",
     "export_regularity": """select actor_id, step, event_id, n_gaps, case when n_gaps < 3 then 0.5e0 else 1 - least(sd / (mean + 0.1e0) / 1.5e0, 1e0) end as regularity from (
         select *, count(gap) over f as n_gaps, avg(cast(gap as double)) over f as mean, stddev_pop(cast(gap as double)) over f as sd from (
             select event_id, actor_id, step, ord, step - lag(step) over (partition by actor_id order by ord) as gap from ordered where event_type = 'data_export') x
         window f as (partition by actor_id order by ord rows between 48 preceding and current row)) y""",
     # scores, policies, gates
-    "weighted_score": f"select event_id, {score('lsc')} as lsc, {score('ce')} as ce, {score('eg')} as eg from flags",
-    "policy_cycle_discount": """select event_id, case when cycles > 0 then case when cycles_with_ticket > 0 then 0.70e0 else 0.85e0 end else 1e0 end as mult,
-        case when cycles > 0 then case when cycles_with_ticket > 0 then -0.60e0 else -0.30e0 end else 0e0 end as off from flags""",
-    "partner_allowlist": "select event_id, outside, outside_approved, cast(unapproved as int) as unapproved, case when outside > 0 and unapproved = 0 then 0 else cast(anchor_email as int) end as anchor_email from flags",
+    "weighted_score": f"select event_id, {score('lsc')} as lsc, {score('ce', CONTEXT)} as ce, {score('eg', CONTEXT)} as eg from flags",
+    "policy_cycle_discount": "select event_id, " + ", ".join(f"{m} as mult_{v}, {o} as off_{v}" for v, (m, o) in POLICY.items() if v != "lsc") + """,
+        case when cycles > 0 then case when tickets > 0 then 0.70e0 else 0.85e0 end else 1e0 end as mult, case when cycles > 0 then case when tickets > 0 then -0.60e0 else -0.30e0 end else 0e0 end as off from flags""",
+    "partner_allowlist": "select event_id, outside, outside_neither, outside_unlisted, cast(unapproved as int) as unapproved, case when outside > 0 and unapproved = 0 then 0 else cast(anchor_email as int) end as anchor_email from flags",
     "after_hours_policy": "select event_id, case when after_hours = 1 and not allowed_after_hours then 1.15e0 else 1e0 end as mult, case when after_hours = 1 and not allowed_after_hours then 0.5e0 else 0e0 end as off from flags",
-    "anchor_suppression": "select event_id from flags where not (outside > 0 and unapproved = 0 and anchor_login = 0)",
+    "anchor_suppression": f"select event_id from flags where not {SUPPRESSED}",
     "confirmed_threshold": "select actor_id, 4e0 + 1.2e0 * (0.70e0 - 0.5e0) as base, 4e0 + 1.2e0 * (0.70e0 - 0.5e0) + case role when 'analyst' then 0.8e0 when 'admin' then 1.2e0 else 0e0 end as with_role from profile",
-    "scored_anchors": "select event_id, ord, actor_id, step, label, phase, login_burst, sens_burst, email_burst, after_hours, export_large, export_small, staging_export, score_base, mult, off, gate from scored",
+    "scored_anchors": "select event_id, ord, actor_id, step, role, label, phase, login_burst, sens_burst, email_burst, after_hours, export_large, export_small, staging_export, cycles, score_base, mult, off, gate from scored",
     "confirmed_gate": "select event_id, gate from scored",
     "policy_score": "select event_id, actor_id, step, (score_base + off) * mult as score from scored",
-    "evidence_gate": """select event_id, items, weight, items >= 2 and weight >= 2.5 as passes from (select event_id,
-        greatest(cast(export_large as int), cast(staging_export as int)) + cast(unapproved as int) + cast(exfil_chain as int) + case when after_hours = 1 and not allowed_after_hours then 1 else 0 end
-            + cast(email_burst * unapproved as int) + case when outside >= 2 then 1 else 0 end + cast(stealth_pattern * unapproved as int) as items,
-        greatest(export_large, staging_export) * 1.5e0 + unapproved * 2e0 + exfil_chain * 2.5e0 + case when after_hours = 1 and not allowed_after_hours then 1e0 else 0e0 end
-            + email_burst * unapproved * 1.5e0 + case when outside >= 2 then 1.5e0 else 0e0 end + stealth_pattern * unapproved * 2.5e0 as weight from flags) x""",
+    "evidence_gate": "select event_id, items, weight, gate as passes from scored_eg",
+    "scored_ce": "select * from scored_ce",
+    "scored_eg": "select * from scored_eg",
+    "intent_forensics_boost": "select event_id, 'ce' as variant, boost from scored_ce union all select event_id, 'eg' as variant, boost from scored_eg",
     # beliefs
-    "belief_update": """select actor_id, step, event_id, case when h = 0 then null else least(1e0, 0.5e0 + 0.1e0 * (h - 1)) end as works_after_hours, case when s = 0 then null else least(1e0, 0.3e0 + 0.05e0 * (s - 1)) end as accesses_sensitive_data from (
+    "belief_update": """select actor_id, step, event_id, role, case when h = 0 then null else least(1e0, 0.5e0 + 0.1e0 * (h - 1)) end as works_after_hours, case when s = 0 then null else least(1e0, 0.3e0 + 0.05e0 * (s - 1)) end as accesses_sensitive_data from (
         select *, sum(case when after_hours then 1 else 0 end) over f as h, sum(case when resource = 'patients_table' then 1 else 0 end) over f as s from ordered
         window f as (partition by actor_id order by ord rows between unbounded preceding and current row)) x""",
-    "belief_decay": "select event_id, pow(0.99e0, 719 - step) as confidence from security_events",
+    "belief_decay": "select event_id, pow(0.99e0, max(step) over (partition by actor_id) - step) as confidence from security_events",
     # text
     "tokenize_words_sentences": "select event_id, n_words, n_distinct, n_sentences from style",
-    "phishing_keywords": f"select event_id, least(1e0, {_hits(PHISHING['ce'])} / 5e0) as ce, least(1e0, {_hits(PHISHING['eg'])} / 4e0) as eg, least(1e0, {_hits(PHISHING['ce'])} / 3e0) as trained from mails",
-    "urgency_level": f"select event_id, least(1e0, {_hits(URGENT['ce'])} / 3e0) as ce, least(1e0, {_hits(URGENT['eg'])} / 2e0) as eg from mails",
-    "sensitive_content": f"select event_id, {_hits(SENSITIVE['ce'])} as n_ce, {_hits(SENSITIVE['ce'])} > 0 as ce, {_hits(SENSITIVE['eg'])} > 0 as eg from mails",
+    "phishing_keywords": f"select event_id, least(1e0, {_hits(PHISHING['ce'])} / 5e0) as ce, least(1e0, {_hits(PHISHING['eg'])} / 4e0) as eg, least(1e0, {_hits(PHISHING['trained'])} / 3e0) as trained from mails",
+    "urgency_level": "select event_id, " + ", ".join(f"least(1e0, {_hits(URGENT[v])} / {k}e0) as {v}" for v, k in (("ce", 3), ("eg", 2), ("trained", 2), ("egx", 2))) + " from mails",
+    "sensitive_content": f"select event_id, {_hits(SENSITIVE['ce'])} as n_ce, " + ", ".join(f"{_hits(SENSITIVE[v])} > 0 as {v}" for v in ("ce", "eg", "trained")) + " from mails",
     "policy_violation_phrases": f"select event_id, {_hits(VIOLATIONS)} as n_violations from mails",
-    "spam_exclamations": "select event_id, length(content) - length(replace(content, '!', '')) as exclamations from mails",
+    "spam_indicators": "select event_id, length(content) - length(replace(content, '!', '')) + @upper_words(content@u) as indicators from mails",
+    "entity_counts": r"select event_id, @count(content, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z|]{2,}'@c) as addresses, @count(content, 'https?://[^ \n\r\t]+'@c) as urls from mails",
     "attachment_risk": "select event_id, case when attachment_kb > 500 then least(1e0, attachment_kb / 5000e0) else 0e0 end as attachment_risk from mails",
     "empty_text_defaults": "select doc_id, case when coalesce(length(text), 0) < 20 then 50e0 end as perplexity, case when coalesce(length(text), 0) < 20 then 0.5e0 end as burstiness from documents",
     "style_metrics": "select event_id, n_words, n_sentences, cast(n_words as double) / n_sentences as avg_sentence_length, cast(n_distinct as double) / n_words as vocabulary_richness from style where n_words >= 30 and n_sentences > 0",
@@ -137,8 +143,10 @@ QUERIES = {
         select *, count(*) over p as earlier, avg(len) over q as mlen, avg(rich) over q as mrich from (
             select event_id, actor_id, step, cast(n_words as double) / n_sentences as len, cast(n_distinct as double) / n_words as rich from style where n_words > 0 and n_sentences > 0) x
         window p as (partition by actor_id order by step, event_id rows between unbounded preceding and 1 preceding), q as (partition by actor_id order by step, event_id rows between 10 preceding and 1 preceding)) y""",
-    "external_recipient": "select event_id, dst not like '%org%' as external from mails",
-    "attachment_mention": "select event_id, lower(content) like '%attach%' or lower(content) like '%enclosed%' as mentions from mails",
+    # headers of several recipients: any one outside the internal domain counts
+    "external_recipient": """select event_id, max(case when address like '%@%' and address not like '%@org%' then 1 else 0 end) = 1 as external from (
+        select event_id, @explode(@split(case when event_id % 3 = 0 then concat('desk@org,', dst) when event_id % 3 = 1 then concat(dst, ', pool@org') else 'pool@org' end, ','@p)) as address from security_events where event_type = 'email_send') x group by event_id""",
+    "attachment_mention": f"select event_id, {_hits(ATTACHMENT)} > 0 as mentions from mails",
     "sender_profiles": "select actor_id, count(*) as n, avg(cast(n_words as double)) as avg_words, avg(cast(n_sentences as double)) as avg_sentences from style group by actor_id having count(*) >= 5",
     "corpus_stats": "select count(*) as mails, sum(case when n_words >= 30 then 1 else 0 end) as processed, count(distinct actor_id) as senders, avg(cast(n_words as double)) as avg_words, avg(case when dst like '%outside' then 1e0 else 0e0 end) as external_share from style",
     "label_filter_stats": "select case when quality = 0 or toxic = 1 then 'spam' else 'ham' end as label, count(*) as n from labels l join documents d on l.doc_id = d.doc_id where d.text is not null group by case when quality = 0 or toxic = 1 then 'spam' else 'ham' end",
@@ -146,19 +154,18 @@ QUERIES = {
     "actor_truth": "select actor_id, max(case when label = 'malicious' then 1 else 0 end) as malicious, min(case when label = 'malicious' then step end) as first_step from security_events where phase = 'test' group by actor_id",
     "event_type_counts": "select event_type, phase, count(*) as n from security_events group by event_type, phase",
     "step_metrics": "select step, n, malicious, cast(sum(n) over (order by step) as bigint) as log_size from (select step, count(*) as n, cast(sum(case when label = 'malicious' then 1 else 0 end) as bigint) as malicious from security_events group by step) x",
-    "gate_alert_precision": "select gate, count(*) as total, sum(case when label = 'malicious' then 1 else 0 end) as tp, avg(case when label = 'malicious' then 1e0 else 0e0 end) as alert_precision from scored where phase = 'test' group by gate",
-    "actor_confusion": """select sum(m * d) as tp, sum((1 - m) * d) as fp, sum(m * (1 - d)) as fn, sum((1 - m) * (1 - d)) as tn from (
-        select t.actor_id, max(case when t.label = 'malicious' then 1 else 0 end) as m, max(case when a.actor_id is not null then 1 else 0 end) as d
-        from security_events t left join (select distinct actor_id from scored where gate and (score_base + off) * mult >= 4 and phase = 'test') a on t.actor_id = a.actor_id where t.phase = 'test' group by t.actor_id) x""",
-    "time_to_detection": """select a.actor_id, a.first_alert - t.first_step as ttd from (select actor_id, min(step) as first_alert from scored where gate and (score_base + off) * mult >= 4 and phase = 'test' group by actor_id) a
-        join (select actor_id, min(step) as first_step from security_events where label = 'malicious' group by actor_id) t on a.actor_id = t.actor_id""",
-    "config_grid": """select g.config, g.threshold, count(*) as alerts, sum(case when s.label = 'malicious' then 1 else 0 end) as tp from scored s
-        cross join (select c.config, t.threshold, c.policy from (select 'policy' as config, 1 as policy union all select 'rules_only' as config, 0 as policy) c cross join (select 3 as threshold union all select 4 as threshold union all select 5 as threshold union all select 6 as threshold union all select 7 as threshold) t) g
-        where s.phase = 'test' and s.gate and case when g.policy = 1 then (s.score_base + s.off) * s.mult else s.score_base end >= g.threshold group by g.config, g.threshold""",
+    **oracles.EVALUATION,
 }
 
 QUERIES |= extended.QUERIES
-_CODES = QUERIES["encode_action"].replace("step,", "step, ord,", 1).replace("from security_events", "from ordered")
+_hit = lambda wanted: ";" + "([^;]*;)*".join(w.partition(":")[0] + "[^;]*" + (w.partition(":")[2] + "[^;]*" if ":" in w else "") + ";" for w in wanted)
+QUERIES["abductive_rule_hits"] = QUERIES["abductive_rule_hits"].format(joined="@joined(coalesce(code, '')@j) over (partition by actor_id order by ord rows between 19 preceding and current row)@end",
+    hits=", ".join(f"@matches(codes, '{_hit(w)}') as rule_{i}" for i, (w, _, _) in enumerate(goals.RULES)))
+QUERIES["coded"] = "select * from coded"
+QUERIES["_alerts"] = "select event_id, actor_id, step, tier, label, score, threshold, trust from alerts_lsc"
+QUERIES["_alert_counts"] = "select tier, count(*) as n, count(distinct concat(cast(actor_id as varchar(20)), ':', cast(step as varchar(20)))) as distinct_alerts from alerts_lsc group by tier"
+#: Queries that only serve others.
+HELPERS = ("_alerts", "_alert_counts", "coded", "sweep_rows", "scored_ce", "scored_eg")
 _phishing, _violations = f"least(1e0, {_hits(PHISHING['ce'])} / 5e0)", _hits(VIOLATIONS)
 QUERIES["forensics_cache_mean"] = QUERIES["forensics_cache_mean"].format(phishing=_phishing, violations=_violations)
 _habits = QUERIES["authorship_consistency"].replace("then 1e0 else 1 - least(1e0, (", "then 0e0 else ((", 1).replace("as consistency", "as deviation", 1)
@@ -169,76 +176,123 @@ QUERIES["fused_text_risk"] = _fused + f"""select event_id, content_risk, authors
         ai_probability * 0.5e0 + deviation * 0.3e0 as authorship_risk, case when attachment_kb > 500 then least(1e0, attachment_kb / 5000e0) else 0e0 end as attachment_risk from ai) x"""
 
 
-def text(name: str, dialect: str, sf_dir: str = "") -> str:
-    """The whole SQL of a query, with no more table expressions than it needs."""
-    body, parts = _CODES if name == "_codes" else QUERIES[name], [event_ctes(dialect, sf_dir)]
-    if any(x in body for x in ("snap", "anchors", "flags", "scored")):
+_VARIANTS = ("ce", "eg")
+_CODED = "coded as (select o.event_id, o.actor_id, o.step, o.ord, x.code, o.last_of_step, cast(case when o.ticket_id is not null then 1 else 0 end + case when o.approved_partner then 1 else 0 end + case when o.cycle = 'partner_reporting' then 1 else 0 end + case when o.after_hours then 0 else 1 end as bigint) as contradictions from lagged o join codes x on o.event_id = x.event_id)"
+
+
+def context(variant: str) -> str:
+    """What other operators say of an actor at the end of each step, for the scores of a variant; from ``intents_{variant}``."""
+    phishing, violations = f"least(1e0, {_hits(PHISHING[variant])} / {5 if variant == 'ce' else 4}e0)", _hits(VIOLATIONS)
+    means = f"m_{variant} as (select event_id, actor_id, step, {phishing} as phishing, {violations} as violations, " + ("ai_probability from ai)" if variant == "ce" else "0e0 as ai_probability from mails)")
+    rest = {
+        "ce": "case when i.intent > 0.4e0 then i.intent else 0e0 end as intent, case when i.completion > 0.5e0 then i.completion else 0e0 end as plan, case when k.ph > 0.5e0 then k.ph else 0e0 end as phishing, "
+              "case when k.ai > 0.5e0 then k.ai else 0e0 end as ai_text, case when k.vi > 0 then least(1e0, k.vi / 3e0) else 0e0 end as violation, 0e0 as peer_dev, 0e0 as irreg",
+        "eg": "case when i.intent > 0.30e0 then i.intent else 0e0 end as intent, case when i.completion > 0.4e0 then i.completion else 0e0 end as plan, case when k.ph > 0.4e0 then k.ph else 0e0 end as phishing, "
+              "0e0 as ai_text, 0e0 as violation, coalesce(q.deviation, 0e0) as peer_dev, case when k.regularity < 0.3e0 then 1 - k.regularity else 0e0 end as irreg",
+    }[variant]
+    peers = ("", "") if variant == "ce" else (", " + extended.PEERS + ", peers_eg as (select distinct actor_id, step, deviation from (" + extended.DEVIATION + ") x)", " left join peers_eg q on k.actor_id = q.actor_id and k.step = q.step")
+    return f"""{means},
+    means_{variant} as (select event_id, avg(phishing) over p as ph, avg(ai_probability) over p as ai, cast(sum(violations) over p as bigint) as vi from m_{variant} window p as (partition by actor_id order by step, event_id rows between 9 preceding and current row)),
+    regular_{variant} as ({QUERIES["export_regularity"]}){peers[0]},
+    known_{variant} as (select * from (select actor_id, step, last_of_step, @known(ph@k) over a as ph, @known(ai@k) over a as ai, @known(vi@k) over a as vi, @known(regularity@k) over a as regularity from (
+        select o.actor_id, o.step, o.src_rank, o.event_id, o.last_of_step, m.ph, m.ai, m.vi, g.regularity from lagged o left join means_{variant} m on o.event_id = m.event_id left join regular_{variant} g on o.event_id = g.event_id) x
+        window a as (partition by actor_id order by step, src_rank, event_id rows between unbounded preceding and current row)) y where last_of_step),
+    context_{variant} as (select k.actor_id, k.step, {rest} from known_{variant} k left join intents_{variant} i on k.actor_id = i.actor_id and k.step = i.step{peers[1]})""" + "," + scored_with_context(variant)
+
+
+def text(name: str, dialect: str, intents: dict[str, str] | None = None, alerts: str = "") -> str:
+    """The whole SQL of a query, with no more table expressions than it needs.
+
+    intents, alerts: for Spark, the views that the ordered folds were put in; DuckDB runs recursive expressions instead."""
+    body = QUERIES[name]
+    folded = "alerts_" in body or "decided_" in body
+    contexts = [v for v in _VARIANTS if f"_{v}" in body and any(f"{x}_{v}" in body for x in ("scored", "alerts", "decided"))] if not alerts else []
+    goals_of = sorted({*contexts, *(v for v in _VARIANTS if f"goals_{v}" in body)})
+    sweep = "_sweep" in body
+    parts = [event_ctes(dialect)]
+    if folded and not alerts or goals_of or "sweep_rows" in body or "coded" in body or any(x in body for x in ("snap", "anchors", "flags", "scored", "lagged", "lists")):
         parts.append(FEATURES)
-    if "scored" in body:
-        parts.append(SCORED)
-    if "mails" in body or "style" in body:
+    if "mails" in body or "style" in body or contexts:
         parts.append(MAILS)
-    sql = "with " + ",".join(parts) + "\n" + body
+    if goals_of or "coded" in body:
+        parts += ["codes as (" + QUERIES["encode_action"] + ")", _CODED]
+    for v in goals_of:
+        parts.append(f"goals_{v} as (select * from {intents[v]})" if dialect == "spark" else folds.goals(v))
+        parts.append(f"intents_{v} as (select actor_id, step, intent, completion from goals_{v} where last_of_step)")
+    if "ce" in contexts:
+        parts.append(_fused.strip().lstrip(","))
+    parts += [context(v) for v in contexts]
+    if "scored" in body or folded and not alerts:
+        parts.append(SCORED)
+    if sweep and not alerts or "sweep_rows" in body:
+        parts.append(oracles.SWEEP)
+    if alerts:
+        shown = next(n for n in ("lsc", "ce", "eg", "sweep") if f"_{n}" in body and (f"alerts_{n}" in body or f"decided_{n}" in body))
+        parts.append(alerts.format(name=shown))
+    elif folded:
+        parts += [folds.alerts(n, "lsc" if n == "sweep" else n, "select * from sweep_rows" if n == "sweep" else None) for n in ("lsc", "ce", "eg", "sweep") if f"alerts_{n}" in body or f"decided_{n}" in body]
+    # a text that starts with a comma adds table expressions
+    sql = ("with " if dialect == "spark" else "with recursive ") + ",".join(p.strip().strip(",") for p in parts) + " " + body
     for mark, real in _DIALECT[dialect].items():
         sql = sql.replace(mark, real)
-    if dialect == "spark":
-        sql += " "
-        for t in TABLES:
-            for word in ("from", "join"):
-                sql = sql.replace(f"{word} {t} ", f"{word} parquet.`{sf_dir}/{t}.parquet` ")
-            sql = sql.replace(f"from {t})", f"from parquet.`{sf_dir}/{t}.parquet`)")
     return sql
 
 
-def _query(name: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(text(name, "spark", sf_dir))
-
-    run.__name__ = name
-    return run
-
+def _view(df: DataFrame, name: str) -> str:
+    view = f"{name}_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    return view
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(text("scored_anchors", "spark", sf_dir))
 
+def _run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for t in TABLES:
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    body = QUERIES[name]
+    intents = {}
+    for v in _VARIANTS:
+        if any(f"{x}_{v}" in body for x in ("goals", "scored", "alerts", "decided")):
+            intents[v] = _view(goals.infer(_sql(spark, sf_dir, "coded"), v), f"goals_{v}")
+    alerts = ""
+    shown = next((n for n in ("lsc", "ce", "eg", "sweep") if f"alerts_{n}" in body or f"decided_{n}" in body), None)
+    if shown:
+        decided = _decided(spark, sf_dir, shown)
+        fired = decisions.fired(decided, decisions.CONFIGS["lsc" if shown == "sweep" else shown])
+        alerts = f"decided_{{name}} as (select * from {_view(decided, 'decided')}), alerts_{{name}} as (select * from {_view(fired, 'alerts')})"
+    return spark.sql(text(name, "spark", intents, alerts))
 
-def _goals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Goals and plans inferred after each event, from the encoded actions in ingest order."""
-    return goals.infer(spark.sql(text("_codes", "spark", sf_dir)))
 
+def _sql(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _run(spark, sf_dir, name)
 
-def _tier(tier: str):
-    return lambda spark, sf_dir: decisions.alerts(_scored(spark, sf_dir)).filter(f"tier = '{tier}'")
 
+def _decided(spark: SparkSession, sf_dir: str, shown: str) -> DataFrame:
+    if shown == "sweep":
+        rows = _sql(spark, sf_dir, "sweep_rows").withColumn("confirmed", F.col("confirmed_at")).withColumn("use_baseline", F.col("baseline_on") > 0).withColumn("use_trust", F.col("trust_on") > 0)
+        return decisions.decide(rows, by=("config", "confirmed_at", "run"))
+    rows = _sql(spark, sf_dir, "scored_anchors" if shown == "lsc" else f"scored_{shown}")
+    return decisions.decide(rows, decisions.CONFIGS[shown])
 
-def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The analyst's verdict on each confirmed alert."""
-    return _tier("confirmed")(spark, sf_dir).select("event_id", "actor_id", "step", "verdict")
-
-
-def _payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confirmed alerts with the features and the policy that made their score."""
-    anchors = _scored(spark, sf_dir).select("event_id", "score_base", "mult", F.col("off").alias("offset"), F.struct(*decisions.BASELINE_KEYS).alias("features"))
-    return _tier("confirmed")(spark, sf_dir).join(anchors, "event_id")
-
-
-def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intent and plan completion that the second variant takes for features: those over its thresholds, else 0."""
-    over = lambda name, least: F.when(F.col(name) > least, F.col(name)).otherwise(0.0).alias(name)
-    return _goals(spark, sf_dir).select("event_id", "actor_id", "step", over("intent", 0.4), over("completion", 0.5))
 
+def _query(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _run(spark, sf_dir, name)
 
-def _assisted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many confirmed alerts stand at events whose actor has an inferred intent."""
-    found = _tier("confirmed")(spark, sf_dir).select("event_id").join(_gated(spark, sf_dir), "event_id", "left")
-    return found.agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("intent") > 0).alias("assisted"))
+    run.__name__ = name
+    return run
 
 
 def queries():
-    found = {name: _query(name) for name in QUERIES}
-    return found | {"early_alerts": _tier("early"), "confirmed_alerts": _tier("confirmed"), "threat_assessment": _goals, "analyst_verdict": _verdicts, "alert_payload": _payload, "tom_feature_gate": _gated, "intent_assisted_count": _assisted, "stream_step_counts": streams.stream_step_counts, "stream_actor_totals": streams.stream_actor_totals}
+    found = {name: _query(name) for name in QUERIES if name not in HELPERS}
+    return found | training.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: text(name, "duckdb") for name in QUERIES}
-    return found | {"stream_step_counts": streams.STREAM_STEP_COUNTS_SQL, "stream_actor_totals": streams.STREAM_ACTOR_TOTALS_SQL}
+    found = {name: oracles.INDEPENDENT.get(name) or text(name, "duckdb") for name in QUERIES if name not in HELPERS}
+    found |= {name: "with recursive " + event_ctes("duckdb").strip() + oracles.REFERENCE + sql for name, sql in oracles.APART.items()}
+    found["sink_event_log"] = found["scan_event_log"].replace("select event_id, step, event_type, actor_id, resource, action, dst, bytes, attachment_kb, label, phase", "select step, event_type, actor_id, resource, action, dst, bytes, label, phase").replace("select event_id, step, actor_id, event_type, resource, action, dst, bytes, attachment_kb, label, phase", "select step, event_type, actor_id, resource, action, dst, bytes, label, phase")
+    found["sink_sweep_csv"] = found["sweep_summary"]
+    # streams give what the batch queries give
+    found["stream_ingest"] = found["monitor_route"]
+    found["stream_correlate"] = text("_alerts", "duckdb")
+    found["stream_alert_sink"] = text("_alert_counts", "duckdb")
+    return found | training.ORACLE_SQL | streams.ORACLE_SQL

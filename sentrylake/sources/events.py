@@ -54,20 +54,27 @@ security_events as (select event_id, step, actor_id, event_type, k,
     (event_type = 'login' and k % 25 = 7) as takeover,
     (event_type = 'login' and k % 10 = 3) as device_change,
     case when k % 10 = 0 and event_type <> 'login' then 'partner_reporting' end as cycle,
-    case when k % 5 = 0 and event_type <> 'login' then concat('TCKT-', cast(event_id as varchar(20))) end as ticket_id,
-    coalesce(dst = 'partner@outside', false) as approved_partner,
+    case when k % 5 = 0 and event_type <> 'login' and actor_id % 3 <> 1 then concat('TCKT-', cast(event_id as varchar(20))) end as ticket_id,
+    coalesce(dst = 'partner@outside' and k % 2 = 0, false) as approved_partner,
     case when event_type = 'data_export' and k % 4 = 0 then 'internal_staging' end as destination,
     case when step >= 60 then 'test' else 'train' end as phase,
     case when step >= 60 and actor_id % 7 = 3 and ((event_type = 'email_send' and k < 40) or (event_type = 'login' and k % 25 = 7)
         or (event_type = 'data_export' and value > 80)) then 'malicious' else 'benign' end as label,
     case event_type when 'email_send' then 1 when 'login' then 2 else 0 end as src_rank
-    from c),
-profile as (select actor_id, max(role) as role, max(role) <> 'staff' or actor_id % 8 = 0 as allowed_after_hours, max(role) <> 'staff' as partner_approved
-    from security_events group by actor_id),
-ordered as (select *, row_number() over (partition by actor_id order by step, src_rank, event_id) as ord from security_events)"""
+    from c)"""
 
+_ACTORS = """,
+profile as (select actor_id, role, role <> 'staff' or actor_id % 8 = 0 as allowed_after_hours, case when role <> 'staff' then 'partner@outside' end as approved_dst
+    from (select actor_id, max_by(role, event_id) as role from security_events group by actor_id) x),
+ordered as (select s.*, p.role as profile_role, p.allowed_after_hours, p.approved_dst, row_number() over (partition by s.actor_id order by s.step, s.src_rank, s.event_id) as ord
+    from security_events s join profile p on s.actor_id = p.actor_id)"""
 
-def event_ctes(dialect: str, sf_dir: str = "") -> str:
-    """Common table expressions security_events, profile and ordered over the table ``events``."""
-    table = f"parquet.`{sf_dir}/events.parquet`" if dialect == "spark" else "events"
+
+def event_rows(dialect: str, table: str = "events") -> str:
+    """Common table expressions up to security_events: each row of the table (or view) by itself."""
     return _EVENTS.format(step=_STEP[dialect], k=_K[dialect], events=table)
+
+
+def event_ctes(dialect: str) -> str:
+    """Common table expressions security_events, profile and ordered over the table (or view) ``events``."""
+    return event_rows(dialect) + _ACTORS

@@ -15,13 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.events import event_rows
+from . import correlator
+
 #: How late a row may come. A table that is read whole is not in order, so its span is allowed for.
 LATE = "400 days"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder where all executors can write: under spark.checkpoint.dir; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sentrylake-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="sentrylake-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -86,3 +93,63 @@ def stream_actor_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STREAM_ACTOR_TOTALS_SQL = """select user_id as actor_id, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents,
     min(epoch_us(ts)) as first_us, max(epoch_us(ts)) as last_us from events group by 1"""
+
+
+def adapted(stream: DataFrame) -> DataFrame:
+    """Rows of ``events`` as activity events, each by itself: what the batch adapter makes of them."""
+    spark = stream.sparkSession
+    view = f"stream_{uuid.uuid4().hex}"
+    stream.createOrReplaceTempView(view)
+    return spark.sql("with " + event_rows("spark", view) + " select * from security_events")
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with its hour and the monitor that it goes through, appended batch by batch."""
+    folder = shared_folder(spark, "ingest")
+    source = F.when(F.col("event_type").isin("db_query", "data_export"), "db").when(F.col("event_type") == "email_send", "email").otherwise("auth")
+    run(adapted(read_events(spark, sf_dir)).select("event_id", "actor_id", "step", source.alias("source"), "label"), folder)
+    return spark.read.parquet(f"{folder}/out").select("event_id", "actor_id", "step", "source", "label")
+
+
+#: One row in so many comes late in the query below, and how late a row may come there.
+LATE_ROWS, SHORT = 50, "1 hour"
+
+
+def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts where some rows come in a second batch: those of windows that the watermark has passed are left out."""
+    folder = shared_folder(spark, "late")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    late = F.col("event_id") % LATE_ROWS == 0
+    for part in (rows.filter(~late), rows.filter(late)):
+        # a run after each part: what is there is taken, and the watermark stays in the checkpoint
+        part.write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{folder}/in")
+        run(step_counts(arriving, SHORT), folder, "update")
+    return spark.read.parquet(f"{folder}/out").groupBy("step", "event_type").agg(F.max_by("n", "batch").alias("n"))
+
+
+STREAM_LATE_DATA_SQL = f"""with r as (select *, event_id % {LATE_ROWS} = 0 as late, date_trunc('hour', ts) as hour from events where ts is not null),
+    mark as (select max(ts) - interval 1 hour as passed from r where not late)
+    select cast(floor((epoch_us(hour) - 1704067200000000) / 3600000000) as bigint) as step, event_type, count(*) as n from r, mark where not late or hour + interval 1 hour > passed group by 1, 2"""
+
+
+def stream_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early and confirmed alerts of the first variant from a stream: actors' windows, baselines, trust and cooldowns in keyed state."""
+    folder = shared_folder(spark, "correlate")
+    run(correlator.alerts(adapted(read_events(spark, sf_dir))), folder)
+    return spark.read.parquet(f"{folder}/out").select("event_id", "actor_id", "step", "tier", "label", "score", "threshold", "trust")
+
+
+def stream_alert_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts by tier after the stream has been taken and its last batch been written again: a batch overwrites its own folder."""
+    folder = shared_folder(spark, "alert-sink")
+    run(correlator.alerts(adapted(read_events(spark, sf_dir))), folder)
+    last = spark.read.parquet(f"{folder}/out").agg(F.max("batch")).first()[0] or 0
+    again = spark.read.schema(spark.read.parquet(f"{folder}/out").schema).parquet(f"{folder}/out/number={last}")
+    again.write.parquet(f"{folder}/again")
+    spark.read.parquet(f"{folder}/again").write.mode("overwrite").parquet(f"{folder}/out/number={last}")
+    return spark.read.parquet(f"{folder}/out").groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("actor_id", "step").alias("distinct_alerts"))
+
+
+QUERIES = {f.__name__: f for f in (stream_step_counts, stream_actor_totals, stream_ingest, stream_late_data, stream_correlate, stream_alert_sink)}
+ORACLE_SQL = {"stream_step_counts": STREAM_STEP_COUNTS_SQL, "stream_actor_totals": STREAM_ACTOR_TOTALS_SQL, "stream_late_data": STREAM_LATE_DATA_SQL}

@@ -1,16 +1,34 @@
-"""Queries against DuckDB on small tables, goals on hand-computed traces."""
+"""Queries against DuckDB on small tables; branches that must occur; goals on hand-computed traces."""
 
 import os
 
 import duckdb
 import pytest
 
+from sentrylake.operators import forest
 from sentrylake.operators.goals import Goals, infer, occurs
+from sentrylake.plans import folds, oracles, training
 from sentrylake.plans import queries as plans
+from sentrylake.sources import mails
+from sentrylake.streaming import correlator
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("feature_vector", "peer_deviation", "vocabulary", "burstiness", "running_perplexity", "extract_address", "stratified_split", "detected_actor_set",
-         "mixed_precision_eval", "reason_codes", "forensics_cache_mean", "clean_sample_filter", "sweep_summary", "urgency_level", "ai_text_probability", "fused_text_risk", "stream_step_counts", "stream_actor_totals")
+NAMES = (
+    "feature_vector", "rich_velocity", "peer_deviation", "vocabulary", "burstiness", "running_perplexity", "extract_address", "stratified_split", "detected_actor_set", "mixed_precision_eval", "reason_codes", "forensics_cache_mean",
+    "clean_sample_filter", "urgency_level", "ai_text_probability", "fused_text_risk", "weighted_score", "policy_cycle_discount", "partner_allowlist", "evidence_gate", "intent_forensics_boost", "attachment_mention", "external_recipient",
+    "spam_indicators", "entity_counts", "abductive_rule_hits", "goal_probability", "threat_assessment", "threat_assessment_eg", "confirmed_alerts", "early_alerts", "confirmed_alerts_eg", "confirmed_alerts_ce", "alert_payload", "ewma_baseline",
+    "trust_update", "sweep_summary", "config_grid", "actor_confusion", "alert_precision", "classification_report", "tfidf_features", "parse_mail", "scan_mail_corpus", "scan_labeled_mail", "sink_event_log", "stream_step_counts",
+    "stream_actor_totals", "stream_ingest", "stream_late_data", "stream_correlate", "stream_alert_sink",
+)
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    c.execute("set timezone='UTC'")
+    for f in os.listdir(SF):
+        c.execute(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
+    return c
 
 
 def _rows(rows, columns):
@@ -20,11 +38,7 @@ def _rows(rows, columns):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query(spark, name):
-    con = duckdb.connect()
-    con.execute("set timezone='UTC'")
-    for f in os.listdir(SF):
-        con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
+def test_query(spark, con, name):
     got = plans.queries()[name](spark, SF)
     want = con.execute(plans.oracle_sql()[name])
     columns = [d[0] for d in want.description]
@@ -32,6 +46,42 @@ def test_query(spark, name):
     assert _rows(got.collect(), got.columns) == _rows(want.fetchall(), columns)
 
 
+def test_every_query_that_sql_can_express_has_it():
+    without = set(plans.queries()) - set(plans.oracle_sql())
+    assert without == {"train_classifiers", "select_classifier", "text_classifier_prob", "blended_phishing", "model_artifact", "anomaly_samples", "isolation_forest_fit", "isolation_forest_score", "ml_nudge"}
+
+
+def test_each_branch_of_the_policies_occurs(spark):
+    """Small tables, but every outcome of the discounts and of the allowlist is there."""
+    cycle = plans.queries()["policy_cycle_discount"](spark, SF.replace("0.001", "0.01"))
+    assert {r["mult"] for r in cycle.select("mult").distinct().collect()} == {0.7, 0.85, 1.0}
+    assert {round(r["mult_eg"], 6) for r in cycle.select("mult_eg").distinct().collect()} == {0.45, 0.1575, 1.0}
+    listed = plans.queries()["partner_allowlist"](spark, SF.replace("0.001", "0.01"))
+    assert {(r["unapproved"], r["anchor_email"]) for r in listed.select("unapproved", "anchor_email").distinct().collect()} == {(0, 0), (1, 0), (1, 1)}
+    # the profile's list and the mail's flag each approve mails that the other doesn't
+    assert not listed.filter("outside_unlisted > outside_neither").isEmpty() and not listed.filter("outside > outside_unlisted").isEmpty()
+
+
+def test_policy_values():
+    """From the rules: no cycle, a cycle with any ticket in the window, a cycle without one; late hours that aren't allowed."""
+    event = dict(event_id=1, event_type="email_send", step=70, dst="external@outside", attachment_kb=300, resource=None, action=None, bytes=None, role="staff", after_hours=False, takeover=False, device_change=False, cycle=None, ticket_id=None,
+                 approved_partner=False, label="benign", phase="test", src_rank=1)
+    staff = ("staff", False, None)
+    plain = correlator.score(event, [event], staff)
+    assert (plain["mult"], plain["off"], plain["score_base"], plain["gate"]) == (1.0, 0.0, 2.0, True)
+    cycle = event | {"event_type": "db_query", "dst": None, "cycle": "partner_reporting"}
+    ticket = event | {"event_type": "db_query", "dst": None, "ticket_id": "T-1"}
+    assert [correlator.score(event, [cycle, event], staff)[k] for k in ("mult", "off")] == [0.85, -0.30]
+    assert [correlator.score(event, [cycle, ticket, event], staff)[k] for k in ("mult", "off")] == [0.70, -0.60]
+    late = correlator.score(event, [event | {"after_hours": True}], staff)
+    assert (late["mult"], late["off"]) == (1.15, 0.50) and correlator.score(event, [event | {"after_hours": True}], ("staff", True, None))["mult"] == 1.0
+    # mail to partners of the profile's list, or flagged, is no anchor by itself
+    partner = event | {"dst": "partner@outside"}
+    assert correlator.score(partner, [partner], ("analyst", True, "partner@outside")) is None
+    assert correlator.score(partner, [partner | {"approved_partner": True}], staff) is None
+    assert correlator.score(partner, [partner], staff)["gate"]
+
+
 def test_occurs():
     assert occurs(["login", "data_export", "db_query", "email_send:external"], ("data_export", "email_send:external"))
     assert not occurs(["email_send:external", "data_export"], ("data_export", "email_send:external"))
@@ -49,6 +99,22 @@ def test_goals():
     assert g.assess()[0] == "data_theft"
 
 
+def test_goals_of_the_gated_variant():
+    g = Goals("eg")
+    g.observe(0, "db_query:patients_table")
+    g.observe(1, "data_export:patients_table")
+    assert g.p == {"data_theft": 0.4}
+    # contradictions first, then the rules again
+    g.observe(2, "login", 2)
+    p = 0.4 * 0.85**2
+    assert g.p["data_theft"] == pytest.approx(p + 0.4 * (1 - p))
+    for k in range(20):
+        g.observe(3, "login:%d" % k)
+    p = g.p["data_theft"]
+    g.observe(43, "login")
+    assert g.p["data_theft"] == pytest.approx(p * 0.92**20) or "data_theft" not in g.p
+
+
 def test_infer_restarts_for_each_actor(spark):
     rows = [(i, i % 2, i // 2, i // 2 + 1, code) for i, code in enumerate(["data_export", "login", "email_send:external", None])]
     got = {r["event_id"]: r for r in infer(spark.createDataFrame(rows, "event_id long, actor_id long, step long, ord long, code string")).collect()}
@@ -56,15 +122,28 @@ def test_infer_restarts_for_each_actor(spark):
     assert infer(spark.createDataFrame([], "event_id long, actor_id long, step long, ord long, code string")).count() == 0
 
 
-def test_alerts_with_verdict_and_payload(spark):
-    found = plans.queries()
-    alerts = found["confirmed_alerts"](spark, SF).collect()
-    verdicts = found["analyst_verdict"](spark, SF).collect()
-    assert sorted((r["event_id"], r["verdict"]) for r in verdicts) == sorted((r["event_id"], "malicious" if r["label"] == "malicious" else "benign") for r in alerts)
-    payload = {r["event_id"]: r for r in found["alert_payload"](spark, SF).collect()}
-    assert sorted(payload) == sorted(r["event_id"] for r in alerts)
-    assert all(r["score"] >= (r["score_base"] + r["offset"]) * r["mult"] - 1e-9 for r in payload.values())
-    gated = {r["event_id"]: r for r in found["tom_feature_gate"](spark, SF).collect()}
-    assert all(r["intent"] == 0 or r["intent"] > 0.4 for r in gated.values()) and all(r["completion"] == 0 or r["completion"] > 0.5 for r in gated.values())
-    row = found["intent_assisted_count"](spark, SF).first()
-    assert row["alerts"] == len(alerts) and row["assisted"] == sum(gated[r["event_id"]]["intent"] > 0 for r in alerts)
+def test_parse_mail(spark):
+    multi = "From: A <a@x>\nTo: b@y\nSubject: s\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=q\n\n--q\nContent-Type: text/html\n\n<p>no</p>\n--q\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\nw6kgeWVz\n--q--\n"
+    got = {r.mail_id: r for r in mails.parse(spark.createDataFrame([(1, multi), (2, None), (3, "no headers at all")], "mail_id long, message string")).collect()}
+    assert (got[1].sender, got[1].recipients, got[1].subject, got[1].body.strip(), got[1].failed) == ("A <a@x>", "b@y", "s", "é yes", False)
+    assert got[2].failed and not got[3].failed
+    assert mails.parse(spark.createDataFrame([], "mail_id long, message string")).count() == 0
+
+
+def test_forest(spark):
+    """Vectors far from the others of their role get the largest scores; a small role has no forest."""
+    rows = [("a", i, 0, float(i % 7), float(i % 5)) for i in range(400)] + [("a", 400, 0, 90.0, 80.0)] + [("b", 500, 0, 1.0, 1.0)]
+    v = spark.createDataFrame(rows, "role string, actor_id long, step long, x double, y double")
+    trees = forest.fit(v, ["x", "y"], trees=50)
+    assert trees.count() == 50
+    got = {r.actor_id: r.anomaly for r in forest.score(v, ["x", "y"], trees).collect()}
+    assert got[400] > 0 and max(got, key=got.get) == 400 and got[500] == 0
+
+
+def test_classifiers_beat_chance(spark):
+    assert training.select_classifier(spark, SF.replace("0.001", "0.01")).first()["accuracy"] > 0.6
+
+
+def test_sql_of_the_folds_names_all_plans():
+    assert "exfil_staged" in folds.goals("eg") and "cred_theft" not in folds.goals("eg") and "cred_theft" in folds.goals("ce")
+    assert len(oracles.CONFIGURATIONS) == 4
