@@ -274,8 +274,8 @@ def _describe(docs: DataFrame, length: int, key: int) -> DataFrame:
 
 #: Suffixes in a range, about: what one merging task holds.
 RANGE = 20_000
-#: Bytes of a table that is broadcast at most, by its numbers of rows and list entries; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of lists, and ids, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_BYTES, BROADCAST_IDS = 4 << 20, 1_000_000
 
 
 def _small(df: DataFrame, entries) -> bool:
@@ -353,7 +353,7 @@ def _runs(docs: DataFrame, wanted: DataFrame, cuts: list[int], length: int, key:
 
     # first only the rows that are wanted at all, by ids that are broadcast if they are few; then their lists
     ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
-    if _small(ids, F.lit(0)):
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     docs = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted_id"]), "left_semi")
     lists = wanted.select(F.col("doc_id").alias("wanted_id"), "tid", "keys")
