@@ -161,7 +161,9 @@ def test_passages_recall(spark):
 
 def test_periodic_text_repeats_itself(spark):
     t = "ab " * 100_000
-    got = passages.repeats(spark.createDataFrame([(1, t), (2, "once upon a time")], "doc_id long, text string")).collect()
+    d = spark.createDataFrame([(1, t), (2, "once upon a time")], "doc_id long, text string")
+    assert passages.repeats(d).count() == 0
+    got = passages.repeats(d, within=True).collect()
     assert {(r.doc_id, r.other_id) for r in got} == {(1, 1)} and max(r.n_words for r in got) > 99_000
 
 
