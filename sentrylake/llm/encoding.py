@@ -7,6 +7,7 @@ texts are encoded. Both ways give the library's ids.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import json
 import os
@@ -26,6 +27,12 @@ CACHE_WORD_BYTES = 64
 
 _SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~|"
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -45,6 +52,14 @@ def encoder(path: str) -> "Encoder":
 def forget() -> None:
     """Frees the encoders of a worker that goes on with another operator."""
     _encoders.clear()
+    release()
+
+
+def release() -> None:
+    """Gives memory that isn't used any more back to the system: workers wait for further tasks, and keep what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def splits_at_white_space(spec: dict) -> bool:
@@ -182,3 +197,4 @@ def text_slices(batch_texts, max_bytes: int = 1 << 20):
         end = max(at + 1, int(np.searchsorted(total, base + max_bytes, side="right")))
         yield at, batch_texts.slice(at, end - at).cast(pa.large_binary()).fill_null(b"").to_pylist()
         at = end
+    release()

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, small_batches, unused
 from .components import components
-from .encoding import forget, text_slices
+from .encoding import forget, release, text_slices
 from .words import mix, shingles, words
 
 N, PERCENT = 5, 80
@@ -164,6 +164,7 @@ def _sharing(docs: DataFrame, total: int, n: int, percent: int) -> DataFrame:
         codes = [_codes(x, width) for x in t["codes"].to_pylist()]
         who = [np.cumsum(np.frombuffer(x, np.uint16), dtype=np.uint16) for x in t["who"].to_pylist()]
         shared = _totals(codes, 1 + (np.concatenate(who) == _MANY)) > 1 if sum(map(len, codes)) else np.zeros(0, bool)
+        release()
         rows, at = [], 0
         for w in who:
             at, own = at + len(w), w[shared[at : at + len(w)]]
@@ -240,6 +241,7 @@ def _first_entries(arrays: DataFrame, total: int, percent: int) -> DataFrame:
         times = np.concatenate([np.frombuffer(x, np.uint16) for x in t["times"].to_pylist()]).astype(np.int64)
         total = np.minimum(_totals(codes, times), _MANY).astype(np.uint16) if len(times) else times.astype(np.uint16)
         parts = np.split(total, np.cumsum([len(c) for c in codes])[:-1])
+        release()
         return pa.table({"slice": t["slice"], "bucket": t["bucket"], "times": pa.array([p.tobytes() for p in parts], pa.binary())})
 
     counted = arrays.mapInArrow(run, "bucket int, slice long, codes binary, times binary").groupBy("bucket").applyInArrow(count, "slice long, bucket int, times binary")
@@ -334,6 +336,7 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for t in batches:
+            release()
             ok = [similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(t.column(2), t.column(3))]
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], schema=out).filter(pa.array(ok, pa.bool_()))
 
@@ -429,6 +432,7 @@ def _block_pairs(members: DataFrame, percent: int, forest: str = "") -> DataFram
                 t = _members(pd.DataFrame([r.asDict() if hasattr(r, "asDict") else r for r in rows]))
                 found.append(_passing(tile, t, t, True, percent, forest))
             yield pd.concat(found) if found else none
+            release()
 
     out = small.select("shingle", "rows").mapInPandas(each, "a long, b long, tile long")
     # larger ones: bands of sizes (only the same and the next can be within the ratio), cut into blocks of bounded size
