@@ -10,20 +10,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dialect import translate
 from ..operators import decisions, goals
 from ..operators.features import CONTEXT, FEATURES, POLICY, SCORED, SUPPRESSED, score, scored_with_context
 from ..sources.events import event_ctes
 from ..streaming import streams
 from . import extended, folds, oracles, training
 
-_DIALECT = {
-    "spark": {"@words(": "regexp_extract_all(lower(", "@w)": "), '[\\\\p{L}\\\\p{N}_]+', 0)", "@size(": "size(", "@sentences(": "filter(transform(split(", "@s)": ", '[.!?]+'), x -> trim(x)), x -> x <> '')",
-              "@distinct(": "array_distinct(", "@tokens(": "size(split(trim(", "@t)": "), '[ \\n\\r\\t]+'))", "@any_value": "any_value", "@string": "string", "@explode(": "explode(", "@joined(": "concat_ws(';', collect_list(", "@j)": ")", "@end": ")", "@range": "sequence(0, 7)", "@split(": "split(", "@p)": ")", "@list(": "collect_list(", "@known(": "last_value(", "@k)": ") ignore nulls",
-              "@head(": "aggregate(slice(", "@h)": "), 0L, (a, x) -> a + x)", "@matches(": "regexp_like(", "@count(": "regexp_count(", "@c)": ")", "@upper_words(": "size(filter(split(trim(", "@u)": "), '[ \\n\\r\\t]+'), x -> length(x) > 2 and upper(x) = x and lower(x) <> x))"},
-    "duckdb": {"@words(": "regexp_extract_all(lower(", "@w)": "), '[\\p{L}\\p{N}_]+')", "@size(": "len(", "@sentences(": "list_filter(list_transform(regexp_split_to_array(", "@s)": ", '[.!?]+'), lambda x: trim(x)), lambda x: x <> '')",
-               "@distinct(": "list_distinct(", "@tokens(": "len(regexp_split_to_array(trim(", "@t)": "), '[ \\n\\r\\t]+'))", "@any_value": "any_value", "@string": "varchar", "@explode(": "unnest(", "@joined(": "string_agg(", "@j)": ", ';')", "@end": "", "@range": "range(8)", "@split(": "string_split(", "@p)": ")", "@list(": "list(", "@known(": "last_value(", "@k)": " ignore nulls)",
-               "@head(": "list_sum(list_slice(", "@h)": "))", "@matches(": "regexp_matches(", "@count(": "len(regexp_extract_all(", "@c)": "))", "@upper_words(": "len(list_filter(regexp_split_to_array(trim(", "@u)": "), '[ \\n\\r\\t]+'), lambda x: length(x) > 2 and upper(x) = x and lower(x) <> x))"},
-}
 TABLES = ("events", "documents", "labels")
 
 # Word lists of the text variants.
@@ -164,8 +157,11 @@ QUERIES["abductive_rule_hits"] = QUERIES["abductive_rule_hits"].format(joined="@
 QUERIES["coded"] = "select * from coded"
 QUERIES["_alerts"] = "select event_id, actor_id, step, tier, label, score, threshold, trust from alerts_lsc"
 QUERIES["_alert_counts"] = "select tier, count(*) as n, count(distinct concat(cast(actor_id as varchar(20)), ':', cast(step as varchar(20)))) as distinct_alerts from alerts_lsc group by tier"
-#: Queries that only serve others.
-HELPERS = ("_alerts", "_alert_counts", "coded", "sweep_rows", "scored_ce", "scored_eg")
+QUERIES["_samples"] = """select role, actor_id, step, logins, queries, exports from (select *, row_number() over (partition by role order by step desc, actor_id desc) as place from (
+    select profile_role as role, actor_id, step, logins, queries, exports, cycles, cast(sum(case when cycles = 0 then large_exports else 0 end) over p as bigint) as a, cast(sum(case when cycles = 0 then outside else 0 end) over p as bigint) as b from snap
+    window p as (partition by actor_id order by step rows between unbounded preceding and current row)) x where cycles = 0 and not (a > 3 and b > 5) and step < 60) y where place <= 500"""
+#: Queries that only serve others, or as SQL of a query that Spark answers otherwise.
+HELPERS = ("_samples", "_alerts", "_alert_counts", "coded", "sweep_rows", "scored_ce", "scored_eg")
 _phishing, _violations = f"least(1e0, {_hits(PHISHING['ce'])} / 5e0)", _hits(VIOLATIONS)
 QUERIES["forensics_cache_mean"] = QUERIES["forensics_cache_mean"].format(phishing=_phishing, violations=_violations)
 _habits = QUERIES["authorship_consistency"].replace("then 1e0 else 1 - least(1e0, (", "then 0e0 else ((", 1).replace("as consistency", "as deviation", 1)
@@ -233,9 +229,7 @@ def text(name: str, dialect: str, intents: dict[str, str] | None = None, alerts:
         parts += [folds.alerts(n, "lsc" if n == "sweep" else n, "select * from sweep_rows" if n == "sweep" else None) for n in ("lsc", "ce", "eg", "sweep") if f"alerts_{n}" in body or f"decided_{n}" in body]
     # a text that starts with a comma adds table expressions
     sql = ("with " if dialect == "spark" else "with recursive ") + ",".join(p.strip().strip(",") for p in parts) + " " + body
-    for mark, real in _DIALECT[dialect].items():
-        sql = sql.replace(mark, real)
-    return sql
+    return translate(sql, dialect)
 
 
 def _view(df: DataFrame, name: str) -> str:
@@ -294,5 +288,6 @@ def oracle_sql() -> dict[str, str]:
     # streams give what the batch queries give
     found["stream_ingest"] = found["monitor_route"]
     found["stream_correlate"] = text("_alerts", "duckdb")
+    found["anomaly_samples"] = text("_samples", "duckdb")
     found["stream_alert_sink"] = text("_alert_counts", "duckdb")
     return found | training.ORACLE_SQL | streams.ORACLE_SQL
