@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, exact_dedup, licenses, ngram_join, packing, passages, spelling, suffix_dedup, token_store, toxicity
+from . import ann, byte_bpe, conversations, exact_dedup, licenses, ngram_join, packing, passages, spelling, suffix_dedup, token_store, toxicity
 from .common import new_path, read, ship
 
 
@@ -66,12 +66,17 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.report(read(spark, sf_dir, "documents")).withColumn("repeats", F.col("n_removed") > 0)
 
 
+def op12_conversation_repair(spark, sf_dir):
+    ship(spark)
+    return conversations.repair(read(spark, sf_dir, "conversations"))
+
+
 def op13_spelling_variants(spark, sf_dir):
     ship(spark)
     return spelling.group(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_block_nearest, op4_license_scan, op5_toxicity, op6_token_store, op7_ngram_jaccard, op8_byte_bpe, op9_exact_dedup, op10_suffix_array_dedup, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_block_nearest, op4_license_scan, op5_toxicity, op6_token_store, op7_ngram_jaccard, op8_byte_bpe, op9_exact_dedup, op10_suffix_array_dedup, op12_conversation_repair, op13_spelling_variants)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
@@ -79,5 +84,6 @@ ORACLE_SQL = {
         select doc_id, max(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
             doc_id = max(doc_id) over (partition by text_sha256) as kept, text_sha256
         from d""",
+    "op12_conversation_repair": conversations.SQL,
     "op13_spelling_variants": spelling.SQL,
 }
