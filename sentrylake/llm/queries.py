@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, conversations, exact_dedup, licenses, ngram_join, packing, passages, spelling, suffix_dedup, token_store, toxicity
+from . import ann, byte_bpe, conversations, exact_dedup, languages, licenses, ngram_join, packing, passages, spelling, suffix_dedup, token_store, toxicity
 from .common import new_path, read, ship
 
 
@@ -66,6 +66,12 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.report(read(spark, sf_dir, "documents")).withColumn("repeats", F.col("n_removed") > 0)
 
 
+def op11_language_id(spark, sf_dir):
+    ship(spark)
+    docs = read(spark, sf_dir, "documents")
+    return languages.predict(docs, languages.fit(docs))
+
+
 def op12_conversation_repair(spark, sf_dir):
     ship(spark)
     return conversations.repair(read(spark, sf_dir, "conversations"))
@@ -76,7 +82,7 @@ def op13_spelling_variants(spark, sf_dir):
     return spelling.group(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_block_nearest, op4_license_scan, op5_toxicity, op6_token_store, op7_ngram_jaccard, op8_byte_bpe, op9_exact_dedup, op10_suffix_array_dedup, op12_conversation_repair, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_block_nearest, op4_license_scan, op5_toxicity, op6_token_store, op7_ngram_jaccard, op8_byte_bpe, op9_exact_dedup, op10_suffix_array_dedup, op11_language_id, op12_conversation_repair, op13_spelling_variants)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
