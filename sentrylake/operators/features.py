@@ -66,14 +66,15 @@ _SUMS = {
 }
 _ORDER = "partition by actor_id order by step, src_rank, event_id"
 
-FEATURES = f"""
+WINDOWS = f"""
 lagged as (select *, lag(event_type, 1) over a as t1, lag(event_type, 2) over a as t2, lag(resource, 2) over a as r2, lag(step, 2) over a as s2,
     coalesce(lead(step, 1) over a <> step, true) as last_of_step
     from ordered window a as ({_ORDER})),
 w as (select *, {", ".join(f"{v} as {k}" for k, v in _SUMS.items())},
     coalesce({_LARGE_MAIL}, false) as anchor_email, coalesce(event_type = 'login' and ((after_hours and role = 'admin') or takeover), false) as anchor_login
     from lagged
-    window w48 as ({_ORDER} rows between 47 preceding and current row), w46 as ({_ORDER} rows between 45 preceding and current row)),
+    window w48 as ({_ORDER} rows between 47 preceding and current row), w46 as ({_ORDER} rows between 45 preceding and current row))"""
+FEATURES = f"""
 snap as (select * from w where last_of_step),
 stepped as (select event_id, ord, actor_id, step, label, phase, profile_role, allowed_after_hours, anchor_email, anchor_login, {", ".join(f"last_value({k}) over st as {k}" for k in _SUMS)}
     from w window st as (partition by actor_id, step order by src_rank, event_id rows between unbounded preceding and unbounded following)),

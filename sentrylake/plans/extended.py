@@ -23,6 +23,11 @@ PEERS = """moved as (select profile_role, step, cast(sum(exports - before) as bi
             from anchors a join sums s on a.profile_role = s.profile_role and a.step = s.step join peers p on a.profile_role = p.role)"""
 DEVIATION = "select event_id, actor_id, step, case when m >= 3 then greatest(0e0, (exports - mean) / (sd + 0.1e0) - 2) else 0e0 end as deviation from spread"
 
+#: Deviation of the sentences' lengths over their mean (one word at least), of two sentences or more.
+SPREAD = "sqrt(cast(n_sentences * n_squares - n_tokens * n_tokens as double)) / n_sentences"
+BURST = f"case when n_sentences < 2 then 0.5e0 else least(1e0, {SPREAD} / greatest(1e0, cast(n_tokens as double) / n_sentences) / 1.5e0) end"
+_VARIATION = f"({SPREAD} / (cast(n_tokens as double) / n_sentences + 0.1e0))"
+
 QUERIES = {
     "feature_vector": LISTS + f"""select s.actor_id, s.step, s.logins, s.queries, s.sensitive, s.exports, s.outside, s.after_hours_n,
         cast(s.sensitive as double) / greatest(1, s.queries) as sensitive_share, cast(s.exports as double) / greatest(1, s.queries) as export_share,
@@ -31,13 +36,11 @@ QUERIES = {
         s.mails_over_500, s.outside_unapproved, case when s.sequences > 0 then 1 else 0 end as sequence, cast(s.n as double) / greatest(1, s.span) as density,
         s.exports_without_ticket, s.device_changes, d.resources, d.dsts, d.login_velocity, d.sensitive_velocity
         from snap s join (select actor_id, step, @size(@distinct(resources)) as resources, @size(@distinct(dsts)) as dsts, {VELOCITY} from lists) d on s.actor_id = d.actor_id and s.step = d.step""",
-    "peer_deviation": ", " + PEERS + " " + DEVIATION,
+    "peer_deviation": DEVIATION,
     # rules whose actions stand in order among the last 20 codes, as regular expressions over the joined codes
     "abductive_rule_hits": "select event_id, actor_id, step, {hits} from (select *, concat(';', {joined}, ';') as codes from coded) x",
-    "vocabulary": "select distinct w as word from (select @explode(@words(content@w)) as w from style where n_words >= 30) x",
-    "burstiness": """select event_id, case when n < 2 then 0.5e0 else least(1e0, sqrt(cast(n * q - s * s as double)) / n / greatest(1e0, cast(s as double) / n) / 1.5e0) end as burstiness from (
-        select event_id, cast(count(*) as bigint) as n, cast(sum(len) as bigint) as s, cast(sum(len * len) as bigint) as q from (
-            select event_id, cast(@size(@words(sentence@w)) as bigint) as len from (select event_id, @explode(@sentences(content@s)) as sentence from mails) x) y group by event_id) z""",
+    "vocabulary": "select distinct w as word from (select @explode(@words(content@w)) as w from texts) x",
+    "burstiness": "select event_id, " + BURST + " as burstiness from style",
     # counts of a word before a step, then within it: no word's mails lie in one task
     "running_perplexity": """, mw as (select event_id, step, w, count(*) as c from (select event_id, step, @explode(@words(content@w)) as w from mails where length(content) >= 20) x group by event_id, step, w),
         word_steps as (select w, step, cast(coalesce(sum(s) over (partition by w order by step rows between unbounded preceding and 1 preceding), 0) as bigint) as earlier
@@ -60,8 +63,7 @@ QUERIES = {
         case when after_hours = 1 then 'after_hours;' else '' end, case when export_large = 1 then 'export_large;' else '' end, case when export_small = 1 then 'export_small;' else '' end,
         case when staging_export = 1 then 'staging_export;' else '' end, case when cycles > 0 then case when tickets > 0 then 'policy:partner_reporting_ticket;' else 'policy:partner_reporting_no_ticket;' end else '' end,
         case when unapproved = 1 then 'policy:unapproved_partner;' when outside > 0 then 'policy:approved_partner_email_not_anchor;' else '' end, case when after_hours = 1 and not allowed_after_hours then 'policy:after_hours_not_allowed;' else '' end) as reasons from flags""",
-    "forensics_cache_mean": """select event_id, actor_id, step, avg(phishing) over p as phishing_mean, cast(sum(violations) over p as bigint) as violations, least(1e0, sum(violations) over p / 3e0) as violation_risk from (
-        select event_id, actor_id, step, {phishing} as phishing, {violations} as violations from mails) x
+    "forensics_cache_mean": """select event_id, actor_id, step, avg(phishing_ce) over p as phishing_mean, avg(phishing_eg) over p as phishing_mean_eg, avg(ai_ce) over p as ai_mean, cast(sum(violations) over p as bigint) as violations, least(1e0, sum(violations) over p / 3e0) as violation_risk from judged
         window p as (partition by actor_id order by step, event_id rows between 9 preceding and current row)""",
     # samples are the steps with events of an actor; sums stand still where the window holds a partner cycle
     "clean_sample_filter": """select actor_id, step, cycles = 0 and not (large_so_far > 3 and outside_so_far > 5) as clean from (
@@ -69,12 +71,25 @@ QUERIES = {
         window p as (partition by actor_id order by step rows between unbounded preceding and current row)) y""",
 }
 
-_CTES, _PERPLEXITY = QUERIES["running_perplexity"].rsplit("\n        select t.event_id", 1)
-#: Word statistics of mails in the second variant; {consistency} is the text of that query.
-FUSED = (
-    _CTES + ", ppl as (select t.event_id" + _PERPLEXITY + "), bursts as (" + QUERIES["burstiness"] + "), habits as ({deviation})" + """,
-    ai as (select m.event_id, m.actor_id, m.step, m.attachment_kb, m.content, coalesce(h.deviation, 0e0) as deviation, case when length(m.content) < 20 then 0e0 else
-        case when coalesce(p.perplexity, 50e0) < 30 then 0.3e0 else 0e0 end + case when coalesce(b.burstiness, 0.5e0) < 0.3e0 then 0.3e0 else 0e0 end + case when coalesce(h.deviation, 0e0) > 0.5e0 then 0.2e0 else 0e0 end end as ai_probability
-        from mails m left join ppl p on m.event_id = p.event_id left join bursts b on m.event_id = b.event_id left join habits h on m.event_id = h.event_id)
-    """
-)
+#: Counts of words up to each mail and the mail's perplexity, as table expressions.
+_WORDS, _PERPLEXITY = QUERIES["running_perplexity"].rsplit("\n        select t.event_id", 1)
+PERPLEXITY = _WORDS.lstrip(", ") + ", perplexities as (select t.event_id" + _PERPLEXITY + ")"
+QUERIES["running_perplexity"] = "select event_id, perplexity from perplexities"
+
+#: Of each mail: phishing by keywords and built-in classifier, and the probability that it was generated, by variant.
+JUDGED = f"""
+judged as (select s.event_id, s.actor_id, s.step, s.attachment_kb, greatest(s.phishing_ce, coalesce(p.ce, 0e0)) as phishing_ce, greatest(s.phishing_eg, coalesce(p.eg, 0e0)) as phishing_eg, s.phishing_trained, s.urgency_ce, s.urgency_eg, s.urgency_trained,
+    s.sensitive_ce, s.sensitive_eg, s.violations, case when s.n_chars < 20 then 0e0 else h.deviation end as deviation, h.deviation as own_deviation, s.n_words, s.n_sentences, s.n_tokens, s.n_distinct,
+    case when s.n_chars < 20 then 0e0 else case when coalesce(x.perplexity, 50e0) < 30 then 0.3e0 else 0e0 end + case when {BURST.replace("n_", "s.n_")} < 0.3e0 then 0.3e0 else 0e0 end + case when h.deviation > 0.5e0 then 0.2e0 else 0e0 end end as ai_ce,
+    case when s.n_chars < 20 then 0e0 else case when coalesce(x.perplexity, 100e0) < 30 then 0.3e0 else 0e0 end + case when s.n_sentences >= 2 and {_VARIATION.replace("n_", "s.n_")} < 0.3e0 then 0.3e0 else 0e0 end + case when h.deviation > 0.5e0 then 0.2e0 else 0e0 end end as ai_eg,
+    case when s.n_sentences >= 2 and {_VARIATION.replace("n_", "s.n_")} < 0.25e0 then 0.3e0 else 0e0 end as ai_trained
+    from style s join habits h on s.event_id = h.event_id left join perplexities x on s.event_id = x.event_id left join phishing_probabilities p on p.doc_key = s.doc_key and p.variant = s.variant)"""
+_ATTACHED = "case when attachment_kb > 500 then least(1e0, attachment_kb / 5000e0) else 0e0 end"
+_STYLED = "case when n_words > 0 and n_sentences > 0 then least(1e0, (abs(cast(n_tokens as double) / n_sentences - 14.60e0) / 5 + abs(cast(n_distinct as double) / n_words - 0.633e0) / 0.15e0) / 3) else 0e0 end"
+QUERIES["ai_text_probability"] = "select event_id, ai_ce as ai_probability, ai_eg, ai_trained, deviation from judged"
+QUERIES["fused_text_risk"] = f"""select event_id, content_risk, content_risk_eg, content_risk_trained, authorship_risk, authorship_risk_eg, attachment_risk, (content_risk + authorship_risk + attachment_risk) / 3 as combined_risk,
+    (content_risk_eg + authorship_risk_eg + attachment_risk) / 3 as combined_risk_eg, (content_risk_trained + phishing_trained) / 2 as combined_risk_trained from (
+    select event_id, phishing_trained, phishing_ce * 0.4e0 + urgency_ce * 0.2e0 + case when sensitive_ce > 0 then 0.2e0 else 0e0 end + 0.2e0 * violations as content_risk, ai_ce * 0.5e0 + deviation * 0.3e0 as authorship_risk,
+        phishing_eg * 0.4e0 + urgency_eg * 0.3e0 + case when sensitive_eg > 0 then 0.2e0 else 0e0 end as content_risk_eg, ai_eg * 0.5e0 + deviation * 0.3e0 as authorship_risk_eg,
+        phishing_trained * 0.4e0 + {_STYLED} * 0.2e0 + (1 - case when n_words = 0 then 1e0 else 1 - least(1e0, own_deviation) end) * 0.2e0 + urgency_trained * 0.2e0 as content_risk_trained, {_ATTACHED} as attachment_risk from judged) x"""
+QUERIES["text_classifier_prob"] = "select s.event_id, p.ce as probability_ce, p.eg as probability_eg, greatest(s.phishing_ce, p.ce) as phishing_ce, greatest(s.phishing_eg, p.eg) as phishing_eg from style s join phishing_probabilities p on p.doc_key = s.doc_key and p.variant = s.variant"

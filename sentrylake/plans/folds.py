@@ -90,3 +90,51 @@ alerts_{name} as (
     select event_id, actor_id, step, config, run, confirmed_at, 'early' as tier, label, phase, value as score, {c.early}e0 as threshold, trust, cast(null as varchar) as verdict from decided_{name} where early
     union all
     select event_id, actor_id, step, config, run, confirmed_at, 'confirmed', label, phase, value, threshold, trust, case when label = 'malicious' then 'malicious' else 'benign' end from decided_{name} where confirmed)"""
+
+
+_LEARNING = list(decisions.FIRST_WEIGHTS)
+
+
+def learning(name: str, source: str, every: int = 24) -> str:
+    """Table expressions ending in ``alerts_{name}``, ``decided_{name}`` and ``weights_{name}``: decisions with weights that learn by round.
+
+    A tick is one more anchor of every actor in a round; a step of recursion takes all actors through a tick. source has ``model`` and
+    ``fold_key`` beside the columns that ``alerts`` takes, and a column for each weight."""
+    c = decisions.CONFIGS["lsc"]
+    k, j = range(len(c.keys)), range(len(_LEARNING))
+    own = ["event_id", "actor_id", "step", "label", "phase", "config", "run", "confirmed_at", "off", "mult", "boost", "gate", *dict.fromkeys([*c.keys, *_LEARNING])]
+    kept = ["trust", "last_early", "last_confirmed", *(f"{x}{i}" for x in "mv" for i in k)]
+    z = " + ".join(f"least(greatest(({x} - m{i}) / (sqrt(v{i}) + 1e-6), 0e0), {c.z_clip}e0)" for i, x in enumerate(c.keys))
+    plain = " + ".join(f"w{i} * {x}" for i, x in enumerate(_LEARNING) if x != "unapproved")
+    moved = ", ".join(f"case when fresh then least(greatest(w{i} - {c.rate}e0 * (a{i} / {decisions.UNIT:.0f}e0 + n_confirmed * {c.decay:.4f}e0 * w{i}), -{c.weight_clip}e0), {c.weight_clip}e0) else w{i} end as w{i}, case when fresh then 0 else a{i} end as a{i}" for i in j)
+    slope = f"(1e0 / (1e0 + exp(-({' + '.join(f'w{i} * {x}' for i, x in enumerate(_LEARNING))}))) - case when label = 'malicious' then 1e0 else 0e0 end)"
+    sums = ", ".join(f"cast(a{i} + coalesce(sum(case when confirmed then cast(round({slope} * {x} * {decisions.UNIT:.0f}e0) as bigint) end) over (partition by model), 0) as bigint)" for i, x in enumerate(_LEARNING))
+    alive = lambda new, old: f"case when live then {new} else {old} end"
+    state = [
+        alive(f"case when confirmed then least(greatest(trust + case when label = 'malicious' then {c.trust_tp}e0 else {c.trust_fp}e0 end, {c.trust_min}e0), {c.trust_max}e0) else trust end", "trust"),
+        "case when early then step else last_early end", "case when confirmed then step else last_confirmed end",
+        *(alive(f"{1 - c.alpha_mean}e0 * m{i} + {c.alpha_mean}e0 * {x}", f"m{i}") for i, x in enumerate(c.keys)),
+        *(alive(f"{1 - c.alpha_var}e0 * v{i} + {c.alpha_var}e0 * pow({x} - ({1 - c.alpha_mean}e0 * m{i} + {c.alpha_mean}e0 * {x}), 2)", f"v{i}") for i, x in enumerate(c.keys)),
+    ]
+    out = ["t", "fold_key", "model", "round", "fresh", "live", "event_id", "actor_id", "step", "label", "phase", "config", "run", "confirmed_at", "base", "value", "threshold", "trust_before", "early", "confirmed", *kept, *(f"w{i}" for i in j), *(f"a{i}" for i in j), "n_confirmed"]
+    start = ["cast(0 as bigint)", "fold_key", "model", "cast(null as bigint)", "false", "false", "cast(null as bigint)", "cast(null as bigint)", "cast(null as bigint)", "cast(null as varchar)", "cast(null as varchar)", "cast(null as varchar)", "0", "0e0", "0e0", "0e0", "0e0", "0e0", "false", "false",
+             f"{c.trust_init}e0", "cast(null as bigint)", "cast(null as bigint)", *["0e0"] * len(c.keys), *["1e0"] * len(c.keys), *(f"{w}e0" for w in decisions.FIRST_WEIGHTS.values()), *["cast(0 as bigint)"] * len(_LEARNING), "cast(0 as bigint)"]
+    return f"""
+rows_{name} as (select *, cast(floor(step / {every}.0) as bigint) as round, row_number() over (partition by fold_key, floor(step / {every}.0) order by ord) as k from ({source}) y),
+ticks_{name} as (select round, k, row_number() over (order by round, k) as t, k = 1 as fresh from (select distinct round, k from rows_{name}) x),
+fold_{name}({", ".join(out)}) as (
+    select {", ".join(start)} from (select distinct fold_key, model from rows_{name}) x
+    union all
+    select t, fold_key, model, round, fresh, live, event_id, actor_id, step, label, phase, config, run, confirmed_at, base, value, threshold, trust, early, confirmed, {", ".join(state)}, {", ".join(f"w{i}" for i in j)}, {sums},
+        cast(case when fresh then 0 else n_confirmed end + sum(case when confirmed then 1 else 0 end) over (partition by model) as bigint)
+    from (select *, coalesce(live and value >= {c.early}e0 and coalesce(step - last_early >= {c.cooldown}, true), false) as early, coalesce(live and value >= threshold and gate and coalesce(step - last_confirmed >= {c.cooldown}, true), false) as confirmed
+        from (select *, base + boost as value from (select *, ({plain} + off) * mult + {c.z_weight}e0 * ({z}) as base, confirmed_at + {c.trust_slope}e0 * (trust - 0.5e0) as threshold
+            from (select t, fold_key, model, round, fresh, live, {", ".join(own)}, {", ".join(kept)}, n_confirmed, {moved}
+                from (select s.t, f.fold_key, f.model, s.round, s.fresh, r.fold_key is not null as live, {", ".join("r." + x for x in own)}, {", ".join("f." + x for x in kept)}, f.n_confirmed, {", ".join(f"f.w{i}, f.a{i}" for i in j)}
+                    from fold_{name} f join ticks_{name} s on s.t = f.t + 1 left join rows_{name} r on r.fold_key = f.fold_key and r.round = s.round and r.k = s.k) a) b) c) d) e),
+decided_{name} as (select event_id, actor_id, step, label, phase, config, run, confirmed_at, base, value, threshold, trust_before as trust, early, confirmed from fold_{name} where live),
+weights_{name} as (select distinct model, round, {", ".join(f"w{i}" for i in j)} from fold_{name} where fresh),
+alerts_{name} as (
+    select event_id, actor_id, step, config, run, confirmed_at, 'early' as tier, label, phase, value as score, {c.early}e0 as threshold, trust, cast(null as varchar) as verdict from decided_{name} where early
+    union all
+    select event_id, actor_id, step, config, run, confirmed_at, 'confirmed', label, phase, value, threshold, trust, case when label = 'malicious' then 'malicious' else 'benign' end from decided_{name} where confirmed)"""

@@ -10,15 +10,15 @@ _RATES = """case when tp + fp > 0 then cast(tp as double) / (tp + fp) else 0e0 e
 _COUNTS = "cast(sum(m * d) as bigint) as tp, cast(sum((1 - m) * d) as bigint) as fp, cast(sum(m * (1 - d)) as bigint) as fn, cast(sum((1 - m) * (1 - d)) as bigint) as tn"
 _CONFIRMED = "select actor_id, min(step) as first_alert from alerts_lsc where tier = 'confirmed' and phase = 'test' group by actor_id"
 
-#: Configurations of the sweep (policy, baseline, trust) and thresholds: fixed values. Runs are fifths of the actors.
-CONFIGURATIONS = (("rules_only", 0, 0, 0), ("policy", 1, 0, 0), ("policy+baseline", 1, 1, 0), ("policy+baseline+trust", 1, 1, 1))
-_GRID = " union all ".join(f"select '{c}' as config, {p} as use_policy, {b}e0 as baseline_on, {t}e0 as trust_on, {x}e0 as confirmed_at" for c, p, b, t in CONFIGURATIONS for x in range(3, 8))
+#: Configurations of the sweep (policy, baseline, trust, learning) and thresholds: fixed values. Runs are fifths of the actors.
+CONFIGURATIONS = (("rules_only", 0, 0, 0, 0), ("policy", 1, 0, 0, 0), ("policy+baseline", 1, 1, 0, 0), ("policy+baseline+trust", 1, 1, 1, 0), ("full_no_ml", 1, 1, 1, 1))
+_GRID = " union all ".join(f"select '{c}' as config, {p} as use_policy, {b}e0 as baseline_on, {t}e0 as trust_on, {o} as online, {x}e0 as confirmed_at" for c, p, b, t, o in CONFIGURATIONS for x in range(3, 8))
 SWEEP = f"""
 grid as ({_GRID}),
-sweep_rows as (select concat(g.config, ':', cast(cast(g.confirmed_at as int) as varchar(9)), ':', cast(f.actor_id as varchar(20))) as fold_key, g.config, g.confirmed_at, g.baseline_on, g.trust_on, cast(f.actor_id % 5 as int) as run, 0e0 as boost,
-    f.event_id, f.ord, f.actor_id, f.step, f.label, f.phase, f.role, f.login_burst, f.sens_burst, f.email_burst, f.after_hours, f.export_large, f.export_small, f.staging_export, {score("lsc")} as score_base,
+sweep_rows as (select concat(g.config, ':', cast(cast(g.confirmed_at as int) as varchar(9)), ':', cast(f.actor_id as varchar(20))) as fold_key, g.config, g.confirmed_at, g.baseline_on, g.trust_on, g.online, concat(g.config, ':', cast(cast(g.confirmed_at as int) as varchar(9)), ':', cast(f.actor_id % 5 as varchar(9))) as model, cast(f.actor_id % 5 as int) as run, 0e0 as boost,
+    f.event_id, f.ord, f.actor_id, f.step, f.label, f.phase, f.role, f.login_burst, f.sens_burst, f.email_burst, f.after_hours, f.export_large, f.export_small, f.staging_export, f.anchor_email, f.anchor_login, g.use_policy * f.unapproved as unapproved, {score("lsc")} as score_base,
     case when g.use_policy = 1 then {POLICY["lsc"][0]} else 1e0 end as mult, case when g.use_policy = 1 then {POLICY["lsc"][1]} else 0e0 end as off,
-    (g.use_policy = 1 and unapproved = 1) or export_large = 1 or anchor_login = 1 as gate
+    (g.use_policy = 1 and f.unapproved = 1) or export_large = 1 or anchor_login = 1 as gate
     from flags f cross join grid g where not (g.use_policy = 1 and {SUPPRESSED}))"""
 _RUNS = f""", truth as (select *, cast(actor_id % 5 as int) as run from ({_TRUTH}) x),
     points as (select distinct config, confirmed_at from ({_GRID}) x),
@@ -34,6 +34,11 @@ _RUNS = f""", truth as (select *, cast(actor_id % 5 as int) as run from ({_TRUTH
     """
 _METRICS = ("actor_precision", "actor_recall", "actor_f1", "ttd_avg", "ttd_max", "early_precision", "early_total", "early_fp", "conf_precision", "conf_total", "conf_fp", "actors_total")
 
+# sums of numbers with a fixed point don't depend on the order of adding
+_fixed = lambda m: f"cast({m} as decimal(18, 9))"
+_mean = lambda m: f"round(cast(sum({_fixed(m)}) as double) / count({m}), 9)"
+_deviation = lambda m: f"round(sqrt(greatest(0e0, cast(sum(cast({_fixed(m)} * {_fixed(m)} as decimal(38, 18))) as double) / count({m}) - pow(cast(sum({_fixed(m)}) as double) / count({m}), 2))), 6)"
+
 EVALUATION = {
     "sweep_rows": "select * from sweep_rows",
     # alerts and the states that they come from
@@ -65,8 +70,8 @@ EVALUATION = {
         select count(distinct case when label = 'malicious' then actor_id end) as detected, count(case when label <> 'malicious' then 1 end) as false_alerts from alerts_eg where tier = 'confirmed' and phase = 'test') x""",
     "intent_assisted_count": "select count(*) as alerts, cast(sum(case when g.intent > 0 then 1 else 0 end) as bigint) as assisted from alerts_ce a join (select actor_id, step, intent from goals_ce where last_of_step) g on a.actor_id = g.actor_id and a.step = g.step where a.tier = 'confirmed'",
     "config_grid": "select config, confirmed_at as threshold, run, tier, count(*) as alerts, cast(sum(case when label = 'malicious' then 1 else 0 end) as bigint) as tp from alerts_sweep where phase = 'test' group by config, confirmed_at, run, tier",
-    "sweep_summary": _RUNS + "select config, confirmed_at as threshold, " + ", ".join(f"avg(cast({m} as double)) as {m}" for m in _METRICS) + " from metrics group by config, confirmed_at",
-    "run_average": _RUNS + "select config, " + ", ".join(f"avg(cast({m} as double)) as {m}, stddev_pop(cast({m} as double)) as {m}_std" for m in _METRICS[:3]) + ", count(*) as runs from metrics where confirmed_at = 4 group by config",
+    "sweep_summary": _RUNS + "select config, confirmed_at as threshold, " + ", ".join(f"{_mean(m)} as {m}" for m in _METRICS) + " from metrics group by config, confirmed_at",
+    "run_average": _RUNS + "select config, " + ", ".join(f"{_mean(m)} as {m}, {_deviation(m)} as {m}_std" for m in _METRICS[:3]) + ", count(*) as runs from metrics where confirmed_at = 4 group by config",
 }
 
 #: What each anchor sees, gathered by a join instead of windows: all rows of its actor's last 48 up to the end of its step.

@@ -5,15 +5,18 @@ A query is written once; ``@``-marked words stand for functions that the two dia
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bayes
 from ..functions.dialect import translate
 from ..operators import decisions, goals
-from ..operators.features import CONTEXT, FEATURES, POLICY, SCORED, SUPPRESSED, score, scored_with_context
-from ..sources.events import event_ctes
+from ..operators.features import CONTEXT, FEATURES, POLICY, SCORED, SUPPRESSED, WINDOWS, score, scored_with_context
+from ..session import ship, written
+from ..sources.events import actor_ctes, event_rows
 from ..streaming import streams
 from . import extended, folds, oracles, training
 
@@ -45,14 +48,26 @@ def _hits(words, text="lower(content)") -> str:
     return "(" + " + ".join(f"case when {text} like '%{w}%' then 1 else 0 end" for w in words) + ")"
 
 
-MAILS = """
-sent as (select event_id, step, actor_id, dst, attachment_kb, src_rank, k, event_id % (select max(doc_id) + 1 from documents) as doc_key from security_events where event_type = 'email_send'),
-mails as (select e.event_id, e.step, e.actor_id, e.dst, e.attachment_kb, e.src_rank, concat(case e.k % 8 {cases} end, d.text) as content
-    from sent e join documents d on d.doc_id = e.doc_key),
-texts as (select d.doc_id, v.variant, concat(case v.variant {cases} end, d.text) as content from documents d cross join (select @explode(@range) as variant) v where d.text is not null),
-measured as (select doc_id, variant, content, @size(@words(content@w)) as n_words, @size(@distinct(@words(content@w))) as n_distinct, @size(@sentences(content@s)) as n_sentences, @tokens(content@t) as n_tokens from texts),
-style as (select e.event_id, e.step, e.actor_id, e.dst, e.attachment_kb, e.src_rank, t.content, t.n_words, t.n_distinct, t.n_sentences, t.n_tokens from sent e join measured t on t.doc_id = e.doc_key and t.variant = e.k % 8)""".format(
-    cases=" ".join(f"when {i} then '{s}'" for i, s in enumerate(SUBJECTS)))
+_SUBJECT = "case variant " + " ".join(f"when {i} then '{t}'" for i, t in enumerate(SUBJECTS)) + " end"
+#: Texts are measured once for each document and subject that mails have together. A mail whose document is missing, or has no text, is its subject.
+_MEASURES = f"""@size(@words(content@w)) as n_words, @size(@distinct(@words(content@w))) as n_distinct, @lengths(content@l) as lengths, length(content) as n_chars, length(trim(content)) as n_solid,
+    {", ".join(f"least(1e0, {_hits(PHISHING[v])} / {n}e0) as phishing_{v}" for v, n in (("ce", 5), ("eg", 4), ("trained", 3)))},
+    {", ".join(f"least(1e0, {_hits(URGENT[v])} / {n}e0) as urgency_{v}" for v, n in (("ce", 3), ("eg", 2), ("trained", 2), ("egx", 2)))},
+    {", ".join(f"{_hits(SENSITIVE[v])} as sensitive_{v}" for v in ("ce", "eg", "trained"))}, {_hits(VIOLATIONS)} as violations, {_hits(ATTACHMENT)} as attachments"""
+SENT = """sent as (select event_id, step, actor_id, dst, attachment_kb, src_rank, k % 8 as variant, event_id % (select max(doc_id) + 1 from documents) as doc_key from security_events where event_type = 'email_send')"""
+TEXTS = f"""texts as (select @spread p.doc_key, p.variant, concat({_SUBJECT}, coalesce(d.text, '')) as content from (select distinct doc_key, variant from sent) p left join documents d on d.doc_id = p.doc_key)"""
+MAILS = """mails as (select e.event_id, e.step, e.actor_id, e.dst, e.attachment_kb, e.src_rank, t.content from sent e join texts t on t.doc_key = e.doc_key and t.variant = e.variant)"""
+MEASURED = f"""measured as (select *, @size(lengths) as n_sentences, @sum(lengths, x@x) as n_tokens, @sum(lengths, x * x@x) as n_squares from (select doc_key, variant, {_MEASURES} from texts) x)"""
+STYLE = """style as (select e.event_id, e.step, e.actor_id, e.dst, e.attachment_kb, e.src_rank, m.* from sent e join (select doc_key as m_key, variant as m_variant, * from measured) m on m_key = e.doc_key and m_variant = e.variant)"""
+#: Of each mail: sentence length and richness, the sender's mails before it, and the means of the last ten of those that have them.
+AUTHORS = """
+authors as (select *, count(*) over p as earlier, @known(len_10@k) over p as len_before, @known(rich_10@k) over p as rich_before from (
+    select event_id, step, actor_id, attachment_kb, n_chars, n_words, n_sentences, len, rich,
+        case when len is not null then avg(len) over (partition by actor_id, len is null order by step, event_id rows between 9 preceding and current row) end as len_10,
+        case when rich is not null then avg(rich) over (partition by actor_id, rich is null order by step, event_id rows between 9 preceding and current row) end as rich_10
+    from (select *, case when n_sentences > 0 then cast(n_tokens as double) / n_sentences end as len, case when n_words > 0 then cast(n_distinct as double) / n_words end as rich from style) x) y
+    window p as (partition by actor_id order by step, event_id rows between unbounded preceding and 1 preceding)),
+habits as (select *, case when earlier < 3 or n_sentences = 0 then 0e0 else (coalesce(abs(len - len_before) / greatest(len_before, 1e0), 0e0) + coalesce(abs(coalesce(rich, 0e0) - rich_before) / greatest(rich_before, 0.1e0), 0e0)) / 2 end as deviation from authors)"""
 
 _IDS = "event_id, actor_id, step"
 _snap = lambda cols: f"select actor_id, step, {cols} from snap"
@@ -121,25 +136,26 @@ QUERIES = {
     "belief_decay": "select event_id, pow(0.99e0, max(step) over (partition by actor_id) - step) as confidence from security_events",
     # text
     "tokenize_words_sentences": "select event_id, n_words, n_distinct, n_sentences from style",
-    "phishing_keywords": f"select event_id, least(1e0, {_hits(PHISHING['ce'])} / 5e0) as ce, least(1e0, {_hits(PHISHING['eg'])} / 4e0) as eg, least(1e0, {_hits(PHISHING['trained'])} / 3e0) as trained from mails",
-    "urgency_level": "select event_id, " + ", ".join(f"least(1e0, {_hits(URGENT[v])} / {k}e0) as {v}" for v, k in (("ce", 3), ("eg", 2), ("trained", 2), ("egx", 2))) + " from mails",
-    "sensitive_content": f"select event_id, {_hits(SENSITIVE['ce'])} as n_ce, " + ", ".join(f"{_hits(SENSITIVE[v])} > 0 as {v}" for v in ("ce", "eg", "trained")) + " from mails",
-    "policy_violation_phrases": f"select event_id, {_hits(VIOLATIONS)} as n_violations from mails",
+    "phishing_keywords": "select event_id, phishing_ce as ce, phishing_eg as eg, phishing_trained as trained from style",
+    "urgency_level": "select event_id, urgency_ce as ce, urgency_eg as eg, urgency_trained as trained, urgency_egx as egx from style",
+    "sensitive_content": "select event_id, sensitive_ce as n_ce, sensitive_ce > 0 as ce, sensitive_eg > 0 as eg, sensitive_trained > 0 as trained from style",
+    "policy_violation_phrases": "select event_id, violations as n_violations from style",
     "spam_indicators": "select event_id, length(content) - length(replace(content, '!', '')) + @upper_words(content@u) as indicators from mails",
     "entity_counts": r"select event_id, @count(content, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z|]{2,}'@c) as addresses, @count(content, 'https?://[^ \n\r\t]+'@c) as urls from mails",
     "attachment_risk": "select event_id, case when attachment_kb > 500 then least(1e0, attachment_kb / 5000e0) else 0e0 end as attachment_risk from mails",
     "empty_text_defaults": "select doc_id, case when coalesce(length(text), 0) < 20 then 50e0 end as perplexity, case when coalesce(length(text), 0) < 20 then 0.5e0 end as burstiness from documents",
-    "style_metrics": "select event_id, n_words, n_sentences, cast(n_words as double) / n_sentences as avg_sentence_length, cast(n_distinct as double) / n_words as vocabulary_richness from style where n_words >= 30 and n_sentences > 0",
-    "style_anomaly": """select event_id, least(1e0, (abs(len - 14.60e0) / 5 + abs(rich - 0.633e0) / 0.15e0) / 3) as style_anomaly from (
-        select event_id, cast(n_words as double) / n_sentences as len, cast(n_distinct as double) / n_words as rich from style where n_words > 0 and n_sentences > 0) x""",
-    "authorship_consistency": """select event_id, actor_id, case when earlier < 3 then 1e0 else 1 - least(1e0, (abs(len - mlen) / greatest(mlen, 1e0) + abs(rich - mrich) / greatest(mrich, 0.1e0)) / 2) end as consistency from (
-        select *, count(*) over p as earlier, avg(len) over q as mlen, avg(rich) over q as mrich from (
-            select event_id, actor_id, step, cast(n_words as double) / n_sentences as len, cast(n_distinct as double) / n_words as rich from style where n_words > 0 and n_sentences > 0) x
-        window p as (partition by actor_id order by step, event_id rows between unbounded preceding and 1 preceding), q as (partition by actor_id order by step, event_id rows between 10 preceding and 1 preceding)) y""",
+    "style_metrics": "select event_id, n_words, n_sentences, cast(n_tokens as double) / n_sentences as avg_sentence_length, cast(n_distinct as double) / n_words as vocabulary_richness from style where n_solid >= 20 and n_words >= 30 and n_sentences > 0",
+    "style_anomaly": """select event_id, case when n_words > 0 and n_sentences > 0 then least(1e0, (abs(cast(n_tokens as double) / n_sentences - 14.60e0) / 5 + abs(cast(n_distinct as double) / n_words - 0.633e0) / 0.15e0) / 3) else 0e0 end as style_anomaly from style""",
+    "authorship_consistency": "select event_id, actor_id, case when n_chars < 20 then 1e0 else 1 - least(1e0, deviation) end as consistency from habits",
+    # the trained variants take nothing from texts without a word
+    "authorship_consistency_trained": "select event_id, actor_id, case when n_words = 0 then 1e0 else 1 - least(1e0, deviation) end as consistency from habits",
+    "author_profile": """select event_id, actor_id, cast(count(*) over (partition by actor_id order by step, event_id) as bigint) as mails, least(50, count(len) over (partition by actor_id order by step, event_id)) as lengths, least(50, count(rich) over (partition by actor_id order by step, event_id)) as richnesses,
+        case when len is not null then round(avg(len) over (partition by actor_id, len is null order by step, event_id rows between 49 preceding and current row), 9) end as avg_length,
+        case when rich is not null then round(avg(rich) over (partition by actor_id, rich is null order by step, event_id rows between 49 preceding and current row), 9) end as avg_richness from authors""",
     # headers of several recipients: any one outside the internal domain counts
     "external_recipient": """select event_id, max(case when address like '%@%' and address not like '%@org%' then 1 else 0 end) = 1 as external from (
         select event_id, @explode(@split(case when event_id % 3 = 0 then concat('desk@org,', dst) when event_id % 3 = 1 then concat(dst, ', pool@org') else 'pool@org' end, ','@p)) as address from security_events where event_type = 'email_send') x group by event_id""",
-    "attachment_mention": f"select event_id, {_hits(ATTACHMENT)} > 0 as mentions from mails",
+    "attachment_mention": "select event_id, attachments > 0 as mentions from style",
     "sender_profiles": "select actor_id, count(*) as n, avg(cast(n_words as double)) as avg_words, avg(cast(n_sentences as double)) as avg_sentences from style group by actor_id having count(*) >= 5",
     "corpus_stats": "select count(*) as mails, sum(case when n_words >= 30 then 1 else 0 end) as processed, count(distinct actor_id) as senders, avg(cast(n_words as double)) as avg_words, avg(case when dst like '%outside' then 1e0 else 0e0 end) as external_share from style",
     "label_filter_stats": "select case when quality = 0 or toxic = 1 then 'spam' else 'ham' end as label, count(*) as n from labels l join documents d on l.doc_id = d.doc_id where d.text is not null group by case when quality = 0 or toxic = 1 then 'spam' else 'ham' end",
@@ -160,17 +176,12 @@ QUERIES["_alert_counts"] = "select tier, count(*) as n, count(distinct concat(ca
 QUERIES["_samples"] = """select role, actor_id, step, logins, queries, exports from (select *, row_number() over (partition by role order by step desc, actor_id desc) as place from (
     select profile_role as role, actor_id, step, logins, queries, exports, cycles, cast(sum(case when cycles = 0 then large_exports else 0 end) over p as bigint) as a, cast(sum(case when cycles = 0 then outside else 0 end) over p as bigint) as b from snap
     window p as (partition by actor_id order by step rows between unbounded preceding and current row)) x where cycles = 0 and not (a > 3 and b > 5) and step < 60) y where place <= 500"""
+QUERIES["confirmed_alerts_online"] = "select event_id, actor_id, step, label, phase, round(score, 9) as score, threshold, trust, verdict from alerts_online where tier = 'confirmed'"
+QUERIES["early_alerts_online"] = "select event_id, actor_id, step, label, phase, round(score, 9) as score, threshold, trust, verdict from alerts_online where tier = 'early'"
+QUERIES["online_weights"] = "select round, " + ", ".join(f"round(w{i}, 9) as {k}" for i, k in enumerate(decisions.FIRST_WEIGHTS)) + " from weights_online"
+QUERIES["_online_rows"] = "select * from online_rows"
 #: Queries that only serve others, or as SQL of a query that Spark answers otherwise.
-HELPERS = ("_samples", "_alerts", "_alert_counts", "coded", "sweep_rows", "scored_ce", "scored_eg")
-_phishing, _violations = f"least(1e0, {_hits(PHISHING['ce'])} / 5e0)", _hits(VIOLATIONS)
-QUERIES["forensics_cache_mean"] = QUERIES["forensics_cache_mean"].format(phishing=_phishing, violations=_violations)
-_habits = QUERIES["authorship_consistency"].replace("then 1e0 else 1 - least(1e0, (", "then 0e0 else ((", 1).replace("as consistency", "as deviation", 1)
-_fused = extended.FUSED.replace("{deviation}", _habits)
-QUERIES["ai_text_probability"] = _fused + "select event_id, ai_probability, deviation from ai"
-QUERIES["fused_text_risk"] = _fused + f"""select event_id, content_risk, authorship_risk, attachment_risk, (content_risk + authorship_risk + attachment_risk) / 3 as combined_risk from (
-    select event_id, {_phishing} * 0.4e0 + least(1e0, {_hits(URGENT['ce'])} / 3e0) * 0.2e0 + case when {_hits(SENSITIVE['ce'])} > 0 then 0.2e0 else 0e0 end + 0.2e0 * {_violations} as content_risk,
-        ai_probability * 0.5e0 + deviation * 0.3e0 as authorship_risk, case when attachment_kb > 500 then least(1e0, attachment_kb / 5000e0) else 0e0 end as attachment_risk from ai) x"""
-
+HELPERS = ("_samples", "_alerts", "_alert_counts", "_online_rows", "coded", "sweep_rows", "scored_ce", "scored_eg")
 
 _VARIANTS = ("ce", "eg")
 _CODED = "coded as (select o.event_id, o.actor_id, o.step, o.ord, x.code, o.last_of_step, cast(case when o.ticket_id is not null then 1 else 0 end + case when o.approved_partner then 1 else 0 end + case when o.cycle = 'partner_reporting' then 1 else 0 end + case when o.after_hours then 0 else 1 end as bigint) as contradictions from lagged o join codes x on o.event_id = x.event_id)"
@@ -178,17 +189,15 @@ _CODED = "coded as (select o.event_id, o.actor_id, o.step, o.ord, x.code, o.last
 
 def context(variant: str) -> str:
     """What other operators say of an actor at the end of each step, for the scores of a variant; from ``intents_{variant}``."""
-    phishing, violations = f"least(1e0, {_hits(PHISHING[variant])} / {5 if variant == 'ce' else 4}e0)", _hits(VIOLATIONS)
-    means = f"m_{variant} as (select event_id, actor_id, step, {phishing} as phishing, {violations} as violations, " + ("ai_probability from ai)" if variant == "ce" else "0e0 as ai_probability from mails)")
     rest = {
         "ce": "case when i.intent > 0.4e0 then i.intent else 0e0 end as intent, case when i.completion > 0.5e0 then i.completion else 0e0 end as plan, case when k.ph > 0.5e0 then k.ph else 0e0 end as phishing, "
               "case when k.ai > 0.5e0 then k.ai else 0e0 end as ai_text, case when k.vi > 0 then least(1e0, k.vi / 3e0) else 0e0 end as violation, 0e0 as peer_dev, 0e0 as irreg",
         "eg": "case when i.intent > 0.30e0 then i.intent else 0e0 end as intent, case when i.completion > 0.4e0 then i.completion else 0e0 end as plan, case when k.ph > 0.4e0 then k.ph else 0e0 end as phishing, "
               "0e0 as ai_text, 0e0 as violation, coalesce(q.deviation, 0e0) as peer_dev, case when k.regularity < 0.3e0 then 1 - k.regularity else 0e0 end as irreg",
     }[variant]
-    peers = ("", "") if variant == "ce" else (", " + extended.PEERS + ", peers_eg as (select distinct actor_id, step, deviation from (" + extended.DEVIATION + ") x)", " left join peers_eg q on k.actor_id = q.actor_id and k.step = q.step")
-    return f"""{means},
-    means_{variant} as (select event_id, avg(phishing) over p as ph, avg(ai_probability) over p as ai, cast(sum(violations) over p as bigint) as vi from m_{variant} window p as (partition by actor_id order by step, event_id rows between 9 preceding and current row)),
+    peers = ("", "") if variant == "ce" else (", peers_eg as (select distinct actor_id, step, deviation from (" + extended.DEVIATION + ") x)", " left join peers_eg q on k.actor_id = q.actor_id and k.step = q.step")
+    return f"""
+    means_{variant} as (select event_id, avg(phishing_{variant}) over p as ph, avg(ai_{variant}) over p as ai, cast(sum(violations) over p as bigint) as vi from judged window p as (partition by actor_id order by step, event_id rows between 9 preceding and current row)),
     regular_{variant} as ({QUERIES["export_regularity"]}){peers[0]},
     known_{variant} as (select * from (select actor_id, step, last_of_step, @known(ph@k) over a as ph, @known(ai@k) over a as ai, @known(vi@k) over a as vi, @known(regularity@k) over a as regularity from (
         select o.actor_id, o.step, o.src_rank, o.event_id, o.last_of_step, m.ph, m.ai, m.vi, g.regularity from lagged o left join means_{variant} m on o.event_id = m.event_id left join regular_{variant} g on o.event_id = g.event_id) x
@@ -196,75 +205,136 @@ def context(variant: str) -> str:
     context_{variant} as (select k.actor_id, k.step, {rest} from known_{variant} k left join intents_{variant} i on k.actor_id = i.actor_id and k.step = i.step{peers[1]})""" + "," + scored_with_context(variant)
 
 
-def text(name: str, dialect: str, intents: dict[str, str] | None = None, alerts: str = "") -> str:
-    """The whole SQL of a query, with no more table expressions than it needs.
-
-    intents, alerts: for Spark, the views that the ordered folds were put in; DuckDB runs recursive expressions instead."""
-    body = QUERIES[name]
-    folded = "alerts_" in body or "decided_" in body
-    contexts = [v for v in _VARIANTS if f"_{v}" in body and any(f"{x}_{v}" in body for x in ("scored", "alerts", "decided"))] if not alerts else []
-    goals_of = sorted({*contexts, *(v for v in _VARIANTS if f"goals_{v}" in body)})
-    sweep = "_sweep" in body
-    parts = [event_ctes(dialect)]
-    if folded and not alerts or goals_of or "sweep_rows" in body or "coded" in body or any(x in body for x in ("snap", "anchors", "flags", "scored", "lagged", "lists")):
-        parts.append(FEATURES)
-    if "mails" in body or "style" in body or contexts:
-        parts.append(MAILS)
-    if goals_of or "coded" in body:
-        parts += ["codes as (" + QUERIES["encode_action"] + ")", _CODED]
-    for v in goals_of:
-        parts.append(f"goals_{v} as (select * from {intents[v]})" if dialect == "spark" else folds.goals(v))
-        parts.append(f"intents_{v} as (select actor_id, step, intent, completion from goals_{v} where last_of_step)")
-    if "ce" in contexts:
-        parts.append(_fused.strip().lstrip(","))
-    parts += [context(v) for v in contexts]
-    if "scored" in body or folded and not alerts:
-        parts.append(SCORED)
-    if sweep and not alerts or "sweep_rows" in body:
-        parts.append(oracles.SWEEP)
-    if alerts:
-        shown = next(n for n in ("lsc", "ce", "eg", "sweep") if f"_{n}" in body and (f"alerts_{n}" in body or f"decided_{n}" in body))
-        parts.append(alerts.format(name=shown))
-    elif folded:
-        parts += [folds.alerts(n, "lsc" if n == "sweep" else n, "select * from sweep_rows" if n == "sweep" else None) for n in ("lsc", "ce", "eg", "sweep") if f"alerts_{n}" in body or f"decided_{n}" in body]
+#: Table expressions in order; each text may define several. What is worked out by Python in Spark is SQL for DuckDB only.
+BLOCKS = [
+    WINDOWS, FEATURES, SCORED, oracles.SWEEP, SENT, TEXTS, MAILS, MEASURED, STYLE, AUTHORS, extended.PEERS, extended.PERPLEXITY, bayes.probabilities(), extended.JUDGED, "codes as (" + QUERIES["encode_action"] + ")", _CODED,
+    *(folds.goals(v) for v in _VARIANTS), *(f"intents_{v} as (select actor_id, step, intent, completion from goals_{v} where last_of_step)" for v in _VARIANTS), *(context(v) for v in _VARIANTS),
+    "online_rows as (select *, 0e0 as boost, actor_id as fold_key, '' as model, '' as config, 0 as run, 4e0 as confirmed_at from scored)",
+    *(folds.alerts(v, v) for v in ("lsc", *_VARIANTS)), folds.learning("online", "select * from online_rows"),
+    folds.alerts("plain", "lsc", "select * from sweep_rows where online = 0"), folds.learning("learning", "select * from sweep_rows where online = 1"),
+    *(f"{x}_sweep as (select * from {x}_plain union all select * from {x}_learning)" for x in ("decided", "alerts")),
+]
+#: What a query of several uses is worked out once and written, in Spark.
+WRITTEN = ("w", "measured", "judged")
+_DEFINES = re.compile(r"(?:^|,\s*)([a-z_0-9]+)(?:\([^()]*\))? as \(", re.M)
+_READS = re.compile(r"\b(?:from|join)\s+([a-z_0-9]+)")
+
+
+def _defined(block: str) -> set[str]:
+    return {name for name in _DEFINES.findall(block.strip()) if name not in ("window",)}
+
+
+def _needed(body: str, given: set[str]) -> list[str]:
+    """The blocks that a query's text reads, and those that they read in turn, in order; not those of names that are given."""
+    owner = {name: i for i, b in reversed(list(enumerate(BLOCKS))) for name in _defined(b)}
+    found: set[int] = set()
+    todo = [body]
+    while todo:
+        for name in _READS.findall(todo.pop()):
+            i = owner.get(name)
+            if i is not None and name not in given and i not in found:
+                found.add(i)
+                todo.append(BLOCKS[i])
+    return [BLOCKS[i] for i in sorted(found)]
+
+
+def text(name: str, dialect: str, given: dict[str, str] | None = None) -> str:
+    """The whole SQL of a query, with no more table expressions than it needs. given: views that stand for table expressions."""
+    return _text(QUERIES[name], dialect, given or {})
+
+
+def _text(body: str, dialect: str, given: dict[str, str]) -> str:
+    blocks = _needed(body, set(given))
+    whole = " ".join([body, *blocks])
+    parts = [event_rows(dialect)]
+    if any(re.search(rf"\b(?:from|join)\s+{t}\b", whole) for t in ("profile", "ordered")):
+        parts.append(actor_ctes())
+    parts += [f"{n} as (select * from {v})" for n, v in given.items() if re.search(rf"\b(?:from|join)\s+{n}\b", whole)]
+    parts += [_without(b, given) for b in blocks]
     # a text that starts with a comma adds table expressions
-    sql = ("with " if dialect == "spark" else "with recursive ") + ",".join(p.strip().strip(",") for p in parts) + " " + body
+    sql = ("with " if dialect == "spark" else "with recursive ") + ",".join(p for p in (x.strip().strip(",") for x in parts) if p) + " " + body
     return translate(sql, dialect)
 
 
-def _view(df: DataFrame, name: str) -> str:
-    view = f"{name}_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(view)
-    return view
+def _without(block: str, given: dict[str, str]) -> str:
+    """A block less the expressions at its top level that are given."""
+    out, depth, start, quoted = [], 0, 0, False
+    for i, c in enumerate(block):
+        if c == "'":
+            quoted = not quoted
+        elif not quoted and c in "()":
+            depth += 1 if c == "(" else -1
+        elif not quoted and c == "," and depth == 0:
+            out.append(block[start:i])
+            start = i + 1
+    out.append(block[start:])
+    return ",".join(x for x in out if x.strip() and x.strip().split("(")[0].split(" ")[0] not in given)
+
+
+class _Session:
+    """One query's work in Spark: views of the tables, of what Python works out, and of what is written for several uses."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.given = spark, sf_dir, {}
+        for t in TABLES:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+
+    def sql(self, body: str) -> DataFrame:
+        self.prepare(body)
+        return self.plain(body)
+
+    def plain(self, body: str) -> DataFrame:
+        return self.spark.sql(_text(body, "spark", self.given).replace("{partitions}", self.spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def give(self, name: str, df: DataFrame) -> None:
+        view = f"{name}_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(view)
+        self.given[name] = view
+
+    def prepare(self, body: str) -> None:
+        """Works out what the text reads and Spark's SQL can't, or shouldn't more than once."""
+        reads = self.reads(body)
+        heavy = any(f"{x}_{v}" in reads for x in ("goals", "scored", "alerts", "decided") for v in _VARIANTS) or "judged" in reads or any(f"{x}_{n}" in reads for x in ("alerts", "decided", "weights") for n in ("online", "sweep"))
+        if heavy:
+            for name in WRITTEN:
+                if name in reads and name not in self.given:
+                    self.give(name, written(self.plain(f"select * from {name}"), name))
+        for v in _VARIANTS:
+            if f"goals_{v}" in self.reads(body) and f"goals_{v}" not in self.given:
+                self.give(f"goals_{v}", written(goals.infer(self.plain("select * from coded"), v), f"goals-{v}"))
+        for n in ("lsc", *_VARIANTS):
+            if {f"alerts_{n}", f"decided_{n}"} & self.reads(body) and f"decided_{n}" not in self.given:
+                config = decisions.CONFIGS[n]
+                self._decide(n, decisions.decide(self.sql("select * from scored" if n == "lsc" else f"select * from scored_{n}"), config), config)
+        if {"alerts_online", "decided_online", "weights_online"} & self.reads(body) and "decided_online" not in self.given:
+            decided, weights = decisions.learn(self.sql("select * from online_rows"), decisions.CONFIGS["lsc"])
+            self._decide("online", decided, decisions.CONFIGS["lsc"])
+            keys = list(decisions.FIRST_WEIGHTS)
+            self.give("weights_online", weights.groupBy("round").pivot("key", keys).agg(F.first("weight")).select("round", *(F.col(k).alias(f"w{i}") for i, k in enumerate(keys))))
+        if {"alerts_sweep", "decided_sweep"} & self.reads(body) and "decided_sweep" not in self.given:
+            self._decide("sweep", sweep(self.sql("select * from sweep_rows")), decisions.CONFIGS["lsc"])
+
+    def _decide(self, n: str, decided: DataFrame, config) -> None:
+        decided = written(decided, f"decided-{n}")
+        self.give(f"decided_{n}", decided)
+        self.give(f"alerts_{n}", decisions.fired(decided, config))
+
+    def reads(self, body: str) -> set[str]:
+        """Names that a text reads, itself or by what it needs."""
+        return set(_READS.findall(" ".join([body, *_needed(body, set(self.given))])))
+
+
+def sweep(rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Decisions of all points of a sweep: plain folds, and rounds where the weights learn."""
+    rows = rows.withColumn("confirmed", F.col("confirmed_at")).withColumn("use_baseline", F.col("baseline_on") > 0).withColumn("use_trust", F.col("trust_on") > 0)
+    by = ("config", "confirmed_at", "run")
+    plain = decisions.decide(rows.filter("online = 0"), by=by)
+    return plain.unionByName(decisions.learn(rows.filter("online = 1"), by=by)[0])
 
 
 def _run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    body = QUERIES[name]
-    intents = {}
-    for v in _VARIANTS:
-        if any(f"{x}_{v}" in body for x in ("goals", "scored", "alerts", "decided")):
-            intents[v] = _view(goals.infer(_sql(spark, sf_dir, "coded"), v), f"goals_{v}")
-    alerts = ""
-    shown = next((n for n in ("lsc", "ce", "eg", "sweep") if f"alerts_{n}" in body or f"decided_{n}" in body), None)
-    if shown:
-        decided = _decided(spark, sf_dir, shown)
-        fired = decisions.fired(decided, decisions.CONFIGS["lsc" if shown == "sweep" else shown])
-        alerts = f"decided_{{name}} as (select * from {_view(decided, 'decided')}), alerts_{{name}} as (select * from {_view(fired, 'alerts')})"
-    return spark.sql(text(name, "spark", intents, alerts))
-
-
-def _sql(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _run(spark, sf_dir, name)
-
-
-def _decided(spark: SparkSession, sf_dir: str, shown: str) -> DataFrame:
-    if shown == "sweep":
-        rows = _sql(spark, sf_dir, "sweep_rows").withColumn("confirmed", F.col("confirmed_at")).withColumn("use_baseline", F.col("baseline_on") > 0).withColumn("use_trust", F.col("trust_on") > 0)
-        return decisions.decide(rows, by=("config", "confirmed_at", "run"))
-    rows = _sql(spark, sf_dir, "scored_anchors" if shown == "lsc" else f"scored_{shown}")
-    return decisions.decide(rows, decisions.CONFIGS[shown])
+    ship(spark)
+    return _Session(spark, sf_dir).sql(QUERIES[name])
 
 
 def _query(name: str):
@@ -275,15 +345,24 @@ def _query(name: str):
     return run
 
 
+def _shipped(f):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    run.__name__ = f.__name__
+    return run
+
+
 def queries():
     found = {name: _query(name) for name in QUERIES if name not in HELPERS}
-    return found | training.QUERIES | streams.QUERIES
+    return found | {name: _shipped(f) for name, f in (training.QUERIES | streams.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: oracles.INDEPENDENT.get(name) or text(name, "duckdb") for name in QUERIES if name not in HELPERS}
-    found |= {name: "with recursive " + event_ctes("duckdb").strip() + oracles.REFERENCE + sql for name, sql in oracles.APART.items()}
-    found["sink_event_log"] = found["scan_event_log"].replace("select event_id, step, event_type, actor_id, resource, action, dst, bytes, attachment_kb, label, phase", "select step, event_type, actor_id, resource, action, dst, bytes, label, phase").replace("select event_id, step, actor_id, event_type, resource, action, dst, bytes, attachment_kb, label, phase", "select step, event_type, actor_id, resource, action, dst, bytes, label, phase")
+    found |= {name: "with recursive " + (event_rows("duckdb") + "," + actor_ctes()).strip() + oracles.REFERENCE + sql for name, sql in oracles.APART.items()}
+    found["sink_event_log"] = found["scan_event_log"].replace("select event_id, step, actor_id, event_type, resource, action, dst, bytes, attachment_kb, label, phase", "select step, event_type, actor_id, resource, action, dst, bytes, label, phase")
     found["sink_sweep_csv"] = found["sweep_summary"]
     # streams give what the batch queries give
     found["stream_ingest"] = found["monitor_route"]

@@ -10,17 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decisions, forest
+from ..session import shared_folder
 from ..sources import events, mails
-from ..streaming.streams import shared_folder
-
-# Samples that the built-in text classifier is fitted to (1: phishing), its features, parameters of the trained ones.
-SAMPLES = (
-    ("Urgent: Your account has been suspended. Click here to verify.", 1.0), ("Congratulations! You've won a free prize. Claim now!", 1.0),
-    ("Your password will expire. Update immediately.", 1.0), ("Act now to avoid account suspension.", 1.0),
-    ("Please find attached the quarterly report.", 0.0), ("Meeting scheduled for tomorrow at 3pm.", 0.0),
-    ("Here are the documents you requested.", 0.0), ("Thank you for your email. I'll review and respond.", 0.0),
-)
-BUILT_IN, VOCABULARY, LEAST_DOCS, MOST_SHARE, TEST_SHARE, LEAST_WORDS = 500, 8000, 3, 0.9, 0.15, 20
+
+# Parameters of the trained classifiers.
+VOCABULARY, LEAST_DOCS, MOST_SHARE, TEST_SHARE, LEAST_WORDS = 8000, 3, 0.9, 0.15, 20
 #: Words that carry no content; a parameter of the features.
 STOP_WORDS = ("the", "and", "for", "that", "this", "with", "are", "was", "not", "you", "have", "from", "will", "has", "but", "all", "can", "our", "your", "any")
 
@@ -97,17 +91,6 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(y.groupBy(F.col("toxic").cast("int").alias("label"), (F.col("quality") <= 1).cast("int").alias("prediction")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def _built_in(spark: SparkSession) -> PipelineModel:
-    return Pipeline(stages=[*counts(BUILT_IN), NaiveBayes(smoothing=1.0)]).fit(spark.createDataFrame(SAMPLES, "text string, label double"))
-
-
-def text_classifier_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, probability of phishing by the built-in classifier; 0 for a blank text."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    said = _built_in(spark).transform(docs)
-    return said.select("doc_id", F.when(F.trim("text") == "", 0.0).otherwise(vector_to_array("probability")[1]).alias("probability"))
-
-
 def blended_phishing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, 0.7 of the trained classifier and 0.3 of the keywords."""
     from .queries import PHISHING
@@ -248,7 +231,7 @@ def ml_nudge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.decide(scored.withColumn("ml", ml)).select("event_id", "actor_id", "step", "value", "early_score", "confirmed_score", "early", "confirmed")
 
 
-QUERIES = {f.__name__: f for f in (train_classifiers, select_classifier, classification_report, text_classifier_prob, blended_phishing, model_artifact, tfidf_features, parse_mail, scan_mail_corpus, scan_labeled_mail, sink_event_log,
+QUERIES = {f.__name__: f for f in (train_classifiers, select_classifier, classification_report, blended_phishing, model_artifact, tfidf_features, parse_mail, scan_mail_corpus, scan_labeled_mail, sink_event_log,
                                    sink_sweep_csv, anomaly_samples, isolation_forest_fit, isolation_forest_score, ml_nudge)}
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)

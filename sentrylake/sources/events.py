@@ -63,7 +63,7 @@ security_events as (select event_id, step, actor_id, event_type, k,
     case event_type when 'email_send' then 1 when 'login' then 2 else 0 end as src_rank
     from c)"""
 
-_ACTORS = """,
+_ACTORS = """
 profile as (select actor_id, role, role <> 'staff' or actor_id % 8 = 0 as allowed_after_hours, case when role <> 'staff' then 'partner@outside' end as approved_dst
     from (select actor_id, max_by(role, event_id) as role from security_events group by actor_id) x),
 ordered as (select s.*, p.role as profile_role, p.allowed_after_hours, p.approved_dst, row_number() over (partition by s.actor_id order by s.step, s.src_rank, s.event_id) as ord
@@ -75,6 +75,6 @@ def event_rows(dialect: str, table: str = "events") -> str:
     return _EVENTS.format(step=_STEP[dialect], k=_K[dialect], events=table)
 
 
-def event_ctes(dialect: str) -> str:
-    """Common table expressions security_events, profile and ordered over the table (or view) ``events``."""
-    return event_rows(dialect) + _ACTORS
+def actor_ctes() -> str:
+    """Common table expressions profile and ordered over security_events."""
+    return _ACTORS

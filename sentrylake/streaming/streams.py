@@ -7,7 +7,6 @@ than the watermark are dropped by Spark and counted in the query's progress.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_folder
 from ..sources.events import event_rows
 from . import correlator
 
@@ -22,16 +22,6 @@ from . import correlator
 LATE = "400 days"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can write: under spark.checkpoint.dir; a local one only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="sentrylake-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as a stream."""
     # a pattern: a stream takes a single file no other way
