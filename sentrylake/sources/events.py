@@ -44,7 +44,7 @@ c as (select *, case when actor_id % 10 = 0 then 'admin' when actor_id % 10 in (
     (step % 24 < 8 or step % 24 > 17) as after_hours,
     case when event_type = 'email_send' then case when k < 40 then 'external@outside' when k < 60 then 'partner@outside' else 'someone@org' end end as dst
     from b),
-security_events as (select event_id, step, actor_id, event_type, k,
+security_events as (select event_id, ts, step, actor_id, event_type, k,
     case event_type when 'data_export' then 'patients_table' when 'db_query' then case when k < 50 then 'patients_table' when k % 2 = 0 then 'public_table' else 'project_table' end end as resource,
     case event_type when 'data_export' then case when k % 4 = 0 then 'EXPORT_INTERNAL' else 'EXPORT' end when 'db_query' then 'SELECT' end as action,
     dst,

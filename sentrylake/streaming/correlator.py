@@ -1,23 +1,31 @@
-"""The correlator of the first variant over a stream: what an actor's events leave is kept as keyed state.
+"""The correlator of the first variant over a stream, with event time and keyed state.
 
-State of an actor: the last events of its window, baseline moments, trust, and the step of its last alert of each tier, as
-one JSON text. Events of a batch are taken step by step, so a batch must hold whole steps (a batch that ends within a step
-would score that step's anchors before its last events). Late rows are a matter of the watermark before this.
+An actor's state: the rows of steps that are still open (a list), the last events of the window (a list), baseline moments by
+feature (a map), and trust with the steps of the last alerts (a value). A step is worked on when the watermark has passed its
+end: a timer stands at the end of the earliest open step, and when it fires, all steps that are over are taken in order, each as a
+whole. What comes out therefore doesn't depend on how events are dealt to batches, as long as they come within the watermark;
+Spark drops rows that come later and counts them. The alerts of the last steps come when later events move the watermark on.
+
+An actor without events for ``idle`` milliseconds of event time is forgotten, if that is given: their next event starts anew,
+and a timer frees their state.
 """
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.decisions import CONFIGS, ActorState, judge
 from ..operators.features import WEIGHTS, WINDOW
 
-_FIELDS = ("event_id", "step", "event_type", "resource", "action", "dst", "bytes", "attachment_kb", "role", "after_hours", "takeover", "device_change", "cycle", "ticket_id", "approved_partner", "label", "phase", "src_rank")
+#: Milliseconds of a step, and when step 0 begins.
+STEP_MS, ORIGIN_MS = 3_600_000, 1_704_067_200_000
+_TYPES = {"event_id": "long", "step": "long", "event_type": "string", "resource": "string", "action": "string", "dst": "string", "bytes": "long", "attachment_kb": "long", "role": "string", "after_hours": "boolean", "takeover": "boolean",
+          "device_change": "boolean", "cycle": "string", "ticket_id": "string", "approved_partner": "boolean", "label": "string", "phase": "string", "src_rank": "int"}
+_FIELDS = tuple(_TYPES)
+_PYTHON = {"long": int, "int": int, "string": str, "boolean": bool}
+_ROW = ", ".join(f"{n} {t}" for n, t in _TYPES.items())
 SCHEMA = "event_id long, actor_id long, step long, tier string, label string, score double, threshold double, trust double"
 
 
@@ -67,35 +75,109 @@ def _profile(actor: int, role: str) -> tuple:
     return role, role != "staff" or actor % 8 == 0, "partner@outside" if role != "staff" else None
 
 
-def follow(key, frames, held: GroupState):
-    """Alerts of one actor's new events."""
-    actor, state = int(key[0]), ActorState(CONFIGS["lsc"])
-    recent: list[dict] = []
-    if held.exists:
-        old = json.loads(held.get[0])
-        recent, state.mean, state.var, state.trust, state.last = old["recent"], old["mean"], old["var"], old["trust"], old["last"]
-    new = pd.concat(list(frames)).sort_values(["step", "src_rank", "event_id"])
-    events = new.astype(object).where(new.notna(), None).to_dict("records")
-    out, at = [], 0
-    while at < len(events):
-        end = at
-        while end < len(events) and events[end]["step"] == events[at]["step"]:
-            end += 1
-        recent = (recent + [{k: (v.item() if hasattr(v, "item") else v) for k, v in e.items() if k in _FIELDS} for e in events[at:end]])[-WINDOW:]
-        for e in filter(is_anchor, events[at:end]):
-            # the role at the time of the last registration
-            row = score(e, recent, _profile(actor, recent[-1]["role"]))
-            if row is None:
-                continue
-            got = judge(state, row | {"actor_id": actor})
-            for tier, fires, value, threshold in (("early", got[9], got[11], state.c.early), ("confirmed", got[10], got[12], got[7])):
-                if fires:
-                    out.append((int(e["event_id"]), actor, int(e["step"]), tier, e["label"], value, threshold, got[8]))
-        at = end
-    held.update((json.dumps({"recent": recent, "mean": state.mean, "var": state.var, "trust": state.trust, "last": {k: int(v) for k, v in state.last.items()}}),))
-    yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-
-
-def alerts(events: DataFrame) -> DataFrame:
-    """Alerts of a stream of activity events."""
-    return events.select("actor_id", *_FIELDS).filter(F.col("actor_id").isNotNull()).groupBy("actor_id").applyInPandasWithState(follow, SCHEMA, "state string", "append", GroupStateTimeout.NoTimeout)
+def close(actor: int, events: list[dict], recent: list[dict], state: ActorState, profile: tuple) -> tuple[list[tuple], list[dict]]:
+    """Alerts of an actor's events of one step, in order, and the window after it."""
+    recent = (recent + events)[-WINDOW:]
+    out = []
+    for e in filter(is_anchor, events):
+        row = score(e, recent, profile)
+        if row is None:
+            continue
+        got = judge(state, row | {"actor_id": actor})
+        for tier, fires, value, threshold in (("early", got[9], got[11], state.c.early), ("confirmed", got[10], got[12], got[7])):
+            if fires:
+                out.append((e["event_id"], actor, e["step"], tier, e["label"], value, threshold, got[8]))
+    return out, recent
+
+
+def _tuples(rows: list[dict]) -> list[tuple]:
+    return [tuple(r[f] for f in _FIELDS) for r in rows]
+
+
+def _dicts(state) -> list[dict]:
+    return [dict(zip(_FIELDS, r)) for r in state.get()] if state.exists() else []
+
+
+class Correlator(StatefulProcessor):
+    """State and timers of one actor."""
+
+    def __init__(self, idle: int | None = None):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open, self.window = handle.getListState("open", _ROW), handle.getListState("window", _ROW)
+        self.moments = handle.getMapState("moments", "feature string", "mean double, var double")
+        # what comes first in a state must not be null; -1: no alert yet
+        self.actor = handle.getValueState("actor", "trust double, early long, confirmed long, last long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows))
+        if key[0] is None or pd.isna(key[0]):
+            # rows without an actor only move the watermark
+            yield pd.DataFrame([], columns=[x.split()[0] for x in SCHEMA.split(", ")])
+            return
+        new = new.astype(object).where(new.notna(), None)
+        # numbers beside nulls arrive as floats
+        held = [tuple(None if v is None else _PYTHON[t](v) for v, t in zip(r, _TYPES.values())) for r in new[list(_FIELDS)].itertuples(index=False)]
+        self.open.appendList(held)
+        trust, early, confirmed, last, timer = self.actor.get() if self.actor.exists() else (CONFIGS["lsc"].trust_init, -1, -1, 0, 0)
+        due = min(ORIGIN_MS + (r[1] + 1) * STEP_MS for r in held)
+        if not timer or due < timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            timer = due
+            self.handle.registerTimer(timer)
+        self.actor.update((trust, early, confirmed, last, timer))
+        yield pd.DataFrame([], columns=[x.split()[0] for x in SCHEMA.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        actor, now = int(key[0]), timerValues.getCurrentWatermarkInMs()
+        trust, early, confirmed, last, _ = self.actor.get()
+        events = sorted(_dicts(self.open), key=lambda e: (e["step"], e["src_rank"], e["event_id"]))
+        over = lambda e: ORIGIN_MS + (e["step"] + 1) * STEP_MS <= now
+        out: list[tuple] = []
+        if any(map(over, events)):
+            state, recent = ActorState(CONFIGS["lsc"]), _dicts(self.window)
+            state.trust, state.last = trust, {t: s for t, s in (("early", early), ("confirmed", confirmed)) if s >= 0}
+            for (feature,), (mean, var) in self.moments.iterator():
+                state.mean[feature], state.var[feature] = mean, var
+            for step in sorted({e["step"] for e in events if over(e)}):
+                mine = [e for e in events if e["step"] == step]
+                if self.idle is not None and last and ORIGIN_MS + step * STEP_MS - last >= self.idle:
+                    state, recent = ActorState(CONFIGS["lsc"]), []
+                    self.moments.clear()
+                last = ORIGIN_MS + (step + 1) * STEP_MS
+                found, recent = close(actor, mine, recent, state, _profile(actor, mine[-1]["role"]))
+                out += found
+            self.window.put(_tuples(recent))
+            for feature, mean in state.mean.items():
+                self.moments.updateValue((feature,), (mean, state.var[feature]))
+            trust, early, confirmed = state.trust, state.last.get("early", -1), state.last.get("confirmed", -1)
+        left = [e for e in events if not over(e)]
+        if left:
+            self.open.put(_tuples(left))
+        else:
+            self.open.clear()
+        timer = 0
+        if left:
+            timer = ORIGIN_MS + (left[0]["step"] + 1) * STEP_MS
+        elif self.idle is not None:
+            timer = last + self.idle
+        if timer and timer <= now:
+            # nothing is open, and the actor was idle for long enough
+            for s in (self.open, self.window, self.actor, self.moments):
+                s.clear()
+        else:
+            if timer:
+                self.handle.registerTimer(timer)
+            self.actor.update((trust, early, confirmed, last, timer))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def alerts(events: DataFrame, idle: int | None = None) -> DataFrame:
+    """Alerts of a stream of activity events with a watermark on ``ts``."""
+    return events.select("actor_id", "ts", *_FIELDS).groupBy("actor_id").transformWithStateInPandas(Correlator(idle), SCHEMA, "append", "eventTime")
