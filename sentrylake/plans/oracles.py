@@ -16,7 +16,7 @@ _GRID = " union all ".join(f"select '{c}' as config, {p} as use_policy, {b}e0 as
 SWEEP = f"""
 grid as ({_GRID}),
 sweep_rows as (select concat(g.config, ':', cast(cast(g.confirmed_at as int) as varchar(9)), ':', cast(f.actor_id as varchar(20))) as fold_key, g.config, g.confirmed_at, g.baseline_on, g.trust_on, g.online, concat(g.config, ':', cast(cast(g.confirmed_at as int) as varchar(9)), ':', cast(f.actor_id % 5 as varchar(9))) as model, cast(f.actor_id % 5 as int) as run, 0e0 as boost,
-    f.event_id, f.ord, f.actor_id, f.step, f.label, f.phase, f.role, f.login_burst, f.sens_burst, f.email_burst, f.after_hours, f.export_large, f.export_small, f.staging_export, f.anchor_email, f.anchor_login, g.use_policy * f.unapproved as unapproved, {score("lsc")} as score_base,
+    f.event_id, f.ord, f.actor_id, f.step, f.label, f.phase, f.role, f.cycles, f.login_burst, f.sens_burst, f.email_burst, f.after_hours, f.export_large, f.export_small, f.staging_export, f.anchor_email, f.anchor_login, g.use_policy * f.unapproved as unapproved, {score("lsc")} as score_base,
     case when g.use_policy = 1 then {POLICY["lsc"][0]} else 1e0 end as mult, case when g.use_policy = 1 then {POLICY["lsc"][1]} else 0e0 end as off,
     (g.use_policy = 1 and f.unapproved = 1) or export_large = 1 or anchor_login = 1 as gate
     from flags f cross join grid g where not (g.use_policy = 1 and {SUPPRESSED}))"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bayes
 from ..functions.dialect import translate
-from ..operators import decisions, goals
+from ..operators import decisions, goals, samples
 from ..operators.features import CONTEXT, FEATURES, POLICY, SCORED, SUPPRESSED, WINDOWS, score, scored_with_context
 from ..session import ship, written
 from ..sources.events import actor_ctes, event_rows
@@ -173,15 +173,13 @@ QUERIES["abductive_rule_hits"] = QUERIES["abductive_rule_hits"].format(joined="@
 QUERIES["coded"] = "select * from coded"
 QUERIES["_alerts"] = "select event_id, actor_id, step, tier, label, score, threshold, trust from alerts_lsc"
 QUERIES["_alert_counts"] = "select tier, count(*) as n, count(distinct concat(cast(actor_id as varchar(20)), ':', cast(step as varchar(20)))) as distinct_alerts from alerts_lsc group by tier"
-QUERIES["_samples"] = """select role, actor_id, step, logins, queries, exports from (select *, row_number() over (partition by role order by step desc, actor_id desc) as place from (
-    select profile_role as role, actor_id, step, logins, queries, exports, cycles, cast(sum(case when cycles = 0 then large_exports else 0 end) over p as bigint) as a, cast(sum(case when cycles = 0 then outside else 0 end) over p as bigint) as b from snap
-    window p as (partition by actor_id order by step rows between unbounded preceding and current row)) x where cycles = 0 and not (a > 3 and b > 5) and step < 60) y where place <= 500"""
+QUERIES["anomaly_samples"], QUERIES["anomaly_samples_eg"] = samples.weighted(), samples.weighted(2, False)
 QUERIES["confirmed_alerts_online"] = "select event_id, actor_id, step, label, phase, round(score, 9) as score, threshold, trust, verdict from alerts_online where tier = 'confirmed'"
 QUERIES["early_alerts_online"] = "select event_id, actor_id, step, label, phase, round(score, 9) as score, threshold, trust, verdict from alerts_online where tier = 'early'"
 QUERIES["online_weights"] = "select round, " + ", ".join(f"round(w{i}, 9) as {k}" for i, k in enumerate(decisions.FIRST_WEIGHTS)) + " from weights_online"
 QUERIES["_online_rows"] = "select * from online_rows"
 #: Queries that only serve others, or as SQL of a query that Spark answers otherwise.
-HELPERS = ("_samples", "_alerts", "_alert_counts", "_online_rows", "coded", "sweep_rows", "scored_ce", "scored_eg")
+HELPERS = ("_alerts", "_alert_counts", "_online_rows", "coded", "sweep_rows", "scored_ce", "scored_eg")
 
 _VARIANTS = ("ce", "eg")
 _CODED = "coded as (select o.event_id, o.actor_id, o.step, o.ord, x.code, o.last_of_step, cast(case when o.ticket_id is not null then 1 else 0 end + case when o.approved_partner then 1 else 0 end + case when o.cycle = 'partner_reporting' then 1 else 0 end + case when o.after_hours then 0 else 1 end as bigint) as contradictions from lagged o join codes x on o.event_id = x.event_id)"
@@ -227,6 +225,8 @@ def _defined(block: str) -> set[str]:
 def _needed(body: str, given: set[str]) -> list[str]:
     """The blocks that a query's text reads, and those that they read in turn, in order; not those of names that are given."""
     owner = {name: i for i, b in reversed(list(enumerate(BLOCKS))) for name in _defined(b)}
+    # what a text defines itself goes before the blocks' names
+    given = given | (_defined(body.strip().lstrip(",")) if body.strip().startswith(",") else set())
     found: set[int] = set()
     todo = [body]
     while todo:
@@ -294,7 +294,7 @@ class _Session:
     def prepare(self, body: str) -> None:
         """Works out what the text reads and Spark's SQL can't, or shouldn't more than once."""
         reads = self.reads(body)
-        heavy = any(f"{x}_{v}" in reads for x in ("goals", "scored", "alerts", "decided") for v in _VARIANTS) or "judged" in reads or any(f"{x}_{n}" in reads for x in ("alerts", "decided", "weights") for n in ("online", "sweep"))
+        heavy = any(f"{x}_{v}" in reads for x in ("goals", "scored", "alerts", "decided") for v in _VARIANTS) or "judged" in reads or len(re.findall(r"\b(?:from|join)\s+snap\b", body)) > 1 or any(f"{x}_{n}" in reads for x in ("alerts", "decided", "weights") for n in ("online", "sweep"))
         if heavy:
             for name in WRITTEN:
                 if name in reads and name not in self.given:
@@ -367,6 +367,7 @@ def oracle_sql() -> dict[str, str]:
     # streams give what the batch queries give
     found["stream_ingest"] = found["monitor_route"]
     found["stream_correlate"] = text("_alerts", "duckdb")
-    found["anomaly_samples"] = text("_samples", "duckdb")
+    # the grid that Spark doesn't make
+    found["anomaly_samples"], found["anomaly_samples_eg"] = _text(samples.by_grid(), "duckdb", {}), _text(samples.by_grid(2, False), "duckdb", {})
     found["stream_alert_sink"] = text("_alert_counts", "duckdb")
     return found | training.ORACLE_SQL | streams.ORACLE_SQL

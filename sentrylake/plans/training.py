@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decisions, forest
-from ..session import shared_folder
+from ..session import shared_folder, written
 from ..sources import events, mails
 
 # Parameters of the trained classifiers.
@@ -178,61 +178,64 @@ def sink_sweep_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: What the anomaly model looks at.
 VECTOR = ["logins", "queries", "sensitive", "exports", "outside", "after_hours_n", "sensitive_share", "export_share", "outside_share", "after_hours_share", "bytes_total", "bytes_max", "bytes_mean", "moves_over_100k", "mails_over_500",
           "outside_unapproved", "sequence", "density", "resources", "dsts", "exports_without_ticket", "device_changes"]
-#: Latest samples of a role that the model is fitted to.
-BUFFER = 500
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors by role, the samples of every version with theirs, and the forests."""
     from .queries import _run
 
-    clean, roles = _run(spark, sf_dir, "clean_sample_filter"), _run(spark, sf_dir, "upsert_user_profile").select("actor_id", "role")
-    return _run(spark, sf_dir, "feature_vector").join(clean, ["actor_id", "step"]).join(roles, "actor_id")
+    roles = _run(spark, sf_dir, "upsert_user_profile").select("actor_id", "role")
+    vectors = written(_run(spark, sf_dir, "feature_vector").join(roles, "actor_id"), "vectors")
+    chosen = written(_run(spark, sf_dir, "anomaly_samples").join(vectors.drop("role"), ["actor_id", "step"]), "samples")
+    return vectors, chosen, written(forest.fit(chosen, VECTOR), "forest")
 
 
-def _latest(rows: DataFrame, most: int = BUFFER) -> DataFrame:
-    """The last rows of each role by step: whole steps are left out by counts first, so that few rows of a role meet in a task."""
-    from pyspark.sql import Window
+def isolation_forest_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """role, version (the step that it was fitted at), tree, number of its nodes."""
+    return _models(spark, sf_dir)[2].select("role", "version", "tree", F.size("feature").alias("nodes"))
 
-    per = rows.groupBy("role", "step").agg(F.count(F.lit(1)).alias("n"))
-    later = Window.partitionBy("role").orderBy(F.desc("step"))
-    per = per.withColumn("later", F.sum("n").over(later) - F.col("n")).filter(F.col("later") < most).select("role", "step", "later")
-    ranked = rows.join(per, ["role", "step"]).withColumn("place", F.col("later") + F.row_number().over(Window.partitionBy("role", "step").orderBy(F.desc("actor_id"))))
-    return ranked.filter(F.col("place") <= most).drop("later", "place")
 
+def isolation_forest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window's score by its role's latest model, by version."""
+    vectors, chosen, trees = _models(spark, sf_dir)
+    return forest.score(vectors, VECTOR, trees, chosen).select("actor_id", "step", "role", "version", "raw", "anomaly")
 
-def anomaly_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per role, the latest clean samples of the first phase."""
-    return _latest(_vectors(spark, sf_dir).filter("clean and step < 60")).select("role", "actor_id", "step", "logins", "queries", "exports")
 
+def _nudged(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Scored anchors with ``ml``: their window's anomaly, unless it holds a partner cycle."""
+    rated = isolation_forest_score(spark, sf_dir).select("actor_id", "step", "anomaly")
+    return rows.join(rated, ["actor_id", "step"], "left").withColumn("ml", F.when(F.col("cycles") > 0, 0.0).otherwise(F.coalesce("anomaly", F.lit(0.0)))).drop("anomaly")
 
-def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    vectors = _vectors(spark, sf_dir)
-    folder = shared_folder(spark, "forest")
-    forest.fit(_latest(vectors.filter("clean and step < 60")), VECTOR).write.parquet(folder)
-    return vectors, spark.read.parquet(folder)
 
+def ml_nudge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of the first variant with the anomaly model: borderline scores of windows without a partner cycle rise."""
+    from .queries import _run
 
-def isolation_forest_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """role, tree, number of its nodes."""
-    return _forest(spark, sf_dir)[1].select("role", "tree", F.size("feature").alias("nodes"))
+    decided = decisions.decide(_nudged(spark, sf_dir, _run(spark, sf_dir, "scored_anchors")))
+    return decided.select("event_id", "actor_id", "step", "value", "early_score", "confirmed_score", "early", "confirmed")
 
 
-def isolation_forest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, trees = _forest(spark, sf_dir)
-    return forest.score(vectors, VECTOR, trees).select("actor_id", "step", "role", "raw", "anomaly")
+def alerts_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of the first variant as it is configured by default: policy, baseline, trust, learning weights and anomaly model."""
+    from .queries import _run
 
+    decided, _ = decisions.learn(_nudged(spark, sf_dir, _run(spark, sf_dir, "_online_rows")))
+    return decisions.fired(decided).select("event_id", "actor_id", "step", "tier", "label", "phase", "score", "threshold", "trust", "verdict")
 
-def ml_nudge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions of the first variant with the anomaly model: borderline scores of windows without a partner cycle rise."""
-    from .queries import _run
 
-    scored = _run(spark, sf_dir, "scored_anchors").join(isolation_forest_score(spark, sf_dir).select("actor_id", "step", "anomaly"), ["actor_id", "step"], "left")
-    ml = F.when(F.col("cycles") > 0, 0.0).otherwise(F.coalesce("anomaly", F.lit(0.0)))
-    return decisions.decide(scored.withColumn("ml", ml)).select("event_id", "actor_id", "step", "value", "early_score", "confirmed_score", "early", "confirmed")
+def sweep_summary_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of all six configurations of the sweep, with the one that has the anomaly model."""
+    from . import queries
+
+    session = queries._Session(spark, sf_dir)
+    rows = session.sql("select * from sweep_rows")
+    full = _nudged(spark, sf_dir, rows.filter("config = 'full_no_ml'")).withColumn("config", F.lit("full"))
+    session._decide("sweep", queries.sweep(rows.withColumn("ml", F.lit(0.0)).unionByName(full)), decisions.CONFIGS["lsc"])
+    return session.sql(queries.QUERIES["sweep_summary"].replace("points as (select distinct config, confirmed_at from (", "points as (select distinct config, confirmed_at from (select 'full' as config, cast(x as double) as confirmed_at from (select explode(sequence(3, 7)) as x) f union all select config, confirmed_at from (", 1).replace(") x),\n    found as", ") y) x),\n    found as", 1))
 
 
 QUERIES = {f.__name__: f for f in (train_classifiers, select_classifier, classification_report, blended_phishing, model_artifact, tfidf_features, parse_mail, scan_mail_corpus, scan_labeled_mail, sink_event_log,
-                                   sink_sweep_csv, anomaly_samples, isolation_forest_fit, isolation_forest_score, ml_nudge)}
+                                   sink_sweep_csv, isolation_forest_fit, isolation_forest_score, ml_nudge, alerts_default, sweep_summary_full)}
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 ORACLE_SQL = {

@@ -9,20 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
-
+from . import quoted
 
 def read_corpus(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """CSV with a quoted ``message`` (or ``Message``) column of whole mails: one column, message; most: rows at most, if given."""
-    rows = spark.read.options(**_CSV).csv(path)
-    # column names are matched whatever their case
-    rows = rows.select(F.col("message").alias("message"))
+    rows = quoted.read(spark, path, ["message"])
     return rows.limit(most) if most is not None else rows
 
 
 def read_labeled(spark: SparkSession, path: str) -> DataFrame:
     """CSV with Subject, Message and Spam/Ham: subject, message, label (ham or spam; others are left out)."""
-    rows = spark.read.options(**_CSV).csv(path)
+    rows = quoted.read(spark, path, ["Subject", "Message", "Spam/Ham"])
     label = F.lower(F.trim(F.col("`Spam/Ham`")))
     return rows.select(F.coalesce("Subject", F.lit("")).alias("subject"), F.coalesce("Message", F.lit("")).alias("message"), label.alias("label")).filter(label.isin("ham", "spam"))
 

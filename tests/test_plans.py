@@ -9,7 +9,7 @@ from sentrylake.operators import forest
 from sentrylake.operators.goals import Goals, infer, occurs
 from sentrylake.plans import folds, oracles, training
 from sentrylake.plans import queries as plans
-from sentrylake.sources import mails
+from sentrylake.sources import mails, quoted
 from sentrylake.streaming import correlator
 
 SF = "/root/testdata/sf0.001"
@@ -48,7 +48,7 @@ def test_query(spark, con, name):
 
 def test_every_query_that_sql_can_express_has_it():
     without = set(plans.queries()) - set(plans.oracle_sql())
-    assert without == {"train_classifiers", "select_classifier", "blended_phishing", "model_artifact", "isolation_forest_fit", "isolation_forest_score", "ml_nudge"}
+    assert without == {"train_classifiers", "select_classifier", "blended_phishing", "model_artifact", "isolation_forest_fit", "isolation_forest_score", "ml_nudge", "alerts_default", "sweep_summary_full"}
 
 
 def test_each_branch_of_the_policies_occurs(spark):
@@ -130,14 +130,68 @@ def test_parse_mail(spark):
     assert mails.parse(spark.createDataFrame([], "mail_id long, message string")).count() == 0
 
 
-def test_forest(spark):
-    """Vectors far from the others of their role get the largest scores; a small role has no forest."""
-    rows = [("a", i, 0, float(i % 7), float(i % 5)) for i in range(400)] + [("a", 400, 0, 90.0, 80.0)] + [("b", 500, 0, 1.0, 1.0)]
-    v = spark.createDataFrame(rows, "role string, actor_id long, step long, x double, y double")
-    trees = forest.fit(v, ["x", "y"], trees=50)
-    assert trees.count() == 50
-    got = {r.actor_id: r.anomaly for r in forest.score(v, ["x", "y"], trees).collect()}
-    assert got[400] > 0 and max(got, key=got.get) == 400 and got[500] == 0
+def _forest_rows():
+    """Two roles; role a has two models, the second from samples that lie elsewhere."""
+    rng = __import__("random").Random(1)
+    near = [("a", 10, i, 0, 1 + i % 3, rng.gauss(3, 1), rng.gauss(2, 1)) for i in range(300)]
+    far = [("a", 25, i, 15, 1, rng.gauss(103, 1), rng.gauss(102, 1)) for i in range(300)]
+    return near + far
+
+
+@pytest.mark.parametrize("most", [20_000, 10])
+def test_forest(spark, monkeypatch, most):
+    """Vectors far from the samples of their role's latest model score highest; before the first model, and for another role, nothing does. Broadcast or dealt by model."""
+    monkeypatch.setattr(forest, "BROADCAST_TREES", most)
+    samples = spark.createDataFrame(_forest_rows(), "role string, version long, actor_id long, step long, weight int, x double, y double")
+    trees = forest.fit(samples, ["x", "y"], trees=50)
+    assert sorted((r.role, r.version, r["count"]) for r in trees.groupBy("role", "version").count().collect()) == [("a", 10, 50), ("a", 25, 50)]
+    v = spark.createDataFrame([("a", 1, 5, 90.0, 90.0), ("a", 2, 12, 90.0, 90.0), ("a", 3, 12, 3.0, 2.0), ("a", 4, 30, 3.0, 2.0), ("a", 5, 30, 103.0, 102.0), ("b", 6, 30, 1.0, 1.0), ("a", 7, 30, None, None)], "role string, actor_id long, step long, x double, y double")
+    got = {r.actor_id: r for r in forest.score(v, ["x", "y"], trees, samples).collect()}
+    assert {k: r.version for k, r in got.items()} == {1: None, 2: 10, 3: 10, 4: 25, 5: 25, 6: None, 7: 25}
+    assert got[1].anomaly == 0 == got[6].anomaly and got[2].anomaly > 0 and got[3].anomaly == 0 and got[4].anomaly > 0 and got[5].anomaly == 0 and got[7].anomaly > 0
+
+
+def test_versions_of_scores(spark):
+    """Each window is scored by the latest fit of its role, by SQL over the versions."""
+    scored = plans.queries()["isolation_forest_score"](spark, SF)
+    fits = plans.queries()["anomaly_samples"](spark, SF).select("role", "version").distinct()
+    scored.createOrReplaceTempView("scored_"), fits.createOrReplaceTempView("fits_")
+    assert spark.sql("select count(*) from scored_ s where not (s.version <=> (select max(f.version) from fits_ f where f.role = s.role and f.version <= s.step))").first()[0] == 0
+    assert scored.filter("version is not null").count() > 0
+
+
+@pytest.mark.parametrize("size", ["1k", "300b", "128m"])
+def test_quoted_csv(spark, tmp_path, size):
+    """One file with long, empty and broken records: the rows of Spark's own reader, from many splits."""
+    rng = __import__("random").Random(2)
+    path = str(tmp_path / "a.csv")
+    texts = ["plain", "", 'a "quoted" word, and\na break', "x" * 1500 + "\n" * 40 + '"' * 9, "\r\nwindows\r\n", "é 日本", "trailing \\ backslash", 'ends with "']
+    rows = [(str(i), rng.choice(texts) * rng.randrange(1, 4)) for i in range(120)]
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write('file,"Message"\n' + "".join(f'{i},"{t.replace(chr(34), chr(34) * 2)}"{rng.choice([chr(10), chr(13) + chr(10)])}' for i, t in rows))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = quoted.read(spark, path, ["file", "message", "none"])
+        assert sorted((r["file"], r["message"], r["none"]) for r in got.collect()) == sorted((i, t, None) for i, t in rows)
+        if size != "128m":
+            assert spark.read.text(path).rdd.getNumPartitions() > 5
+        assert sorted(x for x, in mails.read_corpus(spark, path).collect()) == sorted(t for _, t in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_quoted_csv_cases(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "one.csv").write_bytes(b'Message,n\n"caf\xe9 \xff",1\n\n"too long for the limit",2\nshort\n')
+    (tmp_path / "d" / "two.csv").write_bytes(b'n,message\r\n3,"other order"\r\n4')
+    got = sorted((r["message"] or "", r["n"] or "") for r in quoted.read(spark, str(tmp_path / "d"), ["message", "n"], limit=15).collect())
+    assert got == [("", "4"), ("caf\ufffd \ufffd", "1"), ("other order", "3"), ("short", "")]
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "empty.csv").write_bytes(b"")
+    assert quoted.read(spark, str(tmp_path / "e"), ["message"]).count() == 0
 
 
 def test_classifiers_beat_chance(spark):
