@@ -177,9 +177,15 @@ QUERIES["anomaly_samples"], QUERIES["anomaly_samples_eg"] = samples.weighted(),
 QUERIES["confirmed_alerts_online"] = "select event_id, actor_id, step, label, phase, round(score, 9) as score, threshold, trust, verdict from alerts_online where tier = 'confirmed'"
 QUERIES["early_alerts_online"] = "select event_id, actor_id, step, label, phase, round(score, 9) as score, threshold, trust, verdict from alerts_online where tier = 'early'"
 QUERIES["online_weights"] = "select round, " + ", ".join(f"round(w{i}, 9) as {k}" for i, k in enumerate(decisions.FIRST_WEIGHTS)) + " from weights_online"
+QUERIES["_sender_words"] = "select event_id, actor_id, @explode(@words(content@w)) as word from mails"
+QUERIES["_vocabulary_exact"] = "select actor_id, count(distinct word) as words, true as near, true as merges from (select actor_id, @explode(@words(content@w)) as word from mails) x group by actor_id union all select null, count(distinct word), true, true from (select @explode(@words(content@w)) as word from texts) y"
+#: One pass over events and alerts: counts by kind and each of type, phase, label and all of them.
+QUERIES["activity_counts"] = """select kind, event_type, phase, label, grouping(event_type) as any_type, grouping(phase) as any_phase, grouping(label) as any_label, count(*) as n from (
+    select 'event' as kind, event_type, phase, label from security_events union all select 'alert' as kind, tier as event_type, phase, label from alerts_lsc) x
+    group by grouping sets ((kind, event_type), (kind, phase), (kind, label), (kind, event_type, phase, label), (kind))"""
 QUERIES["_online_rows"] = "select * from online_rows"
 #: Queries that only serve others, or as SQL of a query that Spark answers otherwise.
-HELPERS = ("_alerts", "_alert_counts", "_online_rows", "coded", "sweep_rows", "scored_ce", "scored_eg")
+HELPERS = ("_alerts", "_sender_words", "_vocabulary_exact", "_alert_counts", "_online_rows", "coded", "sweep_rows", "scored_ce", "scored_eg")
 
 _VARIANTS = ("ce", "eg")
 _CODED = "coded as (select o.event_id, o.actor_id, o.step, o.ord, x.code, o.last_of_step, cast(case when o.ticket_id is not null then 1 else 0 end + case when o.approved_partner then 1 else 0 end + case when o.cycle = 'partner_reporting' then 1 else 0 end + case when o.after_hours then 0 else 1 end as bigint) as contradictions from lagged o join codes x on o.event_id = x.event_id)"
@@ -367,6 +373,7 @@ def oracle_sql() -> dict[str, str]:
     # streams give what the batch queries give
     found["stream_ingest"] = found["monitor_route"]
     found["stream_correlate"] = text("_alerts", "duckdb")
+    found["vocabulary_sketches"] = text("_vocabulary_exact", "duckdb")
     # the grid that Spark doesn't make
     found["anomaly_samples"], found["anomaly_samples_eg"] = _text(samples.by_grid(), "duckdb", {}), _text(samples.by_grid(2, False), "duckdb", {})
     found["stream_alert_sink"] = text("_alert_counts", "duckdb")

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import decisions, forest
@@ -15,8 +15,10 @@ from ..sources import events, mails
 
 # Parameters of the trained classifiers.
 VOCABULARY, LEAST_DOCS, MOST_SHARE, TEST_SHARE, LEAST_WORDS = 8000, 3, 0.9, 0.15, 20
-#: Words that carry no content; a parameter of the features.
-STOP_WORDS = ("the", "and", "for", "that", "this", "with", "are", "was", "not", "you", "have", "from", "will", "has", "but", "all", "can", "our", "your", "any")
+#: English words that carry no content; a parameter of the features.
+STOP_WORDS = tuple("""about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have
+having he her here hers him his how if in into is it its itself just me more most my no nor not now of off on once only or other our ours out over own same she should so some such than that the their them then
+there these they this those through to too under until up us very was we were what when where which while who whom why will with would you your yours""".split())
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,16 +115,68 @@ def model_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.crossJoin(F.broadcast(spark.read.parquet(f"{folder}/baselines")))  # one row
 
 
-def tfidf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """term, documents that hold it, its count and inverse document frequency: words and pairs of words, the most frequent VOCABULARY of those in LEAST_DOCS documents and MOST_SHARE at most."""
-    docs = _table(spark, sf_dir, "documents").filter("text is not null")
-    words = F.filter(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}', 0)"), lambda w: ~w.isin(*STOP_WORDS))
+def _counted(docs: DataFrame, stop: tuple) -> DataFrame:
+    """doc_id, term, n: words of two letters or more that aren't stop words, and pairs of those that follow each other."""
+    words = F.filter(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}', 0)"), lambda w: ~w.isin(*stop))
     # a row for each array, so that it is made once and not for each of its elements
     terms = docs.select("doc_id", F.explode(F.array(words)).alias("w")).select("doc_id", F.expr("concat(w, transform(filter(sequence(1, size(w)), i -> i < size(w)), i -> concat(w[i - 1], ' ', w[i])))").alias("terms"))
-    per = terms.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return terms.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _terms(docs: DataFrame, stop: tuple, most: int) -> DataFrame:
     total = docs.count()
-    df = per.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n")).filter((F.col("df") >= LEAST_DOCS) & (F.col("df") <= MOST_SHARE * total))
-    return df.orderBy(F.desc("n"), "term").limit(VOCABULARY).withColumn("idf", F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0)
+    df = _counted(docs, stop).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n")).filter((F.col("df") >= LEAST_DOCS) & (F.col("df") <= MOST_SHARE * total))
+    return df.orderBy(F.desc("n"), "term").limit(most).withColumn("idf", F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0)
+
+
+def tfidf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """term, documents that hold it, its count and smoothed inverse document frequency: the most frequent VOCABULARY of those in LEAST_DOCS documents and MOST_SHARE at most."""
+    return _terms(_table(spark, sf_dir, "documents").filter("text is not null"), STOP_WORDS, VOCABULARY)
+
+
+def tfidf_vectors(docs: DataFrame, stop: tuple = STOP_WORDS, most: int = VOCABULARY) -> DataFrame:
+    """doc_id, terms (array of index and weight by index): sparse vectors of length 1. A term's index is its rank by frequency, then by the term; documents without one have an empty array."""
+    vocabulary = written(_terms(docs, stop, most), "vocabulary")  # most rows at most, so that one task numbers them
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "term")) - 1
+    numbered = vocabulary.select("term", "idf", place.alias("place"))
+    per = _counted(docs, stop).join(F.broadcast(numbered), "term").select("doc_id", "place", (F.col("n") * F.col("idf")).alias("weight"))
+    found = per.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("terms"))
+    norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda a, x: a + x["weight"] * x["weight"]))
+    unit = found.withColumn("norm", norm).select("doc_id", F.expr("transform(terms, x -> struct(x.place as place, x.weight / norm as weight))").alias("terms"))
+    return docs.select("doc_id").join(unit, "doc_id", "left").withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<place:int,weight:double>>)")))
+
+
+def tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's vector: number of its terms, their indices, and weights in millionths, as texts."""
+    docs = _table(spark, sf_dir, "documents").filter("text is not null")
+    joined = lambda x: F.concat_ws(" ", F.transform("terms", x))
+    return tfidf_vectors(docs).select("doc_id", F.size("terms").cast("long").alias("n_terms"), joined(lambda x: x["place"].cast("string")).alias("places"), joined(lambda x: F.round(x["weight"] * 1e6).cast("long").cast("string")).alias("weights"))
+
+
+#: Relative error that the sketches of a vocabulary stay under, and the logarithm of their size.
+SKETCH_ERROR, SKETCH_BITS = 0.03, 17
+
+
+def sketches(words: DataFrame, by: str) -> DataFrame:
+    """A mergeable sketch of the distinct ``word`` of each group, of a fixed size."""
+    return words.groupBy(by).agg(F.hll_sketch_agg("word", F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def vocabulary_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per sender, and in total (null): distinct words, whether the sketch is near that number, and whether sketches of halves merge to the whole's."""
+    from .queries import _run
+
+    words = _run(spark, sf_dir, "_sender_words")
+    exact = words.groupBy("actor_id").agg(F.countDistinct("word").alias("words"))
+    whole = sketches(words, "actor_id")
+    halves = words.groupBy("actor_id", (F.col("event_id") % 2).alias("half")).agg(F.hll_sketch_agg("word", F.lit(SKETCH_BITS)).alias("sketch")).groupBy("actor_id").agg(F.hll_union_agg("sketch").alias("merged"))
+    senders = exact.join(whole, "actor_id").join(halves, "actor_id")
+    # the total is the union of the senders' sketches: no word is read again
+    total = words.agg(F.countDistinct("word").alias("words")).crossJoin(whole.agg(F.hll_union_agg("sketch").alias("sketch")))  # one row each
+    total = total.select(F.lit(None).cast("long").alias("actor_id"), "words", "sketch", F.col("sketch").alias("merged"))
+    near = F.abs(F.hll_sketch_estimate("sketch") - F.col("words")) <= SKETCH_ERROR * F.col("words") + 1
+    both = senders.select("actor_id", "words", "sketch", "merged").unionByName(total)
+    return both.select("actor_id", "words", near.alias("near"), (F.hll_sketch_estimate("merged") == F.hll_sketch_estimate("sketch")).alias("merges"))
 
 
 def raw_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +288,7 @@ def sweep_summary_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.sql(queries.QUERIES["sweep_summary"].replace("points as (select distinct config, confirmed_at from (", "points as (select distinct config, confirmed_at from (select 'full' as config, cast(x as double) as confirmed_at from (select explode(sequence(3, 7)) as x) f union all select config, confirmed_at from (", 1).replace(") x),\n    found as", ") y) x),\n    found as", 1))
 
 
-QUERIES = {f.__name__: f for f in (train_classifiers, select_classifier, classification_report, blended_phishing, model_artifact, tfidf_features, parse_mail, scan_mail_corpus, scan_labeled_mail, sink_event_log,
+QUERIES = {f.__name__: f for f in (train_classifiers, select_classifier, classification_report, blended_phishing, model_artifact, tfidf_features, tfidf_documents, vocabulary_sketches, parse_mail, scan_mail_corpus, scan_labeled_mail, sink_event_log,
                                    sink_sweep_csv, isolation_forest_fit, isolation_forest_score, ml_nudge, alerts_default, sweep_summary_full)}
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -247,6 +301,13 @@ ORACLE_SQL = {
         t as (select doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from d),
         f as (select term, count(distinct doc_id) as df, count(*) as n from t group by term), c as (select count(*) as total from d)
         select term, df, n, ln((1.0 + total) / (1.0 + df)) + 1.0 as idf from f, c where df >= {LEAST_DOCS} and df <= {MOST_SHARE} * total order by n desc, term limit {VOCABULARY}""",
+    "tfidf_documents": f"""with d as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x not in ({_STOP})) as w from documents where text is not null),
+        t as (select doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from d),
+        f as (select term, count(distinct doc_id) as df, count(*) as n from t group by term), c as (select count(*) as total from d),
+        v as (select term, row_number() over (order by n desc, term) - 1 as place, ln((1.0 + total) / (1.0 + df)) + 1.0 as idf from f, c where df >= {LEAST_DOCS} and df <= {MOST_SHARE} * total order by n desc, term limit {VOCABULARY}),
+        x as (select doc_id, place, count(*) * any_value(idf) as weight from t join v on t.term = v.term group by doc_id, place),
+        u as (select *, weight / sqrt(sum(weight * weight) over (partition by doc_id)) as unit from x)
+        select d.doc_id, count(place) as n_terms, coalesce(string_agg(place::varchar, ' ' order by place), '') as places, coalesce(string_agg(cast(round(unit * 1e6) as bigint)::varchar, ' ' order by place), '') as weights from d left join u on u.doc_id = d.doc_id group by d.doc_id""",
     "parse_mail": "select doc_id as mail_id, 'Desk <desk' || (doc_id % 7) || '@org>' as sender, 'pool@org, other@outside' as recipients, 'note ' || doc_id as subject, md5(text) as body, false as failed from documents where text is not null",
     "scan_mail_corpus": "select md5('From: Desk <desk' || (doc_id % 7) || '@org>' || chr(10) || 'To: pool@org,' || chr(10) || ' other@outside' || chr(10) || 'Subject: note ' || doc_id || chr(10) || chr(10) || text) as message from documents where text is not null",
     "scan_labeled_mail": f"""select label, count(*) as n from (select case when max(cast(quality = 0 as int) + toxic) > 0 then 'spam' else 'ham' end as label, 'note ' || d.doc_id || ' ' || any_value(d.text) as t
