@@ -32,13 +32,17 @@ QUERY_BLOCK = 1024
 FAN_IN = 256
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and vector (double) of the rows that take part."""
+def _finite(vectors: DataFrame) -> DataFrame:
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    v = v.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", bad) & F.exists("vector", lambda x: x != 0))
-    # one row: the most common dimension
-    dim = v.groupBy(F.size("vector").alias("dim")).count().agg(F.max_by("dim", F.struct("count", "dim")).alias("dim"))
+    return v.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", bad) & F.exists("vector", lambda x: x != 0))
+
+
+def usable(vectors: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """vec_id and vector (double) of the rows that take part: those of the most common dimension of table, if it is given, or else of their own."""
+    v = _finite(vectors)
+    # one row
+    dim = (v if table is None else _finite(table)).groupBy(F.size("vector").alias("dim")).count().agg(F.max_by("dim", F.struct("count", "dim")).alias("dim"))
     return v.join(F.broadcast(dim), F.size("vector") == F.col("dim")).select("vec_id", "vector")
 
 
@@ -99,7 +103,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries its k nearest of vectors by inner product."""
     spark = vectors.sparkSession
     v = materialize(usable(vectors), "vectors")
-    q = usable(queries).groupBy("vec_id").agg(F.max("vector").alias("vector"))
+    q = usable(queries, vectors).groupBy("vec_id").agg(F.max("vector").alias("vector"))
     rows, asked = v.count(), max(1, queries.count())
     n_c, n_q = max(1, -(-rows // BLOCK)), max(1, -(-asked // QUERY_BLOCK))
     packed = "{0} int, {0}_ids binary, {0}_mat binary"

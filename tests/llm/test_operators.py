@@ -229,3 +229,12 @@ def test_license_families_of_made_paragraphs(spark):
     rows, labels = licenses.examples(77, [], 20)
     right = [int(np.argmax(model.of(r)[:-1])) == y and model.of(r)[-1] < 0.5 for r, y in zip(rows, labels) if r]
     assert np.mean(right) >= 0.95
+
+
+def test_queries_of_another_dimension_take_no_part(spark):
+    """The table's most common dimension counts, also where the queries have another one for the most part."""
+    schema = "vec_id long, embedding array<double>"
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)] + [(20, [1.0]), (21, [2.0])], schema)
+    asked = spark.createDataFrame([(20, [1.0]), (21, [2.0]), (3, [3.0, 1.0]), (None, [1.0, 1.0])], schema)
+    got = ann.search(table, asked, 2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(3, 1, 8, 25.0), (3, 2, 7, 22.0)]
