@@ -58,6 +58,7 @@ CONFIGS = {
     "lsc": Config(),
     "ce": Config(early=2.5, confirmed=3.5, keys=_SIX),
     "eg": Config(early=2.0, trust_tp=-0.18, trust_fp=0.05, role_adjustment=(("analyst", 0.8), ("admin", 1.2)), keys=_SIX),
+    "egx": Config(early=2.0, use_baseline=False, trust_tp=-0.18, trust_fp=0.05, role_adjustment=(("analyst", 0.8), ("admin", 1.2)), keys=_SIX),
 }
 
 

@@ -135,3 +135,29 @@ def infer(codes: DataFrame, variant: str = "ce") -> DataFrame:
 
     dealt = codes.filter("actor_id is not null").withColumn("code", F.coalesce("code", F.lit(""))).repartition("actor_id").sortWithinPartitions("actor_id", "ord")
     return dealt.select("event_id", "actor_id", "step", "code", "contradictions", "last_of_step").mapInPandas(follow, SCHEMA)
+
+
+#: What a contradiction leaves of a goal's probability in the fourth variant.
+KEPT = 0.85
+
+
+def accumulate(boosted: DataFrame, goals: tuple) -> DataFrame:
+    """Per action (event_id, actor_id, step, ord, last_of_step, contradictions, ``b_<goal>``: what its rules add): ``p_<goal>`` after it.
+
+    Each contradiction leaves KEPT of every probability, then the boosts are added, up to 1. Further columns stay."""
+    rest = [c for c in boosted.columns if not c.startswith("b_")]
+    kinds = dict(boosted.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in rest), *(f"p_{g} double" for g in goals)])
+
+    def follow(frames):
+        actor, p = None, None
+        for pdf in frames:
+            rows = []
+            for who, against, *boosts in zip(pdf["actor_id"], pdf["contradictions"], *(pdf[f"b_{g}"] for g in goals)):
+                if p is None or who != actor:
+                    actor, p = who, [0.0] * len(goals)
+                p = [min(1.0, x * KEPT**against + b) for x, b in zip(p, boosts)]
+                rows.append(p)
+            yield pd.concat([pdf[rest], pd.DataFrame(rows, columns=[f"p_{g}" for g in goals], index=pdf.index)], axis=1)
+
+    return boosted.filter("actor_id is not null").repartition("actor_id").sortWithinPartitions("actor_id", "ord").mapInPandas(follow, schema)

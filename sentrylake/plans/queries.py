@@ -18,7 +18,7 @@ from ..operators.features import CONTEXT, FEATURES, POLICY, SCORED, SUPPRESSED,
 from ..session import ship, written
 from ..sources.events import actor_ctes, event_rows
 from ..streaming import streams
-from . import extended, folds, oracles, training
+from . import additive, extended, folds, oracles, training
 
 TABLES = ("events", "documents", "labels")
 
@@ -70,6 +70,10 @@ authors as (select *, count(*) over p as earlier, @known(len_10@k) over p as len
 habits as (select *, case when earlier < 3 or n_sentences = 0 then 0e0 else (coalesce(abs(len - len_before) / greatest(len_before, 1e0), 0e0) + coalesce(abs(coalesce(rich, 0e0) - rich_before) / greatest(rich_before, 0.1e0), 0e0)) / 2 end as deviation from authors)"""
 
 _IDS = "event_id, actor_id, step"
+CODE = """concat(event_type, case when resource is not null then concat(':', resource) else '' end,
+        case when event_type = 'email_send' then case when dst like '%outside' then ':external' else ':internal' end else '' end,
+        case when event_type = 'login' and after_hours then ':after_hours' else '' end, case when event_type = 'login' and device_change then ':new_device' else '' end,
+        case when event_type = 'data_export' and (destination = 'internal_staging' or action like '%INTERNAL%') then ':internal' else '' end)"""
 _snap = lambda cols: f"select actor_id, step, {cols} from snap"
 _ratio = lambda a, b: f"cast({a} as double) / greatest(1, {b})"
 
@@ -86,10 +90,7 @@ QUERIES = {
     "is_external": "select event_id, dst, coalesce(lower(dst) like '%outside', false) as ends_outside, coalesce(lower(dst) like '%outside%', false) as holds_outside from security_events",
     "email_anchor": f"select {_IDS}, dst, attachment_kb from security_events where event_type = 'email_send' and dst like '%outside' and attachment_kb > 200",
     "login_anchor": f"select {_IDS}, role, takeover, device_change, (after_hours and role = 'admin') or takeover as anchor from security_events where event_type = 'login' and ((after_hours and role = 'admin') or takeover or device_change)",
-    "encode_action": f"""select {_IDS}, concat(event_type, case when resource is not null then concat(':', resource) else '' end,
-        case when event_type = 'email_send' then case when dst like '%outside' then ':external' else ':internal' end else '' end,
-        case when event_type = 'login' and after_hours then ':after_hours' else '' end, case when event_type = 'login' and device_change then ':new_device' else '' end,
-        case when event_type = 'data_export' and (destination = 'internal_staging' or action like '%INTERNAL%') then ':internal' else '' end) as code from security_events""",
+    "encode_action": f"""select {_IDS}, {CODE} as code from security_events""",
     "contradiction_flags": "select event_id, ticket_id is not null as has_ticket, approved_partner, coalesce(cycle = 'partner_reporting', false) as scheduled_cycle, not after_hours as work_hours, event_type = 'data_export' and ticket_id is not null as approved_export from security_events",
     # rolling windows
     "rolling_history": _snap("n, ord"),
@@ -183,6 +184,7 @@ QUERIES["_vocabulary_exact"] = "select actor_id, count(distinct word) as words,
 QUERIES["activity_counts"] = """select kind, event_type, phase, label, grouping(event_type) as any_type, grouping(phase) as any_phase, grouping(label) as any_label, count(*) as n from (
     select 'event' as kind, event_type, phase, label from security_events union all select 'alert' as kind, tier as event_type, phase, label from alerts_lsc) x
     group by grouping sets ((kind, event_type), (kind, phase), (kind, label), (kind, event_type, phase, label), (kind))"""
+QUERIES |= additive.QUERIES
 QUERIES["_online_rows"] = "select * from online_rows"
 #: Queries that only serve others, or as SQL of a query that Spark answers otherwise.
 HELPERS = ("_alerts", "_sender_words", "_vocabulary_exact", "_alert_counts", "_online_rows", "coded", "sweep_rows", "scored_ce", "scored_eg")
@@ -214,6 +216,7 @@ BLOCKS = [
     WINDOWS, FEATURES, SCORED, oracles.SWEEP, SENT, TEXTS, MAILS, MEASURED, STYLE, AUTHORS, extended.PEERS, extended.PERPLEXITY, bayes.probabilities(), extended.JUDGED, "codes as (" + QUERIES["encode_action"] + ")", _CODED,
     *(folds.goals(v) for v in _VARIANTS), *(f"intents_{v} as (select actor_id, step, intent, completion from goals_{v} where last_of_step)" for v in _VARIANTS), *(context(v) for v in _VARIANTS),
     "online_rows as (select *, 0e0 as boost, actor_id as fold_key, '' as model, '' as config, 0 as run, 4e0 as confirmed_at from scored)",
+    *additive.blocks(CODE), folds.alerts("egx", "egx", additive.SOURCE),
     *(folds.alerts(v, v) for v in ("lsc", *_VARIANTS)), folds.learning("online", "select * from online_rows"),
     folds.alerts("plain", "lsc", "select * from sweep_rows where online = 0"), folds.learning("learning", "select * from sweep_rows where online = 1"),
     *(f"{x}_sweep as (select * from {x}_plain union all select * from {x}_learning)" for x in ("decided", "alerts")),
@@ -308,7 +311,11 @@ class _Session:
         for v in _VARIANTS:
             if f"goals_{v}" in self.reads(body) and f"goals_{v}" not in self.given:
                 self.give(f"goals_{v}", written(goals.infer(self.plain("select * from coded"), v), f"goals-{v}"))
-        for n in ("lsc", *_VARIANTS):
+        if "goals_egx" in self.reads(body) and "goals_egx" not in self.given:
+            self.give("goals_egx", written(goals.accumulate(self.plain("select * from boosted_egx"), additive.GOALS), "goals-egx"))
+        if "scored_egx" in self.reads(body) and "scored_egx" not in self.given and "alerts_egx" in self.reads(body):
+            self.give("scored_egx", written(self.plain("select * from scored_egx"), "scored-egx"))
+        for n in ("lsc", *_VARIANTS, "egx"):
             if {f"alerts_{n}", f"decided_{n}"} & self.reads(body) and f"decided_{n}" not in self.given:
                 config = decisions.CONFIGS[n]
                 self._decide(n, decisions.decide(self.sql("select * from scored" if n == "lsc" else f"select * from scored_{n}"), config), config)
@@ -365,6 +372,15 @@ def queries():
     return found | {name: _shipped(f) for name, f in (training.QUERIES | streams.QUERIES).items()}
 
 
+def _apart(body: str) -> str:
+    """DuckDB SQL of a query of the fourth variant, over the expressions that are written apart."""
+    names = _defined(additive.APART)
+    fold = folds.alerts("egx", "egx", additive.SOURCE) if "alerts_egx" in _READS.findall(body) else ""
+    texts = [x for x in _needed("select * from style", set()) if not _defined(x) & names]
+    parts = [event_rows("duckdb"), actor_ctes(), *texts, translate(additive.APART, "duckdb"), fold]
+    return translate("with recursive " + ",".join(x.strip().strip(",") for x in parts if x) + " " + body, "duckdb")
+
+
 def oracle_sql() -> dict[str, str]:
     found = {name: oracles.INDEPENDENT.get(name) or text(name, "duckdb") for name in QUERIES if name not in HELPERS}
     found |= {name: "with recursive " + (event_rows("duckdb") + "," + actor_ctes()).strip() + oracles.REFERENCE + sql for name, sql in oracles.APART.items()}
@@ -377,4 +393,5 @@ def oracle_sql() -> dict[str, str]:
     # the grid that Spark doesn't make
     found["anomaly_samples"], found["anomaly_samples_eg"] = _text(samples.by_grid(), "duckdb", {}), _text(samples.by_grid(2, False), "duckdb", {})
     found["stream_alert_sink"] = text("_alert_counts", "duckdb")
+    found |= {name: _apart(QUERIES[name]) for name in additive.QUERIES}
     return found | training.ORACLE_SQL | streams.ORACLE_SQL

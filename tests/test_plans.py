@@ -6,8 +6,8 @@ import duckdb
 import pytest
 
 from sentrylake.operators import forest
-from sentrylake.operators.goals import Goals, infer, occurs
-from sentrylake.plans import folds, oracles, training
+from sentrylake.operators.goals import Goals, accumulate, infer, occurs
+from sentrylake.plans import additive, folds, oracles, training
 from sentrylake.plans import queries as plans
 from sentrylake.sources import mails, quoted
 from sentrylake.streaming import correlator
@@ -19,6 +19,7 @@ NAMES = (
     "spam_indicators", "entity_counts", "abductive_rule_hits", "goal_probability", "threat_assessment", "threat_assessment_eg", "confirmed_alerts", "early_alerts", "confirmed_alerts_eg", "confirmed_alerts_ce", "alert_payload", "ewma_baseline",
     "trust_update", "sweep_summary", "config_grid", "actor_confusion", "alert_precision", "classification_report", "tfidf_features", "parse_mail", "scan_mail_corpus", "scan_labeled_mail", "sink_event_log", "anomaly_samples", "stream_step_counts",
     "stream_actor_totals", "stream_ingest", "authorship_consistency", "author_profile", "style_metrics", "text_classifier_prob", "online_weights", "confirmed_alerts_online", "early_alerts_online", "run_average", "stream_late_data", "stream_correlate", "stream_alert_sink",
+    "abductive_rule_hits_egx", "goal_probability_egx", "plan_tracking_egx", "threat_assessment_egx", "scored_anchors_egx", "early_alerts_egx", "confirmed_alerts_egx", "evaluation_egx",
 )
 
 
@@ -122,6 +123,32 @@ def test_infer_restarts_for_each_actor(spark):
     assert infer(spark.createDataFrame([], "event_id long, actor_id long, step long, ord long, code string")).count() == 0
 
 
+def test_goals_that_add_up(spark):
+    """Boosts are added up to 1, each contradiction leaves 0.85; actors have nothing to do with each other, nor has the order of rows."""
+    rows = [(3, 1, 7, 3, True, 0, 0.25), (1, 1, 5, 1, True, 0, 0.2), (2, 1, 6, 2, True, 1, 0.2), (4, 1, 8, 4, True, 2, 0.9), (5, 2, 5, 1, True, 1, 0.0), (6, 1, 9, 5, True, 0, 0.9)]
+    boosted = spark.createDataFrame(rows, "event_id long, actor_id long, step long, ord long, last_of_step boolean, contradictions long, b_x double")
+    got = {r["event_id"]: r["p_x"] for r in accumulate(boosted, ("x",)).collect()}
+    assert got == pytest.approx({1: 0.2, 2: 0.37, 3: 0.62, 4: 1.0, 5: 0.0, 6: 1.0})
+    assert accumulate(boosted.limit(0), ("x",)).count() == 0
+
+
+def test_rules_by_parts_of_codes(spark):
+    """Parts are looked for anywhere in a code, in order, others between; those of another order don't count."""
+    codes = {
+        "a": ("db_query:patients_table", "login", "data_export:patients_table:internal"),
+        "b": ("data_export:patients_table", "db_query:patients_table"),
+        "c": ("db_query:sensitive",) * 3,
+        "d": ("db_query:sensitive", "login", "db_query:sensitive"),
+        "e": ("login:after_hours:new_device", "data_export", "db_query:sensitive_rows", "email_send:external"),
+        "f": ("",),
+    }
+    df = spark.createDataFrame([(k, ";" + ";".join(v) + ";") for k, v in codes.items()], "k string, codes string")
+    got = {r["k"]: [i for i in range(4) if r[f"rule_{i}"]] for r in df.selectExpr("k", *(f"regexp_like(codes, '{additive._parts(w)}') as rule_{i}" for i, (w, _, _) in enumerate(additive.RULES))).collect()}
+    greedy = lambda seen, wanted: all(any(w in c for c in it) for it in [iter(seen)] for w in wanted)
+    assert got == {k: [i for i, (w, _, _) in enumerate(additive.RULES) if greedy(v, w)] for k, v in codes.items()}
+    assert got == {"a": [0], "b": [], "c": [2], "d": [], "e": [1, 3], "f": []}
+
+
 def test_parse_mail(spark):
     multi = "From: A <a@x>\nTo: b@y\nSubject: s\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=q\n\n--q\nContent-Type: text/html\n\n<p>no</p>\n--q\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\nw6kgeWVz\n--q--\n"
     got = {r.mail_id: r for r in mails.parse(spark.createDataFrame([(1, multi), (2, None), (3, "no headers at all")], "mail_id long, message string")).collect()}
