@@ -28,6 +28,9 @@ SPREAD = "sqrt(cast(n_sentences * n_squares - n_tokens * n_tokens as double)) /
 BURST = f"case when n_sentences < 2 then 0.5e0 else least(1e0, {SPREAD} / greatest(1e0, cast(n_tokens as double) / n_sentences) / 1.5e0) end"
 _VARIATION = f"({SPREAD} / (cast(n_tokens as double) / n_sentences + 0.1e0))"
 
+_SHORT = """logins, queries, sensitive, exports, outside, after_hours_n, cast(sensitive as double) / greatest(1, queries) as sensitive_share, cast(exports as double) / greatest(1, queries) as export_share,
+        cast(outside as double) / greatest(1, emails) as outside_share, cast(after_hours_n as double) / greatest(1, n) as after_hours_share"""
+
 QUERIES = {
     "feature_vector": LISTS + f"""select s.actor_id, s.step, s.logins, s.queries, s.sensitive, s.exports, s.outside, s.after_hours_n,
         cast(s.sensitive as double) / greatest(1, s.queries) as sensitive_share, cast(s.exports as double) / greatest(1, s.queries) as export_share,
@@ -36,6 +39,9 @@ QUERIES = {
         s.mails_over_500, s.outside_unapproved, case when s.sequences > 0 then 1 else 0 end as sequence, cast(s.n as double) / greatest(1, s.span) as density,
         s.exports_without_ticket, s.device_changes, d.resources, d.dsts, d.login_velocity, d.sensitive_velocity
         from snap s join (select actor_id, step, @size(@distinct(resources)) as resources, @size(@distinct(dsts)) as dsts, {VELOCITY} from lists) d on s.actor_id = d.actor_id and s.step = d.step""",
+    # the shorter vectors of the second and the third variant; the second's last seven are zero by its rule
+    "feature_vector_20": f"select actor_id, step, {_SHORT}, bytes_moved / 10000e0 as bytes_total, bytes_most / 10000e0 as bytes_max, large_exports, " + ", ".join(f"0e0 as zero_{i}" for i in range(7)) + " from snap",
+    "feature_vector_12": f"select actor_id, step, {_SHORT}, bytes_moved / 10000e0 as bytes_total, 0e0 as zero_0 from snap",
     "peer_deviation": DEVIATION,
     # rules whose actions stand in order among the last 20 codes, as regular expressions over the joined codes
     "abductive_rule_hits": "select event_id, actor_id, step, {hits} from (select *, concat(';', {joined}, ';') as codes from coded) x",

@@ -39,7 +39,27 @@ _fixed = lambda m: f"cast({m} as decimal(18, 9))"
 _mean = lambda m: f"round(cast(sum({_fixed(m)}) as double) / count({m}), 9)"
 _deviation = lambda m: f"round(sqrt(greatest(0e0, cast(sum(cast({_fixed(m)} * {_fixed(m)} as decimal(38, 18))) as double) / count({m}) - pow(cast(sum({_fixed(m)}) as double) / count({m}), 2))), 6)"
 
+def evaluation(variant: str, dated: bool) -> str:
+    """One row of what a variant's alerts of the test phase are worth: by actor, by alert, and time to detection. dated: pairs with a step of 0 don't count."""
+    kept = "first_alert <> 0 and first_step <> 0" if dated else "true"
+    tally = lambda tier, what: f"cast(coalesce(sum(case when tier = '{tier}' and {what} then 1 else 0 end), 0) as bigint)"
+    return f""", bad as (select actor_id, min(step) as first_step from security_events where phase = 'test' and label = 'malicious' group by actor_id),
+        said as (select * from alerts_{variant} where phase = 'test'),
+        named as (select actor_id, min(step) as first_alert from said where tier = 'confirmed' group by actor_id),
+        pairs as (select n.actor_id, b.first_step, n.first_alert from named n left join bad b on b.actor_id = n.actor_id),
+        intents as (select g.actor_id, g.step, max(g.intent) as intent from goals_{variant} g where g.last_of_step group by g.actor_id, g.step),
+        assisted as (select count(*) as n from said a join intents i on i.actor_id = a.actor_id and i.step = a.step where a.tier = 'confirmed' and i.intent > 0),
+        by_actor as (select count(*) as alerted, count(first_step) as detected, cast(coalesce(sum(case when {kept} then first_alert - first_step end), 0) as bigint) as ttd_sum, count(case when {kept} then first_step end) as ttd_n, coalesce(max(case when {kept} then first_alert - first_step end), 0) as ttd_max from pairs),
+        by_alert as (select {tally("confirmed", "true")} as conf_total, {tally("confirmed", "label <> 'malicious'")} as conf_fp, {tally("early", "true")} as early_total, {tally("early", "label <> 'malicious'")} as early_fp from said)
+        select case when alerted > 0 then cast(detected as double) / alerted else 0e0 end as actor_precision, case when total > 0 then cast(detected as double) / total else 0e0 end as actor_recall, case when detected > 0 then 2e0 * detected / (alerted + total) else 0e0 end as actor_f1,
+            case when ttd_n > 0 then cast(ttd_sum as double) / ttd_n else 0e0 end as ttd_avg, ttd_max, conf_total, conf_fp, case when conf_total > 0 then cast(conf_total - conf_fp as double) / conf_total else 0e0 end as conf_precision,
+            early_total, early_fp, case when early_total > 0 then cast(early_total - early_fp as double) / early_total else 0e0 end as early_precision, total as actors_total, detected as actors_detected, s.n as tom_detected
+        from by_actor cross join by_alert cross join assisted s cross join (select count(*) as total from bad) b"""
+
+
 EVALUATION = {
+    "evaluation_ce": evaluation("ce", False),
+    "evaluation_eg": evaluation("eg", True),
     "sweep_rows": "select * from sweep_rows",
     # alerts and the states that they come from
     **{f"{tier}_alerts{'' if v == 'lsc' else '_' + v}": f"select event_id, actor_id, step, label, phase, score, threshold, trust, verdict from alerts_{v} where tier = '{tier}'" for tier in ("early", "confirmed") for v in ("lsc", "ce", "eg")},

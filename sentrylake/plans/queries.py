@@ -18,7 +18,7 @@ from ..operators.features import CONTEXT, FEATURES, POLICY, SCORED, SUPPRESSED,
 from ..session import ship, written
 from ..sources.events import actor_ctes, event_rows
 from ..streaming import streams
-from . import additive, extended, folds, oracles, training
+from . import additive, corpus, extended, folds, oracles, training
 
 TABLES = ("events", "documents", "labels")
 
@@ -157,14 +157,12 @@ QUERIES = {
     "external_recipient": """select event_id, max(case when address like '%@%' and address not like '%@org%' then 1 else 0 end) = 1 as external from (
         select event_id, @explode(@split(case when event_id % 3 = 0 then concat('desk@org,', dst) when event_id % 3 = 1 then concat(dst, ', pool@org') else 'pool@org' end, ','@p)) as address from security_events where event_type = 'email_send') x group by event_id""",
     "attachment_mention": "select event_id, attachments > 0 as mentions from style",
-    "sender_profiles": "select actor_id, count(*) as n, avg(cast(n_words as double)) as avg_words, avg(cast(n_sentences as double)) as avg_sentences from style group by actor_id having count(*) >= 5",
-    "corpus_stats": "select count(*) as mails, sum(case when n_words >= 30 then 1 else 0 end) as processed, count(distinct actor_id) as senders, avg(cast(n_words as double)) as avg_words, avg(case when dst like '%outside' then 1e0 else 0e0 end) as external_share from style",
-    "label_filter_stats": "select case when quality = 0 or toxic = 1 then 'spam' else 'ham' end as label, count(*) as n from labels l join documents d on l.doc_id = d.doc_id where d.text is not null group by case when quality = 0 or toxic = 1 then 'spam' else 'ham' end",
     # evaluation
     "actor_truth": "select actor_id, max(case when label = 'malicious' then 1 else 0 end) as malicious, min(case when label = 'malicious' then step end) as first_step from security_events where phase = 'test' group by actor_id",
     "event_type_counts": "select event_type, phase, count(*) as n from security_events group by event_type, phase",
     "step_metrics": "select step, n, malicious, cast(sum(n) over (order by step) as bigint) as log_size from (select step, count(*) as n, cast(sum(case when label = 'malicious' then 1 else 0 end) as bigint) as malicious from security_events group by step) x",
     **oracles.EVALUATION,
+    **corpus.QUERIES,
 }
 
 QUERIES |= extended.QUERIES
@@ -213,7 +211,7 @@ def context(variant: str) -> str:
 
 #: Table expressions in order; each text may define several. What is worked out by Python in Spark is SQL for DuckDB only.
 BLOCKS = [
-    WINDOWS, FEATURES, SCORED, oracles.SWEEP, SENT, TEXTS, MAILS, MEASURED, STYLE, AUTHORS, extended.PEERS, extended.PERPLEXITY, bayes.probabilities(), extended.JUDGED, "codes as (" + QUERIES["encode_action"] + ")", _CODED,
+    WINDOWS, FEATURES, SCORED, oracles.SWEEP, SENT, TEXTS, MAILS, MEASURED, STYLE, AUTHORS, corpus.COUNTED, extended.PEERS, extended.PERPLEXITY, bayes.probabilities(), extended.JUDGED, "codes as (" + QUERIES["encode_action"] + ")", _CODED,
     *(folds.goals(v) for v in _VARIANTS), *(f"intents_{v} as (select actor_id, step, intent, completion from goals_{v} where last_of_step)" for v in _VARIANTS), *(context(v) for v in _VARIANTS),
     "online_rows as (select *, 0e0 as boost, actor_id as fold_key, '' as model, '' as config, 0 as run, 4e0 as confirmed_at from scored)",
     *additive.blocks(CODE), folds.alerts("egx", "egx", additive.SOURCE),
@@ -394,4 +392,6 @@ def oracle_sql() -> dict[str, str]:
     found["anomaly_samples"], found["anomaly_samples_eg"] = _text(samples.by_grid(), "duckdb", {}), _text(samples.by_grid(2, False), "duckdb", {})
     found["stream_alert_sink"] = text("_alert_counts", "duckdb")
     found |= {name: _apart(QUERIES[name]) for name in additive.QUERIES}
+    mails = ",".join(x.strip() for x in (event_rows("duckdb"), SENT, TEXTS))
+    found |= {name: translate(f"with {mails}, {sql}", "duckdb") for name, sql in corpus.APART.items()}
     return found | training.ORACLE_SQL | streams.ORACLE_SQL

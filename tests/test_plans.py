@@ -20,6 +20,7 @@ NAMES = (
     "trust_update", "sweep_summary", "config_grid", "actor_confusion", "alert_precision", "classification_report", "tfidf_features", "parse_mail", "scan_mail_corpus", "scan_labeled_mail", "sink_event_log", "anomaly_samples", "stream_step_counts",
     "stream_actor_totals", "stream_ingest", "authorship_consistency", "author_profile", "style_metrics", "text_classifier_prob", "online_weights", "confirmed_alerts_online", "early_alerts_online", "run_average", "stream_late_data", "stream_correlate", "stream_alert_sink",
     "abductive_rule_hits_egx", "goal_probability_egx", "plan_tracking_egx", "threat_assessment_egx", "scored_anchors_egx", "early_alerts_egx", "confirmed_alerts_egx", "evaluation_egx",
+    "sender_profiles", "corpus_stats", "label_filter_stats", "feature_vector_20", "feature_vector_12", "evaluation_ce", "evaluation_eg",
 )
 
 
@@ -149,6 +150,27 @@ def test_rules_by_parts_of_codes(spark):
     assert got == {"a": [0], "b": [], "c": [2], "d": [], "e": [1, 3], "f": []}
 
 
+@pytest.mark.parametrize("variant, dated", [("eg", True), ("ce", False)])
+def test_evaluation_by_plain_loops(spark, con, variant, dated):
+    """Sets of actors, first steps and counts from the alerts' own rows."""
+    q = plans.queries()
+    told = [(t, r) for t in ("early", "confirmed") for r in q[f"{t}_alerts_{variant}"](spark, SF).collect() if r["phase"] == "test"]
+    bad = {}
+    for r in q["actor_truth"](spark, SF).collect():
+        if r["malicious"]:
+            bad[r["actor_id"]] = r["first_step"]
+    conf = [r for t, r in told if t == "confirmed"]
+    found = {r["actor_id"] for r in conf} & set(bad)
+    firsts = {a: min(r["step"] for r in conf if r["actor_id"] == a) for a in found}
+    gaps = [firsts[a] - bad[a] for a in found if not dated or (firsts[a] and bad[a])]
+    got = q[f"evaluation_{variant}"](spark, SF).first()
+    assert (got["conf_total"], got["conf_fp"], got["early_total"]) == (len(conf), sum(r["label"] != "malicious" for r in conf), sum(t == "early" for t, _ in told))
+    assert (got["actors_total"], got["actors_detected"], got["ttd_max"]) == (len(bad), len(found), max(gaps, default=0))
+    p, r = len(found) / max(1, len({x["actor_id"] for x in conf})), len(found) / max(1, len(bad))
+    assert (got["actor_precision"], got["actor_recall"], got["actor_f1"]) == pytest.approx((p, r, 2 * p * r / (p + r) if p + r else 0.0))
+    assert got["ttd_avg"] == pytest.approx(sum(gaps) / len(gaps) if gaps else 0.0)
+
+
 def test_parse_mail(spark):
     multi = "From: A <a@x>\nTo: b@y\nSubject: s\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=q\n\n--q\nContent-Type: text/html\n\n<p>no</p>\n--q\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\nw6kgeWVz\n--q--\n"
     got = {r.mail_id: r for r in mails.parse(spark.createDataFrame([(1, multi), (2, None), (3, "no headers at all")], "mail_id long, message string")).collect()}
