@@ -238,3 +238,38 @@ def test_queries_of_another_dimension_take_no_part(spark):
     asked = spark.createDataFrame([(20, [1.0]), (21, [2.0]), (3, [3.0, 1.0]), (None, [1.0, 1.0])], schema)
     got = ann.search(table, asked, 2).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(3, 1, 8, 25.0), (3, 2, 7, 22.0)]
+
+
+def test_passages_among_many_holders(spark):
+    """The one earlier text with the whole passage is neither the first nor the last of many that hold a part of it."""
+    rng = np.random.default_rng(31)
+    v = ["w%d" % k for k in range(30_000)]
+    text = lambda n: list(rng.choice(v, n))
+    rows, want = [], set()
+    for g in range(12):
+        p = text(62)
+        for k in range(21):
+            part = p if k == 10 else p[:40] if k % 2 else p[22:]
+            rows.append((100 * g + k, " ".join([*text(30), *part, *text(30)])))
+        rows.append((100 * g + 50, " ".join([*text(20), *p, *text(20)])))
+        want.add((100 * g + 50, 100 * g + 10))
+    got = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == want and all(r.n_words >= 62 for r in got)
+
+
+def test_live_ranges_by_brute_force():
+    """Ranges in which four of five distinct tokens are shared, of a length or with a token that repeats; never over two texts."""
+    rng = np.random.default_rng(32)
+    for _ in range(60):
+        sizes = rng.integers(0, 30, 4)
+        bound = np.append(0, np.cumsum(sizes))
+        h = rng.integers(0, 60, bound[-1]).astype(np.uint64)
+        shared, again = rng.random(60)[h.astype(int)] < 0.75, rng.random(60)[h.astype(int)] < 0.02
+        got = passages.live(h, bound, shared, again, 8)
+        for a, b in zip(bound[:-1], bound[1:]):
+            for i in range(a, b):
+                for j in range(i + 1, b + 1):
+                    good, all_ = len(np.unique(h[i:j][shared[i:j]])), len(np.unique(h[i:j]))
+                    if 5 * good >= 4 * all_ and (j - i >= 8 or (shared & again)[i:j].any()):
+                        assert got[i:j].all()
+        assert not got.all() or shared.mean() > 0.5
