@@ -294,3 +294,44 @@ def test_pipeline(spark, tmp_path):
     want = sorted((i, len(tok.encode(t, add_special_tokens=False).ids) + 1) for i, t in texts.items())
     assert sorted((r.doc_id, r.length) for r in got) == want
     assert len({r.sequence_id for r in got}) <= sum(n for _, n in want) // 2048 + 2
+
+
+def test_open_windows_meet_only_where_a_passage_has_room(spark, monkeypatch):
+    """Texts that share two runs of words, but no passage, aren't joined with each other's tokens."""
+    rng = np.random.default_rng(21)
+    v = vocabulary(rng, 4000)
+    text = lambda n: list(rng.choice(v, n))
+    one, two = text(30), text(30)
+    rows = [(i, " ".join([*one, *(f"w{i}x{k}" for k in range(9)), *two])) for i in range(60)]
+    p = text(70)
+    rows += [(900, " ".join([*p, *text(30)])), (901, " ".join([*text(30), *p]))]
+    seen, keep = {}, passages.materialize
+
+    def materialize(df, name):
+        seen[name] = keep(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(passages, "materialize", materialize)
+    monkeypatch.setattr(passages, "discard", lambda df: None)
+    got = {(r.doc_id, r.other_id) for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (901, 900) in got and seen["open-windows"].count() > 60
+    # of 1770 pairs
+    assert seen["more-regions"].count() < 60
+
+
+def test_room_never_drops_what_is_verified():
+    rng = np.random.default_rng(22)
+    table = np.full(1 << 16, -1, np.int32)
+    passed = verified = 0
+    for k in range(400):
+        pool = rng.integers(0, 2**63, int(rng.choice([8, 60, 4000])), dtype=np.uint64) * np.uint64(2)
+        x = rng.choice(pool, int(rng.integers(20, 150)))
+        y = x[int(rng.integers(0, 10)) :].copy()
+        y[rng.random(len(y)) < rng.choice([0, 0.1, 0.25, 0.6])] = rng.choice(pool)
+        y = np.concatenate([rng.choice(pool, int(rng.integers(0, 60))), y, rng.choice(pool, int(rng.integers(0, 60)))])
+        codes = [(z >> np.uint64(48)).astype(np.uint16) for z in (x, y)]
+        ok = passages.room(codes[1], codes[0], np.array([0, len(x)]), table)[0]
+        found = passages.verified(x, 0, y, 0, [(0, len(x) - 1, 0, len(y) - 1)], False)
+        passed, verified = passed + bool(ok), verified + bool(found)
+        assert ok or not found
+    assert 0 < verified <= passed < 400 and (table == -1).all()
