@@ -250,3 +250,12 @@ def test_classifiers_beat_chance(spark):
 def test_sql_of_the_folds_names_all_plans():
     assert "exfil_staged" in folds.goals("eg") and "cred_theft" not in folds.goals("eg") and "cred_theft" in folds.goals("ce")
     assert len(oracles.CONFIGURATIONS) == 5
+
+
+def test_mail_corpus_keeps_white_space(spark, tmp_path):
+    """Mails that end with white space come back whole."""
+    texts = ["ends with a break\n", "spaces  ", "", "return\r", "tab\t\n\n", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(x for x, in training.scan_mail_corpus(spark, str(tmp_path)).collect()) == sorted(x for x, in c.execute(training.ORACLE_SQL["scan_mail_corpus"]).fetchall())
