@@ -193,10 +193,10 @@ def parse_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_mail_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The made mails written as CSV and read back: message digests."""
+    """The made mails written as CSV and read back: message digests. A made mail is never empty: an empty one is null, as of a document without an id."""
     folder = shared_folder(spark, "mail-corpus")
     raw_mails(spark, sf_dir).select("message").write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
-    return mails.read_corpus(spark, folder).select(F.md5(F.encode("message", "UTF-8")).alias("message"))
+    return mails.read_corpus(spark, folder).select(F.md5(F.encode(F.nullif("message", F.lit("")), "UTF-8")).alias("message"))
 
 
 def scan_labeled_mail(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,9 +253,9 @@ def test_sql_of_the_folds_names_all_plans():
 
 
 def test_mail_corpus_keeps_white_space(spark, tmp_path):
-    """Mails that end with white space come back whole."""
+    """Mails that end with white space come back whole, and a null stays one."""
     texts = ["ends with a break\n", "spaces  ", "", "return\r", "tab\t\n\n", "plain"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([*enumerate(texts), (None, "no id")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
-    assert sorted(x for x, in training.scan_mail_corpus(spark, str(tmp_path)).collect()) == sorted(x for x, in c.execute(training.ORACLE_SQL["scan_mail_corpus"]).fetchall())
+    assert sorted(str(x) for x, in training.scan_mail_corpus(spark, str(tmp_path)).collect()) == sorted(str(x) for x, in c.execute(training.ORACLE_SQL["scan_mail_corpus"]).fetchall())
