@@ -6,7 +6,7 @@ _SPARK_SPACES = _SPACES.replace("\\", "\\\\")
 
 DIALECT = {
     "spark": {"@lengths(": "filter(transform(split(", "@l)": f", '[.!?]+'), x -> cast(regexp_count(x, '[^{_SPARK_SPACES}]+') as bigint)), x -> x > 0)", "@sum(": "aggregate(transform(", ", x@x)": ", x -> x), 0L, (a, b) -> a + b)", ", x * x@x)": ", x -> x * x), 0L, (a, b) -> a + b)",
-              "@filter(": "filter(", "@it": "x -> x", "@f)": ")", "@spread": "/*+ REPARTITION({partitions}, doc_key, variant) */",
+              "@filter(": "filter(", "@it": "x -> x", "@f)": ")", "@spread": "/*+ REPARTITION({partitions}, doc_key) */",
              "@words(": "regexp_extract_all(lower(", "@w)": "), '[\\\\p{L}\\\\p{N}_]+', 0)", "@size(": "size(", "@sentences(": "filter(transform(split(", "@s)": ", '[.!?]+'), x -> trim(x)), x -> x <> '')",
               "@distinct(": "array_distinct(", "@tokens(": "size(split(trim(", "@t)": "), '[ \\n\\r\\t]+'))", "@any_value": "any_value", "@string": "string", "@explode(": "explode(", "@joined(": "concat_ws(';', collect_list(", "@j)": ")", "@end": ")", "@range": "sequence(0, 7)", "@split(": "split(", "@p)": ")", "@list(": "collect_list(", "@known(": "last_value(", "@k)": ") ignore nulls",
               "@head(": "aggregate(slice(", "@h)": "), 0L, (a, x) -> a + x)", "@matches(": "regexp_like(", "@count(": "regexp_count(", "@c)": ")", "@upper_words(": "size(filter(split(trim(", "@u)": "), '[ \\n\\r\\t]+'), x -> length(x) > 2 and upper(x) = x and lower(x) <> x))"},

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bayes
 from ..functions.dialect import translate
-from ..operators import decisions, goals, samples
+from ..operators import decisions, goals, perplexity, samples
 from ..operators.features import CONTEXT, FEATURES, POLICY, SCORED, SUPPRESSED, WINDOWS, score, scored_with_context
 from ..session import ship, written
 from ..sources.events import actor_ctes, event_rows
@@ -55,7 +55,7 @@ _MEASURES = f"""@size(@words(content@w)) as n_words, @size(@distinct(@words(cont
     {", ".join(f"least(1e0, {_hits(URGENT[v])} / {n}e0) as urgency_{v}" for v, n in (("ce", 3), ("eg", 2), ("trained", 2), ("egx", 2)))},
     {", ".join(f"{_hits(SENSITIVE[v])} as sensitive_{v}" for v in ("ce", "eg", "trained"))}, {_hits(VIOLATIONS)} as violations, {_hits(ATTACHMENT)} as attachments"""
 SENT = """sent as (select event_id, step, actor_id, dst, attachment_kb, src_rank, k % 8 as variant, event_id % (select max(doc_id) + 1 from documents) as doc_key from security_events where event_type = 'email_send')"""
-TEXTS = f"""texts as (select @spread p.doc_key, p.variant, concat({_SUBJECT}, coalesce(d.text, '')) as content from (select distinct doc_key, variant from sent) p left join documents d on d.doc_id = p.doc_key)"""
+TEXTS = f"""texts as (select p.doc_key, p.variant, concat({_SUBJECT}, coalesce(d.text, '')) as content from (select @spread distinct doc_key, variant from sent) p left join documents d on d.doc_id = p.doc_key)"""
 MAILS = """mails as (select e.event_id, e.step, e.actor_id, e.dst, e.attachment_kb, e.src_rank, t.content from sent e join texts t on t.doc_key = e.doc_key and t.variant = e.variant)"""
 MEASURED = f"""measured as (select *, @size(lengths) as n_sentences, @sum(lengths, x@x) as n_tokens, @sum(lengths, x * x@x) as n_squares from (select doc_key, variant, {_MEASURES} from texts) x)"""
 STYLE = """style as (select e.event_id, e.step, e.actor_id, e.dst, e.attachment_kb, e.src_rank, m.* from sent e join (select doc_key as m_key, variant as m_variant, * from measured) m on m_key = e.doc_key and m_variant = e.variant)"""
@@ -301,6 +301,11 @@ class _Session:
     def prepare(self, body: str) -> None:
         """Works out what the text reads and Spark's SQL can't, or shouldn't more than once."""
         reads = self.reads(body)
+        if "perplexities" in reads and "perplexities" not in self.given:
+            subjects = self.spark.createDataFrame(list(enumerate(SUBJECTS)), "variant int, subject string")
+            documents = self.spark.read.parquet(f"{self.sf_dir}/documents.parquet")
+            self.give("perplexities", written(perplexity.perplexities(self.plain("select event_id, step, doc_key, variant from sent"), documents, subjects), "perplexities"))
+            reads = self.reads(body)
         heavy = any(f"{x}_{v}" in reads for x in ("goals", "scored", "alerts", "decided") for v in _VARIANTS) or "judged" in reads or len(re.findall(r"\b(?:from|join)\s+snap\b", body)) > 1 or any(f"{x}_{n}" in reads for x in ("alerts", "decided", "weights") for n in ("online", "sweep"))
         if heavy:
             for name in WRITTEN:

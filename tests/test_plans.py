@@ -259,3 +259,19 @@ def test_mail_corpus_keeps_white_space(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(str(x) for x, in training.scan_mail_corpus(spark, str(tmp_path)).collect()) == sorted(str(x) for x, in c.execute(training.ORACLE_SQL["scan_mail_corpus"]).fetchall())
+
+
+def test_perplexity_of_odd_events(spark, tmp_path, monkeypatch):
+    """Mails without a time, delivered twice, and documents that stand there twice; chunks and buckets of few mails and words."""
+    from sentrylake.operators import perplexity
+
+    monkeypatch.setattr(perplexity, "CHUNK", 7)
+    c = duckdb.connect()
+    c.execute("set timezone='UTC'")
+    c.execute(f"copy (select event_id, case when event_id % 11 = 5 then null else ts end as ts, user_id, event_type, value, props from '{SF}/events.parquet', range(2) r(i) where i = 0 or event_id % 3 = 0) to '{tmp_path}/events.parquet' (format parquet)")
+    c.execute(f"copy (select doc_id, case when doc_id % 9 = 4 then null when i = 1 then 'again ' || text else text end as text from '{SF}/documents.parquet', range(2) r(i) where doc_id % 5 <> 3 and (i = 0 or doc_id % 4 = 1)) to '{tmp_path}/documents.parquet' (format parquet)")
+    c.execute(f"copy (select * from '{SF}/labels.parquet') to '{tmp_path}/labels.parquet' (format parquet)")
+    for t in ("events", "documents", "labels"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got, want = plans.queries()["running_perplexity"](spark, str(tmp_path)), c.execute(plans.oracle_sql()["running_perplexity"])
+    assert _rows(got.collect(), got.columns) == _rows(want.fetchall(), [d[0] for d in want.description])
