@@ -1,7 +1,7 @@
 """Spelling variants: frequent words one edit apart, by one-edit neighbourhoods of reduced words.
 
-Words are counted over whole texts. Letters are hashed to a few symbols, fewer for longer words, and every reduced word is known
-by 64 bits. A word's full neighbourhood (itself, each replacement, insertion and deletion over the symbols) is generated for
+Words are counted over whole texts. Letters are hashed to a few symbols, fewer for longer words and more for a large vocabulary, and
+every reduced word is known by 64 bits. A word's full neighbourhood (itself, each replacement, insertion and deletion over the symbols) is generated for
 the reduced words of each length that one edit can reach, and joined with the reduced vocabulary; two words one edit apart
 always meet there, and what meets is checked on the original strings. No two words are compared because they share a group:
 a candidate is a neighbour that exists.
@@ -16,6 +16,7 @@ they stand there. An empty table gives no words. Further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -32,8 +33,8 @@ LATIN = "À-ÿ"
 LEAST_LENGTH, LEAST_COUNT, TIMES = 5, 3, 2
 #: One run in so many (by its hash) loses a code point.
 DAMAGED = 97
-#: Bits of a reduced word that its alphabet aims at.
-AIM = 24
+#: Bits of a reduced word that its alphabet aims at, at least, and those beyond the logarithm of the vocabulary.
+AIM, SPARE = 24, 10
 MOST_BITS = 1 << 30
 
 _P = 0x9E3779B97F4A7C15
@@ -53,9 +54,14 @@ def counts(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
-def symbols(length: int) -> int:
-    """Size of the reduced alphabet for words of a length: a power of two with some AIM bits a word, 2 at least and 32 at most."""
-    return 1 << min(5, max(1, round(AIM / length)))
+def aim(words: int) -> int:
+    """Bits of a reduced word, for so many words: SPARE more than their number takes, so that a neighbour seldom equals another word's by chance."""
+    return max(AIM, math.ceil(math.log2(max(1, words))) + SPARE)
+
+
+def symbols(length: int, bits: int = AIM) -> int:
+    """Size of the reduced alphabet for words of a length: a power of two with some bits a word, 2 at least and 32 at most."""
+    return 1 << min(5, max(1, round(bits / length)))
 
 
 #: Five bits of every letter's hash; a smaller alphabet takes the lower ones.
@@ -73,32 +79,32 @@ def _final(value: np.ndarray, length: int) -> np.ndarray:
     return mix(value + np.uint64(_LENGTH * length % (1 << 64)))
 
 
-def _reduced(letters: np.ndarray, length: int) -> np.ndarray:
+def _reduced(letters: np.ndarray, length: int, bits: int) -> np.ndarray:
     """Symbols (from 1 on) that words (a row of code points each) have in the alphabet of a length."""
-    return (_HASH[letters] & np.uint8(symbols(length) - 1)).astype(np.uint64) + np.uint64(1)
+    return (_HASH[letters] & np.uint8(symbols(length, bits) - 1)).astype(np.uint64) + np.uint64(1)
 
 
-def keys(letters: np.ndarray) -> np.ndarray:
+def keys(letters: np.ndarray, bits: int = AIM) -> np.ndarray:
     """Keys of words of one length."""
     n = letters.shape[1]
-    return _final((_reduced(letters, n) * _powers(n)).sum(axis=1, dtype=np.uint64), n)
+    return _final((_reduced(letters, n, bits) * _powers(n)).sum(axis=1, dtype=np.uint64), n)
 
 
-def neighbours(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(letters: np.ndarray, bits: int = AIM) -> tuple[np.ndarray, np.ndarray]:
     """Of words of one length: (row, key) of every reduced word that one edit at most makes of theirs, each once."""
     rows, n = letters.shape
     every = np.arange(rows)
     p = _powers(n + 1)
-    who, out = [every], [keys(letters)]
+    who, out = [every], [keys(letters, bits)]
     # replacements
-    s, k = _reduced(letters, n), symbols(n)
+    s, k = _reduced(letters, n, bits), symbols(n, bits)
     value = (s * p[:n]).sum(axis=1, dtype=np.uint64)
     for step in range(1, k):
         other = (s - np.uint64(1) + np.uint64(step)) % np.uint64(k) + np.uint64(1)
         out.append(_final(value[:, None] + (other - s) * p[:n], n).ravel())
         who.append(np.repeat(every, n))
     # insertions before each place and at the end; after an equal symbol they make the same word as before it
-    s, k = _reduced(letters, n + 1), symbols(n + 1)
+    s, k = _reduced(letters, n + 1, bits), symbols(n + 1, bits)
     sums = np.zeros((rows, n + 1), np.uint64)
     np.cumsum(s * p[:n], axis=1, dtype=np.uint64, out=sums[:, 1:])
     moved = sums + (sums[:, -1:] - sums) * np.uint64(_P)
@@ -110,7 +116,7 @@ def neighbours(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         who.append(np.broadcast_to(every[:, None], new.shape)[new])
     # deletions; of equal neighbours the first
     if n > 1:
-        s = _reduced(letters, n - 1)
+        s = _reduced(letters, n - 1, bits)
         np.cumsum(s * p[:n], axis=1, dtype=np.uint64, out=sums[:, 1:])
         key = _final(sums[:, :-1] + (sums[:, -1:] - sums[:, 1:]) * np.uint64(_P_INVERSE), n - 1)
         new = np.ones((rows, n), bool)
@@ -136,7 +142,7 @@ def _by_length(words: list[str]):
             yield rows, np.frombuffer(raw, np.uint8).reshape(len(rows), n)
 
 
-def reduced(words: DataFrame) -> DataFrame:
+def reduced(words: DataFrame, bits: int = AIM) -> DataFrame:
     """word and n with the key of the reduced word."""
 
     def run(batches):
@@ -144,37 +150,38 @@ def reduced(words: DataFrame) -> DataFrame:
             text = b.column("word").to_pylist()
             out = np.zeros(len(text), np.uint64)
             for rows, letters in _by_length(text):
-                out[rows] = keys(letters)
+                out[rows] = keys(letters, bits)
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(out.view(np.int64))], ["word", "n", "key"])
 
     return words.select("word", "n").mapInArrow(run, "word string, n long, key long")
 
 
-def bitmap(vocabulary: DataFrame, words: int) -> tuple[dict[int, bytes], int]:
-    """Which keys exist, by their lowest bits: pieces of 4 KB by number, and the number of bits, MOST_BITS at most."""
+def bitmap(vocabulary: DataFrame, words: int):
+    """Which keys exist, by their lowest bits: pieces of 4 KB with their number, one by one, and the number of bits, MOST_BITS at most."""
     bits = min(MOST_BITS, max(1 << 20, 1 << (16 * max(1, words) - 1).bit_length()))
     # the functions number places from 1 on
     place = F.col("key").bitwiseAND(bits - 1) + 1
     pieces = vocabulary.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    return {r["piece"]: bytes(r["bits"]) for r in pieces.toLocalIterator()}, bits
+    return ((r["piece"], bytes(r["bits"])) for r in pieces.toLocalIterator()), bits
 
 
 def candidates(vocabulary: DataFrame, words: int) -> DataFrame:
     """word, n and the key of a neighbour of its reduced word, if the bitmap of all keys has it."""
     sc = vocabulary.sparkSession.sparkContext
-    pieces, bits = bitmap(vocabulary, words)
-    whole = np.zeros(bits // 8, np.uint8)
-    for piece, raw in pieces.items():
+    pieces, size = bitmap(vocabulary, words)
+    whole, bits = np.zeros(size // 8, np.uint8), aim(words)
+    for piece, raw in pieces:
         whole[(piece - 1) * 4096 : (piece - 1) * 4096 + len(raw)] = np.frombuffer(raw, np.uint8)[: len(whole) - (piece - 1) * 4096]
     sent = sc.broadcast(whole)
+    del whole
 
     def run(batches):
         known = sent.value
         for b in batches:
             text, n = b.column("word").to_pylist(), b.column("n")
             for rows, letters in _by_length(text):
-                who, key = neighbours(letters)
-                at = key & np.uint64(bits - 1)
+                who, key = neighbours(letters, bits)
+                at = key & np.uint64(size - 1)
                 there = known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
                 take = pa.array(rows[who[there]])
                 if len(take):
@@ -186,7 +193,8 @@ def candidates(vocabulary: DataFrame, words: int) -> DataFrame:
 def near(vocabulary: DataFrame, words: int) -> DataFrame:
     """word, n, other, other_n of words that one inserted, deleted or replaced code point makes of each other; both orders."""
     other = vocabulary.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "key")
-    met = candidates(vocabulary, words).join(other, "key").filter("word <> other")
+    # Spark takes candidates, some tens for each word, to be as small as the vocabulary, and would send them to all tasks
+    met = candidates(vocabulary, words).hint("merge").join(other, "key").filter("word <> other")
     return met.filter(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
 
 
@@ -197,7 +205,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = materialize(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = at.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        new = materialize(at.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        new = materialize(at.join(on.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         discard(at)
         moved = not new.filter("moved").isEmpty()
         at, before = new.select("word", "root"), new
@@ -209,15 +217,15 @@ def roots(forms: DataFrame) -> DataFrame:
 def group(docs: DataFrame) -> DataFrame:
     """word, n, n_near, form, form_n, root of every word of the texts."""
     found = materialize(counts(docs), "words")
-    vocabulary = materialize(reduced(found), "reduced")
-    size = vocabulary.count()
+    size = found.count()
+    vocabulary = materialize(reduced(found, aim(size)), "reduced")
     best = F.min(F.struct((-F.col("other_n")).alias("less"), "other"))
     of = near(vocabulary, size).groupBy("word", "n").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     frequent = -F.col("best.less") >= TIMES * F.col("n")
     # words without a near one need no join: they come from the vocabulary by the same key
     pairs = materialize(of.select("word", "n_near", F.when(frequent, F.col("best.other")).alias("form"), F.when(frequent, -F.col("best.less")).alias("form_n")), "near")
     ends = roots(pairs.filter("form is not null"))
-    out = found.join(pairs, "word", "left").join(ends, "word", "left")
+    out = found.join(pairs.hint("merge"), "word", "left").join(ends.hint("merge"), "word", "left")
     return out.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 

@@ -109,3 +109,16 @@ def test_a_full_bitmap_changes_nothing(spark, rows, monkeypatch):
     want = by_force(rows)
     monkeypatch.setattr(spelling, "MOST_BITS", 1 << 15)
     assert got(spelling.group(docs)) == want
+
+
+def test_candidates_are_not_broadcast(spark, rows):
+    """Spark takes the candidates to be as small as the vocabulary that they are made from."""
+    words = spelling.materialize(spelling.reduced(spelling.counts(spark.createDataFrame(rows, "doc_id long, text string"))), "reduced")
+    plan = spelling.near(words, words.count())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_reduced_words_grow_with_the_vocabulary(spark, rows, monkeypatch):
+    assert spelling.aim(1) == spelling.AIM and spelling.aim(1 << 22) == 32
+    monkeypatch.setattr(spelling, "SPARE", 26)
+    assert got(spelling.group(spark.createDataFrame(rows, "doc_id long, text string"))) == by_force(rows)
