@@ -1,7 +1,7 @@
 """The correlator of the first variant over a stream, with event time and keyed state.
 
-An actor's state: the rows of steps that are still open (a list), the last events of the window (a list), baseline moments by
-feature (a map), and trust with the steps of the last alerts (a value). A step is worked on when the watermark has passed its
+An actor's state is a value: the rows of steps that are still open, the last events of the window, baseline moments by
+feature, and trust with the steps of the last alerts. A step is worked on when the watermark has passed its
 end: a timer stands at the end of the earliest open step, and when it fires, all steps that are over are taken in order, each as a
 whole. What comes out therefore doesn't depend on how events are dealt to batches, as long as they come within the watermark;
 Spark drops rows that come later and counts them. The alerts of the last steps come when later events move the watermark on.
@@ -12,8 +12,12 @@ and a timer frees their state.
 
 from __future__ import annotations
 
+import itertools
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.decisions import CONFIGS, ActorState, judge
@@ -21,12 +25,9 @@ from ..operators.features import WEIGHTS, WINDOW
 
 #: Milliseconds of a step, and when step 0 begins.
 STEP_MS, ORIGIN_MS = 3_600_000, 1_704_067_200_000
-_TYPES = {"event_id": "long", "step": "long", "event_type": "string", "resource": "string", "action": "string", "dst": "string", "bytes": "long", "attachment_kb": "long", "role": "string", "after_hours": "boolean", "takeover": "boolean",
-          "device_change": "boolean", "cycle": "string", "ticket_id": "string", "approved_partner": "boolean", "label": "string", "phase": "string", "src_rank": "int"}
-_FIELDS = tuple(_TYPES)
-_PYTHON = {"long": int, "int": int, "string": str, "boolean": bool}
-_ROW = ", ".join(f"{n} {t}" for n, t in _TYPES.items())
+_FIELDS = ("event_id", "step", "event_type", "resource", "action", "dst", "bytes", "attachment_kb", "role", "after_hours", "takeover", "device_change", "cycle", "ticket_id", "approved_partner", "label", "phase", "src_rank")
 SCHEMA = "event_id long, actor_id long, step long, tier string, label string, score double, threshold double, trust double"
+_ALERT = tuple(x.split()[0] for x in SCHEMA.split(", "))
 
 
 def features(recent: list[dict]) -> dict[str, float]:
@@ -90,75 +91,68 @@ def close(actor: int, events: list[dict], recent: list[dict], state: ActorState,
     return out, recent
 
 
-def _tuples(rows: list[dict]) -> list[tuple]:
-    return [tuple(r[f] for f in _FIELDS) for r in rows]
+def _text(rows: list[dict]) -> str:
+    return "\n".join(map(json.dumps, rows))
 
 
-def _dicts(state) -> list[dict]:
-    return [dict(zip(_FIELDS, r)) for r in state.get()] if state.exists() else []
+def _dicts(text: str) -> list[dict]:
+    """Rows of lines of JSON; nulls may be left out."""
+    return [dict.fromkeys(_FIELDS) | json.loads(line) for line in text.split("\n") if line]
 
 
 class Correlator(StatefulProcessor):
-    """State and timers of one actor."""
+    """State and timers of one actor.
+
+    All of it is one value, as every access is a message to Spark, and actors are many: there is one to read and one to write."""
 
     def __init__(self, idle: int | None = None):
         self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open, self.window = handle.getListState("open", _ROW), handle.getListState("window", _ROW)
-        self.moments = handle.getMapState("moments", "feature string", "mean double, var double")
         # what comes first in a state must not be null; -1: no alert yet
-        self.actor = handle.getValueState("actor", "trust double, early long, confirmed long, last long, timer long")
+        self.actor = handle.getValueState("actor", "trust double, early long, confirmed long, last long, timer long, moments string, open string, window string")
 
     def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows))
         if key[0] is None or pd.isna(key[0]):
             # rows without an actor only move the watermark
-            yield pd.DataFrame([], columns=[x.split()[0] for x in SCHEMA.split(", ")])
             return
-        new = new.astype(object).where(new.notna(), None)
-        # numbers beside nulls arrive as floats
-        held = [tuple(None if v is None else _PYTHON[t](v) for v, t in zip(r, _TYPES.values())) for r in new[list(_FIELDS)].itertuples(index=False)]
-        self.open.appendList(held)
-        trust, early, confirmed, last, timer = self.actor.get() if self.actor.exists() else (CONFIGS["lsc"].trust_init, -1, -1, 0, 0)
-        due = min(ORIGIN_MS + (r[1] + 1) * STEP_MS for r in held)
+        steps, held = [], []
+        for new in rows:
+            steps += new["step"].tolist()
+            held += new["row"].tolist()
+        if not held:
+            return
+        trust, early, confirmed, last, timer, moments, open_, window = self.actor.get() or (CONFIGS["lsc"].trust_init, -1, -1, 0, 0, "{}", "", "")
+        due = ORIGIN_MS + (int(min(steps)) + 1) * STEP_MS
         if not timer or due < timer:
             if timer:
                 self.handle.deleteTimer(timer)
             timer = due
             self.handle.registerTimer(timer)
-        self.actor.update((trust, early, confirmed, last, timer))
-        yield pd.DataFrame([], columns=[x.split()[0] for x in SCHEMA.split(", ")])
+        self.actor.update((trust, early, confirmed, last, timer, moments, "\n".join([open_, *held] if open_ else held), window))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         actor, now = int(key[0]), timerValues.getCurrentWatermarkInMs()
-        trust, early, confirmed, last, _ = self.actor.get()
-        events = sorted(_dicts(self.open), key=lambda e: (e["step"], e["src_rank"], e["event_id"]))
+        trust, early, confirmed, last, _, moments, open_, window = self.actor.get()
+        events = sorted(_dicts(open_), key=lambda e: (e["step"], e["src_rank"], e["event_id"]))
         over = lambda e: ORIGIN_MS + (e["step"] + 1) * STEP_MS <= now
         out: list[tuple] = []
-        if any(map(over, events)):
-            state, recent = ActorState(CONFIGS["lsc"]), _dicts(self.window)
+        ready, left = [e for e in events if over(e)], [e for e in events if not over(e)]
+        if ready:
+            state, recent = ActorState(CONFIGS["lsc"]), _dicts(window)
             state.trust, state.last = trust, {t: s for t, s in (("early", early), ("confirmed", confirmed)) if s >= 0}
-            for (feature,), (mean, var) in self.moments.iterator():
+            for feature, (mean, var) in json.loads(moments).items():
                 state.mean[feature], state.var[feature] = mean, var
-            for step in sorted({e["step"] for e in events if over(e)}):
-                mine = [e for e in events if e["step"] == step]
+            for step, mine in itertools.groupby(ready, key=lambda e: e["step"]):
                 if self.idle is not None and last and ORIGIN_MS + step * STEP_MS - last >= self.idle:
                     state, recent = ActorState(CONFIGS["lsc"]), []
-                    self.moments.clear()
-                last = ORIGIN_MS + (step + 1) * STEP_MS
+                last, mine = ORIGIN_MS + (step + 1) * STEP_MS, list(mine)
                 found, recent = close(actor, mine, recent, state, _profile(actor, mine[-1]["role"]))
                 out += found
-            self.window.put(_tuples(recent))
-            for feature, mean in state.mean.items():
-                self.moments.updateValue((feature,), (mean, state.var[feature]))
+            window, moments = _text(recent), json.dumps({f: (m, state.var[f]) for f, m in state.mean.items()})
             trust, early, confirmed = state.trust, state.last.get("early", -1), state.last.get("confirmed", -1)
-        left = [e for e in events if not over(e)]
-        if left:
-            self.open.put(_tuples(left))
-        else:
-            self.open.clear()
         timer = 0
         if left:
             timer = ORIGIN_MS + (left[0]["step"] + 1) * STEP_MS
@@ -166,13 +160,13 @@ class Correlator(StatefulProcessor):
             timer = last + self.idle
         if timer and timer <= now:
             # nothing is open, and the actor was idle for long enough
-            for s in (self.open, self.window, self.actor, self.moments):
-                s.clear()
+            self.actor.clear()
         else:
             if timer:
                 self.handle.registerTimer(timer)
-            self.actor.update((trust, early, confirmed, last, timer))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+            self.actor.update((trust, early, confirmed, last, timer, moments, _text(left), window))
+        if out:
+            yield pd.DataFrame({"alert": [json.dumps(dict(zip(_ALERT, x))) for x in out]})
 
     def close(self) -> None:
         pass
@@ -180,4 +174,6 @@ class Correlator(StatefulProcessor):
 
 def alerts(events: DataFrame, idle: int | None = None) -> DataFrame:
     """Alerts of a stream of activity events with a watermark on ``ts``."""
-    return events.select("actor_id", "ts", *_FIELDS).groupBy("actor_id").transformWithStateInPandas(Correlator(idle), SCHEMA, "append", "eventTime")
+    # one text a row, in and out: pandas takes its time for each column of each actor
+    found = events.select("actor_id", "ts", "step", F.to_json(F.struct(*_FIELDS)).alias("row")).groupBy("actor_id").transformWithStateInPandas(Correlator(idle), "alert string", "append", "eventTime")
+    return found.select(F.from_json("alert", SCHEMA).alias("a")).select("a.*")

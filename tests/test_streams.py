@@ -133,3 +133,42 @@ def test_learning_from_nothing(spark):
     rows = spark.createDataFrame(anchors([(1, 0, (), "benign")])).limit(0)
     got, weights = decisions.learn(rows)
     assert got.count() == 0 and weights.count() == 0
+
+
+def test_an_actor_takes_few_messages():
+    """Every access to a state is a message to Spark: one to read and one to write, whatever the actor's events."""
+    import json
+
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, _):
+            calls.append("timer")
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 10**15
+
+    c = correlator.Correlator()
+    c.init(Handle())
+    event = {"event_id": 1, "event_type": "login", "role": "admin", "after_hours": True, "takeover": True, "label": "malicious", "phase": "test", "src_rank": 2}
+    rows = [event | {"event_id": i, "step": 70 + i} for i in range(30)]
+    assert list(c.handleInputRows((10,), iter([pd.DataFrame({"step": [r["step"] for r in rows], "row": [json.dumps(r) for r in rows]})]), Times())) == []
+    (out,) = c.handleExpiredTimer((10,), Times(), None)
+    assert len(out) and calls == ["get", "timer", "update", "get", "update"]
