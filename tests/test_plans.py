@@ -275,3 +275,14 @@ def test_perplexity_of_odd_events(spark, tmp_path, monkeypatch):
         c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
     got, want = plans.queries()["running_perplexity"](spark, str(tmp_path)), c.execute(plans.oracle_sql()["running_perplexity"])
     assert _rows(got.collect(), got.columns) == _rows(want.fetchall(), [d[0] for d in want.description])
+
+
+def test_terms_are_counted_before_they_are_shuffled(spark, tmp_path):
+    """No row of a document's term is shuffled for the vocabulary; ids that stand there twice are one document, as in the SQL."""
+    plan = training.tfidf_features(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" in plan and "hashpartitioning(doc_id" not in plan
+    c = duckdb.connect()
+    c.execute(f"copy (select doc_id, text from '{SF}/documents.parquet', range(3) r(i) where i = 0 or doc_id % (i + 2) = 1 union all select null, 'words without an id ' || i from range(5) r(i)) to '{tmp_path}/documents.parquet' (format parquet)")
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    got, want = training.tfidf_features(spark, str(tmp_path)), c.execute(training.ORACLE_SQL["tfidf_features"])
+    assert _rows(got.collect(), got.columns) == _rows(want.fetchall(), [d[0] for d in want.description])
