@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.dialect import translate
 from ..operators import decisions, forest
 from ..session import shared_folder, written
 from ..sources import events, mails
@@ -173,15 +174,19 @@ def sketches(words: DataFrame, by: str) -> DataFrame:
 
 def vocabulary_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per sender, and in total (null): distinct words, whether the sketch is near that number, and whether sketches of halves merge to the whole's."""
-    from .queries import _run
+    from . import queries
 
-    words = _run(spark, sf_dir, "_sender_words")
+    session = queries._Session(spark, sf_dir)
+    # mails go to their sender whole, in one exchange for all uses: what is grouped by sender shuffles no words
+    sent = session.sql("select actor_id, concat(cast(pmod(event_id, 2) as string), content) as half_content from mails").repartition("actor_id")
+    found = F.explode(F.expr(translate("@words(content@w)", "spark"))).alias("word")
+    words = sent.select("actor_id", F.substring("half_content", 1, 1).alias("half"), F.expr("substring(half_content, 2)").alias("content")).select("actor_id", "half", found)
     exact = words.groupBy("actor_id").agg(F.countDistinct("word").alias("words"))
     whole = sketches(words, "actor_id")
-    halves = words.groupBy("actor_id", (F.col("event_id") % 2).alias("half")).agg(F.hll_sketch_agg("word", F.lit(SKETCH_BITS)).alias("sketch")).groupBy("actor_id").agg(F.hll_union_agg("sketch").alias("merged"))
+    halves = words.groupBy("actor_id", "half").agg(F.hll_sketch_agg("word", F.lit(SKETCH_BITS)).alias("sketch")).groupBy("actor_id").agg(F.hll_union_agg("sketch").alias("merged"))
     senders = exact.join(whole, "actor_id").join(halves, "actor_id")
     # the total is the union of the senders' sketches: no word is read again
-    total = words.agg(F.countDistinct("word").alias("words")).crossJoin(whole.agg(F.hll_union_agg("sketch").alias("sketch")))  # one row each
+    total = session.sql("select content from texts").select(found).agg(F.countDistinct("word").alias("words")).crossJoin(whole.agg(F.hll_union_agg("sketch").alias("sketch")))  # one row each
     total = total.select(F.lit(None).cast("long").alias("actor_id"), "words", "sketch", F.col("sketch").alias("merged"))
     near = F.abs(F.hll_sketch_estimate("sketch") - F.col("words")) <= SKETCH_ERROR * F.col("words") + 1
     both = senders.select("actor_id", "words", "sketch", "merged").unionByName(total)

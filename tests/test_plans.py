@@ -286,3 +286,10 @@ def test_terms_are_counted_before_they_are_shuffled(spark, tmp_path):
     c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
     got, want = training.tfidf_features(spark, str(tmp_path)), c.execute(training.ORACLE_SQL["tfidf_features"])
     assert _rows(got.collect(), got.columns) == _rows(want.fetchall(), [d[0] for d in want.description])
+
+
+def test_words_of_senders_are_not_shuffled(spark):
+    """Mails go to their sender as texts: no exchange by sender and word."""
+    plan = training.vocabulary_sketches(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    by_sender = [x for x in plan.splitlines() if "hashpartitioning(actor_id" in x]
+    assert by_sender and not any("word" in x.split("hashpartitioning(")[1].split(")")[0] for x in by_sender)
